@@ -19,8 +19,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from martlens.llm.bytewords import LOWER, SPACE, mix, runs, span_hashes
 from martlens.llm.common import blocks, pinned
@@ -50,7 +51,7 @@ def features(data: np.ndarray, bounds: np.ndarray, buckets: int) -> tuple[np.nda
 
 
 def fit(docs: DataFrame, good: DataFrame, buckets: int, prior: float) -> np.ndarray | None:
-    """The log of the ratio of every bucket; None without good rows. good: (doc_id) of the rows of the target model."""
+    """The log of the ratio of every bucket; None without good rows. good: (doc_id) of the rows of the target model, a bounded number."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, buckets), np.int64)
@@ -65,7 +66,7 @@ def fit(docs: DataFrame, good: DataFrame, buckets: int, prior: float) -> np.ndar
             b = b[total[0, b] > 0]
             yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(total[0, b]), pa.array(total[1, b])], ["bucket", "raw", "target"])
 
-    marked = docs.join(good.select(F.col("doc_id").alias("good_id")).distinct(), F.col("doc_id").cast("long") == F.col("good_id"), "left")
+    marked = docs.join(F.broadcast(good.select(F.col("doc_id").alias("good_id")).distinct()), F.col("doc_id").cast("long") == F.col("good_id"), "left")
     marked = marked.select(F.col("good_id").isNotNull().alias("target"), "text")
     table = marked.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.zeros(buckets), np.zeros(buckets)
@@ -76,18 +77,28 @@ def fit(docs: DataFrame, good: DataFrame, buckets: int, prior: float) -> np.ndar
     return np.log((target + prior) / (raw * (target.sum() / raw.sum()) + prior))
 
 
-def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """SCORED of every row of ``docs`` (doc_id, text)."""
+def score(docs: DataFrame, ratio: np.ndarray, seed: int) -> DataFrame:
+    """``docs`` with log_weight, n_features and gumbel_key of every row; these names replace columns of the input."""
+    docs = docs.drop("log_weight", "n_features", "gumbel_key")
     sent = docs.sparkSession.sparkContext.broadcast(ratio)  # a double for each bucket
+    schema = T.StructType([*docs.schema.fields, T.StructField("log_weight", T.DoubleType()), T.StructField("n_features", T.LongType())])
+    names, text = schema.names, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, bounds in blocks(batch.column(1)):
+            for first, end, data, bounds in blocks(batch.column(text)):
                 every, counts = features(data, bounds, len(sent.value))
                 sums = np.bincount(np.repeat(np.arange(end - first), counts), sent.value[every], end - first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(sums), pa.array(counts.astype(np.int64))], ["doc_id", "log_weight", "n_features"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns, pa.array(sums), pa.array(counts.astype(np.int64))], names)
+
+    noise = -F.log(-F.log((_draw("gumbel", seed) + 0.5) / F.lit(float(1 << 52))))
+    return docs.mapInArrow(run, schema).withColumn("gumbel_key", F.col("log_weight") + noise)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCORED)
+
+def _draw(what: str, seed: int) -> Column:
+    """52 bits from a hash of seed and doc_id."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{what}-{seed}"), name)), 1, 13), 16, 10).cast("long")
 
 
 def kth_largest(keys: DataFrame, k: int, bins: int = 4096, few: int = 50_000) -> float:
@@ -109,29 +120,40 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 4096, few: int = 50_000) ->
         low, high = lo, hi
 
 
-def resample(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 18, prior: float = 8.0, miss: float = 0.002, k: int | None = None, seed: int = 5) -> DataFrame:
+def decide(docs: DataFrame, labels: DataFrame, buckets: int, prior: float, miss: float, k: int | None, seed: int, sample: int) -> tuple[np.ndarray | None, DataFrame | None, float]:
+    """The ratio, the scores of all rows (doc_id, log_weight, n_features, gumbel_key), and the k-th largest key."""
+    rows = labels.filter("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    good = pinned(rows.withColumn("draw", _draw("fold", seed)).orderBy("draw", "doc_id").limit(sample).select("doc_id", (F.col("draw") % 5 == 0).alias("out")), "good")
+    ratio = fit(docs, good.filter("NOT out"), buckets, prior)
+    if ratio is None:
+        return None, None, -np.inf
+    scored = pinned(score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ratio, seed).drop("text"), "scored")
+    n = scored.count()
+    if k is None:
+        held = scored.join(F.broadcast(good.filter("out")), "doc_id", "left_semi").select(F.col("log_weight").alias("key"))
+        m = held.count()
+        k = scored.filter(F.col("log_weight") >= kth_largest(held, max(1, int(m * (1 - miss))))).count() if m else n
+    if k >= n or not n:
+        return ratio, scored, -np.inf
+    return ratio, scored, kth_largest(scored.select(F.col("gumbel_key").alias("key")), k) if k > 0 else np.inf
+
+
+def resample(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 18, prior: float = 8.0, miss: float = 0.002, k: int | None = None, seed: int = 5, sample: int = 25_000) -> DataFrame:
     """doc_id, log_weight, n_features, gumbel_key, kept of every row of ``docs`` (doc_id, text).
 
     labels: doc_id, quality, toxic; a row is good with quality 1 and toxic 0. k: rows to keep, by default found from the labels.
+    sample: at most so many good labelled rows teach the target model (the raw model counts all rows).
     """
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    draw = lambda what: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{what}-{seed}"), name)), 1, 13), 16, 10).cast("long")
-    good = pinned(labels.filter("quality = 1 AND toxic = 0").select(F.col("doc_id").cast("long")).distinct().withColumn("out", draw("fold") % 5 == 0), "good")
-    ratio = fit(docs, good.filter("NOT out"), buckets, prior)
+    ratio, scored, floor = decide(docs, labels, buckets, prior, miss, k, seed, sample)
     if ratio is None:
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.0).alias("log_weight"), F.lit(0).cast("long").alias("n_features"), F.lit(0.0).alias("gumbel_key"), F.lit(True).alias("kept"))
-    noise = -F.log(-F.log((draw("gumbel") + 0.5) / F.lit(float(1 << 52))))
-    scored = pinned(score(docs, ratio).withColumn("gumbel_key", F.col("log_weight") + noise), "scored")
-    if k is None:
-        held = scored.join(good.filter("out"), "doc_id", "left_semi").select(F.col("log_weight").alias("key"))
-        n = held.count()
-        if not n:
-            return scored.withColumn("kept", F.lit(True))
-        floor = kth_largest(held, max(1, int(n * (1 - miss))))
-        k = scored.filter(F.col("log_weight") >= floor).count()
-    n = scored.count()
-    if k >= n or not n:
-        return scored.withColumn("kept", F.lit(True))
-    if k <= 0:
-        return scored.withColumn("kept", F.lit(False))
-    return scored.withColumn("kept", F.col("gumbel_key") >= kth_largest(scored.select(F.col("gumbel_key").alias("key")), k))
+        zero = F.lit(0.0)
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), zero.alias("log_weight"), F.lit(0).cast("long").alias("n_features"), zero.alias("gumbel_key"), F.lit(True).alias("kept"))
+    return scored.withColumn("kept", F.col("gumbel_key") >= F.lit(float(floor)))
+
+
+def selected(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 18, prior: float = 8.0, miss: float = 0.002, k: int | None = None, seed: int = 5, sample: int = 25_000) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``resample`` keeps; they are scored once more, so that no text is shuffled."""
+    ratio, _, floor = decide(docs, labels, buckets, prior, miss, k, seed, sample)
+    if ratio is None:
+        return docs
+    return score(docs, ratio, seed).filter(F.col("gumbel_key") >= F.lit(float(floor))).select(*docs.columns)

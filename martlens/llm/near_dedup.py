@@ -81,17 +81,14 @@ def sketch(docs: DataFrame, size: int, bands: int, width: int, seed: int) -> Dat
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SKETCH)
 
 
-def marked_only(rows: DataFrame, ids: DataFrame, bits: int = 1 << 24) -> DataFrame:
-    """Rows whose doc_id may be in ``ids``: it sets a bit of a bitmap of bounded size, whatever the number of ids.
-
-    Only what the joins after it need is shuffled; they drop the few others.
-    """
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+def marks(rows: DataFrame, ids: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """``rows`` with marked: may the doc_id be in ``ids``? Each id sets a bit of a bitmap of bounded size, whatever their number."""
+    at = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))
     word, bit = F.shiftright(at, 6), at.bitwiseAND(F.lit(63)).cast("int")
-    masks = ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+    masks = ids.select(word.alias("mark_word"), bit.alias("bit")).groupBy("mark_word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mark_mask"))
     # At most bits / 64 rows, so that they can be sent to every task.
-    hit = rows.withColumn("word", word).withColumn("bit", bit).join(F.broadcast(masks), "word").filter(F.getbit("mask", F.col("bit")) == 1)
-    return hit.select("doc_id", "text")
+    hit = rows.withColumn("mark_at", word).join(F.broadcast(masks), F.col("mark_at") == F.col("mark_word"), "left")
+    return hit.withColumn("marked", F.coalesce(F.getbit("mark_mask", bit) == 1, F.lit(False))).select(*rows.columns, "marked")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -119,7 +116,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(at, n).take(pa.array(keep)) for c in (0, 1)], ["a", "b"])
 
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
-    texts = marked_only(docs.select(F.col("doc_id").cast("long"), "text"), needed)
+    # Only the texts that the joins need are shuffled, and the few others that share a bit with one.
+    texts = marks(docs.select(F.col("doc_id").cast("long"), "text"), needed).filter("marked").select("doc_id", "text")
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     return with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
