@@ -1,8 +1,8 @@
 """A training corpus from ``documents``: quality, language, near duplicates, source mixture, packing.
 
 STAGES lists the stages; each takes (spark, docs, sf_dir) and gives a DataFrame, which is written and read again as the next one's
-docs. All but the last return the columns of documents. A decision about a doc_id holds for all its rows; rows with a null doc_id
-pass every stage that decides by doc_id.
+docs. All but the last return the columns of documents. Quality and language are decided row by row, near duplicates by doc_id: a
+decision holds for all rows of the doc_id, and rows with a null doc_id stay.
 """
 
 from __future__ import annotations
@@ -18,15 +18,20 @@ LEAST_SHARE = 0.5
 
 
 def _without(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` but those whose doc_id has no kept row in ``kept`` (doc_id, kept)."""
+    """The rows of ``docs`` but those whose doc_id has no kept row in ``kept`` (doc_id, kept).
+
+    Rows that a bitmap of the dropped doc_ids doesn't mark stay where they are; only the marked ones are joined.
+    """
     gone = kept.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("gone")).agg(F.max("kept").alias("any")).filter(~F.col("any")).select("gone")
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    marked = near_dedup.marks(docs, gone.select(F.col("gone").alias("doc_id")))
+    sure = marked.filter("NOT marked").select(*docs.columns)
+    doubtful = marked.filter("marked").select(*docs.columns).join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    return sure.unionByName(doubtful)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling towards the good labelled ones selects."""
-    found = importance.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, found.select("doc_id", "kept"))
+    return importance.selected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +39,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_mixture.learn(docs)
     if not model[0]:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = pinned(language_mixture.identify(docs, model), "languages")
-    return _without(docs, found.select("doc_id", ((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).alias("kept")))
+    return language_mixture.in_one_language(docs, model, LEAST_SHARE)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

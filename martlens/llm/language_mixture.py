@@ -143,3 +143,16 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: floa
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "lang_pred", "score", "languages", "shares"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(predict, PREDICTED)
+
+
+def in_one_language(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.5, penalty: float = 2.0, rounds: int = 20) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has letters and a language with a share of at least ``least``."""
+    sent, text = docs.sparkSession.sparkContext.broadcast(model[1]), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = (trigrams(t) if t else None for t in batch.column(text).to_pylist())
+            keep = [c is not None and bool(mixture(c, sent.value, penalty, rounds)[1][0] >= least) for c in found]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
