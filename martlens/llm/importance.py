@@ -89,7 +89,7 @@ def score(docs: DataFrame, ratio: np.ndarray, seed: int) -> DataFrame:
             for first, end, data, bounds in blocks(batch.column(text)):
                 every, counts = features(data, bounds, len(sent.value))
                 sums = np.bincount(np.repeat(np.arange(end - first), counts), sent.value[every], end - first)
-                yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns, pa.array(sums), pa.array(counts.astype(np.int64))], names)
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns, pa.array(sums.astype(np.float64)), pa.array(counts.astype(np.int64))], names)
 
     noise = -F.log(-F.log((_draw("gumbel", seed) + 0.5) / F.lit(float(1 << 52))))
     return docs.mapInArrow(run, schema).withColumn("gumbel_key", F.col("log_weight") + noise)
