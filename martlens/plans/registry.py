@@ -1,4 +1,626 @@
-"""All registered queries and their SQL."""
+"""All registered queries, each with the SQL that gives the same rows."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from martlens.operators import catalog, health, ingest, matching, pages, signals, tenancy
+from martlens.sources.tables import AS_OF, EVENTS_AS_OF, load, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+DAYS = 3650
+
+
+def query(views: str, sql: str | None = None):
+    """Registers a function of the named views as a query; ``sql`` is its oracle."""
+
+    def add(f: Callable[..., DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(*load(spark, sf_dir, *views.split()))
+        if sql:
+            ORACLE_SQL[f.__name__] = with_views(sql)
+        return f
+
+    return add
+
+
+_LAST = "row_number() OVER (PARTITION BY listing_id ORDER BY ts DESC, o DESC, n DESC)"
+_PRICE = f"SELECT *, {_LAST} AS rn, lead(amount) OVER (PARTITION BY listing_id ORDER BY ts DESC, o DESC, n DESC) AS previous FROM {{price_obs}} WHERE ts > {AS_OF} - INTERVAL {DAYS} DAYS"
+_STOCK = f"SELECT *, {_LAST} AS rn, lead(availability) OVER (PARTITION BY listing_id ORDER BY ts DESC, o DESC, n DESC) AS previous FROM {{stock_obs}} WHERE ts > {AS_OF} - INTERVAL {DAYS} DAYS"
+_CHANGES = f"""SELECT listing_id, retailer_id, product_id, CASE WHEN amount < previous THEN 'price_drop' ELSE 'price_increase' END AS signal_type,
+  CASE WHEN 100 * abs(amount - previous) >= 15 * previous THEN 'critical' WHEN 100 * abs(amount - previous) >= 5 * previous THEN 'notable' ELSE 'info' END AS severity,
+  previous, amount AS current, (amount - previous) / previous AS pct, ts FROM ({_PRICE}) x JOIN {{listings}} USING (listing_id) WHERE rn = 1 AND amount <> previous"""
+_MOVES = f"""SELECT listing_id, retailer_id, CASE WHEN availability = 'out_of_stock' THEN 'out_of_stock' ELSE 'back_in_stock' END AS signal_type, 'notable' AS severity, previous, availability AS current, ts
+  FROM ({_STOCK}) x JOIN {{listings}} USING (listing_id) WHERE rn = 1 AND availability <> previous AND (availability = 'out_of_stock' OR (previous = 'out_of_stock' AND availability = 'in_stock'))"""
+_LOW = f"SELECT listing_id, retailer_id, 'low_stock' AS signal_type, 'info' AS severity, quantity, ts FROM ({_STOCK}) x JOIN {{listings}} USING (listing_id) WHERE rn = 1 AND quantity BETWEEN 1 AND 4"
+_NEW = f"SELECT listing_id, retailer_id, 'new_product' AS signal_type, 'info' AS severity, first_seen AS ts FROM {{listings}} WHERE first_seen > {AS_OF} - INTERVAL 365 DAYS"
+_ALL = " UNION ALL ".join(f"SELECT listing_id, retailer_id, signal_type, severity, ts FROM ({s}) x" for s in (_CHANGES, _MOVES, _LOW, _NEW))
+_SIGNALS = f"SELECT *, md5(concat_ws('|', listing_id, signal_type, strftime(ts, '%Y-%m-%d %H:%M:%S'))) AS signal_id FROM ({_ALL}) s"
+_ORD = "CASE {} WHEN 'critical' THEN 2 WHEN 'notable' THEN 1 ELSE 0 END"
+_ALERTS = f"""SELECT signal_id, rule_id, org_id, retailer_id, signal_type, severity, ts FROM ({_SIGNALS}) s JOIN {{org_competitors}} USING (retailer_id) JOIN {{alert_rules}} USING (org_id)
+  WHERE enabled AND (signal_types = '' OR list_contains(string_split(signal_types, ','), signal_type)) AND (only_retailer IS NULL OR only_retailer = retailer_id) AND {_ORD.format('severity')} >= {_ORD.format('min_severity')}"""
+_PRICES = f"SELECT listing_id, amount, currency, ts FROM (SELECT *, {_LAST} AS rn FROM {{price_obs}}) x WHERE rn = 1"
+_SUMMARY = f"""SELECT product_id, canonical_title, brand, min_price, coalesce(currency, 'CAD') AS currency, coalesce(offers, 0) AS offers FROM {{products}} LEFT JOIN
+  (SELECT product_id, min(amount) AS min_price, min(currency) AS currency, count(DISTINCT listing_id) AS offers FROM {{listings}} LEFT JOIN ({_PRICES}) p USING (listing_id) WHERE active GROUP BY 1) o USING (product_id)"""
+_RANKS = "SELECT keyword_id, retailer_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY keyword_id, retailer_id ORDER BY ts DESC, o DESC) AS rn FROM {serp_obs}) x WHERE rn = 1"
+
+
+def _signals(price_obs, stock_obs, listings) -> DataFrame:
+    return signals.write_signals(
+        signals.price_changes(price_obs, listings, AS_OF, DAYS), signals.inventory_transitions(stock_obs, listings, AS_OF, DAYS), signals.low_stock(stock_obs, listings, AS_OF, DAYS), signals.new_products(listings, AS_OF, 365)
+    )
+
+
+@query("price_obs listings", _CHANGES)
+def sig01_price_changes(price_obs, listings):
+    return signals.price_changes(price_obs, listings, AS_OF, DAYS)
+
+
+@query("stock_obs listings", _MOVES)
+def sig02_inventory_transitions(stock_obs, listings):
+    return signals.inventory_transitions(stock_obs, listings, AS_OF, DAYS)
+
+
+@query("stock_obs listings", _LOW)
+def sig03_low_stock(stock_obs, listings):
+    return signals.low_stock(stock_obs, listings, AS_OF, DAYS)
+
+
+@query("listings", _NEW)
+def sig04_new_products(listings):
+    return signals.new_products(listings, AS_OF, 365)
+
+
+@query("listings products", f"""SELECT retailer_id, coalesce(category, 'uncategorized') AS category, count(*) AS added, 'assortment_expansion' AS signal_type, CASE WHEN count(*) >= 25 THEN 'notable' ELSE 'info' END AS severity
+  FROM {{listings}} LEFT JOIN {{products}} USING (product_id) WHERE first_seen > {AS_OF} - INTERVAL {DAYS} DAYS GROUP BY 1, 2 HAVING count(*) >= 5""")
+def sig05_assortment_expansion(listings, products):
+    return signals.assortment_expansion(listings, products, AS_OF, DAYS)
+
+
+@query("price_obs listings", f"""SELECT listing_id, concat('Price ', CASE WHEN signal_type = 'price_drop' THEN 'dropped ' ELSE 'rose ' END, CASE WHEN previous > 0 THEN ((200 * abs(current - previous) + previous) // (2 * previous))::VARCHAR ELSE '100' END,
+  '%: $', format('{{:,.2f}}', previous / 100), ' to $', format('{{:,.2f}}', current / 100)) AS title FROM ({_CHANGES}) c""")
+def sig06_signal_titles(price_obs, listings):
+    return signals.signal_titles(signals.price_changes(price_obs, listings, AS_OF, DAYS))
+
+
+@query("price_obs stock_obs listings", _SIGNALS)
+def sig07_write_signals(price_obs, stock_obs, listings):
+    return _signals(price_obs, stock_obs, listings)
+
+
+@query("price_obs stock_obs listings alert_rules org_competitors", _ALERTS)
+def sig08_alert_fanout(price_obs, stock_obs, listings, rules, competitors):
+    return signals.alert_fanout(_signals(price_obs, stock_obs, listings), rules, competitors)
+
+
+@query("price_obs stock_obs listings", f"SELECT * FROM ({_SIGNALS}) s WHERE retailer_id IN (1, 2, 3) AND signal_type IN ('price_drop', 'out_of_stock') ORDER BY ts DESC, signal_id LIMIT 100")
+def sig09_recent_signals(price_obs, stock_obs, listings):
+    return signals.recent_signals(_signals(price_obs, stock_obs, listings), [1, 2, 3], ["price_drop", "out_of_stock"])
+
+
+@query("price_obs stock_obs listings alert_rules org_competitors retailers", f"SELECT org_id, rn::INT AS rn, signal_id, name, signal_type, ts FROM (SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY ts DESC, signal_id) AS rn FROM ({_ALERTS}) a) b JOIN {{retailers}} USING (retailer_id) WHERE rn <= 100")
+def sig10_org_feed(price_obs, stock_obs, listings, rules, competitors, retailers):
+    return signals.org_feed(signals.alert_fanout(_signals(price_obs, stock_obs, listings), rules, competitors), retailers)
+
+
+@query("alert_rules", "SELECT org_id, rule_id, signal_types, min_severity FROM {alert_rules} WHERE enabled")
+def sig11_org_rules(rules):
+    return rules.filter("enabled").select("org_id", "rule_id", "signal_types", "min_severity")
+
+
+@query("price_obs stock_obs listings alert_rules org_competitors", f"SELECT signal_id, rule_id, CASE WHEN org_id % 2 = 0 THEN {AS_OF} ELSE ts END AS read_at FROM ({_ALERTS}) a")
+def sig12_mark_events(price_obs, stock_obs, listings, rules, competitors):
+    events = signals.alert_fanout(_signals(price_obs, stock_obs, listings), rules, competitors).withColumn("read_at", F.when(F.col("org_id") % 2 == 1, F.col("ts")))
+    return events.select("signal_id", "rule_id", F.coalesce("read_at", F.expr(AS_OF).cast("timestamp_ntz")).alias("read_at"))
+
+
+_COUNT = "least(count(CASE WHEN signal_type IN ({}) THEN 1 END), 1000)"
+
+
+@query("price_obs stock_obs listings org_competitors orgs", f"""SELECT *, drops = 0 AND added = 0 AND inventory = 0 AS empty FROM (SELECT org_id, {_COUNT.format("'price_drop'")} AS drops, {_COUNT.format("'new_product'")} AS added,
+  {_COUNT.format("'out_of_stock','back_in_stock','low_stock'")} AS inventory FROM {{orgs}} JOIN {{org_competitors}} USING (org_id) LEFT JOIN ({_SIGNALS}) s USING (retailer_id) WHERE plan <> 'trial' GROUP BY 1) d""")
+def sig13_digest(price_obs, stock_obs, listings, competitors, orgs):
+    return signals.digest(_signals(price_obs, stock_obs, listings), competitors, orgs)
+
+
+@query("price_obs stock_obs listings org_competitors", f"""SELECT org_id, count(CASE WHEN signal_type = 'price_drop' THEN 1 END) AS drops, count(CASE WHEN signal_type = 'new_product' THEN 1 END) AS added,
+  count(CASE WHEN signal_type IN ('low_stock','out_of_stock') THEN 1 END) AS low_or_out, max(ts) AS newest FROM {{org_competitors}} JOIN ({_SIGNALS}) s USING (retailer_id) GROUP BY 1""")
+def sig14_overview_stats(price_obs, stock_obs, listings, competitors):
+    return signals.overview_stats(_signals(price_obs, stock_obs, listings), competitors)
+
+
+@query("price_obs", _PRICES)
+def cat01_latest_price(price_obs):
+    return catalog.latest_price(price_obs)
+
+
+@query("products listings price_obs", _SUMMARY)
+def cat02_product_summaries(products, listings, price_obs):
+    return catalog.product_summaries(products, listings, price_obs)
+
+
+@query("products listings price_obs", f"{_SUMMARY} WHERE contains(lower(canonical_title) , 'steel') OR contains(lower(brand), 'steel') ORDER BY offers DESC, min_price ASC NULLS LAST, product_id LIMIT 24")
+def cat03_search_products(products, listings, price_obs):
+    return catalog.search_products(products, listings, price_obs, "STEEL")
+
+
+@query("products listings price_obs", f"{_SUMMARY} ORDER BY offers DESC, min_price ASC NULLS LAST, product_id LIMIT 24")
+def cat04_popular_products(products, listings, price_obs):
+    return catalog.product_summaries(products, listings, price_obs, 24)
+
+
+@query("listings price_obs stock_obs retailers", f"""SELECT product_id, row_number() OVER (PARTITION BY product_id ORDER BY amount ASC NULLS LAST, listing_id)::INT AS place, listing_id, name, amount, currency, coalesce(availability, 'unknown') AS availability
+  FROM {{listings}} LEFT JOIN ({_PRICES}) p USING (listing_id) LEFT JOIN (SELECT listing_id, availability FROM (SELECT *, {_LAST} AS rn FROM {{stock_obs}}) x WHERE rn = 1) s USING (listing_id) JOIN {{retailers}} USING (retailer_id) WHERE active""")
+def cat05_product_offers(listings, price_obs, stock_obs, retailers):
+    return catalog.product_offers(listings, price_obs, stock_obs, retailers)
+
+
+@query("listings price_obs", f"SELECT product_id, strftime(ts, '%Y-%m-%d') AS day, min(amount) AS min_price FROM {{price_obs}} JOIN {{listings}} USING (listing_id) WHERE ts > {AS_OF} - INTERVAL {DAYS} DAYS GROUP BY 1, 2")
+def cat06_price_history(listings, price_obs):
+    return catalog.price_history(listings, price_obs, AS_OF, DAYS)
+
+
+@query("listings products", f"SELECT brand, count(CASE WHEN first_seen > {AS_OF} - INTERVAL 365 DAYS THEN 1 END) AS added, count(*) AS total, added / total AS growth FROM {{listings}} JOIN {{products}} USING (product_id) WHERE active GROUP BY 1 HAVING added > 0 ORDER BY added DESC, brand LIMIT 25")
+def cat07_brand_growth(listings, products):
+    return catalog.brand_growth(listings, products, AS_OF, 365)
+
+
+@query("serp_obs", _RANKS)
+def seo01_latest_rank(serp_obs):
+    return catalog.latest_rank(serp_obs)
+
+
+@query("serp_obs", f"WITH r AS ({_RANKS}) SELECT keyword_id, retailer_id, rank FROM r WHERE retailer_id <> 1 AND rank <= 20 AND keyword_id NOT IN (SELECT keyword_id FROM r WHERE retailer_id = 1)")
+def seo02_keyword_gaps(serp_obs):
+    return catalog.keyword_gaps(serp_obs, own=1)
+
+
+@query("retailers crawl_runs listings", """SELECT retailer_id, name, run_id, status, started_at, coalesce(active_listings, 0) AS active_listings FROM {retailers}
+  LEFT JOIN (SELECT * FROM (SELECT retailer_id, run_id, status, started_at, row_number() OVER (PARTITION BY retailer_id ORDER BY started_at DESC, run_id DESC) AS rn FROM {crawl_runs}) x WHERE rn = 1) r USING (retailer_id)
+  LEFT JOIN (SELECT retailer_id, count(*) AS active_listings FROM {listings} WHERE active GROUP BY 1) l USING (retailer_id)""")
+def ops01_crawl_health_overview(retailers, runs, listings):
+    return catalog.crawl_health_overview(retailers, runs, listings)
+
+
+@query("retailers listings price_obs", f"""SELECT retailer_id, (s + 180) // 360 AS tenth_hours, s IS NULL OR s > 129600 AS stale FROM (SELECT retailer_id, date_diff('second', max(ts), {AS_OF}) AS s FROM {{retailers}} LEFT JOIN {{listings}} USING (retailer_id) LEFT JOIN {{price_obs}} USING (listing_id) GROUP BY 1) x""")
+def ops02_data_freshness(retailers, listings, price_obs):
+    return catalog.data_freshness(retailers, listings, price_obs, AS_OF)
+
+
+@query("retailers listings price_obs", f"""SELECT CASE WHEN bool_or(stale) THEN 'degraded' ELSE 'ok' END AS status, count(CASE WHEN stale THEN 1 END) AS stale FROM (SELECT retailer_id, max(ts) IS NULL OR date_diff('second', max(ts), {AS_OF}) > 129600 AS stale FROM {{retailers}} LEFT JOIN {{listings}} USING (retailer_id) LEFT JOIN {{price_obs}} USING (listing_id) GROUP BY 1) x""")
+def ops03_stale_retailers(retailers, listings, price_obs):
+    fresh = catalog.data_freshness(retailers, listings, price_obs, AS_OF)
+    return fresh.agg(F.when(F.bool_or("stale"), "degraded").otherwise("ok").alias("status"), F.count(F.when(F.col("stale"), 1)).alias("stale"))
+
+
+_MICRO = "CASE WHEN tokens > 0 THEN (tokens * 15 + 50) // 100 ELSE 0 END"
+
+
+@query("crawl_runs", f"SELECT count(*) AS runs, coalesce(sum({_MICRO}), 0)::BIGINT AS micro, count(CASE WHEN {_MICRO} > 10000 THEN 1 END) AS over_budget, coalesce(sum(tokens), 0)::BIGINT AS tokens FROM {{crawl_runs}} WHERE started_at > {AS_OF} - INTERVAL 1000 DAYS")
+def ops04_discovery_cost(runs):
+    return catalog.discovery_cost(runs, AS_OF, 1000, 10_000)
+
+
+@query("crawl_runs", f"SELECT strftime(date_trunc('week', started_at), '%Y-%m-%d') AS week, count(*) AS runs, sum({_MICRO})::BIGINT AS micro FROM {{crawl_runs}} WHERE started_at > {AS_OF} - INTERVAL 560 DAYS GROUP BY 1 ORDER BY 1 DESC LIMIT 8")
+def ops05_discovery_cost_weekly(runs):
+    return catalog.discovery_cost_weekly(runs, AS_OF, 560)
+
+
+@query("crawl_runs", f"SELECT run_id, {_MICRO} AS micro FROM {{crawl_runs}}")
+def ops06_token_cost(runs):
+    return runs.select("run_id", catalog.token_cost("tokens").alias("micro"))
+
+
+@query("crawl_runs", "SELECT retailer_id, sum(tokens)::BIGINT AS tokens, count(*) AS stages, arg_max(status, (started_at, run_id)) AS current FROM {crawl_runs} GROUP BY 1")
+def ops07_stage_rollup(runs):
+    return health.stage_rollup(runs)
+
+
+@query("listings", "SELECT retailer_id, count(*) AS listings FROM {listings} GROUP BY 1")
+def ops08_product_counts(listings):
+    return catalog.product_counts(listings)
+
+
+@query("listings", f"""WITH s AS (SELECT * FROM {{listings}} WHERE first_seen < TIMESTAMP '1999-01-01 00:00:00'), b AS (SELECT * FROM {{listings}} WHERE last_seen > TIMESTAMP '1998-01-01 00:00:00')
+  SELECT coalesce(s.url, b.url) AS url, CASE WHEN s.url IS NOT NULL THEN s.sku ELSE b.sku END AS sku, CASE WHEN s.url IS NOT NULL THEN s.retailer_id ELSE b.retailer_id END AS retailer_id, CASE WHEN s.url IS NOT NULL THEN s.first_seen ELSE b.first_seen END AS first_seen,
+  coalesce(b.product_id, s.product_id) AS product_id, coalesce(b.last_seen, s.last_seen) AS last_seen FROM s FULL JOIN b ON s.url = b.url""")
+def ing01_upsert_listings(listings):
+    return ingest.upsert_listings(listings.filter("first_seen < TIMESTAMP '1999-01-01 00:00:00'"), listings.filter("last_seen > TIMESTAMP '1998-01-01 00:00:00'"))
+
+
+@query("listings", "SELECT url FROM {listings} WHERE last_seen > TIMESTAMP '1998-01-01 00:00:00' AND NOT first_seen < TIMESTAMP '1999-01-01 00:00:00'")
+def ing02_is_new(listings):
+    return ingest.is_new(listings.filter("first_seen < TIMESTAMP '1999-01-01 00:00:00'"), listings.filter("last_seen > TIMESTAMP '1998-01-01 00:00:00'")).select("url")
+
+
+@query("price_obs", "SELECT listing_id, amount, ts FROM {price_obs} WHERE n % 5 <> 0")
+def ing03_price_facts(price_obs):
+    return ingest.price_facts(price_obs.withColumn("price", F.when(F.col("n") % 5 != 0, F.col("amount") / 100)))
+
+
+@query("stock_obs", "SELECT listing_id, availability, quantity, ts FROM {stock_obs}")
+def ing04_stock_facts(stock_obs):
+    return stock_obs.select("listing_id", "availability", "quantity", "ts")
+
+
+@query("listings", "SELECT listing_id, CASE WHEN last_seen < TIMESTAMP '1999-01-01 00:00:00' THEN false ELSE active END AS active FROM {listings}")
+def ing05_mark_stale(listings):
+    return ingest.mark_stale(listings, F.expr("TIMESTAMP '1999-01-01 00:00:00'")).select("listing_id", "active")
+
+
+@query("embeddings", "SELECT vec_id, label FROM {embeddings}")
+def ing06_upsert_embeddings(embeddings):
+    return ingest.dedupe_first(embeddings.unionByName(embeddings), ["vec_id"], ["label"]).select("vec_id", "label")
+
+
+@query("products", "SELECT product_id, concat_ws(' | ', nullif(brand, ''), nullif(array_to_string(string_split(category, '/')[-2:], ' > '), ''), nullif(canonical_title, '')) AS text FROM {products}")
+def ing07_embedding_text(products):
+    return ingest.embedding_text(products)
+
+
+@query("run_counts", "SELECT run_id, discovered, fetched::BIGINT AS fetched, extracted::BIGINT AS extracted, errors::BIGINT AS errors, CASE WHEN fetched <> 0 THEN 100 * extracted / fetched END AS yield_pct FROM {run_counts}")
+def ing13_crawl_run_counters(counts):
+    return ingest.run_counters(counts)
+
+
+@query("crawl_runs run_counts", "SELECT run_id, CASE WHEN r.status = 'running' AND c.run_id IS NOT NULL AND c.fetched + c.errors >= c.discovered THEN 'completed' ELSE r.status END AS status FROM {crawl_runs} r LEFT JOIN {run_counts} c USING (run_id)")
+def ing14_finalize_runs(runs, counts):
+    return ingest.finalize_runs(runs, counts)
+
+
+@query("products", "SELECT product_id, regexp_replace(regexp_replace(lower(canonical_title), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM {products}")
+def tax01_slug(products):
+    return products.select("product_id", ingest.slug(F.col("canonical_title")).alias("slug"))
+
+
+@query("products", "SELECT slug, max(brand) AS name, count(*) AS aliases, substr(md5(slug), 1, 12) AS brand_id FROM (SELECT DISTINCT brand, regexp_replace(regexp_replace(lower(brand), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM {products}) b GROUP BY 1")
+def tax02_canonical_brands(products):
+    return ingest.canonical_brands(products)
+
+
+@query("products", """SELECT DISTINCT array_to_string(p[1:i], '/') AS path, p[i] AS name, (i - 1)::INT AS depth, CASE WHEN i > 1 THEN array_to_string(p[1:i-1], '/') END AS parent
+  FROM (SELECT p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT DISTINCT string_split(category, '/') AS p FROM {products}) a) b""")
+def tax03_canonical_categories(products):
+    return ingest.canonical_categories(products)
+
+
+@query("products", "SELECT product_id, category FROM {products} WHERE category = 'promo' OR starts_with(category, 'promo/')")
+def tax04_category_subtree(products):
+    return ingest.category_subtree(products, "promo")
+
+
+@query("listings products", """SELECT listing_id AS row_id, coalesce(g, m) AS product_id, CASE WHEN g IS NOT NULL THEN 'gtin' WHEN m IS NOT NULL THEN 'mpn' END AS matched_by FROM {listings} JOIN {products} USING (product_id)
+  LEFT JOIN (SELECT gtin, min(product_id) AS g FROM {products} GROUP BY 1) a USING (gtin) LEFT JOIN (SELECT mpn, min(product_id) AS m FROM {products} GROUP BY 1) b USING (mpn)""")
+def mat01_hard_key_match(listings, products):
+    rows = listings.join(products, "product_id").select(F.col("listing_id").alias("row_id"), "gtin", "mpn")
+    return matching.hard_key_match(rows, products)
+
+
+_NEAR = """SELECT q.vec_id AS query, v.vec_id, round(1 - list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS distance FROM {embeddings} q JOIN {embeddings} v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 10 = 0"""
+_PLACED = f"SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, vec_id)::INT AS place FROM ({_NEAR}) n QUALIFY place <= 5"
+
+
+@query("embeddings", _PLACED)
+def mat02_nearest_candidates(embeddings):
+    return matching.nearest_candidates(embeddings)
+
+
+@query("listings", "SELECT retailer_id, product_id, count(DISTINCT sku) AS skus, count(*) AS listings, count(DISTINCT sku) > 1 AS conflict FROM {listings} WHERE active GROUP BY 1, 2")
+def mat03_sku_conflict(listings):
+    return matching.sku_conflicts(listings)
+
+
+_DECIDE = f"SELECT query, vec_id AS candidate, distance, CASE WHEN distance <= 0.6 THEN 'auto_matched' WHEN distance <= 0.7 THEN 'review' ELSE 'new' END AS status FROM ({_PLACED}) p WHERE place = 1"
+
+
+@query("embeddings", _DECIDE)
+def mat04_decide_match(embeddings):
+    return matching.decide_match(matching.nearest_candidates(embeddings), 0.7, 0.6)
+
+
+@query("products listings", "SELECT product_id, coalesce(mpn, sku) AS mpn FROM {products} LEFT JOIN (SELECT product_id, arg_min(sku, listing_id) AS sku FROM {listings} GROUP BY 1) l USING (product_id)")
+def mat06_backfill_products(products, listings):
+    return matching.backfill_products(products, listings)
+
+
+@query("products", "SELECT product_id, CASE WHEN gtin IS NULL THEN product_id ELSE min(product_id) OVER (PARTITION BY gtin) END AS representative FROM {products}")
+def mat07_resolve_entities(products):
+    return matching.resolve_entities(products)
+
+
+@query("embeddings", f"SELECT count(*) AS open FROM ({_DECIDE}) d WHERE status = 'review'")
+def mat08_review_backlog(embeddings):
+    return matching.review_backlog(matching.decide_match(matching.nearest_candidates(embeddings), 0.7, 0.6))
+
+
+_PCT = "least(100, coalesce(CASE WHEN {1} <> 0 THEN (100 * {0}) // {1} END, 0))::BIGINT"
+_INPUTS = f"""SELECT run_id, retailer_id, started_at, status, CASE WHEN baseline IS NULL THEN 100 ELSE {_PCT.format('discovered', 'baseline')} END::BIGINT AS coverage, {_PCT.format('fetched', 'discovered')} AS endpoint, {_PCT.format('extracted', 'fetched')} AS extraction, {_PCT.format('priced', 'discovered')} AS price
+  FROM (SELECT *, lag(discovered) OVER (PARTITION BY retailer_id ORDER BY started_at, run_id) AS baseline FROM {{crawl_runs}} JOIN {{run_counts}} USING (run_id)) x"""
+_SCORE = f"SELECT *, CASE WHEN status = 'failed' OR extraction = 0 THEN 0 ELSE 3 * coverage + 3 * endpoint + 2 * extraction + 2 * price END::BIGINT AS score FROM ({_INPUTS}) i"
+_ANOM = f"""SELECT run_id, score, CASE WHEN a = '' AND score < 400 THEN 'unhealthy:critical' ELSE a END AS anomalies FROM (SELECT run_id, score, concat_ws(',', CASE WHEN coverage < 50 THEN 'catalog_drop:critical' WHEN coverage < 70 THEN 'catalog_drop:warning' END,
+  CASE WHEN endpoint < 30 THEN 'endpoint_failure:critical' WHEN endpoint < 50 THEN 'endpoint_failure:warning' END, CASE WHEN extraction < 50 THEN 'extraction_drop:warning' END, CASE WHEN price < 70 THEN 'price_missing:warning' END) AS a FROM ({_SCORE}) s) x"""
+
+
+def _scored(runs, counts) -> DataFrame:
+    return health.health_score(health.health_inputs(runs, counts))
+
+
+@query("crawl_runs run_counts", _INPUTS)
+def hlt01_health_inputs(runs, counts):
+    return health.health_inputs(runs, counts)
+
+
+@query("crawl_runs run_counts", _SCORE)
+def hlt02_health_score(runs, counts):
+    return _scored(runs, counts)
+
+
+@query("crawl_runs run_counts", _ANOM)
+def hlt03_health_anomalies(runs, counts):
+    return health.health_anomalies(_scored(runs, counts))
+
+
+@query("crawl_runs run_counts", f"""SELECT retailer_id, max(CASE WHEN rn = 1 THEN score END) AS newest, CASE WHEN count(*) = 3 AND max(score) < 400 THEN 'rediscover' WHEN max(CASE WHEN rn = 1 THEN score END) BETWEEN 400 AND 699 THEN 'repair' ELSE 'none' END AS action
+  FROM (SELECT *, row_number() OVER (PARTITION BY retailer_id ORDER BY started_at DESC, run_id DESC) AS rn FROM ({_SCORE}) s) x WHERE rn <= 3 GROUP BY 1""")
+def hlt04_escalate(runs, counts):
+    return health.escalate(_scored(runs, counts))
+
+
+@query("crawl_runs run_counts retailers", f"""SELECT retailer_id, score, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(domain, ''), lambda c: ascii(c)::BIGINT)), lambda a, x: (a * 31 + x) % 4294967296) % 3600 AS delay_s
+  FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY retailer_id ORDER BY started_at DESC, run_id DESC) AS rn FROM ({_SCORE}) s) x WHERE rn = 1 AND score < 500) y JOIN {{retailers}} USING (retailer_id)""")
+def hlt05_rediscovery_candidates(runs, counts, retailers):
+    return health.rediscovery_candidates(_scored(runs, counts), retailers)
+
+
+@query("crawl_runs run_counts", f"""SELECT run_id, concat_ws(',', CASE WHEN contains(anomalies, 'endpoint_failure') THEN 'header_refresh,endpoint_swap' END, CASE WHEN contains(anomalies, 'catalog_drop') THEN 'pagination_fix' END,
+  CASE WHEN contains(anomalies, 'extraction_drop') OR contains(anomalies, 'price_missing') THEN 'field_remap' END) AS plan FROM ({_ANOM}) a""")
+def hlt06_repair_plan(runs, counts):
+    return health.repair_plan(health.health_anomalies(_scored(runs, counts)))
+
+
+@query("crawl_runs", "SELECT retailer_id, count(*) = 2 AND count(CASE WHEN status = 'failed' THEN 1 END) = 2 AS exhausted FROM (SELECT *, row_number() OVER (PARTITION BY retailer_id ORDER BY started_at DESC, run_id DESC) AS rn FROM {crawl_runs}) x WHERE rn <= 2 GROUP BY 1")
+def hlt07_repair_exhausted(runs):
+    return health.repair_exhausted(runs)
+
+
+_HISTORY = "SELECT retailer_id, row_number() OVER (PARTITION BY retailer_id ORDER BY run_id)::INT AS version, run_id FROM {crawl_runs} WHERE status = 'completed'"
+
+
+def _history(runs) -> DataFrame:
+    from martlens.functions.latest import ranked
+
+    return runs.filter("status = 'completed'").select("retailer_id", ranked(["retailer_id"], F.col("run_id")).alias("version"), "run_id")
+
+
+@query("crawl_runs", f"""WITH h AS ({_HISTORY}), l AS (SELECT retailer_id, max(version) AS last FROM h GROUP BY 1) SELECT * FROM h UNION ALL
+  SELECT retailer_id, (coalesce(last, 0) + row_number() OVER (PARTITION BY retailer_id ORDER BY run_id))::INT, run_id FROM {{crawl_runs}} LEFT JOIN l USING (retailer_id) WHERE status = 'running'""")
+def rec01_append_versions(runs):
+    return health.append_versions(_history(runs), runs.filter("status = 'running'").select("retailer_id", "run_id"))
+
+
+@query("crawl_runs", f"WITH h AS ({_HISTORY}) SELECT * FROM h UNION ALL SELECT retailer_id, last + 1, run_id FROM h JOIN (SELECT retailer_id, max(version) AS last FROM h GROUP BY 1) l USING (retailer_id) WHERE version = 1")
+def rec02_rollback_version(runs):
+    return health.rollback_version(_history(runs))
+
+
+@query("retailers crawl_runs", f"WITH h AS ({_HISTORY}) SELECT retailer_id, 1 AS version FROM {{retailers}} WHERE retailer_id NOT IN (SELECT retailer_id FROM h)")
+def rec03_backfill_versions(retailers, runs):
+    return retailers.join(_history(runs), "retailer_id", "left_anti").select("retailer_id", F.lit(1).alias("version"))
+
+
+@query("crawl_runs", f"SELECT retailer_id, max(version) AS version, arg_max(run_id, version) AS run_id FROM ({_HISTORY}) h GROUP BY 1")
+def rec04_active_recipe(runs):
+    return health.active_recipe(_history(runs))
+
+
+@query("crawl_runs", f"SELECT *, row_number() OVER (PARTITION BY retailer_id ORDER BY version DESC)::INT AS place FROM ({_HISTORY}) h QUALIFY place <= 10")
+def rec04_recent_versions(runs):
+    return health.recent_versions(_history(runs))
+
+
+@query("crawl_runs run_counts", f"""SELECT run_id, current, candidate, candidate > 0 AND ((current < 700 AND candidate >= 700) OR candidate - current > 50) AS promote
+  FROM (SELECT run_id, score AS candidate, lag(score) OVER (PARTITION BY retailer_id ORDER BY started_at, run_id) AS current FROM ({_SCORE}) s) x WHERE current IS NOT NULL""")
+def rec05_promotion_guard(runs, counts):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("retailer_id").orderBy("started_at", "run_id")
+    pairs = _scored(runs, counts).select("run_id", F.col("score").alias("candidate"), F.lag("score").over(w).alias("current")).filter("current is not null")
+    return health.promotion_guard(pairs)
+
+
+_SHAPE = """'*' || array_to_string(list_transform(string_split(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/'), lambda s: CASE WHEN regexp_matches(s, '^[0-9]+$') THEN '{{n}}'
+  WHEN regexp_matches(s, '^[0-9a-f]{{8}}-[0-9a-f-]{{27}}$') THEN '{{uuid}}' WHEN regexp_matches(s, '[0-9]') AND regexp_matches(s, '^[A-Za-z0-9_-]{{12,}}$') THEN '{{id}}' ELSE s END), '/')"""
+ORACLE_SQL["end01_url_shape"] = f"SELECT page_id, {_SHAPE.replace('{{', '{').replace('}}', '}')} AS shape FROM pages"
+
+
+@query("pages")
+def end01_url_shape(p):
+    return p.select("page_id", health.url_shape(F.col("url")).alias("shape"))
+
+
+@query("endpoints")
+def end02_endpoint_patterns(endpoints):
+    return health.endpoint_patterns(endpoints)
+
+
+ORACLE_SQL["end02_endpoint_patterns"] = with_views("SELECT platform, method, endpoint_type, shape, count(DISTINCT host) AS hosts, sum(reliability_pct - least(5 * failures, 40))::BIGINT AS total, count(*) AS n FROM (SELECT *, @SHAPE AS shape FROM {endpoints} WHERE failures <= 5 AND url <> '') x GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT host) >= 3").replace("@SHAPE", _SHAPE.replace("{{", "{").replace("}}", "}"))
+
+
+@query("endpoints", "SELECT host, place, page_id, reliability_pct FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY reliability_pct DESC, failures, page_id)::INT AS place FROM {endpoints}) x WHERE place <= 3")
+def end04_candidate_endpoints(endpoints):
+    return health.candidate_endpoints(endpoints)
+
+
+_OUTCOME = "CASE WHEN extracted = 0 THEN 'Failed' WHEN 2 * extracted >= discovered THEN 'Success' ELSE 'Partial Success' END"
+
+
+@query("run_counts", f"SELECT run_id, {_OUTCOME} AS outcome FROM {{run_counts}}")
+def ben01_classify_runs(counts):
+    return health.classify_runs(counts)
+
+
+@query("crawl_runs run_counts", """SELECT CASE WHEN status = 'failed' THEN 'run failed' WHEN fetched = 0 THEN 'nothing fetched' WHEN extracted = 0 THEN 'nothing extracted' WHEN 2 * errors >= discovered THEN 'many errors' ELSE 'none' END AS cause, count(*) AS runs, sum(errors)::BIGINT AS errors
+  FROM {crawl_runs} JOIN {run_counts} USING (run_id) GROUP BY 1""")
+def ben02_failure_causes(runs, counts):
+    return health.failure_causes(runs, counts)
+
+
+@query("crawl_runs run_counts", f"SELECT retailer_id, count(*) AS runs, count(CASE WHEN outcome = 'Success' THEN 1 END) AS success, count(CASE WHEN outcome = 'Failed' THEN 1 END) AS failed FROM (SELECT retailer_id, {_OUTCOME} AS outcome FROM {{crawl_runs}} JOIN {{run_counts}} USING (run_id)) x GROUP BY ROLLUP (retailer_id)")
+def ben03_success_rates(runs, counts):
+    return health.success_rates(runs, counts)
+
+
+@query("org_competitors", "SELECT DISTINCT org_id, retailer_id FROM {org_competitors}")
+def ten01_track_competitors(competitors):
+    return tenancy.track_competitors(competitors.filter("org_id % 2 = 0"), competitors)
+
+
+_USAGE = "SELECT org_id, plan, coalesce(tracked, 0) AS tracked, allowed, coalesce(tracked, 0) > allowed AS over FROM (SELECT *, CASE plan WHEN 'trial' THEN 3 WHEN 'starter' THEN 5 WHEN 'growth' THEN 20 ELSE 100 END::BIGINT AS allowed FROM {orgs}) o LEFT JOIN (SELECT org_id, count(*) AS tracked FROM {org_competitors} GROUP BY 1) c USING (org_id)"
+
+
+@query("orgs org_competitors", _USAGE.replace(" AS over ", ' AS "over" '))
+def ten02_plan_usage(orgs, competitors):
+    return tenancy.plan_usage(orgs, competitors)
+
+
+@query("orgs org_competitors", f"""SELECT org_id, retailer_id, CASE WHEN place <= allowed THEN 'ready' ELSE 'failed' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY retailer_id) AS place FROM {{org_competitors}}) c JOIN ({_USAGE.replace(' AS over ', ' AS "over" ')}) u USING (org_id)""")
+def ten05_settle_waiting(orgs, competitors):
+    return tenancy.settle_waiting(orgs, competitors)
+
+
+@query("listings retailers", "SELECT listing_id AS child_id, min(retailer_id) OVER (PARTITION BY retailer_id % 7) AS winner FROM {listings}")
+def ten06_merge_duplicate_retailers(listings, retailers):
+    names = retailers.select(F.col("retailer_id").alias("id"), (F.col("retailer_id") % 7).alias("key"))
+    return tenancy.merge_duplicates(listings.select(F.col("listing_id").alias("child_id"), (F.col("retailer_id") % 7).alias("key")), names)
+
+
+_HOST = "regexp_replace(lower(regexp_extract(url, '^(?:https?://)?([^/?#:]+)', 1)), '^www\\.', '')"
+
+
+@query("pages", f"SELECT page_id, {_HOST} AS domain, substr(regexp_replace(regexp_replace({_HOST}, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 64) AS retailer_key FROM {{pages}}")
+def url01_domains(p):
+    return pages.domains(p)
+
+
+@query("pages", "SELECT page_id, sha256(html) AS content_hash, row_number() OVER (PARTITION BY sha256(html) ORDER BY page_id) = 1 AS first FROM {pages}")
+def snk02_record_snapshots(p):
+    return pages.record_snapshots(p)
+
+
+@query("pages", "SELECT page_id, regexp_matches(lower(substr(html, 1, 4000)), 'captcha|access denied|verify you are human|just a moment') AS bot_wall, regexp_matches(lower(substr(html, 1, 8000)), 'store is closed|closed permanently|out of business') AS shutdown FROM {pages}")
+def ext15_flag_bot_walls(p):
+    return pages.flag_bot_walls(p)
+
+
+@query("pages", r"""SELECT * FROM (SELECT page_id, substr(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style|nav)[^>]*>.*?</(script|style|nav)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')), 1, 6000) AS text FROM {pages}) x WHERE length(text) >= 40""")
+def ext17_condense_page_text(p):
+    return pages.condense_text(p)
+
+
+_COUNT_IN = "len(regexp_extract_all(html, '{}'))"
+
+
+@query("pages", f"SELECT page_id, {_COUNT_IN.format('<a ')} AS links, {_COUNT_IN.format('<p>')} AS paragraphs, {_COUNT_IN.format('<li>')} AS items, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM {{pages}}")
+def ext20_page_profile(p):
+    return pages.page_profile(p)
+
+
+@query("pages", """SELECT page_id, count(DISTINCT link) AS links FROM (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host, unnest(regexp_extract_all(html, '<a href="([^"#]*)', 1)) AS link FROM {pages}) a
+  WHERE link <> '' AND (starts_with(link, '/') OR lower(regexp_extract(link, '^https?://([^/?#:]+)', 1)) = host) GROUP BY 1""")
+def ext21_same_host_links(p):
+    return pages.same_host_links(p)
+
+
+_PATH = "regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)"
+_UScore = f"(least(len(list_filter(string_split({_PATH}, '/'), lambda s: s <> '')), 10) + CASE WHEN contains({_PATH}, '/cat/') THEN 50 ELSE 0 END + CASE WHEN regexp_matches({_PATH}, '\\.html$') THEN 8 ELSE 0 END)::INT"
+
+
+@query("pages", f"SELECT page_id, {_UScore} AS score FROM {{pages}}")
+def url06_product_url_score(p):
+    return p.select("page_id", pages.product_url_score(F.col("url")).alias("score"))
+
+
+@query("pages", f"""WITH r AS (SELECT page_id, {_HOST} AS site, CASE WHEN regexp_extract({_PATH}, '([0-9]{{6,}})/?$', 1) <> '' THEN regexp_extract({_PATH}, '([0-9]{{6,}})/?$', 1) ELSE regexp_extract({_PATH}, '([^/]*)/?$', 1) END AS product, {_UScore} AS score FROM {{pages}}),
+  b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY site, product ORDER BY score DESC, page_id) = 1), c AS (SELECT *, count(*) OVER (PARTITION BY site) AS n, row_number() OVER (PARTITION BY site ORDER BY score DESC, page_id)::INT AS place FROM b)
+  SELECT site, place, page_id, product, score FROM c WHERE n >= 3 AND place <= 10""")
+def url07_best_url_per_product(p):
+    return pages.best_url_per_product(p)
+
+
+@query("pages", f"SELECT site, segment, count(*) AS n, sum(count(*)) OVER (PARTITION BY site)::BIGINT AS total, 2 * count(*) > sum(count(*)) OVER (PARTITION BY site) AS majority FROM (SELECT {_HOST} AS site, regexp_extract(url, '^https?://[^/?#]+/([^/?#]*)', 1) AS segment FROM {{pages}}) x GROUP BY 1, 2")
+def url09_product_segments(p):
+    return pages.product_segments(p)
+
+
+@query("retailers", "SELECT retailer_id, page, concat('https://', domain, '/list?page=', page) AS url FROM (SELECT *, unnest(range(1, 4))::INT AS page FROM {retailers}) x")
+def url14_expand_pagination(retailers):
+    return pages.expand_pagination(retailers)
+
+
+@query("captures", "SELECT session, cookie, event_id, k FROM (SELECT *, row_number() OVER (PARTITION BY session, cookie ORDER BY ts, event_id) AS rn FROM {captures}) x WHERE rn = 1")
+def url20_dedupe_captures(captures):
+    return pages.dedupe_captures(captures)
+
+
+@query("captures", "SELECT r.event_id, count(s.event_id) AS setters FROM {captures} r LEFT JOIN {captures} s ON s.session = r.session AND s.cookie = r.cookie AND s.k % 2 = 0 AND (s.ts < r.ts OR s.ts = r.ts AND s.event_id <= r.event_id) GROUP BY 1")
+def url21_capture_dependencies(captures):
+    return pages.capture_dependencies(captures)
+
+
+@query("captures", "SELECT session, place, event_id, k FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY k DESC, event_id)::INT AS place FROM {captures} WHERE k >= 40) x WHERE place <= 5")
+def url22_rank_captures(captures):
+    return pages.rank_captures(captures)
+
+
+@query("part", "SELECT p_partkey AS page_id, p_name AS title, p_brand AS brand, p_partkey::VARCHAR AS sku, p_retailprice AS price, CASE WHEN p_partkey % 2 = 0 THEN 'USD' ELSE 'CAD' END AS currency, CASE WHEN p_partkey % 3 = 0 THEN 'out_of_stock' ELSE 'in_stock' END AS availability FROM {part}")
+def ext01_extract_jsonld_products(part):
+    return pages.extract_jsonld_products(pages.jsonld_pages(part))
+
+
+@query("part", "SELECT p_partkey // 24 AS page, p_partkey AS id, p_name AS title, p_brand AS vendor, p_retailprice AS price FROM {part}")
+def src06_crawl_api_records(part):
+    return pages.crawl_api_records(pages.api_pages(part))
+
+
+@query("pages", f"SELECT {_HOST} AS site, replace(url, '&', '&amp;') AS url FROM {{pages}}")
+def src02_sitemap_urls(p):
+    body = F.concat(F.lit("<urlset>"), F.array_join(F.transform(F.collect_list("url"), lambda u: F.concat(F.lit("<url><loc> "), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))), ""), F.lit("</urlset>"))
+    return pages.sitemap_urls(p.groupBy(pages.normalize_domain(F.col("url")).alias("site")).agg(body.alias("body")))
+
+
+@query("retailers", "SELECT retailer_id AS site, concat('https://', domain, '/sitemap.xml') AS sitemap FROM {retailers}")
+def src04_robots_sitemaps(retailers):
+    body = F.concat(F.lit("User-agent: *\nDisallow: /x\nSITEMAP:  https://"), "domain", F.lit("/sitemap.xml \n"))
+    return pages.robots_sitemaps(retailers.select(F.col("retailer_id").alias("site"), body.alias("body")))
+
+
+@query("listings", "SELECT listing_id, concat(url, '?aff=t1') AS link FROM {listings}")
+def snk05_outbound_links(listings):
+    return pages.outbound_links(listings, "t1")
+
+
+@query("products listings", "SELECT product_id, strftime(max(last_seen), '%Y-%m-%d') AS lastmod, 'daily' AS changefreq, concat('/p/', product_id) AS loc FROM {listings} GROUP BY product_id ORDER BY max(last_seen) DESC, product_id LIMIT 5000")
+def snk03_sitemap_feed(products, listings):
+    newest = listings.groupBy("product_id").agg(F.max("last_seen").alias("t")).orderBy(F.col("t").desc(), "product_id").limit(5000)
+    return newest.select("product_id", F.date_format("t", "yyyy-MM-dd").alias("lastmod"), F.lit("daily").alias("changefreq"), F.concat(F.lit("/p/"), F.col("product_id").cast("string")).alias("loc"))
+
+
+@query("stock_obs", "SELECT o, n, listing_id, availability AS mapped FROM {stock_obs}")
+def ext03_map_availability(stock_obs):
+    text = F.when(F.col("availability") == "out_of_stock", "Sold Out").when(F.col("availability") == "preorder", "https://schema.org/PreOrder").otherwise("In-Stock now")
+    return stock_obs.select("o", "n", "listing_id", ingest.map_availability(text).alias("mapped"))
+
+
+@query("part", "SELECT p_partkey AS page_id, concat_ws(',', CASE WHEN p_partkey % 11 = 0 THEN 'title' END, CASE WHEN p_partkey % 7 = 0 THEN 'url' END, CASE WHEN p_partkey % 5 = 0 THEN 'price' END) AS wrong FROM {part}")
+def ext08_validate_products(part):
+    title, url = F.when(F.col("p_partkey") % 11 != 0, F.col("p_name")), F.when(F.col("p_partkey") % 7 == 0, "not a url").otherwise("https://a.example.com/p")
+    price = F.when(F.col("p_partkey") % 5 == 0, -1.0).otherwise(F.col("p_retailprice"))
+    return ingest.validate_products(part.select(F.col("p_partkey").alias("page_id"), title.alias("title"), url.alias("url"), price.alias("price"))).select("page_id", "wrong")
+
+
+@query("price_obs", "SELECT listing_id, o, n, amount FROM (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY ts, o, n) AS rn FROM {price_obs}) x WHERE rn = 1")
+def ext13_dedupe_crawl_products(price_obs):
+    return ingest.dedupe_first(price_obs, ["listing_id"], ["ts", "o", "n"]).select("listing_id", "o", "n", "amount")

@@ -1,0 +1,14 @@
+"""Session settings that the jobs assume."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def session(name: str = "martlens", master: str | None = None, **conf: str) -> SparkSession:
+    builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    if master:
+        builder = builder.master(master)
+    for k, v in conf.items():
+        builder = builder.config(k.replace("_", "."), v)
+    return builder.getOrCreate()
