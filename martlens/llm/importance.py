@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martlens.llm.bytewords import LOWER, SPACE, mix, runs, span_hashes
-from martlens.llm.common import blocks, pinned
+from martlens.llm.common import blocks, map_texts, pinned
 
 _U = np.uint64
 #: Letters and digits; what is neither these nor white space is punctuation.
@@ -68,7 +68,7 @@ def fit(docs: DataFrame, good: DataFrame, buckets: int, prior: float) -> np.ndar
 
     marked = docs.join(F.broadcast(good.select(F.col("doc_id").alias("good_id")).distinct()), F.col("doc_id").cast("long") == F.col("good_id"), "left")
     marked = marked.select(F.col("good_id").isNotNull().alias("target"), "text")
-    table = marked.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    table = map_texts(marked, count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.zeros(buckets), np.zeros(buckets)
     if table.num_rows:  # at most one row for each bucket
         raw[table.column("bucket").to_numpy()], target[table.column("bucket").to_numpy()] = table.column("raw").to_numpy(), table.column("target").to_numpy()
@@ -92,7 +92,7 @@ def score(docs: DataFrame, ratio: np.ndarray, seed: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns, pa.array(sums.astype(np.float64)), pa.array(counts.astype(np.int64))], names)
 
     noise = -F.log(-F.log((_draw("gumbel", seed) + 0.5) / F.lit(float(1 << 52))))
-    return docs.mapInArrow(run, schema).withColumn("gumbel_key", F.col("log_weight") + noise)
+    return map_texts(docs, run, schema).withColumn("gumbel_key", F.col("log_weight") + noise)
 
 
 def _draw(what: str, seed: int) -> Column:

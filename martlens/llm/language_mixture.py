@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from martlens.llm.common import map_texts
+
 BUCKETS = 1 << 15
 #: The learned table has at most this many languages, so that it can be sent to every worker (BUCKETS doubles each).
 MOST_LANGUAGES = 500
@@ -70,7 +72,7 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(c[at])], ["lang", "bucket", "n"])
 
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("text", F.col("lang").cast("string"))
-    table = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    table = map_texts(rows, count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = table.groupBy("lang").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).toArrow()
     if table.num_rows > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} values of lang")
@@ -142,7 +144,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: floa
             kinds = [pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "lang_pred", "score", "languages", "shares"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(predict, PREDICTED)
+    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), predict, PREDICTED)
 
 
 def in_one_language(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.5, penalty: float = 2.0, rounds: int = 20) -> DataFrame:
@@ -155,4 +157,4 @@ def in_one_language(docs: DataFrame, model: tuple[list[str], np.ndarray], least:
             keep = [c is not None and bool(mixture(c, sent.value, penalty, rounds)[1][0] >= least) for c in found]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)

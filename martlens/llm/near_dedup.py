@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martlens.llm.bytewords import mix, shingles, words
-from martlens.llm.common import blocks, pinned
+from martlens.llm.common import blocks, map_texts, pinned
 
 _U = np.uint64
 SKETCH = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, odd array<long>"
@@ -78,7 +78,7 @@ def sketch(docs: DataFrame, size: int, bands: int, width: int, seed: int) -> Dat
                     ["doc_id", "n_shingles", "s1", "s2", "bands", "odd"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SKETCH)
+    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), run, SKETCH)
 
 
 def marks(rows: DataFrame, ids: DataFrame, bits: int = 1 << 24) -> DataFrame:
@@ -119,7 +119,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     # Only the texts that the joins need are shuffled, and the few others that share a bit with one.
     texts = marks(docs.select(F.col("doc_id").cast("long"), "text"), needed).filter("marked").select("doc_id", "text")
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    return with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    with_both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    return map_texts(with_both, run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from martlens.llm.common import pinned
+from martlens.llm.common import map_texts, pinned
 from martlens.llm.tokens import Encoder, default_path
 
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -51,7 +51,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, closing_id: int)
                 uid += len(rows)
                 yield pa.RecordBatch.from_arrays([uids, ids_of.take(row), k.cast(pa.int32()), start, length, crc], ["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
+    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), cut, PIECES)
 
 
 def _read_all(batches: Iterator[pa.RecordBatch], n: int) -> list[np.ndarray]:
