@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlens.operators import catalog, health, ingest, matching, pages, signals, tenancy
+from martlens.operators import catalog, health, ingest, matching, pages, signals, sites, tenancy
 from martlens.sources.tables import AS_OF, EVENTS_AS_OF, load, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -624,3 +624,67 @@ def ext08_validate_products(part):
 @query("price_obs", "SELECT listing_id, o, n, amount FROM (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY ts, o, n) AS rn FROM {price_obs}) x WHERE rn = 1")
 def ext13_dedupe_crawl_products(price_obs):
     return ingest.dedupe_first(price_obs, ["listing_id"], ["ts", "o", "n"]).select("listing_id", "o", "n", "amount")
+
+
+_SEGMENT = "regexp_extract(url, '^https?://[^/?#]+/([^/?#]*)', 1)"
+
+
+@query("pages", f"""WITH u AS (SELECT {_HOST} AS site, {_SEGMENT} AS sitemap, page_id AS url_id FROM {{pages}}), r AS (SELECT *, dense_rank() OVER (PARTITION BY site ORDER BY sitemap) AS rk, row_number() OVER (PARTITION BY site, sitemap ORDER BY url_id) AS rn FROM u),
+  m AS (SELECT *, max(rk) OVER (PARTITION BY site) AS maps FROM r WHERE rk <= 20), q AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY rk, rn) - 1 AS i, count(*) OVER (PARTITION BY site) AS n FROM m WHERE rn <= greatest(20, ceil(400 / maps)))
+  SELECT site, sitemap, url_id FROM q WHERE n <= 30 OR list_contains(list_transform(range(30), lambda k: k * n // 30), i)""")
+def url05_sample_corpus(p):
+    return sites.sample_corpus(p.select(pages.normalize_domain(F.col("url")).alias("site"), F.regexp_extract("url", r"^https?://[^/?#]+/([^/?#]*)", 1).alias("sitemap"), F.col("page_id").alias("url_id")))
+
+
+@query("pages", f"SELECT {_HOST} AS site, count(*) AS sampled, count(CASE WHEN contains(html, '<li>') THEN 1 END) AS confirmed, count(CASE WHEN contains(html, '<li>') THEN 1 END) / count(*) AS confidence FROM {{pages}} GROUP BY 1")
+def url10_discovery_confidence(p):
+    return sites.discovery_confidence(p.withColumn("site", pages.normalize_domain(F.col("url"))), F.col("html").contains("<li>"))
+
+
+@query("pages", f"""WITH h AS (SELECT {_HOST} AS listing, page_id AS page, sha256(html) AS x FROM {{pages}})
+  SELECT listing, page FROM h WHERE NOT EXISTS (SELECT 1 FROM h a JOIN h b ON a.listing = b.listing AND a.x = b.x AND b.page < a.page WHERE a.listing = h.listing AND a.page <= h.page)""")
+def url15_duplicate_listing_pages(p):
+    return sites.before_first_repeat(p.select(pages.normalize_domain(F.col("url")).alias("listing"), F.col("page_id").alias("page"), F.col("html").alias("body")))
+
+
+@query("endpoints", "SELECT page_id, CASE WHEN platform <> 'p0' AND (reliability_pct - 10 * failures) / 100 >= 0.5 THEN 'platform_pack' WHEN endpoint_type = 'search' THEN 'network_sniff' ELSE 'sitemap' END AS strategy FROM {endpoints}")
+def url18_route_strategy(endpoints):
+    confidence = (F.col("reliability_pct") - 10 * F.col("failures")) / 100
+    return endpoints.select("page_id", sites.route_strategy(confidence, F.col("platform") != "p0", F.col("endpoint_type") == "search").alias("strategy"))
+
+
+@query("captures", "SELECT event_id, '***' AS cookie, concat('k', k) AS accept, CASE WHEN k % 2 = 0 THEN 2 ELSE 3 END AS replayed FROM {captures}")
+def url24_redact_headers(captures):
+    second = F.when(F.col("k") % 2 == 0, "Authorization").otherwise("X-Trace")
+    headers = F.create_map(F.lit("Cookie"), F.col("cookie"), second, F.col("session").cast("string"), F.lit("accept"), F.concat(F.lit("k"), F.col("k").cast("string")))
+    shown = sites.masked_headers(headers)
+    return captures.select("event_id", shown["Cookie"].alias("cookie"), shown["accept"].alias("accept"), F.size(sites.replay_headers(headers)).alias("replayed"))
+
+
+@query("retailers", "SELECT retailer_id, CASE WHEN retailer_id % 10 = 0 THEN concat('https://store', retailer_id, '.example.com') ELSE concat('https://', domain) END AS origin FROM {retailers}")
+def url03_store_aliases(retailers):
+    aliases = retailers.filter("retailer_id % 10 = 0").select(F.col("domain").alias("alias"), F.concat(F.lit("https://store"), F.col("retailer_id").cast("string"), F.lit(".example.com")).alias("origin"))
+    return sites.store_origins(retailers, aliases)
+
+
+@query("run_counts", "SELECT run_id, (discovered - priced) / discovered AS unpriced, (discovered - priced) / discovered > 0.5 AS warn FROM {run_counts}")
+def ext19_extraction_quality(counts):
+    return sites.extraction_quality(counts)
+
+
+@query("retailers listings", "SELECT retailer_id, count(listing_id) AS products, count(listing_id) > 0 AS active FROM {retailers} LEFT JOIN (SELECT * FROM {listings} WHERE active AND retailer_id % 4 <> 0) l USING (retailer_id) GROUP BY 1")
+def ing09_listing_page_liveness(retailers, listings):
+    return sites.listing_liveness(retailers, listings.filter("active AND retailer_id % 4 <> 0"))
+
+
+@query("org_competitors crawl_runs", """SELECT org_id, c.retailer_id, c.retailer_id % 2 = 0 AS active, run_id, status FROM {org_competitors} c LEFT JOIN
+  (SELECT * FROM {crawl_runs} QUALIFY row_number() OVER (PARTITION BY retailer_id ORDER BY started_at DESC, run_id DESC) = 1) r ON r.retailer_id = c.retailer_id AND c.retailer_id % 2 = 0""")
+def ten03_onboarding_status(competitors, runs):
+    return sites.onboarding_status(competitors.withColumn("active", F.col("retailer_id") % 2 == 0), runs)
+
+
+@query("org_competitors retailers", """WITH d AS (SELECT org_id, domain FROM {org_competitors} JOIN {retailers} USING (retailer_id))
+  SELECT org_id, domain FROM d WHERE EXISTS (SELECT 1 FROM d o WHERE o.domain = d.domain AND o.org_id <> d.org_id AND o.org_id % 5 = 0)""")
+def ten04_inflight_domains(competitors, retailers):
+    rows = competitors.join(retailers, "retailer_id").select("org_id", "domain")
+    return sites.inflight_elsewhere(rows, rows.filter("org_id % 5 = 0"))
