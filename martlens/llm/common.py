@@ -35,14 +35,15 @@ def pinned(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_texts(df: DataFrame, function: Callable, schema, rows: int = 2048) -> DataFrame:
-    """``df.mapInArrow`` for rows with whole texts: the session's Arrow batches are lowered to ``rows`` rows, the rows of a block.
+def map_texts(df: DataFrame, function: Callable, schema, rows: int = 2048, megabytes: int = 4) -> DataFrame:
+    """``df.mapInArrow`` for rows with whole texts: the session's Arrow batches are lowered to ``rows`` rows, the rows of a block, and ``megabytes``.
 
     Spark's own 10,000 rows with texts take tens of megabytes in the executor and again in its Python worker.
     """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= rows:
         conf.set(name, str(rows))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
     return df.mapInArrow(function, schema)
 
 
@@ -58,7 +59,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, bounds.astype(np.int64)
 
 
-def blocks(column: pa.Array, limit: int = 1 << 20, rows: int = 2048) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, limit: int = 1 << 18, rows: int = 2048) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, bounds) of runs of at most ``rows`` whole rows with about ``limit`` bytes, so that arrays stay small."""
     data, bounds = text_bytes(column)
     row, n = 0, len(bounds) - 1

@@ -8,6 +8,7 @@ isn't plain (controls, anything beyond Latin letters, a special token's opening)
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -45,11 +46,13 @@ class Encoder:
     """Unsigned 32-bit ids of texts. At most ``most`` chunks are kept, then the table starts anew."""
 
     _made: dict[tuple[str, bool], Encoder] = {}
-    SLOTS = 1 << 21
+    SLOTS = 1 << 20
+    _SHIFT = np.uint64(64 - 20)
 
-    def __init__(self, path: str, plain: bool = False, most: int = 1_000_000):
+    def __init__(self, path: str, plain: bool = False, most: int = 500_000):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; every further thread would keep memory of its own
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -71,8 +74,16 @@ class Encoder:
             cls._made[path, plain] = cls(path, plain)
         return cls._made[path, plain]
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str], limit: int = 1 << 16) -> list[bytes]:
+        """Ids of whole texts, about ``limit`` characters at a time: an encoding takes over a hundred bytes for each token."""
+        out, part, size = [], [], 0
+        for k, text in enumerate(texts):
+            part.append(text)
+            size += len(text)
+            if size >= limit or k == len(texts) - 1:
+                out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                part, size = [], 0
+        return out
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of pre-tokens, many at a time: each ends with the only token that closes a word."""
@@ -101,7 +112,7 @@ class Encoder:
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """Entry of each hash, or -1."""
-        slot = (hashes >> np.uint64(43)).astype(np.int64)
+        slot = (hashes >> self._SHIFT).astype(np.int64)
         found = np.where(self.keys[slot] == hashes, self.at[slot], -1)
         left = np.flatnonzero((found < 0) & (self.keys[slot] != 0))
         while len(left):
@@ -125,7 +136,7 @@ class Encoder:
         new = np.arange(self.entries, self.entries + n)
         self.starts[new], self.sizes[new] = self.filled + np.cumsum(sizes) - sizes, sizes
         self.filled, self.entries = end, self.entries + n
-        slot, left = (hashes >> np.uint64(43)).astype(np.int64), np.arange(n)
+        slot, left = (hashes >> self._SHIFT).astype(np.int64), np.arange(n)
         while len(left):
             empty = left[self.keys[slot[left]] == 0]
             self.keys[slot[empty]] = hashes[empty]
