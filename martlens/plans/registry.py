@@ -688,3 +688,20 @@ def ten03_onboarding_status(competitors, runs):
 def ten04_inflight_domains(competitors, retailers):
     rows = competitors.join(retailers, "retailer_id").select("org_id", "domain")
     return sites.inflight_elsewhere(rows, rows.filter("org_id % 5 = 0"))
+
+
+_SITE_MAPS = "concat(split_part(url, '?', 1), CASE page_id % 4 WHEN 0 THEN '/Products.xml' WHEN 1 THEN '/category-2.xml' WHEN 2 THEN '/search' ELSE '/graphql' END)"
+
+
+@query("endpoints", f"""SELECT *, row_number() OVER (PARTITION BY site ORDER BY kind, sitemap_id) AS place FROM (SELECT host AS site, page_id AS sitemap_id,
+  CASE WHEN regexp_matches(u, '{sites.PRODUCT_MAP}') THEN 0 WHEN regexp_matches(u, '{sites.OTHER_MAP}') THEN 2 ELSE 1 END AS kind,
+  CASE WHEN regexp_matches(u, '{sites.PRODUCT_CHILD}') THEN 3 WHEN regexp_matches(u, '{sites.OTHER_CHILD}') THEN 0 ELSE 1 END AS child_score
+  FROM (SELECT host, page_id, lower({_SITE_MAPS}) AS u FROM {{endpoints}}) a) b""")
+def url04_score_sitemaps(endpoints):
+    return sites.score_sitemaps(endpoints.select(F.col("host").alias("site"), F.col("page_id").alias("sitemap_id"), F.expr(_SITE_MAPS).alias("url")))
+
+
+@query("endpoints", f"""SELECT page_id, CASE WHEN regexp_matches(u, '(?i)/graphql') THEN 'graphql' WHEN regexp_matches(u, '(?i)/search\\b') THEN 'search' ELSE 'catalog' END AS endpoint_type
+  FROM (SELECT page_id, {_SITE_MAPS} AS u FROM {{endpoints}}) a""")
+def url26_endpoint_type(endpoints):
+    return endpoints.select("page_id", sites.endpoint_type(F.expr(_SITE_MAPS)).alias("endpoint_type"))
