@@ -194,24 +194,23 @@ def near_duplicates(
     many = many.select("bucket", "rep", "n")
     if many.limit(1).count():
         many = pinned(many.join(sets.select("rep", "odd"), "rep"), "many")
-        wave, waves = 0, 1
-        while wave < waves:
-            named = many.join(found.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-            open_ = pinned(_unresolved(named), "open")
-            if wave == 0:
-                sizes = open_.groupBy("bucket").agg(F.count("*").alias("m"), F.count(F.when(F.col("component") != F.col("main"), 1)).alias("stray"))
-                waves = -(-(sizes.agg(F.sum(F.col("m") * F.col("stray"))).first()[0] or 0) // wave_pairs)
-                if not waves:
-                    break
+        # Which rows are outside their bucket's main component is fixed before the first wave: were it told anew in each, a change of
+        # the main component would leave pairs out, one side of which was main when it was due and is due no more.
+        found_now = lambda rows: rows.join(found.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        fixed = _unresolved(found_now(many)).withColumn("outside", F.col("component") != F.col("main")).drop("component", "main")
+        fixed = pinned(fixed, "outside")
+        sizes = fixed.groupBy("bucket").agg(F.count("*").alias("m"), F.count(F.when(F.col("outside"), 1)).alias("stray"))
+        waves = -(-(sizes.agg(F.sum(F.col("m") * F.col("stray"))).first()[0] or 0) // wave_pairs)
+        for wave in range(waves):
+            open_ = pinned(_unresolved(found_now(fixed)), "open")
             turn = F.pmod(F.xxhash64("rep"), F.lit(waves)) == wave
-            stray = open_.filter((F.col("component") != F.col("main")) & turn).select("bucket", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("odd").alias("oddx"), F.col("component").alias("cx"))
+            stray = open_.filter(F.col("outside") & turn).select("bucket", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("odd").alias("oddx"), F.col("component").alias("cx"))
             more = stray.join(open_, (stray["bucket"] == open_["bucket"]) & (F.col("cx") != F.col("component")) & possible("nx", "oddx", "n", "odd", percent))
             more = more.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
             fresh = pinned(confirm(pinned(more, "pairs"), docs, shingle_size, percent), "links")
             if fresh.limit(1).count():
                 links = links.union(fresh)
                 found = components(links)
-            wave += 1
 
     vertex = sets.select("s1", "s2", F.col("rep")).join(found.withColumnRenamed("v", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n_shingles", "s1", "s2").join(vertex, ["s1", "s2"], "left")

@@ -75,6 +75,30 @@ def test_near_duplicates_chain_and_large_group(spark):
     assert got == dict(enumerate(brute_components(list(range(80)), brute_sets(texts, 4))))
 
 
+def test_near_duplicates_main_component_changes(spark):
+    """A bucket whose main component changes after the first wave: the only link of the first main one is due to one of its rows then."""
+    scale, shift = np.random.default_rng(7).integers(0, 1 << 63, (2, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+    vocabulary = [f"w{i}" for i in range(300)]
+    bounds = np.cumsum([0, *map(len, vocabulary)])
+    hashes, _ = near_dedup.shingles(*near_dedup.words(np.frombuffer("".join(vocabulary).encode(), np.uint8), bounds), 1)
+    order = [vocabulary[i] for i in np.argsort(hashes * scale[0] + shift[0])]
+    ends, line = [order[0], order[-1]], order[1:-1]  # with both ends, all sets are in the one bucket
+    turn = {r.id: r.t for r in spark.range(2000).select("id", F.expr("pmod(xxhash64(id), 2)").alias("t")).collect()}
+    first = iter([i for i in range(1, 1000) if turn[i] == 0])
+    second = iter([i for i in range(1000, 2000) if turn[i] == 1])
+    text = lambda at, own=None: " ".join(ends + line[at : at + 60] + ([line[200 + own]] if own is not None else []))
+    texts = {0: text(0), next(first): text(5), next(second): text(10)}
+    texts |= {next(first): text(0, k) for k in range(10)}
+    texts |= {next(first if k % 2 else second): text(15, 20 + k) for k in range(40)}
+    ids = sorted(texts)
+    want = dict(zip(ids, brute_components(ids, brute_sets([texts[i] for i in ids], 1)), strict=True))
+    assert set(want.values()) == {0}
+    df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    # 53 sets, 41 of them outside the main component: two waves.
+    found = near_dedup.near_duplicates(df, 1, bands=1, width=2, small=4, wave_pairs=53 * 41 // 2 + 1)
+    assert {r.doc_id: r.component_id for r in found.collect()} == want
+
+
 def test_odd_width_is_refused(spark, odd):
     with pytest.raises(ValueError):
         near_dedup.near_duplicates(odd, width=3)
