@@ -5,6 +5,10 @@ its paragraphs' nodes, the root (the fingerprint) that of the sections' nodes. E
 differing sections and then differing paragraphs of these locate the edit. Likeness is Dice's coefficient of the distinct
 sentences beneath the paragraphs, so that one edited sentence doesn't hide a paragraph.
 
+``difference_study`` has the sentences as leaves of the tree: a paragraph's node is the SHA-256 of its sentences' nodes, with marks and
+white space, so that equal roots mean equal texts. Likeness there is Dice's coefficient of all nodes of two trees, repeats counted,
+and is 1 for equal texts only, as another order has other paragraphs, sections or roots.
+
 Cases: a null text is empty, and an empty text has one empty paragraph. Repeated rows and rows with a null doc_id (they come
 first) are kept; rows that share a doc_id follow each other by length and hash. An empty table gives an empty result. Other
 columns of the input aren't read.
@@ -12,6 +16,8 @@ columns of the input aren't read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,13 +63,43 @@ def fingerprints(docs: DataFrame, fan: int = 8) -> DataFrame:
 
 def changed_paragraphs(a: Column, b: Column, fan: int = 8) -> Column:
     """Numbers (from 0) of the paragraphs in which two arrays of paragraph nodes differ, found section by section."""
-    sa, sb = section_nodes(a, fan), section_nodes(b, fan)
-    n = F.greatest(F.size(sa), F.size(sb))
-    differing = F.filter(F.sequence(F.lit(0), n - 1), lambda k: ~F.coalesce(F.try_element_at(sa, k + 1) == F.try_element_at(sb, k + 1), F.lit(False)))
+    unlike = F.zip_with(section_nodes(a, fan), section_nodes(b, fan), lambda x, y: ~x.eqNullSafe(y))
+    differing = F.filter(F.transform(unlike, lambda d, k: F.when(d, k)), lambda k: k.isNotNull())
     within = F.flatten(F.transform(differing, lambda k: F.sequence(k * fan, k * fan + fan - 1)))
     return F.filter(within, lambda p: ~F.try_element_at(a, p + 1).eqNullSafe(F.try_element_at(b, p + 1)))
 
 
+#: A sentence with the marks and white space after it; end to end they are the paragraph.
+WHOLE_SENTENCE = r"[^.!?|]*[.!?|]+[ \t]*|[^.!?|]+"
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, however often it is read."""
+    return F.transform(F.array(value), use)[0]
+
+
+def sentence_nodes(text: Column) -> Column:
+    """For each line of the text the array of the hashes of its sentences."""
+    return F.transform(F.split(text, "\n", -1), lambda p: F.transform(F.regexp_extract_all(p, F.lit(WHOLE_SENTENCE), F.lit(0)), lambda s: F.sha2(s, 256)))
+
+
+def tree_nodes(sentences: Column, paragraphs: Column, fan: int = 8) -> Column:
+    """Every node of a tree, sentences to root, as a long."""
+    every = lambda sections: F.concat(F.flatten(sentences), paragraphs, sections, F.array(root(sections)))
+    return F.transform(_once(section_nodes(paragraphs, fan), every), lambda h: F.xxhash64(h))
+
+
+def tree_likeness(a: Column, b: Column) -> Column:
+    """Dice's coefficient of two arrays of nodes, repeats counted: what one has more often than the other lowers it."""
+    sides = F.array_sort(F.concat(F.transform(a, lambda h: F.struct(h.alias("h"), F.lit(1).alias("s"))), F.transform(b, lambda h: F.struct(h.alias("h"), F.lit(-1).alias("s")))))
+    start = F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("d"), F.lit(0).alias("sum"))
+    step = lambda acc, x: F.struct(
+        x["h"].alias("h"), F.when(acc["h"] == x["h"], acc["d"] + x["s"]).otherwise(x["s"]).alias("d"), F.when(acc["h"] == x["h"], acc["sum"]).otherwise(acc["sum"] + F.abs(acc["d"])).alias("sum")
+    )
+    both = (F.size(a) + F.size(b)).cast("double")
+    return (both - F.aggregate(sides, start, step, lambda acc: acc["sum"] + F.abs(acc["d"]))) / both
+
+
 def successors(rows: DataFrame, tasks: int) -> DataFrame:
     """(key, ord, to_key, to_ord, take) for ``rows`` (key, ord, n): the row before in (key, ord) order, the last for the first.
 
@@ -81,13 +117,12 @@ def successors(rows: DataFrame, tasks: int) -> DataFrame:
     return linked.select("key", "ord", F.col("prev.key").alias("to_key"), F.col("prev.ord").alias("to_ord"), F.floor(F.col("prev.n") / 4).cast("int").alias("take"))
 
 
-def edit_study(docs: DataFrame, fan: int = 8, rows_per_task: int = 100_000) -> DataFrame:
-    """Every row's fingerprint, that of its edited text, and the likeness to that and to the next row's.
+def _with_next(docs: DataFrame, rows_per_task: int, carried: Callable[[Column], Column]) -> DataFrame:
+    """key, text, n_chars, edited and next of every row: its edited text, and what ``carried`` makes of the next row's text.
 
     The edited text has the last quarter of the code points replaced by the beginning of the next row's text. Texts are shuffled
-    once by doc_id; to the row before goes only the quarter that it asks for, and the leaves.
+    once by doc_id; to the row before goes only the quarter that it asks for, and what is carried.
     """
-    spark = docs.sparkSession
     key = F.struct(F.col("doc_id").alias("doc_id"))
     text = F.coalesce("text", F.lit(""))
     place = lambda n, h: F.row_number().over(Window.partitionBy("key").orderBy(n, h))
@@ -99,11 +134,16 @@ def edit_study(docs: DataFrame, fan: int = 8, rows_per_task: int = 100_000) -> D
     links = links.withColumnRenamed("key", "own_key").withColumnRenamed("ord", "own_ord")
     # The comparison of ord stays out of the join's keys, so that the texts, dealt by key for the window, aren't dealt again.
     giving = base.join(links, (base["key"] == links["own_key"]) & (base["ord"] - links["own_ord"] == 0))
-    giving = giving.select("to_key", "to_ord", F.substring("text", F.lit(1), F.col("take")).alias("begin"), leaves(F.col("text")).alias("next_leaves"))
+    giving = giving.select("to_key", "to_ord", F.substring("text", F.lit(1), F.col("take")).alias("begin"), carried(F.col("text")).alias("next"))
     joined = base.join(giving, (base["key"] == giving["to_key"]) & (base["ord"] - giving["to_ord"] == 0))
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
-    joined = joined.select("key", "text", "begin", "next_leaves", n.alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - quarter), "begin").alias("edited"))
+    return joined.select("key", "text", "next", n.alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - quarter), "begin").alias("edited"))
+
+
+def edit_study(docs: DataFrame, fan: int = 8, rows_per_task: int = 100_000) -> DataFrame:
+    """Every row's fingerprint, that of its edited text, and the likeness to that and to the next row's."""
+    joined = _with_next(docs, rows_per_task, leaves).withColumnRenamed("next", "next_leaves")
     trees = joined.select(
         "key", "n_chars", "next_leaves", "edited", leaves(F.col("text")).alias("leaves"), leaves(F.col("edited")).alias("edited_leaves"),
         paragraph_nodes(F.col("text")).alias("paragraphs"), paragraph_nodes(F.col("edited")).alias("edited_paragraphs"),
@@ -114,3 +154,18 @@ def edit_study(docs: DataFrame, fan: int = 8, rows_per_task: int = 100_000) -> D
         likeness(F.col("leaves"), F.col("edited_leaves")).alias("near_edited"), likeness(F.col("leaves"), F.col("next_leaves")).alias("near_next"),
         F.array_min(changed_paragraphs(F.col("paragraphs"), F.col("edited_paragraphs"), fan)).alias("first_change"),
     )
+
+
+def difference_study(docs: DataFrame, fan: int = 8, rows_per_task: int = 100_000) -> DataFrame:
+    """Of the trees with sentences as leaves: every row's fingerprint, that of its edited text, the numbers of the paragraphs in which
+    these differ, found section by section, and the likeness of the trees to that of the edited text and to that of the next row.
+    """
+    paragraphs = lambda sentences: F.transform(sentences, lambda p: _node(p))
+    carried = lambda t: _once(sentence_nodes(t), lambda s: _once(paragraphs(s), lambda p: tree_nodes(s, p, fan)))
+    trees = _with_next(docs, rows_per_task, carried).select("key", "next", sentence_nodes(F.col("text")).alias("s"), sentence_nodes(F.col("edited")).alias("es"))
+    trees = trees.select("*", paragraphs(F.col("s")).alias("p"), paragraphs(F.col("es")).alias("ep"))
+    trees = trees.select("*", tree_nodes(F.col("s"), F.col("p"), fan).alias("nodes"), tree_nodes(F.col("es"), F.col("ep"), fan).alias("edited_nodes"))
+    return trees.select(
+        F.col("key.doc_id").alias("doc_id"), root(section_nodes(F.col("p"), fan)).alias("fingerprint"), root(section_nodes(F.col("ep"), fan)).alias("edited_fingerprint"),
+        changed_paragraphs(F.col("p"), F.col("ep"), fan).alias("changed"), tree_likeness(F.col("nodes"), F.col("edited_nodes")).alias("near_edited"), tree_likeness(F.col("nodes"), F.col("next")).alias("near_next"),
+    )

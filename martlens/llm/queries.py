@@ -38,6 +38,11 @@ def op5_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edit_study(_read(spark, sf_dir, "documents")).drop("first_change")
 
 
+def op5_merkle_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the trees of texts and edited texts differ, and how alike their nodes are."""
+    return merkle.difference_study(_read(spark, sf_dir, "documents"))
+
+
 def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.replicate(_read(spark, sf_dir, "documents"), temperature=0.5)
 
@@ -63,7 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_mixture, op2_warc_zip, op3_best_fit_packing, op4_jpeg_media, op5_merkle_fingerprints, op6_poisson_mix, op7_minmax_dedup, op8_separator_scan,
-        op9_license_index, op10_importance_resampling,
+        op9_license_index, op10_importance_resampling, op5_merkle_differences,
     )
 }
 
@@ -92,6 +97,22 @@ SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(x) AS edited_sha256,
   CASE WHEN len(lt) + len(lx) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(lt, lx)) / (len(lt) + len(lx)) END AS near_edited,
   CASE WHEN len(lt) + len(ln) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(lt, ln)) / (len(lt) + len(ln)) END AS near_next
 FROM p""",
+    "op5_merkle_differences": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS nx FROM d),
+e AS (SELECT doc_id, t, nx, substr(t, 1, length(t) - length(t) // 4) || substr(nx, 1, length(t) // 4) AS x FROM n),
+v AS (SELECT doc_id, unnest(['t', 'x', 'nx']) AS which, unnest([t, x, nx]) AS t FROM e),
+s AS (SELECT doc_id, which, list_transform(string_split(t, chr(10)), lambda l: list_transform(regexp_extract_all(l, '[^.!?|]*[.!?|]+[ \t]*|[^.!?|]+'), lambda y: sha256(y))) AS s FROM v),
+p AS (SELECT *, list_transform(s, lambda y: sha256(array_to_string(y, ','))) AS p FROM s),
+c AS (SELECT *, list_transform(range((len(p) + 7) // 8), lambda k: sha256(array_to_string(p[k * 8 + 1 : k * 8 + 8], ','))) AS c FROM p),
+r AS (SELECT doc_id, which, p, sha256(array_to_string(c, ',')) AS r, flatten(s) || p || c || [sha256(array_to_string(c, ','))] AS nodes FROM c),
+h AS (SELECT doc_id, which, h, count(*) AS k FROM (SELECT doc_id, which, unnest(nodes) AS h FROM r) GROUP BY 1, 2, 3),
+b AS (SELECT a.doc_id, z.which, sum(least(a.k, z.k)) AS b FROM h a JOIN h z ON a.doc_id = z.doc_id AND a.h = z.h AND a.which = 't' AND z.which <> 't' GROUP BY 1, 2)
+SELECT t.doc_id, t.r AS fingerprint, x.r AS edited_fingerprint,
+  list_filter(range(greatest(len(t.p), len(x.p))), lambda i: t.p[i + 1] IS DISTINCT FROM x.p[i + 1])::INT[] AS changed,
+  2.0::DOUBLE * coalesce(bx.b, 0) / (len(t.nodes) + len(x.nodes)) AS near_edited, 2.0::DOUBLE * coalesce(bn.b, 0) / (len(t.nodes) + len(y.nodes)) AS near_next
+FROM r t JOIN r x ON x.doc_id = t.doc_id AND x.which = 'x' JOIN r y ON y.doc_id = t.doc_id AND y.which = 'nx'
+LEFT JOIN b bx ON bx.doc_id = t.doc_id AND bx.which = 'x' LEFT JOIN b bn ON bn.doc_id = t.doc_id AND bn.which = 'nx' WHERE t.which = 't'""",
     "op6_poisson_mix": """
 WITH RECURSIVE v AS (SELECT source, sum(length(text)) AS v FROM documents GROUP BY 1),
 r AS (SELECT source, sqrt(v) / sum(sqrt(v)) OVER () * sum(v) OVER () / v AS rate FROM v),

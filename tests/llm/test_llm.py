@@ -204,6 +204,26 @@ def test_merkle_edits(spark, odd):
     assert df.select(merkle.changed_paragraphs(merkle.paragraph_nodes(F.col("a")), merkle.paragraph_nodes(F.col("b"))).alias("c")).first().c == [17]
 
 
+def test_merkle_differences(spark, odd):
+    import duckdb
+
+    from martlens.llm.queries import ORACLE_SQL, op5_merkle_differences
+
+    want = duckdb.sql(ORACLE_SQL["op5_merkle_differences"].replace("FROM documents", "FROM '/root/testdata/sf0.001/documents.parquet'")).fetchall()
+    plain = lambda r: (r[0], r[1], r[2], list(r[3]), round(r[4], 9), round(r[5], 9))
+    got = op5_merkle_differences(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(map(plain, got)) == sorted(map(plain, want))
+    assert merkle.difference_study(odd, rows_per_task=3).count() == odd.count()
+    # A sentence changed in paragraph 17, sentences repeated, sentences in another order.
+    lines = [f"p{i}. q{i}. r{i}" for i in range(30)]
+    cases = [(lines, lines, [], 1.0), (lines, [*lines[:17], "p17. new. r17", *lines[18:]], [17], None), (["a. b"], ["a. a. b"], [0], None), (["a. b. c"], ["b. a. c"], [0], None)]
+    df = spark.createDataFrame([(k, "\n".join(a), "\n".join(b)) for k, (a, b, _, _) in enumerate(cases)], "k int, a string, b string")
+    parts = lambda c: F.transform(merkle.sentence_nodes(F.col(c)), lambda p: merkle._node(p))
+    nodes = lambda c: merkle.tree_nodes(merkle.sentence_nodes(F.col(c)), parts(c))
+    for r in df.select("k", merkle.changed_paragraphs(parts("a"), parts("b")).alias("c"), merkle.tree_likeness(nodes("a"), nodes("b")).alias("n")).collect():
+        assert r.c == cases[r.k][2] and (r.n == 1.0) == (cases[r.k][3] == 1.0)
+
+
 def test_poisson_mix(spark, odd):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x" * 10).alias("text"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("source"), F.lit(1).alias("mix_copy"))
     got = source_mix.replicate(docs, weights={"a": 0.5, "b": 0.5}).groupBy("source").count().collect()
