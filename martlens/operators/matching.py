@@ -54,5 +54,19 @@ def resolve_entities(products: DataFrame) -> DataFrame:
     return products.join(rep, "gtin", "left").select("product_id", F.coalesce("rep", "product_id").alias("representative"))
 
 
+def resolve_batch_entities(products: DataFrame) -> DataFrame:
+    """The representative of each product: the smallest id that shared gtins and mpns lead to, over any number of products.
+
+    Each key links its products to its smallest one, so that a key of many products makes as many edges, not pairs.
+    """
+    from martlens.llm.near_dedup import components
+
+    key = lambda c: F.when(F.trim(c) != "", F.struct(F.lit(c).alias("kind"), F.trim(c).alias("value")))
+    keyed = products.filter("product_id is not null").select(F.col("product_id").cast("long").alias("b"), F.explode(F.array_compact(F.array(key("gtin"), key("mpn")))).alias("key"))
+    links = keyed.join(keyed.groupBy("key").agg(F.min("b").alias("a")), "key").filter("a <> b").select("a", "b")
+    found = components(links).select(F.col("v").alias("product_id"), "component")
+    return products.join(found, "product_id", "left").select("product_id", F.coalesce("component", "product_id").alias("representative"))
+
+
 def review_backlog(decisions: DataFrame) -> DataFrame:
     return decisions.filter("status = 'review'").agg(F.count("*").alias("open"))

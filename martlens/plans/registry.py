@@ -331,6 +331,13 @@ def mat07_resolve_entities(products):
     return matching.resolve_entities(products)
 
 
+@query("products", """WITH k AS (SELECT product_id, 'g' || gtin AS k FROM {products} WHERE gtin IS NOT NULL UNION SELECT product_id, 'm' || mpn FROM {products} WHERE mpn IS NOT NULL),
+  r AS (SELECT product_id AS v, product_id AS u FROM {products} UNION SELECT r.v, b.product_id FROM r JOIN k a ON a.product_id = r.u JOIN k b ON b.k = a.k)
+  SELECT v AS product_id, min(u) AS representative FROM r GROUP BY 1""")
+def mat07_resolve_batch_entities(products):
+    return matching.resolve_batch_entities(products)
+
+
 @query("embeddings", f"SELECT count(*) AS open FROM ({_DECIDE}) d WHERE status = 'review'")
 def mat08_review_backlog(embeddings):
     return matching.review_backlog(matching.decide_match(matching.nearest_candidates(embeddings), 0.7, 0.6))

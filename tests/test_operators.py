@@ -2,7 +2,7 @@
 
 from datetime import datetime
 
-from martlens.operators import catalog, ingest, pages, signals
+from martlens.operators import catalog, ingest, matching, pages, signals
 from martlens.streaming import jobs
 
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -70,3 +70,11 @@ def test_stream_dedupe_keeps_one(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "in"))
     got = jobs.run_available(jobs.stream_dedupe(jobs.source(spark, str(tmp_path / "in"), rows), ["listing_id"], "1 day"), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert got.count() == 2
+
+
+def test_entities_by_shared_keys(spark):
+    rows = [(1, "a", None), (2, "a", "x"), (3, "b", "x"), (4, "b", None), (5, None, "y"), (6, None, "y"), (7, None, None), (8, None, None), (9, "x", None), (10, "", " "), (11, "", " ")]
+    products = spark.createDataFrame(rows, "product_id long, gtin string, mpn string")
+    got = {r.product_id: r.representative for r in matching.resolve_batch_entities(products).collect()}
+    # A chain over both keys, one shared mpn, no keys, a gtin that equals an mpn, blank keys.
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 7, 8: 8, 9: 9, 10: 10, 11: 11}
