@@ -114,16 +114,60 @@ def jsonld_pages(parts: DataFrame) -> DataFrame:
     return parts.select(F.col("p_partkey").alias("page_id"), body.alias("html"))
 
 
-def extract_jsonld_products(pages: DataFrame) -> DataFrame:
-    """The first JSON-LD product of each page: title, brand, sku, first offer; USD only if stated, else CAD."""
-    blocks = F.regexp_extract_all("html", F.lit(r'(?s)<script type="application/ld\+json">(.*?)</script>'), F.lit(1))
-    nodes = pages.select("page_id", F.posexplode(blocks).alias("pos", "json")).withColumn("v", F.try_parse_json("json"))
+def _inner(nodes: Column) -> Column:
+    """Each of the variants, after what is in it: the items of an array, those of ``@graph``."""
+    none = F.array().cast("array<variant>")
+    items = lambda v, path: F.coalesce(F.try_variant_get(v, path, "array<variant>"), none)
+    return F.flatten(F.transform(nodes, lambda v: F.concat(items(v, "$"), items(v, "$['@graph']"), F.array(v))))
+
+
+def jsonld_products(pages: DataFrame) -> DataFrame:
+    """The first JSON-LD product with a title of each page, all fields, from any of the usual shapes.
+
+    The first node of a block whose @type is or holds Product counts, in arrays and @graph down to three levels; the first offer, alone
+    or of a list; a price that is a finite number, also as text; USD only if stated, else CAD.
+    """
+    blocks = F.regexp_extract_all("html", F.lit(r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
+    rows = pages.select("page_id", F.posexplode(blocks).alias("pos", "json")).withColumn("nodes", F.array(F.try_parse_json("json")))
+    for _ in range(3):
+        rows = rows.withColumn("nodes", _inner(F.col("nodes")))
+    kind = lambda v: F.coalesce(F.array_contains(F.try_variant_get(v, "$['@type']", "array<string>"), "Product"), F.try_variant_get(v, "$['@type']", "string") == "Product", F.lit(False))
+    rows = rows.select("page_id", "pos", F.filter("nodes", kind).alias("nodes")).filter(F.size("nodes") > 0).select("page_id", "pos", F.col("nodes")[0].alias("v"))
     get = lambda path, kind="string": F.try_variant_get("v", path, kind)
-    rows = nodes.filter((get("$['@type']") == "Product") & (F.coalesce(F.length(get("$.name")), F.lit(0)) > 0))
-    rows = rows.withColumn("rn", ranked(["page_id"], F.col("pos"))).filter("rn = 1")
-    availability = get("$.offers[0].availability")
-    state = F.when(availability.contains("OutOfStock"), "out_of_stock").when(availability.contains("InStock"), "in_stock").otherwise("unknown")
-    return rows.select("page_id", get("$.name").alias("title"), get("$.brand.name").alias("brand"), get("$.sku").alias("sku"), get("$.offers[0].price").cast("double").alias("price"), F.when(get("$.offers[0].priceCurrency") == "USD", "USD").otherwise("CAD").alias("currency"), state.alias("availability"))
+    text = lambda path: F.when(F.schema_of_variant(get(path, "variant")) == "STRING", get(path))
+    known = lambda path: F.nullif(F.trim(get(path)), F.lit(""))
+    rows = rows.filter(F.length(text("$.name")) > 0).withColumn("rn", ranked(["page_id"], F.col("pos"))).filter("rn = 1")
+    offer = lambda name: F.coalesce(get(f"$.offers[0].{name}"), get(f"$.offers.{name}"))
+    price = F.trim(offer("price")).try_cast("double")
+    finite = F.when(~F.isnan(price) & (F.abs(price) < float("inf")), price)
+    state = F.lower(offer("availability"))
+    state = F.when(state.contains("instock"), "in_stock").when(state.contains("outofstock") | state.contains("soldout"), "out_of_stock").when(state.contains("preorder"), "preorder").when(state.contains("discontinued"), "discontinued").otherwise("unknown")
+    return rows.select(
+        "page_id", text("$.name").alias("title"), F.coalesce(text("$.brand"), text("$.brand.name")).alias("brand"), F.coalesce(known("$.sku"), known("$.productID")).alias("sku"),
+        F.coalesce(known("$.gtin13"), known("$.gtin"), known("$.gtin12")).alias("gtin"), finite.alias("price"), F.when(offer("priceCurrency") == "USD", "USD").otherwise("CAD").alias("currency"), state.alias("availability"),
+        F.coalesce(text("$.image"), text("$.image[0]"), text("$.image.url")).alias("image"), text("$.color").alias("color"), text("$.material").alias("material"),
+    )
+
+
+def extract_jsonld_products(pages: DataFrame) -> DataFrame:
+    """Of ``jsonld_products`` title, brand, sku, first offer."""
+    return jsonld_products(pages).select("page_id", "title", "brand", "sku", "price", "currency", "availability")
+
+
+def jsonld_shapes(parts: DataFrame) -> DataFrame:
+    """Product pages in several shapes by the row's number: object, array, @graph, list of types; offers, brand, image and price vary too."""
+    n, num = F.col("p_partkey") % 4, F.col("p_partkey").cast("string")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    price = F.when(F.col("p_partkey") % 5 == 0, F.lit('"on request"')).when(n < 2, quoted(F.col("p_retailprice").cast("string"))).otherwise(F.col("p_retailprice").cast("string"))
+    offer = F.concat(F.lit('{"price":'), price, F.lit(',"priceCurrency":"USD","availability":"https://schema.org/InStock"}'))
+    fields = F.concat(
+        F.lit('"name":'), quoted(F.col("p_name")), F.lit(',"brand":'), F.when(n % 2 == 0, quoted(F.col("p_brand"))).otherwise(F.concat(F.lit('{"name":'), quoted(F.col("p_brand")), F.lit("}"))),
+        F.when(n == 3, F.lit(',"productID":')).otherwise(F.lit(',"sku":')), quoted(num), F.when(n == 1, F.lit(',"gtin12":')).otherwise(F.lit(',"gtin13":')), quoted(F.concat(F.lit("g"), num)),
+        F.lit(',"image":'), F.when(n == 0, '"i.png"').when(n == 1, '["i.png","j.png"]').otherwise('{"url":"i.png"}'), F.lit(',"color":"red","offers":'), F.when(n == 2, F.concat(F.lit("["), offer, F.lit("]"))).otherwise(offer),
+    )
+    node = F.concat(F.lit('{"@type":'), F.when(n == 3, '["Thing","Product"]').otherwise('"Product"'), F.lit(","), fields, F.lit("}"))
+    body = F.when(n == 1, F.concat(F.lit('[{"@type":"WebSite"},'), node, F.lit("]"))).when(n == 2, F.concat(F.lit('{"@graph":[{"@type":"WebPage"},'), node, F.lit("]}"))).otherwise(node)
+    return parts.select(F.col("p_partkey").alias("page_id"), F.concat(F.lit('<script type="application/ld+json">{bad</script><script type="application/ld+json">'), body, F.lit("</script>")).alias("html"))
 
 
 def api_pages(parts: DataFrame, per_page: int = 24) -> DataFrame:

@@ -587,6 +587,12 @@ def ext01_extract_jsonld_products(part):
     return pages.extract_jsonld_products(pages.jsonld_pages(part))
 
 
+@query("part", """SELECT p_partkey AS page_id, p_name AS title, p_brand AS brand, p_partkey::VARCHAR AS sku, 'g' || p_partkey AS gtin, CASE WHEN p_partkey % 5 <> 0 THEN p_retailprice::DOUBLE END AS price,
+  'USD' AS currency, 'in_stock' AS availability, 'i.png' AS image, 'red' AS color, NULL AS material FROM {part}""")
+def ext01_jsonld_shapes(part):
+    return pages.jsonld_products(pages.jsonld_shapes(part))
+
+
 @query("part", "SELECT p_partkey // 24 AS page, p_partkey AS id, p_name AS title, p_brand AS vendor, p_retailprice AS price FROM {part}")
 def src06_crawl_api_records(part):
     return pages.crawl_api_records(pages.api_pages(part))

@@ -78,3 +78,19 @@ def test_entities_by_shared_keys(spark):
     got = {r.product_id: r.representative for r in matching.resolve_batch_entities(products).collect()}
     # A chain over both keys, one shared mpn, no keys, a gtin that equals an mpn, blank keys.
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 7, 8: 8, 9: 9, 10: 10, 11: 11}
+
+
+def test_jsonld_shapes(spark):
+    block = '<script type="application/ld+json">{}</script>'
+    bodies = [
+        '{"@type":["Thing","Product"],"name":"a","brand":"B","productID":"7","gtin12":"12","image":["i"],"material":"oak","offers":{"price":"9.5","priceCurrency":"USD"}}',
+        '[{"@type":"WebSite"},{"@graph":[{"@type":"Product","name":"b","gtin":"5","gtin13":"13","offers":[{"price":"NaN","availability":"SoldOut"}]}]}]',
+        '{"@type":"Product","name":3,"offers":{"price":1}}',
+        '{"@type":"Product","name":"d","offers":[{"price":"soon"}]}',
+    ]
+    html = spark.createDataFrame([(k, block.format("{x") + block.format(b)) for k, b in enumerate(bodies)], "page_id long, html string")
+    got = {r.page_id: r for r in pages.jsonld_products(html).collect()}
+    assert set(got) == {0, 1, 3}
+    assert got[0][1:] == ("a", "B", "7", "12", 9.5, "USD", "unknown", "i", None, "oak")
+    assert (got[1].title, got[1].gtin, got[1].price, got[1].currency, got[1].availability) == ("b", "13", None, "CAD", "out_of_stock")
+    assert got[3].price is None
