@@ -133,5 +133,4 @@ def failure_causes(runs: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def stage_rollup(runs: DataFrame) -> DataFrame:
-    per = runs.groupBy("retailer_id").agg(F.sort_array(F.collect_list(F.struct("started_at", "run_id", "status"))).alias("s"), F.sum("tokens").cast("long").alias("tokens"))
-    return per.select("retailer_id", "tokens", F.size("s").cast("long").alias("stages"), F.element_at("s", -1)["status"].alias("current"))
+    return runs.groupBy("retailer_id").agg(F.sum("tokens").cast("long").alias("tokens"), F.count("*").alias("stages"), F.max_by("status", F.struct("started_at", "run_id")).alias("current"))

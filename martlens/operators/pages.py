@@ -184,6 +184,13 @@ def crawl_api_records(bodies: DataFrame) -> DataFrame:
     return rows.select("page", "p.id", "p.title", "p.vendor", "p.price")
 
 
+def sitemap_bodies(pages: DataFrame, ids: int = 10_000) -> DataFrame:
+    """Sitemap bodies (site, body) of the pages' URLs, one for each run of ``ids`` page ids of a site, so that none grows with its site."""
+    entry = lambda u: F.concat(F.lit("<url><loc> "), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
+    body = F.concat(F.lit("<urlset>"), F.array_join(F.transform(F.collect_list("url"), entry), ""), F.lit("</urlset>"))
+    return pages.groupBy(normalize_domain(F.col("url")).alias("site"), F.floor(F.col("page_id") / ids).alias("run")).agg(body.alias("body")).select("site", "body")
+
+
 def sitemap_urls(bodies: DataFrame) -> DataFrame:
     """A row for each <loc> of each sitemap body (site, body)."""
     return bodies.select("site", F.explode(F.regexp_extract_all("body", F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1))).alias("url"))

@@ -600,8 +600,7 @@ def src06_crawl_api_records(part):
 
 @query("pages", f"SELECT {_HOST} AS site, replace(url, '&', '&amp;') AS url FROM {{pages}}")
 def src02_sitemap_urls(p):
-    body = F.concat(F.lit("<urlset>"), F.array_join(F.transform(F.collect_list("url"), lambda u: F.concat(F.lit("<url><loc> "), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))), ""), F.lit("</urlset>"))
-    return pages.sitemap_urls(p.groupBy(pages.normalize_domain(F.col("url")).alias("site")).agg(body.alias("body")))
+    return pages.sitemap_urls(pages.sitemap_bodies(p))
 
 
 @query("retailers", "SELECT retailer_id AS site, concat('https://', domain, '/sitemap.xml') AS sitemap FROM {retailers}")

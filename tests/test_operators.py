@@ -2,7 +2,7 @@
 
 from datetime import datetime
 
-from martlens.operators import catalog, ingest, matching, pages, signals
+from martlens.operators import catalog, health, ingest, matching, pages, signals
 from martlens.streaming import jobs
 
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -94,3 +94,14 @@ def test_jsonld_shapes(spark):
     assert got[0][1:] == ("a", "B", "7", "12", 9.5, "USD", "unknown", "i", None, "oak")
     assert (got[1].title, got[1].gtin, got[1].price, got[1].currency, got[1].availability) == ("b", "13", None, "CAD", "out_of_stock")
     assert got[3].price is None
+
+
+def test_sitemaps_and_stages_stay_bounded(spark):
+    rows = spark.range(25).selectExpr("id AS page_id", "concat('https://a.example/', id, '?x=1&y=2') AS url")
+    bodies = pages.sitemap_bodies(rows, 10)
+    assert sorted(r.body.count("<loc>") for r in bodies.collect()) == [5, 10, 10]
+    assert pages.sitemap_urls(bodies).distinct().count() == 25
+    runs = spark.createDataFrame([(1, 7, DAY, "failed", 3), (2, 7, DAY, "running", 4)], "run_id long, retailer_id long, started_at timestamp_ntz, status string, tokens long")
+    rolled = health.stage_rollup(runs)
+    assert [tuple(r) for r in rolled.collect()] == [(7, 7, 2, "running")]
+    assert "collect_list" not in rolled._jdf.queryExecution().toString()
