@@ -64,7 +64,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("language", language), ("near_duplicates", deduplicate), ("source_mix", mix), ("packing", pack)]
 
-#: The stages hash, fit models and tokenise; SQL can't express them. tests/llm checks them against brute force.
+#: The stages hash, fit models and tokenise; SQL can't express them. tests/llm checks near duplicates against brute force, the others on fixed cases.
 ORACLE_SQL = None
 
 

@@ -6,7 +6,7 @@ the good ones of the labelled rows. A document's log-weight is the sum over its
 shrunk by ``prior``; to it comes Gumbel noise from a hash of seed and doc_id, and the documents of the k largest sums are kept.
 
 k is found from labels as well: a fifth of the good labelled rows is held out of the target model, and k is the number of rows
-whose log-weight isn't below the ``miss`` quantile of theirs.
+whose log-weight isn't below the ``miss`` quantile of theirs, rounded so that no larger share of them is below it, however few they are.
 
 Cases: a null or empty text has no features and log-weight 0. Without good labelled rows there is no target, and all rows are
 kept. Rows that repeat a doc_id get the same noise. Ties at the k-th sum are all kept. Labels with null are no labels. An empty
@@ -15,6 +15,7 @@ table gives an empty result. Other columns of the input aren't read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -132,7 +133,7 @@ def decide(docs: DataFrame, labels: DataFrame, buckets: int, prior: float, miss:
     if k is None:
         held = scored.join(F.broadcast(good.filter("out")), "doc_id", "left_semi").select(F.col("log_weight").alias("key"))
         m = held.count()
-        k = scored.filter(F.col("log_weight") >= kth_largest(held, max(1, int(m * (1 - miss))))).count() if m else n
+        k = scored.filter(F.col("log_weight") >= kth_largest(held, max(1, math.ceil(m * (1 - miss))))).count() if m else n
     if k >= n or not n:
         return ratio, scored, -np.inf
     return ratio, scored, kth_largest(scored.select(F.col("gumbel_key").alias("key")), k) if k > 0 else np.inf

@@ -273,6 +273,18 @@ def test_importance(spark, odd):
     assert importance.selected(odd, labels).columns == odd.columns
 
 
+def test_importance_few_held_out(spark):
+    """With few held-out documents none is below the threshold: a share of 0.002 of them is none."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["sun", "rain", "wind", "snow", "fog", "buy", "win"], rng.integers(5, 60))) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id < 50 AS int) AS quality", "0 AS toxic")
+    out = {r.doc_id for r in docs.filter("doc_id < 50").filter(importance._draw("fold", 5) % 5 == 0).collect()}
+    rows = importance.resample(docs, labels).collect()
+    least = min(r.log_weight for r in rows if r.doc_id in out)
+    assert 1 < len(out) and sum(r.kept for r in rows) == sum(r.log_weight >= least for r in rows)
+
+
 def test_kth_largest(spark):
     keys = spark.range(1000).select((F.col("id") % 100).cast("double").alias("key"))
     want = sorted((i % 100 for i in range(1000)), reverse=True)
