@@ -27,9 +27,9 @@ def search_products(products: DataFrame, listings: DataFrame, price_obs: DataFra
     return product_summaries(hit, listings, price_obs, limit)
 
 
-def product_offers(listings: DataFrame, price_obs: DataFrame, stock_obs: DataFrame, retailers: DataFrame) -> DataFrame:
+def product_offers(listings: DataFrame, price_obs: DataFrame, stock_obs: DataFrame, shops: DataFrame) -> DataFrame:
     stock = latest_by(stock_obs, ["listing_id"], ["ts", "o", "n"], ["availability"])
-    out = listings.filter("active").join(latest_price(price_obs).drop("ts"), "listing_id", "left").join(stock, "listing_id", "left").join(retailers.select("retailer_id", "name"), "retailer_id")
+    out = listings.filter("active").join(latest_price(price_obs).drop("ts"), "listing_id", "left").join(stock, "listing_id", "left").join(shops.select("shop_id", "name"), "shop_id")
     out = out.withColumn("place", ranked(["product_id"], F.col("amount").asc_nulls_last(), F.col("listing_id")))
     return out.select("product_id", "place", "listing_id", "name", "amount", "currency", F.coalesce("availability", F.lit("unknown")).alias("availability"))
 
@@ -46,28 +46,28 @@ def brand_growth(listings: DataFrame, products: DataFrame, as_of: str, days: int
 
 
 def latest_rank(serp_obs: DataFrame) -> DataFrame:
-    return latest_by(serp_obs, ["keyword_id", "retailer_id"], ["ts", "o"], ["rank"])
+    return latest_by(serp_obs, ["keyword_id", "shop_id"], ["ts", "o"], ["rank"])
 
 
 def keyword_gaps(serp_obs: DataFrame, own: int, top: int = 20) -> DataFrame:
     """Keywords on which others rank up to ``top`` and ``own`` has no rank at all."""
     ranks = latest_rank(serp_obs)
-    mine = ranks.filter(F.col("retailer_id") == own).select("keyword_id")
-    return ranks.filter((F.col("retailer_id") != own) & (F.col("rank") <= top)).join(mine, "keyword_id", "left_anti").select("keyword_id", "retailer_id", "rank")
+    mine = ranks.filter(F.col("shop_id") == own).select("keyword_id")
+    return ranks.filter((F.col("shop_id") != own) & (F.col("rank") <= top)).join(mine, "keyword_id", "left_anti").select("keyword_id", "shop_id", "rank")
 
 
-def crawl_health_overview(retailers: DataFrame, runs: DataFrame, listings: DataFrame) -> DataFrame:
-    last = latest_by(runs, ["retailer_id"], ["started_at", "run_id"], ["run_id", "status", "started_at"])
-    active = listings.filter("active").groupBy("retailer_id").agg(F.count("*").alias("active_listings"))
-    out = retailers.select("retailer_id", "name").join(last, "retailer_id", "left").join(active, "retailer_id", "left")
-    return out.select("retailer_id", "name", "run_id", "status", "started_at", F.coalesce("active_listings", F.lit(0)).alias("active_listings"))
+def crawl_health_overview(shops: DataFrame, runs: DataFrame, listings: DataFrame) -> DataFrame:
+    last = latest_by(runs, ["shop_id"], ["started_at", "run_id"], ["run_id", "status", "started_at"])
+    active = listings.filter("active").groupBy("shop_id").agg(F.count("*").alias("active_listings"))
+    out = shops.select("shop_id", "name").join(last, "shop_id", "left").join(active, "shop_id", "left")
+    return out.select("shop_id", "name", "run_id", "status", "started_at", F.coalesce("active_listings", F.lit(0)).alias("active_listings"))
 
 
-def data_freshness(retailers: DataFrame, listings: DataFrame, price_obs: DataFrame, as_of: str, stale_hours: int = 36) -> DataFrame:
-    newest = price_obs.groupBy("listing_id").agg(F.max("ts").alias("ts")).join(listings.select("listing_id", "retailer_id"), "listing_id").groupBy("retailer_id").agg(F.max("ts").alias("ts"))
+def data_freshness(shops: DataFrame, listings: DataFrame, price_obs: DataFrame, as_of: str, stale_hours: int = 36) -> DataFrame:
+    newest = price_obs.groupBy("listing_id").agg(F.max("ts").alias("ts")).join(listings.select("listing_id", "shop_id"), "listing_id").groupBy("shop_id").agg(F.max("ts").alias("ts"))
     seconds = F.expr(f"timestampdiff(SECOND, ts, {as_of})")
-    out = retailers.select("retailer_id").join(newest, "retailer_id", "left").withColumn("seconds", seconds)
-    return out.select("retailer_id", F.floor((F.col("seconds") + 180) / 360).alias("tenth_hours"), (F.col("ts").isNull() | (F.col("seconds") > stale_hours * 3600)).alias("stale"))
+    out = shops.select("shop_id").join(newest, "shop_id", "left").withColumn("seconds", seconds)
+    return out.select("shop_id", F.floor((F.col("seconds") + 180) / 360).alias("tenth_hours"), (F.col("ts").isNull() | (F.col("seconds") > stale_hours * 3600)).alias("stale"))
 
 
 def token_cost(tokens: str) -> object:
@@ -86,4 +86,4 @@ def discovery_cost_weekly(runs: DataFrame, as_of: str, days: int = 56, newest: i
 
 
 def product_counts(listings: DataFrame) -> DataFrame:
-    return listings.groupBy("retailer_id").agg(F.count("*").alias("listings"))
+    return listings.groupBy("shop_id").agg(F.count("*").alias("listings"))

@@ -9,12 +9,12 @@ from martlens.functions.latest import latest_by, ranked
 
 
 def health_inputs(runs: DataFrame, counts: DataFrame) -> DataFrame:
-    """Ratios of each run in hundredths: coverage of the retailer's previous run, endpoint and extraction success, price presence."""
-    w = Window.partitionBy("retailer_id").orderBy("started_at", "run_id")
+    """Ratios of each run in hundredths: coverage of the shop's previous run, endpoint and extraction success, price presence."""
+    w = Window.partitionBy("shop_id").orderBy("started_at", "run_id")
     joined = runs.join(counts, "run_id").withColumn("baseline", F.lag("discovered").over(w))
     pct = lambda a, b: F.least(F.lit(100), F.coalesce(F.floor(F.try_divide(100 * F.col(a), F.col(b))), F.lit(0))).cast("long")
     coverage = F.when(F.col("baseline").isNull(), F.lit(100).cast("long")).otherwise(pct("discovered", "baseline"))
-    return joined.select("run_id", "retailer_id", "started_at", "status", coverage.alias("coverage"), pct("fetched", "discovered").alias("endpoint"), pct("extracted", "fetched").alias("extraction"), pct("priced", "discovered").alias("price"))
+    return joined.select("run_id", "shop_id", "started_at", "status", coverage.alias("coverage"), pct("fetched", "discovered").alias("endpoint"), pct("extracted", "fetched").alias("extraction"), pct("priced", "discovered").alias("price"))
 
 
 def health_score(inputs: DataFrame) -> DataFrame:
@@ -36,12 +36,12 @@ def health_anomalies(scored: DataFrame) -> DataFrame:
 
 
 def escalate(scored: DataFrame) -> DataFrame:
-    """rediscover when a retailer's last three scores are below 400, repair from 400 to 699, else none."""
-    w = Window.partitionBy("retailer_id").orderBy(F.col("started_at").desc(), F.col("run_id").desc())
+    """rediscover when a shop's last three scores are below 400, repair from 400 to 699, else none."""
+    w = Window.partitionBy("shop_id").orderBy(F.col("started_at").desc(), F.col("run_id").desc())
     last = scored.withColumn("rn", F.row_number().over(w)).filter("rn <= 3")
-    per = last.groupBy("retailer_id").agg(F.max("score").alias("best"), F.count("*").alias("n"), F.max(F.when(F.col("rn") == 1, F.col("score"))).alias("newest"))
+    per = last.groupBy("shop_id").agg(F.max("score").alias("best"), F.count("*").alias("n"), F.max(F.when(F.col("rn") == 1, F.col("score"))).alias("newest"))
     action = F.when((F.col("n") == 3) & (F.col("best") < 400), "rediscover").when(F.col("newest").between(400, 699), "repair").otherwise("none")
-    return per.select("retailer_id", "newest", action.alias("action"))
+    return per.select("shop_id", "newest", action.alias("action"))
 
 
 def jitter(key: Column) -> Column:
@@ -51,9 +51,9 @@ def jitter(key: Column) -> Column:
     return h % 3600
 
 
-def rediscovery_candidates(scored: DataFrame, retailers: DataFrame, below: int = 500) -> DataFrame:
-    last = latest_by(scored, ["retailer_id"], ["started_at", "run_id"], ["score"])
-    return retailers.join(last.filter(F.col("score") < below), "retailer_id").select("retailer_id", "score", jitter(F.col("domain")).alias("delay_s"))
+def rediscovery_candidates(scored: DataFrame, shops: DataFrame, below: int = 500) -> DataFrame:
+    last = latest_by(scored, ["shop_id"], ["started_at", "run_id"], ["score"])
+    return shops.join(last.filter(F.col("score") < below), "shop_id").select("shop_id", "score", jitter(F.col("domain")).alias("delay_s"))
 
 
 def repair_plan(anomalies: DataFrame) -> DataFrame:
@@ -64,31 +64,31 @@ def repair_plan(anomalies: DataFrame) -> DataFrame:
 
 def repair_exhausted(runs: DataFrame) -> DataFrame:
     """Retailers whose last two runs both failed."""
-    last = runs.withColumn("rn", ranked(["retailer_id"], F.col("started_at").desc(), F.col("run_id").desc())).filter("rn <= 2")
-    per = last.groupBy("retailer_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("status") == "failed", 1)).alias("failed"))
-    return per.select("retailer_id", ((F.col("n") == 2) & (F.col("failed") == 2)).alias("exhausted"))
+    last = runs.withColumn("rn", ranked(["shop_id"], F.col("started_at").desc(), F.col("run_id").desc())).filter("rn <= 2")
+    per = last.groupBy("shop_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("status") == "failed", 1)).alias("failed"))
+    return per.select("shop_id", ((F.col("n") == 2) & (F.col("failed") == 2)).alias("exhausted"))
 
 
 def append_versions(history: DataFrame, batch: DataFrame) -> DataFrame:
-    """history (retailer_id, version) with the batch (retailer_id, run_id) appended: versions go on from each retailer's last."""
-    last = history.groupBy("retailer_id").agg(F.max("version").alias("last"))
-    new = batch.join(last, "retailer_id", "left").withColumn("version", F.coalesce("last", F.lit(0)) + ranked(["retailer_id"], F.col("run_id")))
-    return history.select("retailer_id", "version", "run_id").unionByName(new.select("retailer_id", "version", "run_id"))
+    """history (shop_id, version) with the batch (shop_id, run_id) appended: versions go on from each shop's last."""
+    last = history.groupBy("shop_id").agg(F.max("version").alias("last"))
+    new = batch.join(last, "shop_id", "left").withColumn("version", F.coalesce("last", F.lit(0)) + ranked(["shop_id"], F.col("run_id")))
+    return history.select("shop_id", "version", "run_id").unionByName(new.select("shop_id", "version", "run_id"))
 
 
 def active_recipe(history: DataFrame) -> DataFrame:
-    return latest_by(history, ["retailer_id"], ["version"], ["version", "run_id"])
+    return latest_by(history, ["shop_id"], ["version"], ["version", "run_id"])
 
 
 def recent_versions(history: DataFrame, newest: int = 10) -> DataFrame:
-    return history.withColumn("place", ranked(["retailer_id"], F.col("version").desc())).filter(F.col("place") <= newest)
+    return history.withColumn("place", ranked(["shop_id"], F.col("version").desc())).filter(F.col("place") <= newest)
 
 
 def rollback_version(history: DataFrame, version: int = 1) -> DataFrame:
-    """The old version of every retailer once more, as its newest."""
-    last = history.groupBy("retailer_id").agg(F.max("version").alias("last"))
-    again = history.filter(F.col("version") == version).join(last, "retailer_id").select("retailer_id", (F.col("last") + 1).alias("version"), "run_id")
-    return history.select("retailer_id", "version", "run_id").unionByName(again)
+    """The old version of every shop once more, as its newest."""
+    last = history.groupBy("shop_id").agg(F.max("version").alias("last"))
+    again = history.filter(F.col("version") == version).join(last, "shop_id").select("shop_id", (F.col("last") + 1).alias("version"), "run_id")
+    return history.select("shop_id", "version", "run_id").unionByName(again)
 
 
 def promotion_guard(pairs: DataFrame) -> DataFrame:
@@ -121,9 +121,9 @@ def classify_runs(counts: DataFrame) -> DataFrame:
 
 
 def success_rates(runs: DataFrame, counts: DataFrame) -> DataFrame:
-    """By retailer and in all."""
+    """By shop and in all."""
     joined = runs.join(classify_runs(counts), "run_id")
-    out = joined.rollup("retailer_id").agg(F.count("*").alias("runs"), F.count(F.when(F.col("outcome") == "Success", 1)).alias("success"), F.count(F.when(F.col("outcome") == "Failed", 1)).alias("failed"))
+    out = joined.rollup("shop_id").agg(F.count("*").alias("runs"), F.count(F.when(F.col("outcome") == "Success", 1)).alias("success"), F.count(F.when(F.col("outcome") == "Failed", 1)).alias("failed"))
     return out
 
 
@@ -133,4 +133,4 @@ def failure_causes(runs: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def stage_rollup(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("retailer_id").agg(F.sum("tokens").cast("long").alias("tokens"), F.count("*").alias("stages"), F.max_by("status", F.struct("started_at", "run_id")).alias("current"))
+    return runs.groupBy("shop_id").agg(F.sum("tokens").cast("long").alias("tokens"), F.count("*").alias("stages"), F.max_by("status", F.struct("started_at", "run_id")).alias("current"))

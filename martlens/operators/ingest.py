@@ -9,8 +9,8 @@ from martlens.functions.latest import ranked, upsert
 
 
 def upsert_listings(state: DataFrame, batch: DataFrame) -> DataFrame:
-    """By url: a new listing takes everything; a known one keeps sku, retailer_id and first_seen."""
-    return upsert(state, batch, ["url"], ["sku", "retailer_id", "first_seen"], ["product_id", "last_seen"])
+    """By url: a new listing takes everything; a known one keeps sku, shop_id and first_seen."""
+    return upsert(state, batch, ["url"], ["sku", "shop_id", "first_seen"], ["product_id", "last_seen"])
 
 
 def is_new(state: DataFrame, batch: DataFrame) -> DataFrame:

@@ -31,8 +31,8 @@ def nearest_candidates(vectors: DataFrame, k: int = 5, every: int = 10) -> DataF
 
 
 def sku_conflicts(listings: DataFrame) -> DataFrame:
-    """Products of which one retailer has several active listings with different skus."""
-    return listings.filter("active").groupBy("retailer_id", "product_id").agg(F.countDistinct("sku").alias("skus"), F.count("*").alias("listings")).withColumn("conflict", F.col("skus") > 1)
+    """Products of which one shop has several active listings with different skus."""
+    return listings.filter("active").groupBy("shop_id", "product_id").agg(F.countDistinct("sku").alias("skus"), F.count("*").alias("listings")).withColumn("conflict", F.col("skus") > 1)
 
 
 def decide_match(nearest: DataFrame, near: float = 0.70, sure: float = 0.5) -> DataFrame:

@@ -13,13 +13,13 @@ def normalize_domain(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(url, r"^(?:https?://)?([^/?#:]+)", 1)), r"^www\.", "")
 
 
-def retailer_key(url: Column) -> Column:
+def shop_key(url: Column) -> Column:
     dashed = F.regexp_replace(normalize_domain(url), "[^a-z0-9]+", "-")
     return F.substring(F.regexp_replace(dashed, "^-|-$", ""), 1, 64)
 
 
 def domains(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", normalize_domain(F.col("url")).alias("domain"), retailer_key(F.col("url")).alias("retailer_key"))
+    return pages.select("page_id", normalize_domain(F.col("url")).alias("domain"), shop_key(F.col("url")).alias("shop_key"))
 
 
 def record_snapshots(pages: DataFrame) -> DataFrame:
@@ -85,7 +85,7 @@ def product_segments(pages: DataFrame) -> DataFrame:
 
 
 def expand_pagination(listings: DataFrame, pages_each: int = 3) -> DataFrame:
-    return listings.select("retailer_id", F.explode(F.sequence(F.lit(1), F.lit(pages_each))).alias("page"), "domain").select("retailer_id", "page", F.concat(F.lit("https://"), "domain", F.lit("/list?page="), F.col("page").cast("string")).alias("url"))
+    return listings.select("shop_id", F.explode(F.sequence(F.lit(1), F.lit(pages_each))).alias("page"), "domain").select("shop_id", "page", F.concat(F.lit("https://"), "domain", F.lit("/list?page="), F.col("page").cast("string")).alias("url"))
 
 
 def dedupe_captures(captures: DataFrame) -> DataFrame:

@@ -30,22 +30,22 @@ def query(views: str, sql: str | None = None):
 _LAST = "row_number() OVER (PARTITION BY listing_id ORDER BY ts DESC, o DESC, n DESC)"
 _PRICE = f"SELECT *, {_LAST} AS rn, lead(amount) OVER (PARTITION BY listing_id ORDER BY ts DESC, o DESC, n DESC) AS previous FROM {{price_obs}} WHERE ts > {AS_OF} - INTERVAL {DAYS} DAYS"
 _STOCK = f"SELECT *, {_LAST} AS rn, lead(availability) OVER (PARTITION BY listing_id ORDER BY ts DESC, o DESC, n DESC) AS previous FROM {{stock_obs}} WHERE ts > {AS_OF} - INTERVAL {DAYS} DAYS"
-_CHANGES = f"""SELECT listing_id, retailer_id, product_id, CASE WHEN amount < previous THEN 'price_drop' ELSE 'price_increase' END AS signal_type,
+_CHANGES = f"""SELECT listing_id, shop_id, product_id, CASE WHEN amount < previous THEN 'price_drop' ELSE 'price_increase' END AS signal_type,
   CASE WHEN 100 * abs(amount - previous) >= 15 * previous THEN 'critical' WHEN 100 * abs(amount - previous) >= 5 * previous THEN 'notable' ELSE 'info' END AS severity,
   previous, amount AS current, (amount - previous) / previous AS pct, ts FROM ({_PRICE}) x JOIN {{listings}} USING (listing_id) WHERE rn = 1 AND amount <> previous"""
-_MOVES = f"""SELECT listing_id, retailer_id, CASE WHEN availability = 'out_of_stock' THEN 'out_of_stock' ELSE 'back_in_stock' END AS signal_type, 'notable' AS severity, previous, availability AS current, ts
+_MOVES = f"""SELECT listing_id, shop_id, CASE WHEN availability = 'out_of_stock' THEN 'out_of_stock' ELSE 'back_in_stock' END AS signal_type, 'notable' AS severity, previous, availability AS current, ts
   FROM ({_STOCK}) x JOIN {{listings}} USING (listing_id) WHERE rn = 1 AND availability <> previous AND (availability = 'out_of_stock' OR (previous = 'out_of_stock' AND availability = 'in_stock'))"""
-_LOW = f"SELECT listing_id, retailer_id, 'low_stock' AS signal_type, 'info' AS severity, quantity, ts FROM ({_STOCK}) x JOIN {{listings}} USING (listing_id) WHERE rn = 1 AND quantity BETWEEN 1 AND 4"
-_NEW = f"SELECT listing_id, retailer_id, 'new_product' AS signal_type, 'info' AS severity, first_seen AS ts FROM {{listings}} WHERE first_seen > {AS_OF} - INTERVAL 365 DAYS"
-_ALL = " UNION ALL ".join(f"SELECT listing_id, retailer_id, signal_type, severity, ts FROM ({s}) x" for s in (_CHANGES, _MOVES, _LOW, _NEW))
+_LOW = f"SELECT listing_id, shop_id, 'low_stock' AS signal_type, 'info' AS severity, quantity, ts FROM ({_STOCK}) x JOIN {{listings}} USING (listing_id) WHERE rn = 1 AND quantity BETWEEN 1 AND 4"
+_NEW = f"SELECT listing_id, shop_id, 'new_product' AS signal_type, 'info' AS severity, first_seen AS ts FROM {{listings}} WHERE first_seen > {AS_OF} - INTERVAL 365 DAYS"
+_ALL = " UNION ALL ".join(f"SELECT listing_id, shop_id, signal_type, severity, ts FROM ({s}) x" for s in (_CHANGES, _MOVES, _LOW, _NEW))
 _SIGNALS = f"SELECT *, md5(concat_ws('|', listing_id, signal_type, strftime(ts, '%Y-%m-%d %H:%M:%S'))) AS signal_id FROM ({_ALL}) s"
 _ORD = "CASE {} WHEN 'critical' THEN 2 WHEN 'notable' THEN 1 ELSE 0 END"
-_ALERTS = f"""SELECT signal_id, rule_id, org_id, retailer_id, signal_type, severity, ts FROM ({_SIGNALS}) s JOIN {{org_competitors}} USING (retailer_id) JOIN {{alert_rules}} USING (org_id)
-  WHERE enabled AND (signal_types = '' OR list_contains(string_split(signal_types, ','), signal_type)) AND (only_retailer IS NULL OR only_retailer = retailer_id) AND {_ORD.format('severity')} >= {_ORD.format('min_severity')}"""
+_ALERTS = f"""SELECT signal_id, rule_id, org_id, shop_id, signal_type, severity, ts FROM ({_SIGNALS}) s JOIN {{org_competitors}} USING (shop_id) JOIN {{alert_rules}} USING (org_id)
+  WHERE enabled AND (signal_types = '' OR list_contains(string_split(signal_types, ','), signal_type)) AND (only_shop IS NULL OR only_shop = shop_id) AND {_ORD.format('severity')} >= {_ORD.format('min_severity')}"""
 _PRICES = f"SELECT listing_id, amount, currency, ts FROM (SELECT *, {_LAST} AS rn FROM {{price_obs}}) x WHERE rn = 1"
 _SUMMARY = f"""SELECT product_id, canonical_title, brand, min_price, coalesce(currency, 'CAD') AS currency, coalesce(offers, 0) AS offers FROM {{products}} LEFT JOIN
   (SELECT product_id, min(amount) AS min_price, min(currency) AS currency, count(DISTINCT listing_id) AS offers FROM {{listings}} LEFT JOIN ({_PRICES}) p USING (listing_id) WHERE active GROUP BY 1) o USING (product_id)"""
-_RANKS = "SELECT keyword_id, retailer_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY keyword_id, retailer_id ORDER BY ts DESC, o DESC) AS rn FROM {serp_obs}) x WHERE rn = 1"
+_RANKS = "SELECT keyword_id, shop_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY keyword_id, shop_id ORDER BY ts DESC, o DESC) AS rn FROM {serp_obs}) x WHERE rn = 1"
 
 
 def _signals(price_obs, stock_obs, listings) -> DataFrame:
@@ -74,7 +74,7 @@ def sig04_new_products(listings):
     return signals.new_products(listings, AS_OF, 365)
 
 
-@query("listings products", f"""SELECT retailer_id, coalesce(category, 'uncategorized') AS category, count(*) AS added, 'assortment_expansion' AS signal_type, CASE WHEN count(*) >= 25 THEN 'notable' ELSE 'info' END AS severity
+@query("listings products", f"""SELECT shop_id, coalesce(category, 'uncategorized') AS category, count(*) AS added, 'assortment_expansion' AS signal_type, CASE WHEN count(*) >= 25 THEN 'notable' ELSE 'info' END AS severity
   FROM {{listings}} LEFT JOIN {{products}} USING (product_id) WHERE first_seen > {AS_OF} - INTERVAL {DAYS} DAYS GROUP BY 1, 2 HAVING count(*) >= 5""")
 def sig05_assortment_expansion(listings, products):
     return signals.assortment_expansion(listings, products, AS_OF, DAYS)
@@ -96,14 +96,14 @@ def sig08_alert_fanout(price_obs, stock_obs, listings, rules, competitors):
     return signals.alert_fanout(_signals(price_obs, stock_obs, listings), rules, competitors)
 
 
-@query("price_obs stock_obs listings", f"SELECT * FROM ({_SIGNALS}) s WHERE retailer_id IN (1, 2, 3) AND signal_type IN ('price_drop', 'out_of_stock') ORDER BY ts DESC, signal_id LIMIT 100")
+@query("price_obs stock_obs listings", f"SELECT * FROM ({_SIGNALS}) s WHERE shop_id IN (1, 2, 3) AND signal_type IN ('price_drop', 'out_of_stock') ORDER BY ts DESC, signal_id LIMIT 100")
 def sig09_recent_signals(price_obs, stock_obs, listings):
     return signals.recent_signals(_signals(price_obs, stock_obs, listings), [1, 2, 3], ["price_drop", "out_of_stock"])
 
 
-@query("price_obs stock_obs listings alert_rules org_competitors retailers", f"SELECT org_id, rn::INT AS rn, signal_id, name, signal_type, ts FROM (SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY ts DESC, signal_id) AS rn FROM ({_ALERTS}) a) b JOIN {{retailers}} USING (retailer_id) WHERE rn <= 100")
-def sig10_org_feed(price_obs, stock_obs, listings, rules, competitors, retailers):
-    return signals.org_feed(signals.alert_fanout(_signals(price_obs, stock_obs, listings), rules, competitors), retailers)
+@query("price_obs stock_obs listings alert_rules org_competitors shops", f"SELECT org_id, rn::INT AS rn, signal_id, name, signal_type, ts FROM (SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY ts DESC, signal_id) AS rn FROM ({_ALERTS}) a) b JOIN {{shops}} USING (shop_id) WHERE rn <= 100")
+def sig10_org_feed(price_obs, stock_obs, listings, rules, competitors, shops):
+    return signals.org_feed(signals.alert_fanout(_signals(price_obs, stock_obs, listings), rules, competitors), shops)
 
 
 @query("alert_rules", "SELECT org_id, rule_id, signal_types, min_severity FROM {alert_rules} WHERE enabled")
@@ -121,13 +121,13 @@ _COUNT = "least(count(CASE WHEN signal_type IN ({}) THEN 1 END), 1000)"
 
 
 @query("price_obs stock_obs listings org_competitors orgs", f"""SELECT *, drops = 0 AND added = 0 AND inventory = 0 AS empty FROM (SELECT org_id, {_COUNT.format("'price_drop'")} AS drops, {_COUNT.format("'new_product'")} AS added,
-  {_COUNT.format("'out_of_stock','back_in_stock','low_stock'")} AS inventory FROM {{orgs}} JOIN {{org_competitors}} USING (org_id) LEFT JOIN ({_SIGNALS}) s USING (retailer_id) WHERE plan <> 'trial' GROUP BY 1) d""")
+  {_COUNT.format("'out_of_stock','back_in_stock','low_stock'")} AS inventory FROM {{orgs}} JOIN {{org_competitors}} USING (org_id) LEFT JOIN ({_SIGNALS}) s USING (shop_id) WHERE plan <> 'trial' GROUP BY 1) d""")
 def sig13_digest(price_obs, stock_obs, listings, competitors, orgs):
     return signals.digest(_signals(price_obs, stock_obs, listings), competitors, orgs)
 
 
 @query("price_obs stock_obs listings org_competitors", f"""SELECT org_id, count(CASE WHEN signal_type = 'price_drop' THEN 1 END) AS drops, count(CASE WHEN signal_type = 'new_product' THEN 1 END) AS added,
-  count(CASE WHEN signal_type IN ('low_stock','out_of_stock') THEN 1 END) AS low_or_out, max(ts) AS newest FROM {{org_competitors}} JOIN ({_SIGNALS}) s USING (retailer_id) GROUP BY 1""")
+  count(CASE WHEN signal_type IN ('low_stock','out_of_stock') THEN 1 END) AS low_or_out, max(ts) AS newest FROM {{org_competitors}} JOIN ({_SIGNALS}) s USING (shop_id) GROUP BY 1""")
 def sig14_overview_stats(price_obs, stock_obs, listings, competitors):
     return signals.overview_stats(_signals(price_obs, stock_obs, listings), competitors)
 
@@ -152,10 +152,10 @@ def cat04_popular_products(products, listings, price_obs):
     return catalog.product_summaries(products, listings, price_obs, 24)
 
 
-@query("listings price_obs stock_obs retailers", f"""SELECT product_id, row_number() OVER (PARTITION BY product_id ORDER BY amount ASC NULLS LAST, listing_id)::INT AS place, listing_id, name, amount, currency, coalesce(availability, 'unknown') AS availability
-  FROM {{listings}} LEFT JOIN ({_PRICES}) p USING (listing_id) LEFT JOIN (SELECT listing_id, availability FROM (SELECT *, {_LAST} AS rn FROM {{stock_obs}}) x WHERE rn = 1) s USING (listing_id) JOIN {{retailers}} USING (retailer_id) WHERE active""")
-def cat05_product_offers(listings, price_obs, stock_obs, retailers):
-    return catalog.product_offers(listings, price_obs, stock_obs, retailers)
+@query("listings price_obs stock_obs shops", f"""SELECT product_id, row_number() OVER (PARTITION BY product_id ORDER BY amount ASC NULLS LAST, listing_id)::INT AS place, listing_id, name, amount, currency, coalesce(availability, 'unknown') AS availability
+  FROM {{listings}} LEFT JOIN ({_PRICES}) p USING (listing_id) LEFT JOIN (SELECT listing_id, availability FROM (SELECT *, {_LAST} AS rn FROM {{stock_obs}}) x WHERE rn = 1) s USING (listing_id) JOIN {{shops}} USING (shop_id) WHERE active""")
+def cat05_product_offers(listings, price_obs, stock_obs, shops):
+    return catalog.product_offers(listings, price_obs, stock_obs, shops)
 
 
 @query("listings price_obs", f"SELECT product_id, strftime(ts, '%Y-%m-%d') AS day, min(amount) AS min_price FROM {{price_obs}} JOIN {{listings}} USING (listing_id) WHERE ts > {AS_OF} - INTERVAL {DAYS} DAYS GROUP BY 1, 2")
@@ -173,26 +173,26 @@ def seo01_latest_rank(serp_obs):
     return catalog.latest_rank(serp_obs)
 
 
-@query("serp_obs", f"WITH r AS ({_RANKS}) SELECT keyword_id, retailer_id, rank FROM r WHERE retailer_id <> 1 AND rank <= 20 AND keyword_id NOT IN (SELECT keyword_id FROM r WHERE retailer_id = 1)")
+@query("serp_obs", f"WITH r AS ({_RANKS}) SELECT keyword_id, shop_id, rank FROM r WHERE shop_id <> 1 AND rank <= 20 AND keyword_id NOT IN (SELECT keyword_id FROM r WHERE shop_id = 1)")
 def seo02_keyword_gaps(serp_obs):
     return catalog.keyword_gaps(serp_obs, own=1)
 
 
-@query("retailers crawl_runs listings", """SELECT retailer_id, name, run_id, status, started_at, coalesce(active_listings, 0) AS active_listings FROM {retailers}
-  LEFT JOIN (SELECT * FROM (SELECT retailer_id, run_id, status, started_at, row_number() OVER (PARTITION BY retailer_id ORDER BY started_at DESC, run_id DESC) AS rn FROM {crawl_runs}) x WHERE rn = 1) r USING (retailer_id)
-  LEFT JOIN (SELECT retailer_id, count(*) AS active_listings FROM {listings} WHERE active GROUP BY 1) l USING (retailer_id)""")
-def ops01_crawl_health_overview(retailers, runs, listings):
-    return catalog.crawl_health_overview(retailers, runs, listings)
+@query("shops crawl_runs listings", """SELECT shop_id, name, run_id, status, started_at, coalesce(active_listings, 0) AS active_listings FROM {shops}
+  LEFT JOIN (SELECT * FROM (SELECT shop_id, run_id, status, started_at, row_number() OVER (PARTITION BY shop_id ORDER BY started_at DESC, run_id DESC) AS rn FROM {crawl_runs}) x WHERE rn = 1) r USING (shop_id)
+  LEFT JOIN (SELECT shop_id, count(*) AS active_listings FROM {listings} WHERE active GROUP BY 1) l USING (shop_id)""")
+def ops01_crawl_health_overview(shops, runs, listings):
+    return catalog.crawl_health_overview(shops, runs, listings)
 
 
-@query("retailers listings price_obs", f"""SELECT retailer_id, (s + 180) // 360 AS tenth_hours, s IS NULL OR s > 129600 AS stale FROM (SELECT retailer_id, date_diff('second', max(ts), {AS_OF}) AS s FROM {{retailers}} LEFT JOIN {{listings}} USING (retailer_id) LEFT JOIN {{price_obs}} USING (listing_id) GROUP BY 1) x""")
-def ops02_data_freshness(retailers, listings, price_obs):
-    return catalog.data_freshness(retailers, listings, price_obs, AS_OF)
+@query("shops listings price_obs", f"""SELECT shop_id, (s + 180) // 360 AS tenth_hours, s IS NULL OR s > 129600 AS stale FROM (SELECT shop_id, date_diff('second', max(ts), {AS_OF}) AS s FROM {{shops}} LEFT JOIN {{listings}} USING (shop_id) LEFT JOIN {{price_obs}} USING (listing_id) GROUP BY 1) x""")
+def ops02_data_freshness(shops, listings, price_obs):
+    return catalog.data_freshness(shops, listings, price_obs, AS_OF)
 
 
-@query("retailers listings price_obs", f"""SELECT CASE WHEN bool_or(stale) THEN 'degraded' ELSE 'ok' END AS status, count(CASE WHEN stale THEN 1 END) AS stale FROM (SELECT retailer_id, max(ts) IS NULL OR date_diff('second', max(ts), {AS_OF}) > 129600 AS stale FROM {{retailers}} LEFT JOIN {{listings}} USING (retailer_id) LEFT JOIN {{price_obs}} USING (listing_id) GROUP BY 1) x""")
-def ops03_stale_retailers(retailers, listings, price_obs):
-    fresh = catalog.data_freshness(retailers, listings, price_obs, AS_OF)
+@query("shops listings price_obs", f"""SELECT CASE WHEN bool_or(stale) THEN 'degraded' ELSE 'ok' END AS status, count(CASE WHEN stale THEN 1 END) AS stale FROM (SELECT shop_id, max(ts) IS NULL OR date_diff('second', max(ts), {AS_OF}) > 129600 AS stale FROM {{shops}} LEFT JOIN {{listings}} USING (shop_id) LEFT JOIN {{price_obs}} USING (listing_id) GROUP BY 1) x""")
+def ops03_stale_shops(shops, listings, price_obs):
+    fresh = catalog.data_freshness(shops, listings, price_obs, AS_OF)
     return fresh.agg(F.when(F.bool_or("stale"), "degraded").otherwise("ok").alias("status"), F.count(F.when(F.col("stale"), 1)).alias("stale"))
 
 
@@ -214,18 +214,18 @@ def ops06_token_cost(runs):
     return runs.select("run_id", catalog.token_cost("tokens").alias("micro"))
 
 
-@query("crawl_runs", "SELECT retailer_id, sum(tokens)::BIGINT AS tokens, count(*) AS stages, arg_max(status, (started_at, run_id)) AS current FROM {crawl_runs} GROUP BY 1")
+@query("crawl_runs", "SELECT shop_id, sum(tokens)::BIGINT AS tokens, count(*) AS stages, arg_max(status, (started_at, run_id)) AS current FROM {crawl_runs} GROUP BY 1")
 def ops07_stage_rollup(runs):
     return health.stage_rollup(runs)
 
 
-@query("listings", "SELECT retailer_id, count(*) AS listings FROM {listings} GROUP BY 1")
+@query("listings", "SELECT shop_id, count(*) AS listings FROM {listings} GROUP BY 1")
 def ops08_product_counts(listings):
     return catalog.product_counts(listings)
 
 
 @query("listings", f"""WITH s AS (SELECT * FROM {{listings}} WHERE first_seen < TIMESTAMP '1999-01-01 00:00:00'), b AS (SELECT * FROM {{listings}} WHERE last_seen > TIMESTAMP '1998-01-01 00:00:00')
-  SELECT coalesce(s.url, b.url) AS url, CASE WHEN s.url IS NOT NULL THEN s.sku ELSE b.sku END AS sku, CASE WHEN s.url IS NOT NULL THEN s.retailer_id ELSE b.retailer_id END AS retailer_id, CASE WHEN s.url IS NOT NULL THEN s.first_seen ELSE b.first_seen END AS first_seen,
+  SELECT coalesce(s.url, b.url) AS url, CASE WHEN s.url IS NOT NULL THEN s.sku ELSE b.sku END AS sku, CASE WHEN s.url IS NOT NULL THEN s.shop_id ELSE b.shop_id END AS shop_id, CASE WHEN s.url IS NOT NULL THEN s.first_seen ELSE b.first_seen END AS first_seen,
   coalesce(b.product_id, s.product_id) AS product_id, coalesce(b.last_seen, s.last_seen) AS last_seen FROM s FULL JOIN b ON s.url = b.url""")
 def ing01_upsert_listings(listings):
     return ingest.upsert_listings(listings.filter("first_seen < TIMESTAMP '1999-01-01 00:00:00'"), listings.filter("last_seen > TIMESTAMP '1998-01-01 00:00:00'"))
@@ -308,7 +308,7 @@ def mat02_nearest_candidates(embeddings):
     return matching.nearest_candidates(embeddings)
 
 
-@query("listings", "SELECT retailer_id, product_id, count(DISTINCT sku) AS skus, count(*) AS listings, count(DISTINCT sku) > 1 AS conflict FROM {listings} WHERE active GROUP BY 1, 2")
+@query("listings", "SELECT shop_id, product_id, count(DISTINCT sku) AS skus, count(*) AS listings, count(DISTINCT sku) > 1 AS conflict FROM {listings} WHERE active GROUP BY 1, 2")
 def mat03_sku_conflict(listings):
     return matching.sku_conflicts(listings)
 
@@ -344,8 +344,8 @@ def mat08_review_backlog(embeddings):
 
 
 _PCT = "least(100, coalesce(CASE WHEN {1} <> 0 THEN (100 * {0}) // {1} END, 0))::BIGINT"
-_INPUTS = f"""SELECT run_id, retailer_id, started_at, status, CASE WHEN baseline IS NULL THEN 100 ELSE {_PCT.format('discovered', 'baseline')} END::BIGINT AS coverage, {_PCT.format('fetched', 'discovered')} AS endpoint, {_PCT.format('extracted', 'fetched')} AS extraction, {_PCT.format('priced', 'discovered')} AS price
-  FROM (SELECT *, lag(discovered) OVER (PARTITION BY retailer_id ORDER BY started_at, run_id) AS baseline FROM {{crawl_runs}} JOIN {{run_counts}} USING (run_id)) x"""
+_INPUTS = f"""SELECT run_id, shop_id, started_at, status, CASE WHEN baseline IS NULL THEN 100 ELSE {_PCT.format('discovered', 'baseline')} END::BIGINT AS coverage, {_PCT.format('fetched', 'discovered')} AS endpoint, {_PCT.format('extracted', 'fetched')} AS extraction, {_PCT.format('priced', 'discovered')} AS price
+  FROM (SELECT *, lag(discovered) OVER (PARTITION BY shop_id ORDER BY started_at, run_id) AS baseline FROM {{crawl_runs}} JOIN {{run_counts}} USING (run_id)) x"""
 _SCORE = f"SELECT *, CASE WHEN status = 'failed' OR extraction = 0 THEN 0 ELSE 3 * coverage + 3 * endpoint + 2 * extraction + 2 * price END::BIGINT AS score FROM ({_INPUTS}) i"
 _ANOM = f"""SELECT run_id, score, CASE WHEN a = '' AND score < 400 THEN 'unhealthy:critical' ELSE a END AS anomalies FROM (SELECT run_id, score, concat_ws(',', CASE WHEN coverage < 50 THEN 'catalog_drop:critical' WHEN coverage < 70 THEN 'catalog_drop:warning' END,
   CASE WHEN endpoint < 30 THEN 'endpoint_failure:critical' WHEN endpoint < 50 THEN 'endpoint_failure:warning' END, CASE WHEN extraction < 50 THEN 'extraction_drop:warning' END, CASE WHEN price < 70 THEN 'price_missing:warning' END) AS a FROM ({_SCORE}) s) x"""
@@ -370,16 +370,16 @@ def hlt03_health_anomalies(runs, counts):
     return health.health_anomalies(_scored(runs, counts))
 
 
-@query("crawl_runs run_counts", f"""SELECT retailer_id, max(CASE WHEN rn = 1 THEN score END) AS newest, CASE WHEN count(*) = 3 AND max(score) < 400 THEN 'rediscover' WHEN max(CASE WHEN rn = 1 THEN score END) BETWEEN 400 AND 699 THEN 'repair' ELSE 'none' END AS action
-  FROM (SELECT *, row_number() OVER (PARTITION BY retailer_id ORDER BY started_at DESC, run_id DESC) AS rn FROM ({_SCORE}) s) x WHERE rn <= 3 GROUP BY 1""")
+@query("crawl_runs run_counts", f"""SELECT shop_id, max(CASE WHEN rn = 1 THEN score END) AS newest, CASE WHEN count(*) = 3 AND max(score) < 400 THEN 'rediscover' WHEN max(CASE WHEN rn = 1 THEN score END) BETWEEN 400 AND 699 THEN 'repair' ELSE 'none' END AS action
+  FROM (SELECT *, row_number() OVER (PARTITION BY shop_id ORDER BY started_at DESC, run_id DESC) AS rn FROM ({_SCORE}) s) x WHERE rn <= 3 GROUP BY 1""")
 def hlt04_escalate(runs, counts):
     return health.escalate(_scored(runs, counts))
 
 
-@query("crawl_runs run_counts retailers", f"""SELECT retailer_id, score, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(domain, ''), lambda c: ascii(c)::BIGINT)), lambda a, x: (a * 31 + x) % 4294967296) % 3600 AS delay_s
-  FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY retailer_id ORDER BY started_at DESC, run_id DESC) AS rn FROM ({_SCORE}) s) x WHERE rn = 1 AND score < 500) y JOIN {{retailers}} USING (retailer_id)""")
-def hlt05_rediscovery_candidates(runs, counts, retailers):
-    return health.rediscovery_candidates(_scored(runs, counts), retailers)
+@query("crawl_runs run_counts shops", f"""SELECT shop_id, score, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(domain, ''), lambda c: ascii(c)::BIGINT)), lambda a, x: (a * 31 + x) % 4294967296) % 3600 AS delay_s
+  FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY shop_id ORDER BY started_at DESC, run_id DESC) AS rn FROM ({_SCORE}) s) x WHERE rn = 1 AND score < 500) y JOIN {{shops}} USING (shop_id)""")
+def hlt05_rediscovery_candidates(runs, counts, shops):
+    return health.rediscovery_candidates(_scored(runs, counts), shops)
 
 
 @query("crawl_runs run_counts", f"""SELECT run_id, concat_ws(',', CASE WHEN contains(anomalies, 'endpoint_failure') THEN 'header_refresh,endpoint_swap' END, CASE WHEN contains(anomalies, 'catalog_drop') THEN 'pagination_fix' END,
@@ -388,52 +388,52 @@ def hlt06_repair_plan(runs, counts):
     return health.repair_plan(health.health_anomalies(_scored(runs, counts)))
 
 
-@query("crawl_runs", "SELECT retailer_id, count(*) = 2 AND count(CASE WHEN status = 'failed' THEN 1 END) = 2 AS exhausted FROM (SELECT *, row_number() OVER (PARTITION BY retailer_id ORDER BY started_at DESC, run_id DESC) AS rn FROM {crawl_runs}) x WHERE rn <= 2 GROUP BY 1")
+@query("crawl_runs", "SELECT shop_id, count(*) = 2 AND count(CASE WHEN status = 'failed' THEN 1 END) = 2 AS exhausted FROM (SELECT *, row_number() OVER (PARTITION BY shop_id ORDER BY started_at DESC, run_id DESC) AS rn FROM {crawl_runs}) x WHERE rn <= 2 GROUP BY 1")
 def hlt07_repair_exhausted(runs):
     return health.repair_exhausted(runs)
 
 
-_HISTORY = "SELECT retailer_id, row_number() OVER (PARTITION BY retailer_id ORDER BY run_id)::INT AS version, run_id FROM {crawl_runs} WHERE status = 'completed'"
+_HISTORY = "SELECT shop_id, row_number() OVER (PARTITION BY shop_id ORDER BY run_id)::INT AS version, run_id FROM {crawl_runs} WHERE status = 'completed'"
 
 
 def _history(runs) -> DataFrame:
     from martlens.functions.latest import ranked
 
-    return runs.filter("status = 'completed'").select("retailer_id", ranked(["retailer_id"], F.col("run_id")).alias("version"), "run_id")
+    return runs.filter("status = 'completed'").select("shop_id", ranked(["shop_id"], F.col("run_id")).alias("version"), "run_id")
 
 
-@query("crawl_runs", f"""WITH h AS ({_HISTORY}), l AS (SELECT retailer_id, max(version) AS last FROM h GROUP BY 1) SELECT * FROM h UNION ALL
-  SELECT retailer_id, (coalesce(last, 0) + row_number() OVER (PARTITION BY retailer_id ORDER BY run_id))::INT, run_id FROM {{crawl_runs}} LEFT JOIN l USING (retailer_id) WHERE status = 'running'""")
+@query("crawl_runs", f"""WITH h AS ({_HISTORY}), l AS (SELECT shop_id, max(version) AS last FROM h GROUP BY 1) SELECT * FROM h UNION ALL
+  SELECT shop_id, (coalesce(last, 0) + row_number() OVER (PARTITION BY shop_id ORDER BY run_id))::INT, run_id FROM {{crawl_runs}} LEFT JOIN l USING (shop_id) WHERE status = 'running'""")
 def rec01_append_versions(runs):
-    return health.append_versions(_history(runs), runs.filter("status = 'running'").select("retailer_id", "run_id"))
+    return health.append_versions(_history(runs), runs.filter("status = 'running'").select("shop_id", "run_id"))
 
 
-@query("crawl_runs", f"WITH h AS ({_HISTORY}) SELECT * FROM h UNION ALL SELECT retailer_id, last + 1, run_id FROM h JOIN (SELECT retailer_id, max(version) AS last FROM h GROUP BY 1) l USING (retailer_id) WHERE version = 1")
+@query("crawl_runs", f"WITH h AS ({_HISTORY}) SELECT * FROM h UNION ALL SELECT shop_id, last + 1, run_id FROM h JOIN (SELECT shop_id, max(version) AS last FROM h GROUP BY 1) l USING (shop_id) WHERE version = 1")
 def rec02_rollback_version(runs):
     return health.rollback_version(_history(runs))
 
 
-@query("retailers crawl_runs", f"WITH h AS ({_HISTORY}) SELECT retailer_id, 1 AS version FROM {{retailers}} WHERE retailer_id NOT IN (SELECT retailer_id FROM h)")
-def rec03_backfill_versions(retailers, runs):
-    return retailers.join(_history(runs), "retailer_id", "left_anti").select("retailer_id", F.lit(1).alias("version"))
+@query("shops crawl_runs", f"WITH h AS ({_HISTORY}) SELECT shop_id, 1 AS version FROM {{shops}} WHERE shop_id NOT IN (SELECT shop_id FROM h)")
+def rec03_backfill_versions(shops, runs):
+    return shops.join(_history(runs), "shop_id", "left_anti").select("shop_id", F.lit(1).alias("version"))
 
 
-@query("crawl_runs", f"SELECT retailer_id, max(version) AS version, arg_max(run_id, version) AS run_id FROM ({_HISTORY}) h GROUP BY 1")
+@query("crawl_runs", f"SELECT shop_id, max(version) AS version, arg_max(run_id, version) AS run_id FROM ({_HISTORY}) h GROUP BY 1")
 def rec04_active_recipe(runs):
     return health.active_recipe(_history(runs))
 
 
-@query("crawl_runs", f"SELECT *, row_number() OVER (PARTITION BY retailer_id ORDER BY version DESC)::INT AS place FROM ({_HISTORY}) h QUALIFY place <= 10")
+@query("crawl_runs", f"SELECT *, row_number() OVER (PARTITION BY shop_id ORDER BY version DESC)::INT AS place FROM ({_HISTORY}) h QUALIFY place <= 10")
 def rec04_recent_versions(runs):
     return health.recent_versions(_history(runs))
 
 
 @query("crawl_runs run_counts", f"""SELECT run_id, current, candidate, candidate > 0 AND ((current < 700 AND candidate >= 700) OR candidate - current > 50) AS promote
-  FROM (SELECT run_id, score AS candidate, lag(score) OVER (PARTITION BY retailer_id ORDER BY started_at, run_id) AS current FROM ({_SCORE}) s) x WHERE current IS NOT NULL""")
+  FROM (SELECT run_id, score AS candidate, lag(score) OVER (PARTITION BY shop_id ORDER BY started_at, run_id) AS current FROM ({_SCORE}) s) x WHERE current IS NOT NULL""")
 def rec05_promotion_guard(runs, counts):
     from pyspark.sql import Window
 
-    w = Window.partitionBy("retailer_id").orderBy("started_at", "run_id")
+    w = Window.partitionBy("shop_id").orderBy("started_at", "run_id")
     pairs = _scored(runs, counts).select("run_id", F.col("score").alias("candidate"), F.lag("score").over(w).alias("current")).filter("current is not null")
     return health.promotion_guard(pairs)
 
@@ -475,12 +475,12 @@ def ben02_failure_causes(runs, counts):
     return health.failure_causes(runs, counts)
 
 
-@query("crawl_runs run_counts", f"SELECT retailer_id, count(*) AS runs, count(CASE WHEN outcome = 'Success' THEN 1 END) AS success, count(CASE WHEN outcome = 'Failed' THEN 1 END) AS failed FROM (SELECT retailer_id, {_OUTCOME} AS outcome FROM {{crawl_runs}} JOIN {{run_counts}} USING (run_id)) x GROUP BY ROLLUP (retailer_id)")
+@query("crawl_runs run_counts", f"SELECT shop_id, count(*) AS runs, count(CASE WHEN outcome = 'Success' THEN 1 END) AS success, count(CASE WHEN outcome = 'Failed' THEN 1 END) AS failed FROM (SELECT shop_id, {_OUTCOME} AS outcome FROM {{crawl_runs}} JOIN {{run_counts}} USING (run_id)) x GROUP BY ROLLUP (shop_id)")
 def ben03_success_rates(runs, counts):
     return health.success_rates(runs, counts)
 
 
-@query("org_competitors", "SELECT DISTINCT org_id, retailer_id FROM {org_competitors}")
+@query("org_competitors", "SELECT DISTINCT org_id, shop_id FROM {org_competitors}")
 def ten01_track_competitors(competitors):
     return tenancy.track_competitors(competitors.filter("org_id % 2 = 0"), competitors)
 
@@ -493,21 +493,21 @@ def ten02_plan_usage(orgs, competitors):
     return tenancy.plan_usage(orgs, competitors)
 
 
-@query("orgs org_competitors", f"""SELECT org_id, retailer_id, CASE WHEN place <= allowed THEN 'ready' ELSE 'failed' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY retailer_id) AS place FROM {{org_competitors}}) c JOIN ({_USAGE.replace(' AS over ', ' AS "over" ')}) u USING (org_id)""")
+@query("orgs org_competitors", f"""SELECT org_id, shop_id, CASE WHEN place <= allowed THEN 'ready' ELSE 'failed' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY shop_id) AS place FROM {{org_competitors}}) c JOIN ({_USAGE.replace(' AS over ', ' AS "over" ')}) u USING (org_id)""")
 def ten05_settle_waiting(orgs, competitors):
     return tenancy.settle_waiting(orgs, competitors)
 
 
-@query("listings retailers", "SELECT listing_id AS child_id, min(retailer_id) OVER (PARTITION BY retailer_id % 7) AS winner FROM {listings}")
-def ten06_merge_duplicate_retailers(listings, retailers):
-    names = retailers.select(F.col("retailer_id").alias("id"), (F.col("retailer_id") % 7).alias("key"))
-    return tenancy.merge_duplicates(listings.select(F.col("listing_id").alias("child_id"), (F.col("retailer_id") % 7).alias("key")), names)
+@query("listings shops", "SELECT listing_id AS child_id, min(shop_id) OVER (PARTITION BY shop_id % 7) AS winner FROM {listings}")
+def ten06_merge_duplicate_shops(listings, shops):
+    names = shops.select(F.col("shop_id").alias("id"), (F.col("shop_id") % 7).alias("key"))
+    return tenancy.merge_duplicates(listings.select(F.col("listing_id").alias("child_id"), (F.col("shop_id") % 7).alias("key")), names)
 
 
 _HOST = "regexp_replace(lower(regexp_extract(url, '^(?:https?://)?([^/?#:]+)', 1)), '^www\\.', '')"
 
 
-@query("pages", f"SELECT page_id, {_HOST} AS domain, substr(regexp_replace(regexp_replace({_HOST}, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 64) AS retailer_key FROM {{pages}}")
+@query("pages", f"SELECT page_id, {_HOST} AS domain, substr(regexp_replace(regexp_replace({_HOST}, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 64) AS shop_key FROM {{pages}}")
 def url01_domains(p):
     return pages.domains(p)
 
@@ -562,9 +562,9 @@ def url09_product_segments(p):
     return pages.product_segments(p)
 
 
-@query("retailers", "SELECT retailer_id, page, concat('https://', domain, '/list?page=', page) AS url FROM (SELECT *, unnest(range(1, 4))::INT AS page FROM {retailers}) x")
-def url14_expand_pagination(retailers):
-    return pages.expand_pagination(retailers)
+@query("shops", "SELECT shop_id, page, concat('https://', domain, '/list?page=', page) AS url FROM (SELECT *, unnest(range(1, 4))::INT AS page FROM {shops}) x")
+def url14_expand_pagination(shops):
+    return pages.expand_pagination(shops)
 
 
 @query("captures", "SELECT session, cookie, event_id, k FROM (SELECT *, row_number() OVER (PARTITION BY session, cookie ORDER BY ts, event_id) AS rn FROM {captures}) x WHERE rn = 1")
@@ -603,10 +603,10 @@ def src02_sitemap_urls(p):
     return pages.sitemap_urls(pages.sitemap_bodies(p))
 
 
-@query("retailers", "SELECT retailer_id AS site, concat('https://', domain, '/sitemap.xml') AS sitemap FROM {retailers}")
-def src04_robots_sitemaps(retailers):
+@query("shops", "SELECT shop_id AS site, concat('https://', domain, '/sitemap.xml') AS sitemap FROM {shops}")
+def src04_robots_sitemaps(shops):
     body = F.concat(F.lit("User-agent: *\nDisallow: /x\nSITEMAP:  https://"), "domain", F.lit("/sitemap.xml \n"))
-    return pages.robots_sitemaps(retailers.select(F.col("retailer_id").alias("site"), body.alias("body")))
+    return pages.robots_sitemaps(shops.select(F.col("shop_id").alias("site"), body.alias("body")))
 
 
 @query("listings", "SELECT listing_id, concat(url, '?aff=t1') AS link FROM {listings}")
@@ -673,10 +673,10 @@ def url24_redact_headers(captures):
     return captures.select("event_id", shown["Cookie"].alias("cookie"), shown["accept"].alias("accept"), F.size(sites.replay_headers(headers)).alias("replayed"))
 
 
-@query("retailers", "SELECT retailer_id, CASE WHEN retailer_id % 10 = 0 THEN concat('https://store', retailer_id, '.example.com') ELSE concat('https://', domain) END AS origin FROM {retailers}")
-def url03_store_aliases(retailers):
-    aliases = retailers.filter("retailer_id % 10 = 0").select(F.col("domain").alias("alias"), F.concat(F.lit("https://store"), F.col("retailer_id").cast("string"), F.lit(".example.com")).alias("origin"))
-    return sites.store_origins(retailers, aliases)
+@query("shops", "SELECT shop_id, CASE WHEN shop_id % 10 = 0 THEN concat('https://store', shop_id, '.example.com') ELSE concat('https://', domain) END AS origin FROM {shops}")
+def url03_store_aliases(shops):
+    aliases = shops.filter("shop_id % 10 = 0").select(F.col("domain").alias("alias"), F.concat(F.lit("https://store"), F.col("shop_id").cast("string"), F.lit(".example.com")).alias("origin"))
+    return sites.store_origins(shops, aliases)
 
 
 @query("run_counts", "SELECT run_id, (discovered - priced) / discovered AS unpriced, (discovered - priced) / discovered > 0.5 AS warn FROM {run_counts}")
@@ -684,21 +684,21 @@ def ext19_extraction_quality(counts):
     return sites.extraction_quality(counts)
 
 
-@query("retailers listings", "SELECT retailer_id, count(listing_id) AS products, count(listing_id) > 0 AS active FROM {retailers} LEFT JOIN (SELECT * FROM {listings} WHERE active AND retailer_id % 4 <> 0) l USING (retailer_id) GROUP BY 1")
-def ing09_listing_page_liveness(retailers, listings):
-    return sites.listing_liveness(retailers, listings.filter("active AND retailer_id % 4 <> 0"))
+@query("shops listings", "SELECT shop_id, count(listing_id) AS products, count(listing_id) > 0 AS active FROM {shops} LEFT JOIN (SELECT * FROM {listings} WHERE active AND shop_id % 4 <> 0) l USING (shop_id) GROUP BY 1")
+def ing09_listing_page_liveness(shops, listings):
+    return sites.listing_liveness(shops, listings.filter("active AND shop_id % 4 <> 0"))
 
 
-@query("org_competitors crawl_runs", """SELECT org_id, c.retailer_id, c.retailer_id % 2 = 0 AS active, run_id, status FROM {org_competitors} c LEFT JOIN
-  (SELECT * FROM {crawl_runs} QUALIFY row_number() OVER (PARTITION BY retailer_id ORDER BY started_at DESC, run_id DESC) = 1) r ON r.retailer_id = c.retailer_id AND c.retailer_id % 2 = 0""")
+@query("org_competitors crawl_runs", """SELECT org_id, c.shop_id, c.shop_id % 2 = 0 AS active, run_id, status FROM {org_competitors} c LEFT JOIN
+  (SELECT * FROM {crawl_runs} QUALIFY row_number() OVER (PARTITION BY shop_id ORDER BY started_at DESC, run_id DESC) = 1) r ON r.shop_id = c.shop_id AND c.shop_id % 2 = 0""")
 def ten03_onboarding_status(competitors, runs):
-    return sites.onboarding_status(competitors.withColumn("active", F.col("retailer_id") % 2 == 0), runs)
+    return sites.onboarding_status(competitors.withColumn("active", F.col("shop_id") % 2 == 0), runs)
 
 
-@query("org_competitors retailers", """WITH d AS (SELECT org_id, domain FROM {org_competitors} JOIN {retailers} USING (retailer_id))
+@query("org_competitors shops", """WITH d AS (SELECT org_id, domain FROM {org_competitors} JOIN {shops} USING (shop_id))
   SELECT org_id, domain FROM d WHERE EXISTS (SELECT 1 FROM d o WHERE o.domain = d.domain AND o.org_id <> d.org_id AND o.org_id % 5 = 0)""")
-def ten04_inflight_domains(competitors, retailers):
-    rows = competitors.join(retailers, "retailer_id").select("org_id", "domain")
+def ten04_inflight_domains(competitors, shops):
+    rows = competitors.join(shops, "shop_id").select("org_id", "domain")
     return sites.inflight_elsewhere(rows, rows.filter("org_id % 5 = 0"))
 
 

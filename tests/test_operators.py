@@ -14,7 +14,7 @@ def prices(spark, rows):
 
 
 def test_price_change_edges(spark):
-    listings = spark.createDataFrame([(i, 1, i) for i in range(6)], "listing_id long, retailer_id long, product_id long")
+    listings = spark.createDataFrame([(i, 1, i) for i in range(6)], "listing_id long, shop_id long, product_id long")
     obs = prices(spark, [
         (0, 100, "CAD", DAY, 1, 1),  # one observation
         (1, 100, "CAD", DAY, 1, 1), (1, 85, "CAD", DAY, 2, 1),  # a tie in time
@@ -29,20 +29,20 @@ def test_price_change_edges(spark):
 
 
 def test_fanout_arrays_and_severity(spark):
-    sig = spark.createDataFrame([("a", 7, "price_drop", "notable", DAY)], "signal_id string, retailer_id long, signal_type string, severity string, ts timestamp_ntz")
+    sig = spark.createDataFrame([("a", 7, "price_drop", "notable", DAY)], "signal_id string, shop_id long, signal_type string, severity string, ts timestamp_ntz")
     rules = spark.createDataFrame([(1, 1, "", None, "notable", True), (2, 2, "new_product", None, "info", True), (3, 3, "price_drop", 8, "info", True), (4, 4, "", None, "info", False), (5, 5, "", None, "critical", True)],
-                                  "org_id long, rule_id long, signal_types string, only_retailer long, min_severity string, enabled boolean")
-    competitors = spark.createDataFrame([(i, 7) for i in range(1, 6)], "org_id long, retailer_id long")
+                                  "org_id long, rule_id long, signal_types string, only_shop long, min_severity string, enabled boolean")
+    competitors = spark.createDataFrame([(i, 7) for i in range(1, 6)], "org_id long, shop_id long")
     assert [r.rule_id for r in signals.alert_fanout(sig, rules, competitors).collect()] == [1]
 
 
-def test_recent_signals_of_no_retailer(spark):
-    sig = spark.createDataFrame([("a", 7, "price_drop", "notable", DAY)], "signal_id string, retailer_id long, signal_type string, severity string, ts timestamp_ntz")
+def test_recent_signals_of_no_shop(spark):
+    sig = spark.createDataFrame([("a", 7, "price_drop", "notable", DAY)], "signal_id string, shop_id long, signal_type string, severity string, ts timestamp_ntz")
     assert signals.recent_signals(sig, []).count() == 0
 
 
 def test_own_rank_below_top_is_no_gap(spark):
-    serp = spark.createDataFrame([("k", 1, 90, DAY, 1), ("k", 2, 3, DAY, 2), ("j", 2, 3, DAY, 3)], "keyword_id string, retailer_id long, rank int, ts timestamp_ntz, o long")
+    serp = spark.createDataFrame([("k", 1, 90, DAY, 1), ("k", 2, 3, DAY, 2), ("j", 2, 3, DAY, 3)], "keyword_id string, shop_id long, rank int, ts timestamp_ntz, o long")
     assert [r.keyword_id for r in catalog.keyword_gaps(serp, own=1).collect()] == ["j"]
 
 
@@ -101,7 +101,7 @@ def test_sitemaps_and_stages_stay_bounded(spark):
     bodies = pages.sitemap_bodies(rows, 10)
     assert sorted(r.body.count("<loc>") for r in bodies.collect()) == [5, 10, 10]
     assert pages.sitemap_urls(bodies).distinct().count() == 25
-    runs = spark.createDataFrame([(1, 7, DAY, "failed", 3), (2, 7, DAY, "running", 4)], "run_id long, retailer_id long, started_at timestamp_ntz, status string, tokens long")
+    runs = spark.createDataFrame([(1, 7, DAY, "failed", 3), (2, 7, DAY, "running", 4)], "run_id long, shop_id long, started_at timestamp_ntz, status string, tokens long")
     rolled = health.stage_rollup(runs)
     assert [tuple(r) for r in rolled.collect()] == [(7, 7, 2, "running")]
     assert "collect_list" not in rolled._jdf.queryExecution().toString()
