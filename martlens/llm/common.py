@@ -1,22 +1,28 @@
-"""What the operators share: the scratch folder, checkpoints and blocks of text bytes."""
+"""What the operators share: the scratch folder, checkpoints, joins over heavy keys and blocks of text bytes."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) a folder below /tmp is chosen and set.
+    Only where that is unset and all runs in one process (tests, a laptop) a folder below /tmp is chosen and set; on a cluster, whose
+    machines share no /tmp, that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file:///tmp/martlens-checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -24,8 +30,14 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{scratch_root(spark)}/martlens/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, below one folder for each application."""
+    return f"{scratch_root(spark)}/martlens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes what this application wrote to the shared folder. DataFrames that the operators returned can't be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/martlens/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pinned(df: DataFrame, name: str) -> DataFrame:
@@ -35,16 +47,68 @@ def pinned(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """``wanted``, each with as many underscores behind it as it takes to clash with no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_heavy(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int, how: str = "inner", most: int = 1000) -> DataFrame:
+    """``rows`` joined with ``table`` (one row for each key; ``count``: how many rows have it) without a task for a heavy key.
+
+    Keys with more than a share of 1 / ``most`` of all ``total`` rows, of which there can't be more than ``most``, are sent to every
+    task; the other keys are shuffled. Null keys find nothing.
+    """
+    heavy = F.col(count) > max(1, total // most)
+    sent = F.broadcast(table.filter(heavy).withColumn("heavy_", F.lit(True)))
+    marked = rows.join(sent, keys, "left")
+    light = marked.filter("heavy_ IS NULL").select(*rows.columns).join(table.filter(~heavy), keys, how)
+    return marked.filter("heavy_").drop("heavy_").unionByName(light)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library has a call for it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def _returning(function: Callable) -> Callable:
+    """``function`` over batches, giving freed memory back to the system after each batch that it has read.
+
+    Workers live on from task to task, next to an executor's heap: what an allocator keeps for later is missing there.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                del batch
+                give_back()
+
+        yield from function(each())
+        give_back()
+
+    return run
+
+
 def map_texts(df: DataFrame, function: Callable, schema, rows: int = 2048, megabytes: int = 4) -> DataFrame:
     """``df.mapInArrow`` for rows with whole texts: the session's Arrow batches are lowered to ``rows`` rows, the rows of a block, and ``megabytes``.
 
-    Spark's own 10,000 rows with texts take tens of megabytes in the executor and again in its Python worker.
+    Spark's own 10,000 rows with texts take tens of megabytes in the executor and again in its Python worker. Spark reads the setting
+    when the plan runs, so it stays in the session; a lower one of the user's stays as it is.
     """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= rows:
         conf.set(name, str(rows))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(_returning(function), schema)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,9 +134,12 @@ def blocks(column: pa.Array, limit: int = 1 << 18, rows: int = 2048) -> Iterator
 
 
 def file_system(path: str):
-    """The Arrow file system of a path or URI in the shared folder, and the path in it."""
+    """The Arrow file system of a path or URI in the shared folder, and the path in it. Hadoop's names of S3 are Arrow's s3."""
     from pyarrow import fs
 
+    for scheme in ("s3a://", "s3n://"):
+        if path.startswith(scheme):
+            path = "s3://" + path[len(scheme) :]
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 

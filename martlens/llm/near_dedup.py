@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martlens.llm.bytewords import mix, shingles, words
-from martlens.llm.common import blocks, map_texts, pinned
+from martlens.llm.common import blocks, free_names, join_heavy, map_texts, pinned
 
 _U = np.uint64
 SKETCH = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, odd array<long>"
@@ -82,17 +82,29 @@ def sketch(docs: DataFrame, size: int, bands: int, width: int, seed: int) -> Dat
 
 
 def marks(rows: DataFrame, ids: DataFrame, bits: int = 1 << 24) -> DataFrame:
-    """``rows`` with marked: may the doc_id be in ``ids``? Each id sets a bit of a bitmap of bounded size, whatever their number."""
-    at = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))
-    word, bit = F.shiftright(at, 6), at.bitwiseAND(F.lit(63)).cast("int")
-    masks = ids.select(word.alias("mark_word"), bit.alias("bit")).groupBy("mark_word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mark_mask"))
+    """``rows`` with marked, in the last place: may the doc_id be in ``ids``? Each id sets a bit of a bitmap of bounded size, whatever their number."""
+    word, mask, at, marked = free_names(rows, "mark_word", "mark_mask", "mark_at", "marked")
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))
+    part, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
+    masks = ids.select(part.alias(word), bit.alias("bit")).groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias(mask))
     # At most bits / 64 rows, so that they can be sent to every task.
-    hit = rows.withColumn("mark_at", word).join(F.broadcast(masks), F.col("mark_at") == F.col("mark_word"), "left")
-    return hit.withColumn("marked", F.coalesce(F.getbit("mark_mask", bit) == 1, F.lit(False))).select(*rows.columns, "marked")
+    hit = rows.withColumn(at, part).join(F.broadcast(masks), F.col(at) == F.col(word), "left")
+    return hit.withColumn(marked, F.coalesce(F.getbit(mask, bit) == 1, F.lit(False))).select(*rows.columns, marked)
+
+
+def _sliced(pairs: DataFrame, side: str, other: str, total: int, each: int = 256) -> DataFrame:
+    """``pairs`` with slice_<side>: the partners of a vertex are dealt to as many slices as ``each`` of them need."""
+    k = f"k_{side}"
+    counts = pairs.groupBy(side).agg(F.count("*").alias(k))
+    slices = F.ceil(F.col(k) / each)
+    return join_heavy(pairs, counts, [side], k, total).withColumn(f"slice_{side}", F.pmod(F.xxhash64(other), slices)).drop(k)
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose documents' full sets have 100 * intersection >= percent * union."""
+    """Those (a, b) of ``pairs`` whose documents' full sets have 100 * intersection >= percent * union.
+
+    A document of very many pairs has its text sent once for each slice of them, so that they don't meet in one task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,9 +130,13 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
     # Only the texts that the joins need are shuffled, and the few others that share a bit with one.
     texts = marks(docs.select(F.col("doc_id").cast("long"), "text"), needed).filter("marked").select("doc_id", "text")
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    with_both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-    return map_texts(with_both, run, "a long, b long").distinct()
+    total = pairs.count()
+    placed = pinned(_sliced(_sliced(pairs, "a", "b", total), "b", "a", total), "slices")
+    both = placed
+    for side in ("b", "a"):
+        own = placed.select(side, f"slice_{side}").distinct().join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"t{side}")), side)
+        both = both.join(own, [side, f"slice_{side}"])
+    return map_texts(both.select("a", "b", "ta", "tb"), run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -152,68 +168,91 @@ def possible(nx: str, x: str, ny: str, y: str, percent: int) -> Column:
     return close(F.col(nx), F.col(ny), percent) & (differ * (100 + percent) <= (100 - percent) * (F.col(nx) + F.col(ny)))
 
 
-def _unresolved(named: DataFrame) -> DataFrame:
+def _unresolved(named: DataFrame, total: int) -> DataFrame:
     """Rows of (bucket, rep, component, ...) in buckets of several components, with main: the bucket's component of the most."""
     sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    return named.join(main.select("bucket", "main"), "bucket")
+    main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("in_bucket"), F.count("*").alias("parts")).filter("parts > 1")
+    return join_heavy(named, main.select("bucket", "main", "in_bucket"), ["bucket"], "in_bucket", total)
+
+
+def _merged(found: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``found`` (v, component) after the links ``fresh`` (a, b): only the components that these join are labelled anew."""
+    named = lambda side: found.select(F.col("v").alias(side), F.col("component").alias(f"c{side}"))
+    of = lambda side: F.coalesce(f"c{side}", side)
+    ends = fresh.join(named("a"), "a", "left").join(named("b"), "b", "left")
+    moved = components(ends.select(of("a").alias("a"), of("b").alias("b")).filter("a <> b")).select(F.col("v").alias("component"), F.col("component").alias("to"))
+    every = found.union(fresh.select(F.col("a").alias("v")).union(fresh.select("b")).distinct().join(found, "v", "left_anti").select("v", F.col("v").alias("component")))
+    return pinned(every.join(moved, "component", "left").select("v", F.coalesce("to", "component").alias("component")), "labels")
 
 
 def near_duplicates(
-    docs: DataFrame, shingle_size: int = 5, percent: int = 80, bands: int = 24, width: int = 4, small: int = 24, wave_pairs: int = 50_000_000, seed: int = 7
+    docs: DataFrame, shingle_size: int = 5, percent: int = 80, bands: int = 24, width: int = 4, small: int = 24, wave_pairs: int = 50_000_000, slice_rows: int = 256, seed: int = 7
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text).
 
     bands of ``width`` values each: with 24 bands of 4, a pair at similarity 0.8 is no candidate with probability 3e-6.
-    small: largest bucket whose pairs are all candidates at once. wave_pairs: pairs looked at at a time in what larger buckets leave.
+    small: largest bucket whose pairs are all candidates at once. wave_pairs: pairs looked at at a time in what larger buckets leave,
+    where ``slice_rows`` rows of a bucket meet in a task. An empty table gives an empty result.
     """
     if width % 2:
         raise ValueError("a band holds minima with their maxima: width must be even")
     rows = pinned(sketch(docs, shingle_size, bands, width, seed), "sketch")
-    real = rows.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    sets = pinned(real.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("odd", "doc_id").alias("odd")), "sets")
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    real = rows.filter(linked)
+    sets = real.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("odd", "doc_id").alias("odd"))
+    sets = pinned(sets, "sets")
+    n_rows, n_sets = rows.count(), sets.count()
     # A doc_id that stands for several sets joins them.
-    repeated = real.select("doc_id", "s1", "s2").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    same = real.join(repeated, "doc_id").join(sets, ["s1", "s2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).filter("a <> b").distinct()
+    named = real.select("doc_id", "s1", "s2").distinct()
+    repeated = named.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    same = named.join(repeated, "doc_id").join(sets, ["s1", "s2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).filter("a <> b").distinct()
 
     entries = sets.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    buckets = entries.groupBy("bucket").agg(F.count("*").alias("m"), F.min(F.struct("rep", "n")).alias("least")).filter("m > 1")
-    entries = pinned(entries.join(buckets, "bucket").select("bucket", "rep", "n", "m", "least"), "entries")
+    buckets = entries.groupBy("bucket").agg(F.count("*").alias("m"), F.min("rep").alias("least"), F.min_by("n", "rep").alias("least_n")).filter("m > 1")
+    entries = pinned(join_heavy(entries, pinned(buckets, "buckets"), ["bucket"], "m", n_sets * bands), "entries")
     few, many = entries.filter(F.col("m") <= small), entries.filter(F.col("m") > small)
     other = few.select("bucket", F.col("rep").alias("rep2"), F.col("n").alias("n2"))
     pairs = few.join(other, "bucket").filter((F.col("rep") < F.col("rep2")) & close(F.col("n"), F.col("n2"), percent)).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-    stars = many.filter((F.col("rep") > F.col("least.rep")) & close(F.col("n"), F.col("least.n"), percent)).select(F.col("least.rep").alias("a"), F.col("rep").alias("b"))
-    pairs = pairs.union(stars).distinct()
+    stars = many.filter((F.col("rep") > F.col("least")) & close(F.col("n"), F.col("least_n"), percent)).select(F.col("least").alias("a"), F.col("rep").alias("b"))
+    pairs = pinned(pairs.union(stars).distinct(), "candidates")
     side = lambda k: sets.select(F.col("rep").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("odd").alias(f"odd{k}"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(possible("na", "odda", "nb", "oddb", percent)).select("a", "b").distinct()
-    pairs = pinned(pairs, "pairs")
+    total = pairs.count()
+    placed = _sliced(_sliced(pairs, "a", "b", total), "b", "a", total)
+    placed = pinned(placed, "slices")
+    narrow = placed
+    for k in ("b", "a"):
+        narrow = narrow.join(placed.select(k, f"slice_{k}").distinct().join(side(k), k), [k, f"slice_{k}"])
+    pairs = pinned(narrow.filter(possible("na", "odda", "nb", "oddb", percent)).select("a", "b"), "pairs")
     links = pinned(confirm(pairs, docs, shingle_size, percent).union(same), "links")
     found = components(links)
 
     # Larger buckets: what isn't in the component of the most is compared with all of other components.
-    many = many.select("bucket", "rep", "n")
-    if many.limit(1).count():
+    many = many.select("bucket", "rep", "n", "m")
+    n_many = many.count()
+    if n_many:
         many = pinned(many.join(sets.select("rep", "odd"), "rep"), "many")
         # Which rows are outside their bucket's main component is fixed before the first wave: were it told anew in each, a change of
         # the main component would leave pairs out, one side of which was main when it was due and is due no more.
         found_now = lambda rows: rows.join(found.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        fixed = _unresolved(found_now(many)).withColumn("outside", F.col("component") != F.col("main")).drop("component", "main")
+        fixed = _unresolved(found_now(many), n_many).withColumn("outside", F.col("component") != F.col("main")).drop("component", "main", "in_bucket")
         fixed = pinned(fixed, "outside")
         sizes = fixed.groupBy("bucket").agg(F.count("*").alias("m"), F.count(F.when(F.col("outside"), 1)).alias("stray"))
         waves = -(-(sizes.agg(F.sum(F.col("m") * F.col("stray"))).first()[0] or 0) // wave_pairs)
         for wave in range(waves):
-            open_ = pinned(_unresolved(found_now(fixed)), "open")
+            open_ = pinned(_unresolved(found_now(fixed), n_many), "open")
             turn = F.pmod(F.xxhash64("rep"), F.lit(waves)) == wave
-            stray = open_.filter(F.col("outside") & turn).select("bucket", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("odd").alias("oddx"), F.col("component").alias("cx"))
-            more = stray.join(open_, (stray["bucket"] == open_["bucket"]) & (F.col("cx") != F.col("component")) & possible("nx", "oddx", "n", "odd", percent))
+            slices = F.ceil(F.col("m") / slice_rows)
+            stray = open_.filter(F.col("outside") & turn).select(
+                "bucket", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("odd").alias("oddx"), F.col("component").alias("cx"), F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)).alias("slice")
+            )
+            dealt = open_.withColumn("slice", F.pmod(F.xxhash64("rep", F.lit(1)), slices))
+            more = stray.join(dealt, ["bucket", "slice"]).filter((F.col("cx") != F.col("component")) & possible("nx", "oddx", "n", "odd", percent))
             more = more.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
             fresh = pinned(confirm(pinned(more, "pairs"), docs, shingle_size, percent), "links")
             if fresh.limit(1).count():
-                links = links.union(fresh)
-                found = components(links)
+                found = _merged(found, fresh)
 
-    vertex = sets.select("s1", "s2", F.col("rep")).join(found.withColumnRenamed("v", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "s1", "s2").join(vertex, ["s1", "s2"], "left")
-    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    component = F.when(linked, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    vertex = sets.select("s1", "s2", "copies", "rep").join(found.withColumnRenamed("v", "rep"), "rep", "left").select("s1", "s2", "copies", F.coalesce("component", "rep").alias("component"))
+    out = join_heavy(rows.filter(linked).select("doc_id", "n_shingles", "s1", "s2"), pinned(vertex, "vertices"), ["s1", "s2"], "copies", n_rows)
+    named = out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
+    return named.unionByName(rows.filter(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
