@@ -3,7 +3,8 @@
 Every round range-sorts the open pieces and the gaps of the begun sequences together by size. Each task sweeps its range for
 successors: from the large end, a piece takes the smallest free gap before it that holds it, and of several pieces that want a
 gap the one of the highest rank gets it. What a range leaves over is matched across ranges by its nesting level, from a prefix
-sum of two counts a range. Then the gaps are updated and the next round begins. Pieces that fit no gap begin sequences.
+sum of two counts a range. Then the gaps are updated and the next round begins. Pieces that fit no gap begin sequences. A bundle of tiny pieces counts as a
+piece.
 
 Cases: a null or empty text is a document of the closing id alone. Repeated rows and repeated or null doc_ids are packed row by
 row. An empty table gives an empty result. Other columns of the input aren't read.
@@ -24,6 +25,8 @@ from martlens.llm.common import map_texts, pinned
 from martlens.llm.tokens import Encoder, default_path
 
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
+SPOTS = "id long, sequence_id long, offset long"
+BUNDLED = "uid long, length long, item long, inner long"
 _SWEPT = "kind int, id long, size long, seq long, off long, part int, rank long"
 #: kind: a free gap, an open piece, a placed piece, a gap that a placed piece has left.
 GAP, PIECE, PLACED, REST = 0, 1, 2, 3
@@ -75,21 +78,27 @@ def _next_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]
     return bins, total[:-1] - total[np.array(cuts, np.int64)[bins]] if len(sizes) else total[:-1]
 
 
+def _match(kind: np.ndarray, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gaps, pieces, free) of one range, sorted from the largest, gaps before pieces of their size: places of matched pairs, and what stays."""
+    depth = np.cumsum(np.where(kind == GAP, 1, -1))
+    level = np.where(kind == GAP, depth, depth + 1)
+    order = np.argsort(level, kind="stable")
+    pair = np.flatnonzero((level[order[:-1]] == level[order[1:]]) & (kind[order[:-1]] == GAP) & (kind[order[1:]] == PIECE))
+    gap, piece = order[pair], order[pair + 1]
+    free = np.ones(len(kind), bool)
+    free[gap] = free[piece] = False
+    return gap, piece, free
+
+
 def _sweep(capacity: int):
-    """Successor sweep of one range, its rows sorted from the largest, gaps before pieces of their size."""
+    """Successor sweep of one range."""
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, ids, size = _read_all(batches, 3)
         if not len(kind):
             return
         part = TaskContext.get().partitionId()
-        depth = np.cumsum(np.where(kind == GAP, 1, -1))
-        level = np.where(kind == GAP, depth, depth + 1)
-        order = np.argsort(level, kind="stable")
-        pair = np.flatnonzero((level[order[:-1]] == level[order[1:]]) & (kind[order[:-1]] == GAP) & (kind[order[1:]] == PIECE))
-        gap, piece = order[pair], order[pair + 1]
-        free = np.ones(len(kind), bool)
-        free[gap] = free[piece] = False
+        gap, piece, free = _match(kind, ids, size)
         none = lambda n: np.full(n, -1)
         here = lambda n: np.full(n, part)
         n = len(gap)
@@ -118,6 +127,44 @@ def _begin(capacity: int):
     return begin
 
 
+def _rounds(capacity: int, need: int):
+    """All rounds that are left, of items that fit one range: the same sweeps and beginnings, one round after another in the task."""
+
+    def rounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, ids, size = _read_all(batches, 3)
+        first = need > 0
+        while (kind == PIECE).any():
+            order = np.lexsort((ids, kind, -size))
+            kind, ids, size = kind[order], ids[order], size[order]
+            gap, piece, free = _match(kind, ids, size)
+            placed, rest = [(ids[piece], ids[gap], capacity - size[gap])], [(ids[gap], size[gap] - size[piece])]
+            open_, gaps = np.flatnonzero(free & (kind == PIECE)), np.flatnonzero(free & (kind == GAP))
+            rest.append((ids[gaps], size[gaps]))
+            if first:
+                begun, left = open_[:need], open_[need:]
+                placed.append((ids[begun], ids[begun], np.zeros(len(begun), np.int64)))
+                rest.append((ids[begun], capacity - size[begun]))
+            else:
+                widest = max((r[1].max() for r in rest if len(r[1])), default=0)
+                over, left = open_[size[open_] > widest], open_[size[open_] <= widest]
+                bins, off = _next_fit(size[over], capacity)
+                if len(over):
+                    head = ids[over][np.searchsorted(bins, np.arange(bins[-1] + 1))]
+                    placed.append((ids[over], head[bins], off))
+                    rest.append((head, capacity - np.bincount(bins, size[over]).astype(np.int64)))
+            for item, sequence, at in placed:
+                if len(item):
+                    yield _rows(SPOTS, item, sequence, at)
+            least = size[left].min() if len(left) else capacity + 1
+            gap_ids, gap_sizes = (np.concatenate([r[k] for r in rest]) for k in (0, 1))
+            keep = gap_sizes >= least
+            kind = np.concatenate([np.full(len(left), PIECE), np.full(int(keep.sum()), GAP)])
+            ids, size = np.concatenate([ids[left], gap_ids[keep]]), np.concatenate([size[left], gap_sizes[keep]])
+            first = False
+
+    return rounds
+
+
 def _bundles(limit: int):
     """Items of many tiny pieces: next fit over each task's pieces up to ``limit``."""
 
@@ -125,29 +172,36 @@ def _bundles(limit: int):
         for b in batches:
             uid, size = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             bins, off = _next_fit(size, limit)
-            yield _rows("uid long, length long, item long, inner long", uid, size, uid[np.searchsorted(bins, np.arange(bins[-1] + 1))][bins] if len(uid) else uid, off)
+            yield _rows(BUNDLED, uid, size, uid[np.searchsorted(bins, np.arange(bins[-1] + 1))][bins] if len(uid) else uid, off)
 
     return bundle
 
 
 def place(items: DataFrame, capacity: int = 4096, rows_per_task: int = 200_000) -> DataFrame:
-    """(id, sequence_id, offset) of every item (id long unique, size long from 1 to ``capacity``)."""
+    """(id, sequence_id, offset) of every item (id long unique, size long from 1 to ``capacity``).
+
+    Rounds over several ranges are jobs. Once pieces and gaps are few enough for one range, the same rounds go on in its task.
+    """
     spark = items.sparkSession
+    is_ = lambda k: F.col("kind") == k
     pieces, gaps = items.select("id", "size"), None
+    n_pieces, total, large = items.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.count(F.when(F.col("size") > capacity // 2, 1))).first()
+    # As many sequences as the lengths or the large pieces need at least; the largest pieces begin them.
+    need = max(-(-total // capacity), large)
     placed: list[DataFrame] = []
-    n_pieces, n_gaps, first = pieces.count(), 0, True
+    n_gaps, first = 0, True
     while n_pieces:
         both = pieces.select(F.lit(PIECE).alias("kind"), "id", "size")
         if gaps is not None:
             both = both.unionByName(gaps.select(F.lit(GAP).alias("kind"), "id", "size"))
         tasks = max(1, -(-(n_pieces + n_gaps) // rows_per_task))
+        if tasks == 1:
+            placed.append(pinned(both.coalesce(1).mapInArrow(_rounds(capacity, need if first else 0), SPOTS), "pack-rounds"))
+            break
         by = [F.col("size").desc(), F.col("kind"), F.col("id")]
-        both = (both.repartitionByRange(tasks, *by) if tasks > 1 else both.coalesce(1)).sortWithinPartitions(*by)
-        swept = pinned(both.mapInArrow(_sweep(capacity), _SWEPT), "pack-sweep")
-        is_ = lambda k: F.col("kind") == k
+        swept = pinned(both.repartitionByRange(tasks, *by).sortWithinPartitions(*by).mapInArrow(_sweep(capacity), _SWEPT), "pack-sweep")
         ranges = swept.groupBy("part").agg(
             F.count(F.when(is_(PIECE), 1)).alias("pieces"), F.count(F.when(is_(GAP), 1)).alias("gaps"), F.count(F.when(is_(PLACED), 1)).alias("placed"),
-            F.sum(F.when(is_(PIECE), F.col("size"))).alias("length"), F.count(F.when(is_(PIECE) & (F.col("size") > capacity // 2), 1)).alias("large"),
             F.max(F.when(is_(GAP) | is_(REST), F.col("size"))).alias("gap"), F.min(F.when(is_(PIECE), F.col("size"))).alias("least"),
         ).orderBy("part").collect()  # a row for each range, not for each piece
         depth = opened = across = 0
@@ -156,7 +210,6 @@ def place(items: DataFrame, capacity: int = 4096, rows_per_task: int = 200_000)
             match = min(r.pieces, depth)
             scan.append((r.part, depth, match, opened))
             depth, opened, across = depth - match + r.gaps, opened + r.pieces - match, across + match
-        total = sum(r.length or 0 for r in ranges)
         left, rest = swept.filter(is_(PIECE)), swept.filter(is_(REST)).select("id", "size")
         placed.append(swept.filter(is_(PLACED)).select("id", F.col("seq").alias("sequence_id"), F.col("off").alias("offset")))
         ranks = F.broadcast(spark.createDataFrame(scan, "part int, depth long, match long, before long"))
@@ -175,13 +228,13 @@ def place(items: DataFrame, capacity: int = 4096, rows_per_task: int = 200_000)
         else:
             rest = rest.unionByName(swept.filter(is_(GAP)).select("id", "size"))
         left = left.join(ranks, "part").filter(F.col("rank") >= F.col("match")).withColumn("order", F.col("before") + F.col("rank") - F.col("match"))
+        n_gaps = depth + sum(r.placed for r in ranges) + across
         if first:
-            # As many sequences as the lengths or the large pieces need at least; the largest pieces begin them.
-            need = max(-(-total // capacity), sum(r.large for r in ranges))
             begun = left.filter(F.col("order") < need)
             placed.append(begun.select("id", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
             rest = rest.unionByName(begun.select("id", (capacity - F.col("size")).alias("size")))
             left = left.filter(F.col("order") >= need)
+            n_gaps, n_pieces = n_gaps + min(need, opened), max(0, opened - need)
         else:
             widest = max((r.gap or 0 for r in ranges), default=0)
             over = left.filter(F.col("size") > widest)
@@ -190,10 +243,9 @@ def place(items: DataFrame, capacity: int = 4096, rows_per_task: int = 200_000)
             placed.append(begun.filter(is_(PLACED)).select("id", F.col("seq").alias("sequence_id"), F.col("off").alias("offset")))
             rest = rest.unionByName(begun.filter(is_(REST)).select("id", "size"))
             left = left.filter(F.col("size") <= widest)
+            n_pieces = left.count()
         least = min((r.least for r in ranges if r.least is not None), default=1)
         gaps, pieces = rest.filter(F.col("size") >= least), left.select("id", "size")
-        n_gaps = depth + sum(r.placed for r in ranges) + across
-        n_pieces = pieces.count() if not first else max(0, opened - need)
         first = False
     out = placed[0] if placed else items.select("id", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     for p in placed[1:]:
@@ -204,19 +256,14 @@ def place(items: DataFrame, capacity: int = 4096, rows_per_task: int = 200_000)
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096, closing_id: int = 1, rows_per_task: int = 200_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of ``docs`` (doc_id, text).
 
-    Where sequences would get more than 24 pieces on average, pieces up to a sixteenth of ``capacity`` are first bundled, so
-    that the number of rounds doesn't follow the number of tiny documents.
+    Pieces up to a 32nd of ``capacity`` are first bundled, up to that length, so that the number of rounds, which is about that
+    of the items of a sequence, doesn't follow the number of tiny documents.
     """
     pieces = pinned(cut_pieces(docs, tokenizer or default_path(), capacity, closing_id), "pack-pieces")
-    n, total = pieces.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-    if n > 24 * -(-total // capacity):
-        limit = max(1, capacity // 16)
-        tiny = pieces.filter(F.col("length") <= limit).select("uid", "length").mapInArrow(_bundles(limit), "uid long, length long, item long, inner long")
-        tiny = pinned(tiny, "pack-bundles")
-        items = tiny.groupBy("item").agg(F.sum("length").alias("size")).select(F.col("item").alias("id"), "size")
-        items = items.unionByName(pieces.filter(F.col("length") > limit).select(F.col("uid").alias("id"), F.col("length").alias("size")))
-        inner = tiny.select("uid", "item", "inner").unionByName(pieces.filter(F.col("length") > limit).select("uid", F.col("uid").alias("item"), F.lit(0).cast("long").alias("inner")))
-        spots = inner.join(place(items, capacity, rows_per_task).withColumnRenamed("id", "item"), "item").select("uid", "sequence_id", (F.col("offset") + F.col("inner")).alias("offset"))
-    else:
-        spots = place(pieces.select(F.col("uid").alias("id"), F.col("length").alias("size")), capacity, rows_per_task).withColumnRenamed("id", "uid")
+    limit = max(1, capacity // 32)
+    tiny = pinned(pieces.filter(F.col("length") <= limit).select("uid", "length").mapInArrow(_bundles(limit), BUNDLED), "pack-bundles")
+    items = tiny.groupBy("item").agg(F.sum("length").alias("size")).select(F.col("item").alias("id"), "size")
+    items = pinned(items.unionByName(pieces.filter(F.col("length") > limit).select(F.col("uid").alias("id"), F.col("length").alias("size"))), "pack-items")
+    inner = tiny.select("uid", "item", "inner").unionByName(pieces.filter(F.col("length") > limit).select("uid", F.col("uid").alias("item"), F.lit(0).cast("long").alias("inner")))
+    spots = inner.join(place(items, capacity, rows_per_task).withColumnRenamed("id", "item"), "item").select("uid", "sequence_id", (F.col("offset") + F.col("inner")).alias("offset"))
     return pieces.join(spots, "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
