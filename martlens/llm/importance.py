@@ -1,16 +1,19 @@
 """Quality by importance resampling: the ratio of two hashed n-gram models, of good text and of all text, and Gumbel top-k.
 
 Features are word unigrams and pairs of neighbouring words, hashed. Words and runs of punctuation are separate; a pair's hash is
-that of the two hashes' exclusive or, so that every doubled word is one feature. The raw model counts all rows, the target model
+that of the two hashes in their order. The raw model counts all rows, the target model
 the good ones of the labelled rows. A document's log-weight is the sum over its features of the log of the ratio, both counts
 shrunk by ``prior``; to it comes Gumbel noise from a hash of seed and doc_id, and the documents of the k largest sums are kept.
 
 k is found from labels as well: a fifth of the good labelled rows is held out of the target model, and k is the number of rows
 whose log-weight isn't below the ``miss`` quantile of theirs, rounded so that no larger share of them is below it, however few they are.
+A log-weight is a sum over all features of a text, so the noise, of scale 1, decides among documents of about equal weight only; which
+of a hundred thousand others stay is decided by k.
 
 Cases: a null or empty text has no features and log-weight 0. Without good labelled rows there is no target, and all rows are
 kept. Rows that repeat a doc_id get the same noise. Ties at the k-th sum are all kept. Labels with null are no labels. An empty
-table gives an empty result. Other columns of the input aren't read.
+table gives an empty result. Very long texts are counted in whole. Other columns of the input aren't read; ``selected`` keeps them as they
+are, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martlens.llm.bytewords import LOWER, SPACE, mix, runs, span_hashes
-from martlens.llm.common import blocks, map_texts, pinned
+from martlens.llm.common import blocks, free_names, map_texts, pinned
 
 _U = np.uint64
 #: Letters and digits; what is neither these nor white space is punctuation.
@@ -44,7 +47,7 @@ def features(data: np.ndarray, bounds: np.ndarray, buckets: int) -> tuple[np.nda
     one = span_hashes(low, starts, ends)
     row = np.searchsorted(bounds, starts, "right") - 1
     pair = np.flatnonzero(row[1:] == row[:-1])
-    two = mix((one[pair] ^ one[pair + 1]) + _U(0x6A09E667F3BCC909))
+    two = mix(mix(one[pair]) + one[pair + 1] + _U(0x6A09E667F3BCC909))
     every = np.concatenate([one, two]) >> _U(64 - (buckets.bit_length() - 1))
     rows = np.concatenate([row, row[pair]])
     order = np.argsort(rows, kind="stable")
@@ -67,7 +70,8 @@ def fit(docs: DataFrame, good: DataFrame, buckets: int, prior: float) -> np.ndar
             b = b[total[0, b] > 0]
             yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(total[0, b]), pa.array(total[1, b])], ["bucket", "raw", "target"])
 
-    marked = docs.join(F.broadcast(good.select(F.col("doc_id").alias("good_id")).distinct()), F.col("doc_id").cast("long") == F.col("good_id"), "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marked = rows.join(F.broadcast(good.select(F.col("doc_id").alias("good_id")).distinct()), F.col("doc_id") == F.col("good_id"), "left")
     marked = marked.select(F.col("good_id").isNotNull().alias("target"), "text")
     table = map_texts(marked, count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.zeros(buckets), np.zeros(buckets)
@@ -79,10 +83,10 @@ def fit(docs: DataFrame, good: DataFrame, buckets: int, prior: float) -> np.ndar
 
 
 def score(docs: DataFrame, ratio: np.ndarray, seed: int) -> DataFrame:
-    """``docs`` with log_weight, n_features and gumbel_key of every row; these names replace columns of the input."""
-    docs = docs.drop("log_weight", "n_features", "gumbel_key")
+    """``docs`` with log_weight, n_features and gumbel_key of every row, in the last places; names that ``docs`` has get underscores."""
+    weight, number, key = free_names(docs, "log_weight", "n_features", "gumbel_key")
     sent = docs.sparkSession.sparkContext.broadcast(ratio)  # a double for each bucket
-    schema = T.StructType([*docs.schema.fields, T.StructField("log_weight", T.DoubleType()), T.StructField("n_features", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(weight, T.DoubleType()), T.StructField(number, T.LongType())])
     names, text = schema.names, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +97,7 @@ def score(docs: DataFrame, ratio: np.ndarray, seed: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns, pa.array(sums.astype(np.float64)), pa.array(counts.astype(np.int64))], names)
 
     noise = -F.log(-F.log((_draw("gumbel", seed) + 0.5) / F.lit(float(1 << 52))))
-    return map_texts(docs, run, schema).withColumn("gumbel_key", F.col("log_weight") + noise)
+    return map_texts(docs, run, schema).withColumn(key, F.col(weight) + noise)
 
 
 def _draw(what: str, seed: int) -> Column:
@@ -157,4 +161,5 @@ def selected(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 18, prior:
     ratio, _, floor = decide(docs, labels, buckets, prior, miss, k, seed, sample)
     if ratio is None:
         return docs
-    return score(docs, ratio, seed).filter(F.col("gumbel_key") >= F.lit(float(floor))).select(*docs.columns)
+    scored = score(docs, ratio, seed)
+    return scored.filter(F.col(scored.columns[-1]) >= F.lit(float(floor))).select(*docs.columns)

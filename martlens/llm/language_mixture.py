@@ -6,25 +6,48 @@ languages are refitted and the set with the highest penalised likelihood stays.
 
 Cases: a null text or one without letters is ``und`` with score 0. Rows whose lang is null teach nothing. Where no row teaches
 anything, every text is ``und``. Repeated rows count as often as they stand. Only doc_id, text and lang are read, and of these a
-prediction uses the text alone. Ties go to the language that sorts first.
+prediction uses the text alone. Ties go to the language that sorts first. Very long texts are counted in whole, in blocks. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martlens.llm.common import map_texts
 
 BUCKETS = 1 << 15
-#: The learned table has at most this many languages, so that it can be sent to every worker (BUCKETS doubles each).
-MOST_LANGUAGES = 500
 PREDICTED = "doc_id long, lang_pred string, score double, languages array<string>, shares array<double>"
 
+
+class Table(NamedTuple):
+    """Logs of trigram distributions, by bucket: of bucket b the languages at[first[b] : first[b + 1]] with logs there; others have ``rest``.
+
+    It takes 12 bytes for each pair of a language and a bucket seen in it, 390 KB a language at the most.
+    """
+
+    first: np.ndarray
+    at: np.ndarray
+    logs: np.ndarray
+    rest: np.ndarray
+
+    def rows(self, buckets: np.ndarray) -> np.ndarray:
+        """The logs of all languages for each of ``buckets``."""
+        out = np.repeat(self.rest[None, :], len(buckets), 0)
+        n = self.first[buckets + 1] - self.first[buckets]
+        row = np.repeat(np.arange(len(buckets)), n)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[buckets], n)
+        out[row, self.at[place]] = self.logs[place]
+        return out
+
+
 _fold: list[np.ndarray] = []
 
 
@@ -57,8 +80,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The languages and the logs of their trigram distributions, from all labelled rows that aren't held out."""
+def learn(docs: DataFrame) -> tuple[list[str], Table]:
+    """The languages, any number of them, and their trigram distributions, from all labelled rows that aren't held out."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -73,14 +96,12 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("text", F.col("lang").cast("string"))
     table = map_texts(rows, count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = table.groupBy("lang").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).toArrow()
-    if table.num_rows > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} values of lang")
-    langs = table.column("lang").to_pylist()
-    counts = np.full((len(langs), BUCKETS), 0.5)
-    for k in range(len(langs)):
-        counts[k, table.column("bucket")[k].values.to_numpy()] += table.column("n")[k].values.to_numpy()
-    return langs, np.log(counts / counts.sum(1, keepdims=True))
+    table = table.orderBy("bucket", "lang").toArrow()
+    langs = sorted(table.column("lang").unique().to_pylist())
+    which = pc.index_in(table.column("lang"), pa.array(langs, pa.string())).to_numpy().astype(np.int32)
+    n, bucket = table.column("n").to_numpy(), table.column("bucket").to_numpy()
+    total = np.bincount(which, n, len(langs)) + 0.5 * BUCKETS
+    return langs, Table(np.searchsorted(bucket, np.arange(BUCKETS + 1)), which, np.log((n + 0.5) / total[which]), np.log(0.5 / total))
 
 
 def _em(p: np.ndarray, c: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
@@ -95,11 +116,11 @@ def _em(p: np.ndarray, c: np.ndarray, share: np.ndarray, rounds: int) -> tuple[n
     return share, float(c @ np.log(p @ share))
 
 
-def mixture(counts: np.ndarray, logs: np.ndarray, penalty: float, rounds: int) -> tuple[list[int], np.ndarray]:
+def mixture(counts: np.ndarray, table: Table, penalty: float, rounds: int) -> tuple[list[int], np.ndarray]:
     """Languages (the likeliest first) and shares of a document by the best penalised likelihood."""
     at = np.flatnonzero(counts)
     c, n = counts[at].astype(float), counts.sum()
-    p = logs[:, at].T
+    p = table.rows(at)
     p = np.exp(p - p.max(1, keepdims=True))
     k = p.shape[1]
     share, _ = _em(p, c, np.full(k, 1 / k), rounds)
@@ -119,14 +140,14 @@ def mixture(counts: np.ndarray, logs: np.ndarray, penalty: float, rounds: int) -
     return chosen[o].tolist(), s[o]
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: float = 2.0, rounds: int = 20) -> DataFrame:
+def identify(docs: DataFrame, model: tuple[list[str], Table], penalty: float = 2.0, rounds: int = 20) -> DataFrame:
     """PREDICTED of every row of ``docs`` (doc_id, text): the language of the largest share, that share, and the whole mixture.
 
     penalty: for each further language, times the log of the number of trigrams (one half is the Bayesian criterion; trigrams of
     a text hang together, so that more is asked for).
     """
-    langs, logs = model
-    sent = docs.sparkSession.sparkContext.broadcast((langs, logs)) if langs else None
+    langs, _ = model
+    sent = docs.sparkSession.sparkContext.broadcast((langs, tuple(model[1]))) if langs else None
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,7 +158,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: floa
                     out.append(("und", 0.0, [], []))
                     continue
                 names, table = sent.value
-                chosen, shares = mixture(counts, table, penalty, rounds)
+                chosen, shares = mixture(counts, Table(*table), penalty, rounds)
                 shares = np.clip(shares, 0, 1)
                 out.append((names[chosen[0]], float(shares[0]), [names[k] for k in chosen], shares.tolist()))
             columns = list(zip(*out, strict=True)) or [[]] * 4
@@ -147,14 +168,14 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: floa
     return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), predict, PREDICTED)
 
 
-def in_one_language(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.5, penalty: float = 2.0, rounds: int = 20) -> DataFrame:
+def in_one_language(docs: DataFrame, model: tuple[list[str], Table], least: float = 0.5, penalty: float = 2.0, rounds: int = 20) -> DataFrame:
     """The rows of ``docs``, all columns, whose text has letters and a language with a share of at least ``least``."""
-    sent, text = docs.sparkSession.sparkContext.broadcast(model[1]), docs.columns.index("text")
+    sent, text = docs.sparkSession.sparkContext.broadcast(tuple(model[1])), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = (trigrams(t) if t else None for t in batch.column(text).to_pylist())
-            keep = [c is not None and bool(mixture(c, sent.value, penalty, rounds)[1][0] >= least) for c in found]
+            keep = [c is not None and bool(mixture(c, Table(*sent.value), penalty, rounds)[1][0] >= least) for c in found]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return map_texts(docs, run, docs.schema)

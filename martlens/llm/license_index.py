@@ -7,7 +7,10 @@ score there, and the template's label counts if the score is high enough and its
 
 Base places, whole phrases, are found the same way: a phrase's rarest word is looked up and the others are checked around it.
 
-Cases: a null or empty text has no words, no labels and score 0. Repeated rows are judged alike. An empty table gives an empty
+A notice cut short, or with a few words changed, still scores the share of its words that stand at their places; one with words put in
+scores what agrees with the place of most of its rare words.
+
+Cases: a null or empty text has no words, no labels and score 0. Very long texts are read in whole. Repeated rows are judged alike. An empty table gives an empty
 result. Other columns of the input aren't read.
 """
 
@@ -21,22 +24,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from martlens.llm.common import map_texts
+
 # Phrases whose places are the base, with their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 # Notices of common licences: label, notice, mandatory phrase.
 TEMPLATES = [
     ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "permission is hereby granted free of charge"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "for any purpose with or without fee is hereby granted"),
     ("apache", "licensed under the apache license version 2 0", "apache license"),
+    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", "apache license"),
     ("gpl", "this work is licensed under the gnu general public license version 3", "general public license"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "general public license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "gnu general public license"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", "gnu general public license"),
     ("lgpl", "licensed under the gnu lesser general public license", "lesser general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license", "mozilla public license"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version", "gnu lesser general public license"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", "affero general public license"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "redistribution and use in source and binary forms"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "mozilla public license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", "free and unencumbered software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", "permission is granted to anyone to use this software"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software", "any person or organization obtaining a copy"),
     ("cc-by", "licensed under cc by 4 0", "cc by 4"),
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc-by", "licensed under a creative commons attribution license", "creative commons attribution license"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "attribution sharealike"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright"),
 ]
 #: Of every byte: what a word keeps of it (A-Z in lower case, digits, all beyond ASCII), a space for the rest.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -102,7 +118,7 @@ def rarities(docs: DataFrame) -> dict[bytes, float]:
                 seen.update(vocabulary.intersection(words(text)))
         yield pa.RecordBatch.from_pydict({"word": ["", *(w.decode() for w in seen)], "n": [n, *seen.values()]}, pa.schema([("word", pa.string()), ("n", pa.int64())]))
 
-    counts = {r.word.encode(): r.n for r in docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    counts = {r.word.encode(): r.n for r in map_texts(docs.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
     n = counts.pop(b"", 0)
     return {w: float(np.log((n + 1) / (counts.get(w, 0) + 1))) for w in vocabulary}
 
@@ -124,4 +140,4 @@ def find_licenses(docs: DataFrame, rare: int = 4, least: float = 0.7) -> DataFra
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [x.split()[0] for x in FOUND.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FOUND)
+    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), run, FOUND)

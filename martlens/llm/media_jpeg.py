@@ -6,7 +6,7 @@ row of blocks is a restart interval. The reader parses markers and decodes all i
 block of each at a time; images with other components, sampling or AC coefficients are read the same way.
 
 Cases: a null text is empty. Payloads of any length are stored: one image of 576 blocks a row for every 8191 rows, further images
-follow it in the stored form. Equal texts have equal values. Other columns of the input aren't read.
+follow it in the stored form. Equal texts and repeated rows have equal values; an empty table gives an empty result. Other columns of the input aren't read.
 """
 
 from __future__ import annotations
@@ -18,9 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from martlens.llm.common import map_texts
+
 UNIT = 576
 _ROWS = 8191
 # Code lengths and symbols of the usual table for luminance DC differences; one code that ends a block's AC.
@@ -313,7 +316,7 @@ STORED = "doc_id long, n_bytes long, media binary"
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width int, height int, feature string"
 
 
-def _groups(sizes: list[int], limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def _groups(sizes: list[int], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     at = 0
     while at < len(sizes):
         end, total = at, 0
@@ -324,36 +327,41 @@ def _groups(sizes: list[int], limit: int = 4 << 20) -> Iterator[tuple[int, int]]
         at = end
 
 
-def store_texts(docs: DataFrame) -> DataFrame:
-    """STORED of every row of ``docs`` (doc_id, text): the text's UTF-8, padded with bytes 255, as a column of JPEG files."""
+def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(1).cast(pa.binary())
+        for a, b in _groups(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+            raw = [t or b"" for t in texts.slice(a, b - a).to_pylist()]
+            media = write([t + b"\xff" * (UNIT * max(1, -(-len(t) // UNIT)) - len(t)) for t in raw])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(list(map(len, raw)), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for a, b in _groups([len(t or b"") for t in texts]):
-                raw = [t or b"" for t in texts[a:b]]
-                media = write([t + b"\xff" * (UNIT * max(1, -(-len(t) // UNIT)) - len(t)) for t in raw])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(list(map(len, raw)), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        media = batch.column(2)
+        for a, b in _groups(pc.binary_length(media).to_pylist()):
+            rows, stored = [], media.slice(a, b - a).to_pylist()
+            for data, images in zip(stored, thumbnails(stored), strict=True):
+                payload = b"".join(i.tobytes() for i in images)
+                height, width = 8 * sum(i.shape[0] for i in images), 8 * images[0].shape[1]
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), width, height, f"{width}x{height}:" + ".".join(map(difference_hash, images))))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))],
+                [x.split()[0] for x in FEATURES.split(", ")],
+            )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, STORED)
+
+def store_texts(docs: DataFrame) -> DataFrame:
+    """STORED of every row of ``docs`` (doc_id, text): the text's UTF-8, padded with bytes 255, as a column of JPEG files."""
+    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), _store, STORED)
 
 
 def media_features(stored: DataFrame) -> DataFrame:
     """FEATURES of every row of ``stored`` (doc_id, n_bytes, media), from the stored bytes alone but for n_bytes."""
+    return map_texts(stored.select("doc_id", "n_bytes", "media"), _features, FEATURES)
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            media = batch.column(2).to_pylist()
-            for a, b in _groups(list(map(len, media))):
-                rows = []
-                for data, images in zip(media[a:b], thumbnails(media[a:b]), strict=True):
-                    payload = b"".join(i.tobytes() for i in images)
-                    height, width = 8 * sum(i.shape[0] for i in images), 8 * images[0].shape[1]
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), width, height, f"{width}x{height}:" + ".".join(map(difference_hash, images))))
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))],
-                    [x.split()[0] for x in FEATURES.split(", ")],
-                )
-
-    return stored.mapInArrow(run, FEATURES)
+def media_round_trip(docs: DataFrame) -> DataFrame:
+    """FEATURES of every row of ``docs``: stores its texts and reads the stored bytes in the same task, so that one worker does both."""
+    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), lambda batches: _features(_store(batches)), FEATURES)

@@ -1,17 +1,15 @@
-"""Fingerprints of documents: a Merkle tree over sections of paragraphs, in DataFrame functions only.
-
-A paragraph is a line, a section a run of ``fan`` paragraphs. A paragraph's node is the SHA-256 of its text, a section's that of
-its paragraphs' nodes, the root (the fingerprint) that of the sections' nodes. Equal roots mean equal texts; where roots differ,
-differing sections and then differing paragraphs of these locate the edit. Likeness is Dice's coefficient of the distinct
-sentences beneath the paragraphs, so that one edited sentence doesn't hide a paragraph.
-
-``difference_study`` has the sentences as leaves of the tree: a paragraph's node is the SHA-256 of its sentences' nodes, with marks and
-white space, so that equal roots mean equal texts. Likeness there is Dice's coefficient of all nodes of two trees, repeats counted,
-and is 1 for equal texts only, as another order has other paragraphs, sections or roots.
-
-Cases: a null text is empty, and an empty text has one empty paragraph. Repeated rows and rows with a null doc_id (they come
-first) are kept; rows that share a doc_id follow each other by length and hash. An empty table gives an empty result. Other
-columns of the input aren't read.
+"""Fingerprints of documents: a Merkle tree over sections of paragraphs of sentences, in DataFrame functions only.
+
+A paragraph is a line, a section a run of ``fan`` paragraphs. The leaves are the SHA-256 of the sentences, with their marks and white
+space; a paragraph's node is that of its sentences' nodes, a section's that of its paragraphs' nodes, the root (the fingerprint) that of
+the sections' nodes. Equal roots mean equal texts; where roots differ, differing sections and then differing paragraphs of these locate
+the edit. Likeness is Dice's coefficient of all nodes of two trees, repeats counted: one edited sentence takes its paragraph, its
+section and the root with it, and leaves the others. It is 1 for equal texts only, as another order has other paragraphs, sections or
+roots.
+
+Cases: a null text is empty, and an empty text has one empty paragraph. Rows with a null doc_id come first; rows that share a doc_id
+follow each other by length and hash. Rows equal in doc_id and text follow each other, so that all but the last of them have their own
+text as the next one. Very long texts are hashed in whole. An empty table gives an empty result. Other columns of the input aren't read.
 """
 
 from __future__ import annotations
@@ -23,16 +21,9 @@ from pyspark.sql import functions as F
 
 from martlens.llm.common import pinned
 
-#: Where sentences end: marks with the white space after them, bars of tables, line ends.
-SENTENCE = r"[.!?|]+\s*|\n"
 _node = lambda children: F.sha2(F.concat_ws(",", children), 256)
 
 
-def paragraph_nodes(text: Column) -> Column:
-    """Array of the hashes of the text's lines."""
-    return F.transform(F.split(text, "\n", -1), lambda p: F.sha2(p, 256))
-
-
 def section_nodes(paragraphs: Column, fan: int = 8) -> Column:
     """Array of the hashes of runs of ``fan`` paragraph nodes."""
     last = F.floor((F.size(paragraphs) - 1) / fan).cast("int")
@@ -43,24 +34,6 @@ def root(sections: Column) -> Column:
     return _node(sections)
 
 
-def leaves(text: Column) -> Column:
-    """Distinct hashes of the text's sentences."""
-    return F.array_distinct(F.transform(F.filter(F.split(text, SENTENCE, -1), lambda s: s != ""), lambda s: F.xxhash64(s)))
-
-
-def likeness(a: Column, b: Column) -> Column:
-    """Dice's coefficient of two leaf sets; 1 for two empty ones."""
-    both = F.size(a) + F.size(b)
-    return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / both)
-
-
-def fingerprints(docs: DataFrame, fan: int = 8) -> DataFrame:
-    """doc_id and the tree of every row of ``docs`` (doc_id, text): paragraphs, sections, fingerprint, leaves."""
-    text = F.coalesce("text", F.lit(""))
-    tree = docs.select("doc_id", paragraph_nodes(text).alias("paragraphs"), leaves(text).alias("leaves"))
-    return tree.withColumn("sections", section_nodes(F.col("paragraphs"), fan)).withColumn("fingerprint", root(F.col("sections")))
-
-
 def changed_paragraphs(a: Column, b: Column, fan: int = 8) -> Column:
     """Numbers (from 0) of the paragraphs in which two arrays of paragraph nodes differ, found section by section."""
     unlike = F.zip_with(section_nodes(a, fan), section_nodes(b, fan), lambda x, y: ~x.eqNullSafe(y))
@@ -83,6 +56,11 @@ def sentence_nodes(text: Column) -> Column:
     return F.transform(F.split(text, "\n", -1), lambda p: F.transform(F.regexp_extract_all(p, F.lit(WHOLE_SENTENCE), F.lit(0)), lambda s: F.sha2(s, 256)))
 
 
+def paragraph_nodes(sentences: Column) -> Column:
+    """Array of the paragraphs' nodes, of their sentences' ones."""
+    return F.transform(sentences, lambda p: _node(p))
+
+
 def tree_nodes(sentences: Column, paragraphs: Column, fan: int = 8) -> Column:
     """Every node of a tree, sentences to root, as a long."""
     every = lambda sections: F.concat(F.flatten(sentences), paragraphs, sections, F.array(root(sections)))
@@ -101,71 +79,60 @@ def tree_likeness(a: Column, b: Column) -> Column:
 
 
 def successors(rows: DataFrame, tasks: int) -> DataFrame:
-    """(key, ord, to_key, to_ord, take) for ``rows`` (key, ord, n): the row before in (key, ord) order, the last for the first.
+    """(key, to_key, take) for ``rows`` (key): the row before in the order of key, the last for the first.
 
     take: how many code points the row before asks for, a quarter of its own. Rows are range-sorted into blocks; the links across
     blocks come from a row for each block.
     """
-    by = ["key", "ord"]
-    blocks = pinned(rows.repartitionByRange(tasks, *by).withColumn("block", F.spark_partition_id()), "blocks")
-    me = F.struct("key", "ord", "n")
-    edges = blocks.groupBy("block").agg(F.max(me).alias("last"))
+    blocks = pinned(rows.select("key").repartitionByRange(tasks, "key").withColumn("block", F.spark_partition_id()), "blocks")
+    edges = blocks.groupBy("block").agg(F.max("key").alias("last"))
     w = Window.orderBy("block")  # a row for each block
     edges = edges.select("block", F.coalesce(F.lag("last").over(w), F.max("last").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
-    inside = blocks.withColumn("prev", F.lag(me).over(Window.partitionBy("block").orderBy(*by)))
+    inside = blocks.withColumn("prev", F.lag("key").over(Window.partitionBy("block").orderBy("key")))
     linked = inside.join(edges, "block", "left").withColumn("prev", F.coalesce("prev", "before"))
-    return linked.select("key", "ord", F.col("prev.key").alias("to_key"), F.col("prev.ord").alias("to_ord"), F.floor(F.col("prev.n") / 4).cast("int").alias("take"))
+    return linked.select("key", F.col("prev").alias("to_key"), F.floor(F.col("prev.n") / 4).cast("int").alias("take"))
 
 
 def _with_next(docs: DataFrame, rows_per_task: int, carried: Callable[[Column], Column]) -> DataFrame:
-    """key, text, n_chars, edited and next of every row: its edited text, and what ``carried`` makes of the next row's text.
+    """key, times, text, n_chars, edited and next of all rows: the edited text, and what ``carried`` makes of the next row's text.
 
-    The edited text has the last quarter of the code points replaced by the beginning of the next row's text. Texts are shuffled
-    once by doc_id; to the row before goes only the quarter that it asks for, and what is carried.
+    The edited text has the last quarter of the code points replaced by the beginning of the next row's text. Equal rows are one, with
+    the number of ``times`` that it stands for. Texts are shuffled once, by doc_id, length and hash; to the row before goes only the
+    quarter that it asks for, and what is carried.
     """
-    key = F.struct(F.col("doc_id").alias("doc_id"))
     text = F.coalesce("text", F.lit(""))
-    place = lambda n, h: F.row_number().over(Window.partitionBy("key").orderBy(n, h))
-    narrow = docs.select(key.alias("key"), F.char_length(text).alias("n"), F.xxhash64(text).alias("h"))
-    narrow = narrow.withColumn("ord", place("n", "h")).select("key", "ord", "n")
-    rows = docs.count()
-    links = pinned(successors(narrow, max(1, -(-rows // rows_per_task))), "successors")
-    base = docs.select(key.alias("key"), text.alias("text")).withColumn("ord", place(F.char_length("text"), F.xxhash64("text")))
-    links = links.withColumnRenamed("key", "own_key").withColumnRenamed("ord", "own_ord")
-    # The comparison of ord stays out of the join's keys, so that the texts, dealt by key for the window, aren't dealt again.
-    giving = base.join(links, (base["key"] == links["own_key"]) & (base["ord"] - links["own_ord"] == 0))
-    giving = giving.select("to_key", "to_ord", F.substring("text", F.lit(1), F.col("take")).alias("begin"), carried(F.col("text")).alias("next"))
-    joined = base.join(giving, (base["key"] == giving["to_key"]) & (base["ord"] - giving["to_ord"] == 0))
+    base = docs.select(F.struct(F.col("doc_id").alias("doc_id"), F.char_length(text).alias("n"), F.xxhash64(text).alias("h")).alias("key"), text.alias("text"))
+    counts = pinned(base.groupBy("key").agg(F.count("*").alias("c")), "counts")
+    rows, most = counts.agg(F.count("*"), F.max("c")).first()
+    if (most or 0) > 1:
+        base = base.groupBy("key").agg(F.first("text").alias("text"))
+    links = successors(counts, max(1, -(-rows // rows_per_task))).withColumn("times", F.lit(1).cast("long"))
+    again = counts.filter("c > 1").select("key", F.col("key").alias("to_key"), F.floor(F.col("key.n") / 4).cast("int").alias("take"), (F.col("c") - 1).alias("times"))
+    links = pinned(links.unionByName(again), "successors")
+    giving = base.join(links, "key").select(F.col("to_key").alias("key"), "times", F.substring("text", F.lit(1), F.col("take")).alias("begin"), carried(F.col("text")).alias("next"))
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
-    return joined.select("key", "text", "next", n.alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - quarter), "begin").alias("edited"))
+    return base.join(giving, "key").select("key", "times", "text", "next", n.alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - quarter), "begin").alias("edited"))
 
 
 def edit_study(docs: DataFrame, fan: int = 8, rows_per_task: int = 100_000) -> DataFrame:
-    """Every row's fingerprint, that of its edited text, and the likeness to that and to the next row's."""
-    joined = _with_next(docs, rows_per_task, leaves).withColumnRenamed("next", "next_leaves")
-    trees = joined.select(
-        "key", "n_chars", "next_leaves", "edited", leaves(F.col("text")).alias("leaves"), leaves(F.col("edited")).alias("edited_leaves"),
-        paragraph_nodes(F.col("text")).alias("paragraphs"), paragraph_nodes(F.col("edited")).alias("edited_paragraphs"),
-    )
-    return trees.select(
-        F.col("key.doc_id").alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        root(section_nodes(F.col("paragraphs"), fan)).alias("fingerprint"), root(section_nodes(F.col("edited_paragraphs"), fan)).alias("edited_fingerprint"),
-        likeness(F.col("leaves"), F.col("edited_leaves")).alias("near_edited"), likeness(F.col("leaves"), F.col("next_leaves")).alias("near_next"),
-        F.array_min(changed_paragraphs(F.col("paragraphs"), F.col("edited_paragraphs"), fan)).alias("first_change"),
+    """Every row's fingerprint and that of its edited text, the numbers of the paragraphs in which the two trees differ (changed), found
+    section by section, and the likeness of its tree to that of the edited text and to that of the next row.
+    """
+    carried = lambda t: _once(sentence_nodes(t), lambda s: _once(paragraph_nodes(s), lambda p: tree_nodes(s, p, fan)))
+    trees = _with_next(docs, rows_per_task, carried)
+    trees = trees.select("key", "times", "n_chars", "next", F.sha2("edited", 256).alias("edited_sha256"), sentence_nodes(F.col("text")).alias("s"), sentence_nodes(F.col("edited")).alias("es"))
+    trees = trees.select("*", paragraph_nodes(F.col("s")).alias("p"), paragraph_nodes(F.col("es")).alias("ep"))
+    trees = trees.select("*", tree_nodes(F.col("s"), F.col("p"), fan).alias("nodes"), tree_nodes(F.col("es"), F.col("ep"), fan).alias("edited_nodes"))
+    found = trees.select(
+        F.col("key.doc_id").alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256",
+        root(section_nodes(F.col("p"), fan)).alias("fingerprint"), root(section_nodes(F.col("ep"), fan)).alias("edited_fingerprint"),
+        tree_likeness(F.col("nodes"), F.col("edited_nodes")).alias("near_edited"), tree_likeness(F.col("nodes"), F.col("next")).alias("near_next"),
+        changed_paragraphs(F.col("p"), F.col("ep"), fan).alias("changed"), "times",
     )
+    return found.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times")
 
 
 def difference_study(docs: DataFrame, fan: int = 8, rows_per_task: int = 100_000) -> DataFrame:
-    """Of the trees with sentences as leaves: every row's fingerprint, that of its edited text, the numbers of the paragraphs in which
-    these differ, found section by section, and the likeness of the trees to that of the edited text and to that of the next row.
-    """
-    paragraphs = lambda sentences: F.transform(sentences, lambda p: _node(p))
-    carried = lambda t: _once(sentence_nodes(t), lambda s: _once(paragraphs(s), lambda p: tree_nodes(s, p, fan)))
-    trees = _with_next(docs, rows_per_task, carried).select("key", "next", sentence_nodes(F.col("text")).alias("s"), sentence_nodes(F.col("edited")).alias("es"))
-    trees = trees.select("*", paragraphs(F.col("s")).alias("p"), paragraphs(F.col("es")).alias("ep"))
-    trees = trees.select("*", tree_nodes(F.col("s"), F.col("p"), fan).alias("nodes"), tree_nodes(F.col("es"), F.col("ep"), fan).alias("edited_nodes"))
-    return trees.select(
-        F.col("key.doc_id").alias("doc_id"), root(section_nodes(F.col("p"), fan)).alias("fingerprint"), root(section_nodes(F.col("ep"), fan)).alias("edited_fingerprint"),
-        changed_paragraphs(F.col("p"), F.col("ep"), fan).alias("changed"), tree_likeness(F.col("nodes"), F.col("edited_nodes")).alias("near_edited"), tree_likeness(F.col("nodes"), F.col("next")).alias("near_next"),
-    )
+    """Of ``edit_study`` the trees alone."""
+    return edit_study(docs, fan, rows_per_task).select("doc_id", "fingerprint", "edited_fingerprint", "changed", "near_edited", "near_next")

@@ -31,11 +31,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_jpeg.media_features(media_jpeg.store_texts(_read(spark, sf_dir, "documents")))
+    return media_jpeg.media_round_trip(_read(spark, sf_dir, "documents"))
 
 
 def op5_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merkle.edit_study(_read(spark, sf_dir, "documents")).drop("first_change")
+    return merkle.edit_study(_read(spark, sf_dir, "documents"))
 
 
 def op5_merkle_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,28 +87,14 @@ FROM q""",
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS nx FROM d),
 e AS (SELECT doc_id, t, nx, substr(t, 1, length(t) - length(t) // 4) || substr(nx, 1, length(t) // 4) AS x FROM n),
-p AS (SELECT *, list_transform(string_split(t, chr(10)), lambda l: sha256(l)) AS pt, list_transform(string_split(x, chr(10)), lambda l: sha256(l)) AS px,
-  list_distinct(list_filter(string_split_regex(t, '[.!?|]+\s*|\n'), lambda s: s <> '')) AS lt,
-  list_distinct(list_filter(string_split_regex(x, '[.!?|]+\s*|\n'), lambda s: s <> '')) AS lx,
-  list_distinct(list_filter(string_split_regex(nx, '[.!?|]+\s*|\n'), lambda s: s <> '')) AS ln FROM e)
-SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(x) AS edited_sha256,
-  sha256(array_to_string(list_transform(range((len(pt) + 7) // 8), lambda k: sha256(array_to_string(pt[k * 8 + 1 : k * 8 + 8], ','))), ',')) AS fingerprint,
-  sha256(array_to_string(list_transform(range((len(px) + 7) // 8), lambda k: sha256(array_to_string(px[k * 8 + 1 : k * 8 + 8], ','))), ',')) AS edited_fingerprint,
-  CASE WHEN len(lt) + len(lx) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(lt, lx)) / (len(lt) + len(lx)) END AS near_edited,
-  CASE WHEN len(lt) + len(ln) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(lt, ln)) / (len(lt) + len(ln)) END AS near_next
-FROM p""",
-    "op5_merkle_differences": r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS nx FROM d),
-e AS (SELECT doc_id, t, nx, substr(t, 1, length(t) - length(t) // 4) || substr(nx, 1, length(t) // 4) AS x FROM n),
 v AS (SELECT doc_id, unnest(['t', 'x', 'nx']) AS which, unnest([t, x, nx]) AS t FROM e),
-s AS (SELECT doc_id, which, list_transform(string_split(t, chr(10)), lambda l: list_transform(regexp_extract_all(l, '[^.!?|]*[.!?|]+[ \t]*|[^.!?|]+'), lambda y: sha256(y))) AS s FROM v),
+s AS (SELECT doc_id, which, t, list_transform(string_split(t, chr(10)), lambda l: list_transform(regexp_extract_all(l, '[^.!?|]*[.!?|]+[ \t]*|[^.!?|]+'), lambda y: sha256(y))) AS s FROM v),
 p AS (SELECT *, list_transform(s, lambda y: sha256(array_to_string(y, ','))) AS p FROM s),
 c AS (SELECT *, list_transform(range((len(p) + 7) // 8), lambda k: sha256(array_to_string(p[k * 8 + 1 : k * 8 + 8], ','))) AS c FROM p),
-r AS (SELECT doc_id, which, p, sha256(array_to_string(c, ',')) AS r, flatten(s) || p || c || [sha256(array_to_string(c, ','))] AS nodes FROM c),
+r AS (SELECT doc_id, which, t, p, sha256(array_to_string(c, ',')) AS r, flatten(s) || p || c || [sha256(array_to_string(c, ','))] AS nodes FROM c),
 h AS (SELECT doc_id, which, h, count(*) AS k FROM (SELECT doc_id, which, unnest(nodes) AS h FROM r) GROUP BY 1, 2, 3),
 b AS (SELECT a.doc_id, z.which, sum(least(a.k, z.k)) AS b FROM h a JOIN h z ON a.doc_id = z.doc_id AND a.h = z.h AND a.which = 't' AND z.which <> 't' GROUP BY 1, 2)
-SELECT t.doc_id, t.r AS fingerprint, x.r AS edited_fingerprint,
+SELECT t.doc_id, length(t.t)::BIGINT AS n_chars, sha256(x.t) AS edited_sha256, t.r AS fingerprint, x.r AS edited_fingerprint,
   list_filter(range(greatest(len(t.p), len(x.p))), lambda i: t.p[i + 1] IS DISTINCT FROM x.p[i + 1])::INT[] AS changed,
   2.0::DOUBLE * coalesce(bx.b, 0) / (len(t.nodes) + len(x.nodes)) AS near_edited, 2.0::DOUBLE * coalesce(bn.b, 0) / (len(t.nodes) + len(y.nodes)) AS near_next
 FROM r t JOIN r x ON x.doc_id = t.doc_id AND x.which = 'x' JOIN r y ON y.doc_id = t.doc_id AND y.which = 'nx'
@@ -137,3 +123,4 @@ k AS (SELECT v, min(u) AS c FROM r GROUP BY 1)
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(k.c, w.doc_id)::BIGINT AS component_id, w.doc_id = coalesce(k.c, w.doc_id) AS kept
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k ON k.v = w.doc_id""",
 }
+ORACLE_SQL["op5_merkle_differences"] = f"SELECT doc_id, fingerprint, edited_fingerprint, changed, near_edited, near_next FROM ({ORACLE_SQL['op5_merkle_fingerprints']})"

@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martlens.llm.common import file_system, pinned, scratch_path, write_file
+from martlens.llm.common import file_system, join_heavy, map_texts, pinned, scratch_path, write_file
+from martlens.llm.near_dedup import marks
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, intact boolean"
@@ -138,8 +139,14 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, package_by
     """(path, records) of the packages that hold a record for each row of ``pages`` (page_id, url, html), a few for each task."""
     size = F.octet_length("html")
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("name", F.sha2("html", 256))
-    chosen = rows.filter(size >= min_bytes).groupBy("name").agg(F.max("page_id").alias("chosen"), F.count("*").alias("n")).filter("n > 1").select("name", "chosen")
-    rows = rows.join(chosen, "name", "left").select("page_id", "url", "html", F.when(F.coalesce(F.col("page_id") != F.col("chosen"), F.col("chosen").isNotNull()), F.col("chosen")).alias("refers_to"))
+    chosen = rows.filter(size >= min_bytes).groupBy("name").agg(F.max("page_id").alias("chosen"), F.count("*").alias("n")).filter("n > 1")
+    chosen = pinned(chosen, "repeated")
+    # Only pages whose payload may repeat, by a bitmap, are joined; a payload of very many pages is sent to the tasks, not its pages to one.
+    marked = marks(rows.withColumn("doc_id", F.xxhash64("name")), chosen.select(F.xxhash64("name").alias("doc_id"))).drop("doc_id")
+    total = chosen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    again = join_heavy(marked.filter("marked").drop("marked"), chosen, ["name"], "n", total, "left")
+    other = marked.filter("NOT marked").select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"))
+    rows = other.unionByName(again.select("page_id", "url", "html", F.when(F.coalesce(F.col("page_id") != F.col("chosen"), F.col("chosen").isNotNull()), F.col("chosen")).alias("refers_to")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = ((p, u, (h or "").encode(), r) for b in batches for p, u, h, r in zip(*(c.to_pylist() for c in b.columns), strict=True))
@@ -168,7 +175,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, package_by
             path = write_file(folder, "package.zip", package())
             yield pa.RecordBatch.from_pydict({"path": [path], "records": [len(index)]})
 
-    return pinned(rows.mapInArrow(run, "path string, records long"), "packages")
+    return pinned(map_texts(rows, run, "path string, records long"), "packages")
 
 
 def locate(packages: DataFrame, range_bytes: int = 4 << 20) -> DataFrame:
@@ -237,5 +244,9 @@ def read_archives(packages: DataFrame) -> DataFrame:
 
 
 def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Writes packages of ``pages`` in the shared folder and reads their records back."""
-    return read_archives(write_archives(pages, scratch_path(pages.sparkSession, "warc"), min_bytes))
+    """Writes packages of ``pages`` in the shared folder and reads their records back. A revisit without a response of its digest and length is an error."""
+    records = pinned(read_archives(write_archives(pages, scratch_path(pages.sparkSession, "warc"), min_bytes)), "records")
+    named = lambda kind, page: records.filter(F.col("record_type") == kind).select(F.col(page).alias("page"), "payload_digest", "payload_bytes").distinct()
+    if named("revisit", "refers_to").join(named("response", "page_id"), ["page", "payload_digest", "payload_bytes"], "left_anti").limit(1).count():
+        raise ValueError("a revisit refers to no response of its digest and length")
+    return records

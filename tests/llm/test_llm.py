@@ -3,15 +3,18 @@
 import base64
 import hashlib
 import io
+import math
+import re
 import zipfile
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from martlens.llm import importance, language_mixture, license_index, media_jpeg, merkle, near_dedup, packing, source_mix, token_scan, tokens, warc_zip
+from martlens.llm import common, importance, language_mixture, license_index, media_jpeg, merkle, near_dedup, packing, source_mix, token_scan, tokens, warc_zip
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, page_id string, kept string"
 LONG = " ".join(f"word{i} and" for i in range(6000))
@@ -152,7 +155,7 @@ def test_languages(spark, odd):
     out = {r.doc_id: r for r in language_mixture.identify(mixed, model).collect()}
     assert set(out[0].languages) == {"en", "de"} and 0.3 < out[0].score < 0.7
     assert all((out[i].lang_pred, out[i].score) == ("und", 0.0) for i in (1, 2, 3))
-    assert language_mixture.identify(odd, ([], np.zeros((0, language_mixture.BUCKETS)))).filter("lang_pred <> 'und'").count() == 0
+    assert language_mixture.identify(odd, ([], language_mixture.Table(*[np.zeros(0)] * 4))).filter("lang_pred <> 'und'").count() == 0
     assert language_mixture.identify(odd, model).count() == odd.count()
     assert language_mixture.in_one_language(odd, model).columns == odd.columns
 
@@ -199,9 +202,11 @@ def test_merkle_edits(spark, odd):
     texts = [r.text or "" for r in ordered]
     want = sorted(((r.doc_id or 0), hashlib.sha256((t[: len(t) - len(t) // 4] + texts[(k + 1) % len(texts)][: len(t) // 4]).encode()).hexdigest()) for k, (r, t) in enumerate(zip(ordered, texts, strict=True)))
     assert sorted(((r.doc_id or 0), r.edited_sha256) for r in rows) == want
-    a, b = "\n".join(f"p{i}" for i in range(30)), "\n".join(f"p{i}" if i != 17 else "new" for i in range(30))
-    df = spark.createDataFrame([(a, b)], "a string, b string")
-    assert df.select(merkle.changed_paragraphs(merkle.paragraph_nodes(F.col("a")), merkle.paragraph_nodes(F.col("b"))).alias("c")).first().c == [17]
+    # A row of each odd one, equal rows too; equal texts have equal fingerprints.
+    by_text = {}
+    for r in rows:
+        by_text.setdefault(r.doc_id, set()).add(r.fingerprint)
+    assert by_text[4] <= by_text[None] and len(by_text[5]) == 2
 
 
 def test_merkle_differences(spark, odd):
@@ -218,7 +223,7 @@ def test_merkle_differences(spark, odd):
     lines = [f"p{i}. q{i}. r{i}" for i in range(30)]
     cases = [(lines, lines, [], 1.0), (lines, [*lines[:17], "p17. new. r17", *lines[18:]], [17], None), (["a. b"], ["a. a. b"], [0], None), (["a. b. c"], ["b. a. c"], [0], None)]
     df = spark.createDataFrame([(k, "\n".join(a), "\n".join(b)) for k, (a, b, _, _) in enumerate(cases)], "k int, a string, b string")
-    parts = lambda c: F.transform(merkle.sentence_nodes(F.col(c)), lambda p: merkle._node(p))
+    parts = lambda c: merkle.paragraph_nodes(merkle.sentence_nodes(F.col(c)))
     nodes = lambda c: merkle.tree_nodes(merkle.sentence_nodes(F.col(c)), parts(c))
     for r in df.select("k", merkle.changed_paragraphs(parts("a"), parts("b")).alias("c"), merkle.tree_likeness(nodes("a"), nodes("b")).alias("n")).collect():
         assert r.c == cases[r.k][2] and (r.n == 1.0) == (cases[r.k][3] == 1.0)
@@ -243,7 +248,7 @@ def test_separator_scan(spark, odd):
 
 def test_unclosed_tail_is_a_document(spark, tmp_path):
     (tmp_path / "f").write_bytes(np.array([5, 9, 0, 9, 9, 4, 4], "<u2").tobytes())
-    files = spark.createDataFrame([(str(tmp_path / "f"),)], "path string")
+    files = spark.createDataFrame([(str(tmp_path / "f"), 2)], "path string, width int")
     for size in (1, 2, 3, 50):
         got = [(r.document, r.start, r.n_tokens, r.closed) for r in token_scan.scan(files, 9, size).orderBy("document").collect()]
         assert got == [(0, 0, 1, True), (1, 2, 1, True), (2, 4, 0, True), (3, 5, 2, False)]
@@ -259,6 +264,56 @@ def test_licenses(spark, odd):
     assert license_index.find_licenses(odd).count() == odd.count()
 
 
+M64 = (1 << 64) - 1
+
+
+def brute_mix(x):
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & M64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & M64
+    return x ^ (x >> 31)
+
+
+def brute_features(text, buckets=1 << 18):
+    """Buckets of words, runs of punctuation, and ordered pairs of neighbours, one by one."""
+    ones = []
+    for w in re.findall(rb"[0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff\x09-\x0d ]+", text.encode().lower()):
+        x = sum((b + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(w)) + len(w)
+        ones.append(brute_mix(x & M64))
+    twos = [brute_mix((brute_mix(a) + b + 0x6A09E667F3BCC909) & M64) for a, b in zip(ones, ones[1:], strict=False)]
+    return [x >> (64 - 18) for x in ones + twos]
+
+
+def brute_draw(what, doc_id):
+    return int(hashlib.md5(f"{what}-5|{doc_id}".encode()).hexdigest()[:13], 16)
+
+
+def brute_weights(texts, good, prior=8.0):
+    raw, target = Counter(), Counter()
+    for i, t in texts.items():
+        raw.update(brute_features(t))
+        if i in good and brute_draw("fold", i) % 5:
+            target.update(brute_features(t))
+    scale = sum(target.values()) / sum(raw.values())
+    return {i: sum(math.log((target[f] + prior) / (raw[f] * scale + prior)) for f in brute_features(t)) for i, t in texts.items()}
+
+
+def brute_kept(texts, good, k, miss=0.002):
+    weights = brute_weights(texts, good)
+    keys = {i: w - math.log(-math.log((brute_draw("gumbel", i) + 0.5) / (1 << 52))) for i, w in weights.items()}
+    if k is None:
+        held = sorted((weights[i] for i in good if brute_draw("fold", i) % 5 == 0), reverse=True)
+        least = held[math.ceil(len(held) * (1 - miss)) - 1]
+        k = sum(w >= least - 1e-9 for w in weights.values())
+    return set(sorted(keys, key=keys.get, reverse=True)[:k])
+
+
+def test_pairs_are_ordered():
+    assert sorted(brute_features("sun rain")) != sorted(brute_features("rain sun"))
+    for text in ("sun rain", "rain rain rain", "a!! b", "Ünï co-de 12 x"):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert sorted(importance.features(raw, np.array([0, len(raw)]), 1 << 18)[0].tolist()) == sorted(brute_features(text))
+
+
 def test_importance(spark, odd):
     rng = np.random.default_rng(3)
     good = [" ".join(rng.choice(["sun", "rain", "wind", "snow", "fog"], 40)) for _ in range(300)]
@@ -266,9 +321,12 @@ def test_importance(spark, odd):
     docs = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i < 300), 0) for i in range(0, 400, 2)], "doc_id long, quality int, toxic int")
     kept = {r.doc_id for r in importance.resample(docs, labels).filter("kept").collect()}
-    assert len(kept & set(range(300))) >= 290 and not kept & set(range(300, 400))
-    top = importance.resample(docs, labels, k=7).filter("kept")
-    assert top.count() == 7
+    assert not kept & set(range(300, 400))
+    assert kept == brute_kept(dict(enumerate(good + bad)), set(range(0, 300, 2)), None)
+    rows = importance.resample(docs, labels, k=7).collect()
+    assert {r.doc_id for r in rows if r.kept} == brute_kept(dict(enumerate(good + bad)), set(range(0, 300, 2)), 7)
+    want = brute_weights(dict(enumerate(good + bad)), set(range(0, 300, 2)))
+    assert all(abs(r.log_weight - want[r.doc_id]) < 1e-6 for r in rows)
     assert importance.resample(odd, labels.limit(0)).filter("kept").count() == odd.count()
     assert importance.selected(odd, labels).columns == odd.columns
 
@@ -304,12 +362,264 @@ def test_empty_tables(spark, odd):
         assert df.count() == 0
 
 
+NAMES = ["log_weight", "n_features", "gumbel_key", "good_id", "mix_key", "mix_copy", "mix_rate", "mix_table", "mark_word", "mark_mask", "marked", "gone", "row", "name", "key", "copies"]
+
+
 def test_pipeline_stages(spark, odd, tmp_path):
+    """Every stage keeps the columns of the input as they are, whatever their names, and takes an empty table."""
     import corpus_pipeline
 
-    spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    docs = odd
+    spark.createDataFrame([(4, 1, 0), (6, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = odd.select("*", *[F.lit(k).alias(n) for k, n in enumerate(NAMES)])
+    none = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, str(tmp_path))
-        assert docs.columns == odd.columns
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= 0
+        left = stage(spark, docs, str(tmp_path))
+        assert left.columns == docs.columns
+        assert left.select(*NAMES).distinct().collect() in ([], [tuple(range(len(NAMES)))])
+        docs = left
+        assert stage(spark, none, str(tmp_path)).count() == 0
+    rows, _ = packed(corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)))
+    assert sum(r.piece == 0 for r in rows) == docs.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, none, str(tmp_path)).count() == 0
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    words = {"en": "the cat sat on a mat with other animals near home".split(), "de": "der hund und die katze sind nicht über straßen gelaufen".split()}
+    texts, langs, sources = [], [], []
+    for i in range(120):
+        lang = "en" if i % 3 else "de"
+        texts.append(" ".join(rng.choice(words[lang], 40)) if i < 90 else " ".join(w + "!!" for w in rng.choice(["buy", "win", "cash"], 40)))
+        langs.append(lang if i < 90 else None)
+        sources.append("ab"[i % 4 == 0])
+    texts[7], texts[8], texts[11] = texts[5], texts[5] + " more", "12 34 56"
+    rows = [(i, t, l, s, len(t)) for i, (t, l, s) in enumerate(zip(texts, langs, sources, strict=True))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i < 90), 0) for i in range(0, 120, 2)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda df: {r.doc_id for r in df.collect()}
+    assert ids(stages["quality"](spark, docs, str(tmp_path))) == brute_kept(dict(enumerate(texts)), set(range(0, 90, 2)), None)
+    model = brute_languages({i: (t, l) for i, (t, l) in enumerate(zip(texts, langs, strict=True))})
+    want = {i for i, t in enumerate(texts) if any(c.isalpha() for c in t) and brute_mixture(t, model)[0][1] >= 0.5}
+    assert ids(stages["language"](spark, docs, str(tmp_path))) == want and 11 not in want
+    comp = brute_components(list(range(120)), brute_sets(texts, 5))
+    assert ids(stages["near_duplicates"](spark, docs, str(tmp_path))) == {i for i, c in enumerate(comp) if i == c} and comp[8] == 5
+    volumes = Counter()
+    for t, s in zip(texts, sources, strict=True):
+        volumes[s] += len(t)
+    roots = sum(math.sqrt(v) for v in volumes.values())
+    copies = Counter()
+    for i, s in enumerate(sources):
+        rate = math.sqrt(volumes[s]) / roots * sum(volumes.values()) / volumes[s]
+        u, p, cdf, k = int(hashlib.md5(f"count-11|{i}|0".encode()).hexdigest()[:13], 16) / 2**52, math.exp(-rate), math.exp(-rate), 0
+        while cdf <= u:
+            k += 1
+            p *= rate / k
+            cdf += p
+        copies[i] = k
+    got = Counter(r.doc_id for r in stages["source_mix"](spark, docs, str(tmp_path)).collect())
+    assert got == +copies
+    # run() applies the stages one to the other.
+    run_rows, _ = packed(corpus_pipeline.run(spark, str(tmp_path)))
+    assert {r.doc_id for r in run_rows} <= set(range(90)) - {7, 11}
+
+
+def brute_trigrams(text):
+    """Trigrams of letters, all else one space, as strings."""
+    return Counter(re.findall("(?=(...))", re.sub(" +", " ", " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " ")))
+
+
+def brute_languages(docs):
+    counts = {}
+    for i, (t, lang) in docs.items():
+        if lang is not None and t and zlib.crc32(str(i).encode()) % 5:
+            counts.setdefault(lang, Counter()).update(brute_trigrams(t))
+    return {lang: (c, sum(c.values()) + 0.5 * language_mixture.BUCKETS) for lang, c in sorted(counts.items())}
+
+
+def brute_mixture(text, model, penalty=2.0):
+    """(language, share) of the best penalised set, by plain expectation maximisation over dictionaries."""
+    grams = brute_trigrams(text)
+    n = sum(grams.values())
+    p = {lang: {g: (c[g] + 0.5) / total for g in grams} for lang, (c, total) in model.items()}
+
+    def em(share):
+        for _ in range(200):
+            new = dict.fromkeys(share, 0.0)
+            for g, k in grams.items():
+                mix = sum(share[a] * p[a][g] for a in share)
+                for a in share:
+                    new[a] += k * share[a] * p[a][g] / mix / n
+            share = new
+        return share, sum(k * math.log(sum(share[a] * p[a][g] for a in share)) for g, k in grams.items())
+
+    share, _ = em(dict.fromkeys(model, 1 / len(model)))
+    order = sorted(model, key=lambda a: (-share[a], a))
+    best, value = None, -math.inf
+    for size in range(1, len(order) + 1):
+        s, like = em(dict.fromkeys(order[:size], 1 / size))
+        like -= penalty * (size - 1) * math.log(n)
+        if like <= value:
+            break
+        best, value = s, like
+    return sorted(best.items(), key=lambda x: (-x[1], x[0]))
+
+
+def test_languages_against_brute_force(spark):
+    words = {"en": "the cat sat on a mat with other animals near home", "de": "der hund und die katze sind nicht über straßen gelaufen", "fr": "le chat est très près de là où étaient les autres"}
+    rng = np.random.default_rng(2)
+    docs = {i: (" ".join(rng.choice(words[k].split(), 30)), k) for i, k in enumerate(list(words) * 10)}
+    docs[100] = (docs[0][0] + " " + docs[1][0], None)
+    docs[101] = (docs[0][0] + " " + docs[1][0] + ", " + docs[2][0] + " 42!", None)
+    df = spark.createDataFrame([(i, t, k) for i, (t, k) in docs.items()], "doc_id long, text string, lang string")
+    model = brute_languages(docs)
+    for r in language_mixture.identify(df, language_mixture.learn(df), rounds=200).collect():
+        want = brute_mixture(docs[r.doc_id][0], model)
+        assert r.languages == [a for a, _ in want] and all(abs(x - y) < 0.02 for x, (_, y) in zip(r.shares, want, strict=True))
+    # Any number of languages.
+    many = spark.range(600).selectExpr("id AS doc_id", "concat('abc', translate(cast(id AS string), '0123456789', 'qwertzuiop')) AS text", "cast(id AS string) AS lang")
+    langs, table = language_mixture.learn(many)
+    assert len(langs) > 400 and table.rows(np.arange(5)).shape == (5, len(langs))
+
+
+def bits_of(values):
+    """A byte string of (value, length) pairs, stuffed and padded with ones."""
+    text = "".join(f"{v:0{n}b}" for v, n in values if n)
+    text += "1" * (-len(text) % 8)
+    return bytes(int(text[i : i + 8], 2) for i in range(0, len(text), 8)).replace(b"\xff", b"\xff\x00")
+
+
+def hand_made(width, height, sampling, interval, rng):
+    """A baseline image of random coefficients, block by block: (file, DC of the first component's blocks by row)."""
+    size = lambda v: abs(v).bit_length()
+    raw = lambda v: (v if v >= 0 else v + (1 << size(v)) - 1, size(v))
+    acs = [(r << 4) | s for r in range(16) for s in range(1, 11)] + [0x00, 0xF0]
+    dc_code = lambda s: (s, 4)
+    ac_code = {s: (k, 8) for k, s in enumerate(acs)}
+    hm, vm = max(h for h, _ in sampling), max(v for _, v in sampling)
+    across, down = -(-width // (8 * hm)), -(-height // (8 * vm))
+    dc = np.zeros((down * sampling[0][1], across * sampling[0][0]), int)
+    scan, part, before = b"", [], [0] * len(sampling)
+    for m in range(across * down):
+        if interval and m and m % interval == 0:
+            scan, part, before = scan + bits_of(part) + bytes([0xFF, 0xD0 + (m // interval - 1) % 8]), [], [0] * len(sampling)
+        for c, (h, v) in enumerate(sampling):
+            for y in range(v):
+                for x in range(h):
+                    value = int(rng.integers(-60, 60))
+                    if c == 0:
+                        dc[m // across * v + y, m % across * h + x] = value
+                    d, before[c] = value - before[c], value
+                    part += [dc_code(size(d)), raw(d)]
+                    at = 1
+                    for k in sorted(rng.choice(np.arange(1, 64), rng.integers(0, 6), replace=False).tolist()):
+                        while k - at > 15:
+                            part.append(ac_code[0xF0])
+                            at += 16
+                        ac = int(rng.choice([-900, -3, -1, 1, 2, 77]))
+                        part += [ac_code[((k - at) << 4) | size(ac)], raw(ac)]
+                        at = k + 1
+                    if at < 64:
+                        part.append(ac_code[0])
+    scan += bits_of(part)
+    seg = lambda mark, body: bytes([0xFF, mark]) + (len(body) + 2).to_bytes(2, "big") + body
+    n = len(sampling)
+    out = b"\xff\xd8" + seg(0xFE, b"made by hand") + seg(0xDB, bytes([0, *[8] * 64]))
+    out += seg(0xC0, bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([n]) + b"".join(bytes([c + 1, 16 * h + v, 0]) for c, (h, v) in enumerate(sampling)))
+    out += seg(0xC4, bytes([0x00, 0, 0, 0, 12, *[0] * 12, *range(12)])) + seg(0xC4, bytes([0x10, *[0] * 7, len(acs), *[0] * 8, *acs]))
+    if interval:
+        out += seg(0xDD, interval.to_bytes(2, "big"))
+    out += seg(0xDA, bytes([n]) + b"".join(bytes([c + 1, 0]) for c in range(n)) + bytes([0, 63, 0])) + scan + b"\xff\xd9"
+    return out, dc
+
+
+@pytest.mark.parametrize(("sampling", "interval"), [([(1, 1)], 0), ([(1, 1)], 3), ([(2, 2), (1, 1), (1, 1)], 0), ([(2, 1), (1, 1), (1, 1)], 2), ([(1, 1)] * 3, 0)])
+def test_jpeg_images_made_by_hand(sampling, interval):
+    rng = np.random.default_rng(5)
+    files = [hand_made(w, h, sampling, interval, rng) for w, h in ((8, 8), (50, 33), (97, 16))]
+    for (data, dc), own, (w, h) in zip(files, media_jpeg.thumbnails([f for f, _ in files]), ((8, 8), (50, 33), (97, 16)), strict=True):
+        want = np.clip(np.floor(dc * 8 / 8 + 0.5) + 128, 0, 255)[: -(-h // 8), : -(-w // 8)]
+        assert len(own) == 1 and np.array_equal(own[0], want)
+
+
+def test_license_base_equals_sql(spark):
+    import duckdb
+
+    from martlens.llm.queries import op9_license_index
+
+    want = duckdb.sql(r"""WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM '/root/testdata/sf0.001/documents.parquet'),
+      p AS (SELECT * FROM (VALUES ('mit', ['mit', 'license']), ('apache', ['apache', 'license']), ('gpl', ['general', 'public', 'license'])) t(label, phrase)),
+      f AS (SELECT doc_id, label, i - 1 AS place FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w), p WHERE ws[i : i + len(phrase) - 1] = phrase)
+      SELECT w.doc_id, len(ws), count(label), min(place), max(place), coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') FROM w LEFT JOIN f USING (doc_id) GROUP BY 1, 2""").fetchall()
+    got = [(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in op9_license_index(spark, "/root/testdata/sf0.001").collect()]
+    assert sorted(got) == sorted(want) and any(r[2] for r in got)
+
+
+def test_license_index_equals_brute_force(spark):
+    """Whole, cut, changed and shifted notices: every place of a text against every template, word by word."""
+    rng = np.random.default_rng(6)
+    texts = []
+    for _, notice, _ in license_index.TEMPLATES:
+        ws = notice.split()
+        changed = [w if rng.random() > 0.05 else "other" for w in ws]
+        texts += [notice, "Some words, then: " + notice.upper() + " and more", " ".join(changed), " ".join(ws[: len(ws) // 2]), " ".join(ws[::-1])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in license_index.find_licenses(df).collect():
+        ws, found = texts[r.doc_id].lower().replace(",", "").replace(":", "").split(), set()
+        for label, notice, phrase in license_index.TEMPLATES:
+            t, must = notice.split(), phrase.split()
+            for place in range(-len(t), len(ws)):
+                share = sum(0 <= place + q < len(ws) and ws[place + q] == w for q, w in enumerate(t)) / len(t)
+                near = ws[max(0, place) : max(0, place + len(t))]
+                if share >= 0.7 and any(near[k : k + len(must)] == must for k in range(len(near))):
+                    found.add(label)
+        labels = set(filter(None, r.labels.split(",")))
+        # The index asks for some agreement among the rare words, so that it may miss a place, never make one up.
+        assert labels - set(filter(None, r.base_labels.split(","))) <= found
+        if r.doc_id % 5 < 2:
+            assert found <= labels
+
+
+def test_hot_payload_and_hot_ids(spark):
+    """One payload, one null doc_id, one text of half of the rows."""
+    pages = spark.range(400).selectExpr("id AS page_id", "concat('u', id) AS url", "CASE WHEN id % 2 = 0 THEN 'hot' ELSE concat('p', id) END AS html")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc_zip.archive_round_trip(pages).collect()}
+    assert got == {i: ("revisit", 398) if i % 2 == 0 and i != 398 else ("response", None) for i in range(400)}
+    docs = spark.range(300).selectExpr("CASE WHEN id % 2 = 0 THEN NULL ELSE id END AS doc_id", "CASE WHEN id % 3 = 0 THEN 'one two three four five six' ELSE concat('w', id, ' a b c d e f') END AS text", "'s' AS source")
+    rows = merkle.edit_study(docs, rows_per_task=7).collect()
+    assert len(rows) == 300 and sum(r.near_next == 1.0 for r in rows if r.doc_id is None) >= 49
+    assert len({r.mix_key for r in source_mix.replicate(docs, volume=20000.0).collect()}) > 300
+    marked = near_dedup.near_duplicates(docs, 4)
+    comp = brute_components([r.doc_id for r in docs.collect()], brute_sets([r.text for r in docs.collect()], 4))
+    assert sorted((r.component_id is None, r.component_id or 0) for r in marked.collect()) == sorted((c is None, c or 0) for c in comp)
+
+
+def test_more_than_seven_words(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "a b c d e f g h i j"), (3, "a b c d e f g h i k")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, 9).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_scratch_folder_is_refused_on_a_cluster():
+    class Conf:
+        def get(self, name, default):
+            return default
+
+    class Context:
+        master = "yarn"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()  # noqa: N815
+
+    with pytest.raises(ValueError):
+        common.scratch_root(Session())
+
+
+def test_32_bit_token_files(spark, tmp_path):
+    (tmp_path / "f").write_bytes(np.array([70000, 9, 0, 70000, 70000, 4], "<u4").tobytes())
+    files = spark.createDataFrame([(str(tmp_path / "f"), 4)], "path string, width int")
+    for size in (1, 2, 50):
+        assert [(r.start, r.n_tokens, r.closed) for r in token_scan.scan(files, 70000, size).orderBy("document").collect()] == [(0, 0, True), (1, 2, True), (4, 0, True), (5, 1, False)]
+    assert token_scan.end_id_of(tokens.default_path()) == 49407
