@@ -233,7 +233,7 @@ def near_duplicates(
         many = pinned(many.join(sets.select("rep", "odd"), "rep"), "many")
         # Which rows are outside their bucket's main component is fixed before the first wave: were it told anew in each, a change of
         # the main component would leave pairs out, one side of which was main when it was due and is due no more.
-        found_now = lambda rows: rows.join(found.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        found_now = lambda rows: pinned(rows.join(found.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "named")
         fixed = _unresolved(found_now(many), n_many).withColumn("outside", F.col("component") != F.col("main")).drop("component", "main", "in_bucket")
         fixed = pinned(fixed, "outside")
         sizes = fixed.groupBy("bucket").agg(F.count("*").alias("m"), F.count(F.when(F.col("outside"), 1)).alias("stray"))
