@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from martlens.functions.latest import ranked, upsert
 
 
 def upsert_listings(state: DataFrame, batch: DataFrame) -> DataFrame:
-    """By url: a new listing takes everything; a known one keeps sku, shop_id and first_seen."""
+    """By url: a new listing takes everything; a known one keeps sku, shop_id and first_seen. Of several rows of a url in the batch the last by last_seen counts."""
+    batch = batch.withColumn("rn", ranked(["url"], F.col("last_seen").desc(), F.col("product_id").desc())).filter("rn = 1").drop("rn")
     return upsert(state, batch, ["url"], ["sku", "shop_id", "first_seen"], ["product_id", "last_seen"])
 
 
@@ -51,9 +56,15 @@ def finalize_runs(runs: DataFrame, counts: DataFrame) -> DataFrame:
     return runs.join(done, "run_id", "left").select("run_id", F.when(F.col("done"), "completed").otherwise(F.col("status")).alias("status"))
 
 
+@F.pandas_udf(T.StringType())
+def _without_marks(text: pd.Series) -> pd.Series:
+    """NFKD without the combining marks U+0300 to U+036F; Spark has no normalisation of its own."""
+    return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not "\u0300" <= c <= "\u036f"))
+
+
 def slug(text: Column) -> Column:
-    """Lower case, every run of other characters than letters and digits one dash, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-|-$", "")
+    """Lower case without accents, every run of other characters than letters and digits one dash, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(_without_marks(F.lower(text)), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
 def canonical_brands(products: DataFrame) -> DataFrame:
@@ -74,9 +85,21 @@ def category_subtree(products: DataFrame, path: str) -> DataFrame:
     return products.filter((F.col("category") == path) | F.col("category").startswith(path + "/")).select("product_id", "category")
 
 
+# The states of availability.
+AVAILABILITY = ["in_stock", "out_of_stock", "preorder", "discontinued", "unknown"]
+
+
 def map_availability(text: Column) -> Column:
-    t = F.regexp_replace(F.lower(text), "[ _-]", "")
-    return F.when(t.contains("outofstock") | t.contains("soldout"), "out_of_stock").when(t.contains("instock"), "in_stock").when(t.contains("preorder"), "preorder").when(t.contains("discontinued"), "discontinued").otherwise("unknown")
+    """Free text to a state: the first of the words in this order, else the state itself, else unknown."""
+    t = F.lower(text)
+    found = F.when(t.contains("instock"), "in_stock").when(t.contains("outofstock") | t.contains("soldout"), "out_of_stock").when(t.contains("preorder"), "preorder").when(t.contains("discontinued"), "discontinued")
+    return found.when(t.isin(AVAILABILITY), t).otherwise("unknown")
+
+
+def recipe_availability(text: Column) -> Column:
+    """The rule of recipes: in stock or available, then any text with out in it, then preorder, else unknown."""
+    t = F.coalesce(F.lower(text), F.lit(""))
+    return F.when(t.contains("in_stock") | t.contains("instock") | (t == "available"), "in_stock").when(t.contains("out"), "out_of_stock").when(t.contains("preorder"), "preorder").otherwise("unknown")
 
 
 def validate_products(rows: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ def hard_key_match(rows: DataFrame, products: DataFrame) -> DataFrame:
 def unit(vectors: DataFrame) -> DataFrame:
     v = F.transform("embedding", lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return vectors.select(F.col("vec_id"), F.col("label"), F.transform(v, lambda x: x / norm).alias("unit"))
+    return vectors.select(F.col("vec_id"), F.col("label"), F.transform(v, lambda x: F.try_divide(x, norm)).alias("unit"))
 
 
 def nearest_candidates(vectors: DataFrame, k: int = 5, every: int = 10) -> DataFrame:
@@ -30,9 +30,20 @@ def nearest_candidates(vectors: DataFrame, k: int = 5, every: int = 10) -> DataF
     return pairs.withColumn("place", ranked(["query"], F.col("distance"), F.col("vec_id"))).filter(F.col("place") <= k)
 
 
-def sku_conflicts(listings: DataFrame) -> DataFrame:
-    """Products of which one shop has several active listings with different skus."""
-    return listings.filter("active").groupBy("shop_id", "product_id").agg(F.countDistinct("sku").alias("skus"), F.count("*").alias("listings")).withColumn("conflict", F.col("skus") > 1)
+def sku_conflicts(rows: DataFrame, listings: DataFrame) -> DataFrame:
+    """listing_id, conflict of ``rows`` (listing_id, shop_id, sku, candidate): has the shop another active listing on the candidate product?
+
+    It is a conflict if the row has no sku, or another one a sku that differs. Listings are folded to a row for each shop and product
+    first, from which a row's own share is taken out again, so that no pairs are made.
+    """
+    known = F.when(F.col("sku") != "", F.col("sku"))
+    per = listings.filter("active").groupBy("shop_id", F.col("product_id").alias("candidate")).agg(F.count("*").alias("n"), F.min(known).alias("low"), F.max(known).alias("high"))
+    own = listings.filter("active").select("listing_id", F.col("product_id").alias("own_product"))
+    joined = rows.join(per, ["shop_id", "candidate"], "left").join(own, "listing_id", "left")
+    others = F.coalesce("n", F.lit(0)) - F.when(F.col("own_product") == F.col("candidate"), 1).otherwise(0)
+    blank = F.coalesce(F.col("sku") == "", F.lit(True))
+    differs = F.coalesce((F.col("low") != F.col("sku")) | (F.col("high") != F.col("sku")), F.lit(False))
+    return joined.select("listing_id", ((others > 0) & (blank | differs)).alias("conflict"))
 
 
 def decide_match(nearest: DataFrame, near: float = 0.70, sure: float = 0.5) -> DataFrame:

@@ -28,9 +28,16 @@ def record_snapshots(pages: DataFrame) -> DataFrame:
     return hashed.withColumn("first", ranked(["content_hash"], F.col("page_id")) == 1)
 
 
+# What challenge pages and pages of closed shops have near their beginning.
+BOT_WALL = ["just a moment", "cf-browser-verification", "verify your identity", "captcha", "px-captcha", "access denied", "robot or human", "_incapsula_resource", "incapsula incident id"]
+SHUTDOWN = ["consolidation notice", "no longer operating"]
+
+
 def flag_bot_walls(pages: DataFrame) -> DataFrame:
-    head = F.lower(F.substring("html", 1, 4000))
-    return pages.select("page_id", head.rlike("captcha|access denied|verify you are human|just a moment").alias("bot_wall"), F.lower(F.substring("html", 1, 8000)).rlike("store is closed|closed permanently|out of business").alias("shutdown"))
+    """page_id, bot_wall and shutdown of pages (page_id, html, and, if known, final_url)."""
+    has = lambda n, marks: F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(F.lower(F.substring("html", 1, n)), m))
+    blocked = F.coalesce(F.col("final_url").rlike(r"(?i)/blocked(\?|$)"), F.lit(False)) if "final_url" in pages.columns else F.lit(False)
+    return pages.select("page_id", (blocked | F.coalesce(has(4000, BOT_WALL), F.lit(False))).alias("bot_wall"), F.coalesce(has(8000, SHUTDOWN), F.lit(False)).alias("shutdown"))
 
 
 def condense_text(pages: DataFrame, cap: int = 6000, least: int = 40) -> DataFrame:
@@ -57,11 +64,15 @@ def page_profile(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", count("<a ").alias("links"), count("<p>").alias("paragraphs"), count("<li>").alias("items"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
 
-def product_url_score(url: Column) -> Column:
-    """Path depth up to 10; +50 for a category path, +8 for .html."""
-    path = F.regexp_extract(url, r"^https?://[^/?#]+([^?#]*)", 1)
-    depth = F.size(F.filter(F.split(path, "/"), lambda s: s != ""))
-    return F.least(depth, F.lit(10)) + F.when(path.contains("/cat/"), 50).otherwise(0) + F.when(path.rlike(r"\.html$"), 8).otherwise(0)
+def product_url_score(url: Column, sitemap: Column | None = None) -> Column:
+    """Path depth up to 10; +50 for a category path, +8 for .html or .htm, -35 for a short /pdp/, +5 from a product sitemap; -100 for no URL."""
+    path = F.lower(F.regexp_extract(url, r"^https?://[^/?#]+([^?#]*)", 1))
+    segments = F.filter(F.split(path, "/"), lambda s: s != "")
+    score = F.least(F.size(segments), F.lit(10)) + F.when(F.array_contains(segments, "cat"), 50).otherwise(0) + F.when(path.rlike(r"\.html?$"), 8).otherwise(0)
+    score = score - F.when(path.contains("/pdp/") & (F.size(segments) <= 3), 35).otherwise(0)
+    if sitemap is not None:
+        score = score + F.when(sitemap.rlike("(?i)product"), 5).otherwise(0)
+    return F.when(url.rlike("^https?://[^/?#]+"), score).otherwise(F.lit(-100))
 
 
 def best_url_per_product(pages: DataFrame, least: int = 3, most: int = 10) -> DataFrame:
@@ -200,5 +211,16 @@ def robots_sitemaps(bodies: DataFrame) -> DataFrame:
     return bodies.select("site", F.explode(F.regexp_extract_all("body", F.lit(r"(?im)^\s*sitemap:\s*(\S+)\s*$"), F.lit(1))).alias("sitemap"))
 
 
-def outbound_links(listings: DataFrame, tag: str) -> DataFrame:
-    return listings.select("listing_id", F.concat("url", F.when(F.instr("url", "?") > 0, "&").otherwise("?"), F.lit(f"aff={tag}")).alias("link"))
+def with_parameter(url: Column, name: str, value: Column) -> Column:
+    """The URL with the query parameter set: in place of one of this name, else behind the others; the fragment stays last."""
+    fragment = F.regexp_extract(url, "#.*$", 0)
+    bare = F.regexp_replace(url, "#.*$", "")
+    pair = F.concat(F.lit(f"{name}="), value)
+    there = bare.rlike(rf"[?&]{name}=")
+    put = F.when(there, F.concat(F.regexp_extract(bare, rf"^(.*?[?&]){name}=", 1), pair, F.regexp_extract(bare, rf"[?&]{name}=[^&]*(.*)$", 1)))
+    return F.concat(put.otherwise(F.concat(bare, F.when(F.contains(bare, F.lit("?")), "&").otherwise("?"), pair)), fragment)
+
+
+def outbound_links(listings: DataFrame, tag: str = "tag") -> DataFrame:
+    """The listing's URL with its shop's tag (column ``tag``) as parameter aff; unchanged where there is none."""
+    return listings.select("listing_id", F.when(F.col(tag).isNotNull(), with_parameter(F.col("url"), "aff", F.col(tag))).otherwise(F.col("url")).alias("link"))

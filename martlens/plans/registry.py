@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlens.operators import catalog, health, ingest, matching, pages, signals, sites, tenancy
-from martlens.sources.tables import AS_OF, EVENTS_AS_OF, load, with_views
+from martlens.sources.tables import AS_OF, load, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -32,13 +32,16 @@ _PRICE = f"SELECT *, {_LAST} AS rn, lead(amount) OVER (PARTITION BY listing_id O
 _STOCK = f"SELECT *, {_LAST} AS rn, lead(availability) OVER (PARTITION BY listing_id ORDER BY ts DESC, o DESC, n DESC) AS previous FROM {{stock_obs}} WHERE ts > {AS_OF} - INTERVAL {DAYS} DAYS"
 _CHANGES = f"""SELECT listing_id, shop_id, product_id, CASE WHEN amount < previous THEN 'price_drop' ELSE 'price_increase' END AS signal_type,
   CASE WHEN 100 * abs(amount - previous) >= 15 * previous THEN 'critical' WHEN 100 * abs(amount - previous) >= 5 * previous THEN 'notable' ELSE 'info' END AS severity,
-  previous, amount AS current, (amount - previous) / previous AS pct, ts FROM ({_PRICE}) x JOIN {{listings}} USING (listing_id) WHERE rn = 1 AND amount <> previous"""
-_MOVES = f"""SELECT listing_id, shop_id, CASE WHEN availability = 'out_of_stock' THEN 'out_of_stock' ELSE 'back_in_stock' END AS signal_type, 'notable' AS severity, previous, availability AS current, ts
+  previous, amount AS current, (amount - previous) / previous AS pct, ts, currency FROM ({_PRICE}) x JOIN {{listings}} USING (listing_id) WHERE rn = 1 AND amount <> previous"""
+_MOVES = f"""SELECT listing_id, shop_id, CASE WHEN availability = 'out_of_stock' THEN 'out_of_stock' ELSE 'back_in_stock' END AS signal_type, CASE WHEN availability = 'out_of_stock' THEN 'notable' ELSE 'info' END AS severity, previous, availability AS current, ts
   FROM ({_STOCK}) x JOIN {{listings}} USING (listing_id) WHERE rn = 1 AND availability <> previous AND (availability = 'out_of_stock' OR (previous = 'out_of_stock' AND availability = 'in_stock'))"""
-_LOW = f"SELECT listing_id, shop_id, 'low_stock' AS signal_type, 'info' AS severity, quantity, ts FROM ({_STOCK}) x JOIN {{listings}} USING (listing_id) WHERE rn = 1 AND quantity BETWEEN 1 AND 4"
+_LOW = f"SELECT listing_id, shop_id, 'low_stock' AS signal_type, 'notable' AS severity, quantity, ts FROM ({_STOCK}) x JOIN {{listings}} USING (listing_id) WHERE rn = 1 AND quantity BETWEEN 1 AND 4"
 _NEW = f"SELECT listing_id, shop_id, 'new_product' AS signal_type, 'info' AS severity, first_seen AS ts FROM {{listings}} WHERE first_seen > {AS_OF} - INTERVAL 365 DAYS"
-_ALL = " UNION ALL ".join(f"SELECT listing_id, shop_id, signal_type, severity, ts FROM ({s}) x" for s in (_CHANGES, _MOVES, _LOW, _NEW))
-_SIGNALS = f"SELECT *, md5(concat_ws('|', listing_id, signal_type, strftime(ts, '%Y-%m-%d %H:%M:%S'))) AS signal_id FROM ({_ALL}) s"
+_GROWN = f"""SELECT shop_id, coalesce(category, 'uncategorized') AS category, count(*) AS added, 'assortment_expansion' AS signal_type, CASE WHEN count(*) >= 25 THEN 'notable' ELSE 'info' END AS severity
+  FROM {{listings}} LEFT JOIN {{products}} USING (product_id) WHERE first_seen > {AS_OF} - INTERVAL {DAYS} DAYS GROUP BY 1, 2 HAVING count(*) >= 5"""
+_ALL = " UNION ALL ".join(f"SELECT listing_id, shop_id, signal_type, severity, ts, listing_id::VARCHAR AS about FROM ({s}) x" for s in (_CHANGES, _MOVES, _LOW, _NEW))
+_ALL += f" UNION ALL SELECT NULL, shop_id, signal_type, severity, {AS_OF}, concat_ws('/', shop_id, category) FROM ({_GROWN}) g"
+_SIGNALS = f"SELECT listing_id, shop_id, signal_type, severity, ts, md5(concat_ws('|', about, signal_type, strftime(ts, '%Y-%m-%d %H:%M:%S'))) AS signal_id FROM ({_ALL}) s"
 _ORD = "CASE {} WHEN 'critical' THEN 2 WHEN 'notable' THEN 1 ELSE 0 END"
 _ALERTS = f"""SELECT signal_id, rule_id, org_id, shop_id, signal_type, severity, ts FROM ({_SIGNALS}) s JOIN {{org_competitors}} USING (shop_id) JOIN {{alert_rules}} USING (org_id)
   WHERE enabled AND (signal_types = '' OR list_contains(string_split(signal_types, ','), signal_type)) AND (only_shop IS NULL OR only_shop = shop_id) AND {_ORD.format('severity')} >= {_ORD.format('min_severity')}"""
@@ -48,10 +51,8 @@ _SUMMARY = f"""SELECT product_id, canonical_title, brand, min_price, coalesce(cu
 _RANKS = "SELECT keyword_id, shop_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY keyword_id, shop_id ORDER BY ts DESC, o DESC) AS rn FROM {serp_obs}) x WHERE rn = 1"
 
 
-def _signals(price_obs, stock_obs, listings) -> DataFrame:
-    return signals.write_signals(
-        signals.price_changes(price_obs, listings, AS_OF, DAYS), signals.inventory_transitions(stock_obs, listings, AS_OF, DAYS), signals.low_stock(stock_obs, listings, AS_OF, DAYS), signals.new_products(listings, AS_OF, 365)
-    )
+def _signals(price_obs, stock_obs, listings, products) -> DataFrame:
+    return signals.all_signals(price_obs, stock_obs, listings, products, AS_OF, DAYS, 365)
 
 
 @query("price_obs listings", _CHANGES)
@@ -74,36 +75,35 @@ def sig04_new_products(listings):
     return signals.new_products(listings, AS_OF, 365)
 
 
-@query("listings products", f"""SELECT shop_id, coalesce(category, 'uncategorized') AS category, count(*) AS added, 'assortment_expansion' AS signal_type, CASE WHEN count(*) >= 25 THEN 'notable' ELSE 'info' END AS severity
-  FROM {{listings}} LEFT JOIN {{products}} USING (product_id) WHERE first_seen > {AS_OF} - INTERVAL {DAYS} DAYS GROUP BY 1, 2 HAVING count(*) >= 5""")
+@query("listings products", _GROWN)
 def sig05_assortment_expansion(listings, products):
     return signals.assortment_expansion(listings, products, AS_OF, DAYS)
 
 
 @query("price_obs listings", f"""SELECT listing_id, concat('Price ', CASE WHEN signal_type = 'price_drop' THEN 'dropped ' ELSE 'rose ' END, CASE WHEN previous > 0 THEN ((200 * abs(current - previous) + previous) // (2 * previous))::VARCHAR ELSE '100' END,
-  '%: $', format('{{:,.2f}}', previous / 100), ' to $', format('{{:,.2f}}', current / 100)) AS title FROM ({_CHANGES}) c""")
+  '%: ', m, format('{{:,.2f}}', previous / 100), ' to ', m, format('{{:,.2f}}', current / 100)) AS title FROM (SELECT *, CASE WHEN currency = 'USD' THEN 'US$' ELSE '$' END AS m FROM ({_CHANGES}) c) d""")
 def sig06_signal_titles(price_obs, listings):
     return signals.signal_titles(signals.price_changes(price_obs, listings, AS_OF, DAYS))
 
 
-@query("price_obs stock_obs listings", _SIGNALS)
-def sig07_write_signals(price_obs, stock_obs, listings):
-    return _signals(price_obs, stock_obs, listings)
+@query("price_obs stock_obs listings products", _SIGNALS)
+def sig07_write_signals(price_obs, stock_obs, listings, products):
+    return _signals(price_obs, stock_obs, listings, products)
 
 
-@query("price_obs stock_obs listings alert_rules org_competitors", _ALERTS)
-def sig08_alert_fanout(price_obs, stock_obs, listings, rules, competitors):
-    return signals.alert_fanout(_signals(price_obs, stock_obs, listings), rules, competitors)
+@query("price_obs stock_obs listings products alert_rules org_competitors", _ALERTS)
+def sig08_alert_fanout(price_obs, stock_obs, listings, products, rules, competitors):
+    return signals.alert_fanout(_signals(price_obs, stock_obs, listings, products), rules, competitors)
 
 
-@query("price_obs stock_obs listings", f"SELECT * FROM ({_SIGNALS}) s WHERE shop_id IN (1, 2, 3) AND signal_type IN ('price_drop', 'out_of_stock') ORDER BY ts DESC, signal_id LIMIT 100")
-def sig09_recent_signals(price_obs, stock_obs, listings):
-    return signals.recent_signals(_signals(price_obs, stock_obs, listings), [1, 2, 3], ["price_drop", "out_of_stock"])
+@query("price_obs stock_obs listings products", f"SELECT * FROM ({_SIGNALS}) s WHERE shop_id IN (1, 2, 3) AND signal_type IN ('price_drop', 'out_of_stock') ORDER BY ts DESC, signal_id LIMIT 100")
+def sig09_recent_signals(price_obs, stock_obs, listings, products):
+    return signals.recent_signals(_signals(price_obs, stock_obs, listings, products), [1, 2, 3], ["price_drop", "out_of_stock"])
 
 
-@query("price_obs stock_obs listings alert_rules org_competitors shops", f"SELECT org_id, rn::INT AS rn, signal_id, name, signal_type, ts FROM (SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY ts DESC, signal_id) AS rn FROM ({_ALERTS}) a) b JOIN {{shops}} USING (shop_id) WHERE rn <= 100")
-def sig10_org_feed(price_obs, stock_obs, listings, rules, competitors, shops):
-    return signals.org_feed(signals.alert_fanout(_signals(price_obs, stock_obs, listings), rules, competitors), shops)
+@query("price_obs stock_obs listings products alert_rules org_competitors shops", f"SELECT org_id, rn::INT AS rn, signal_id, name, signal_type, ts FROM (SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY ts DESC, signal_id) AS rn FROM ({_ALERTS}) a) b JOIN {{shops}} USING (shop_id) WHERE rn <= 100")
+def sig10_org_feed(price_obs, stock_obs, listings, products, rules, competitors, shops):
+    return signals.org_feed(_signals(price_obs, stock_obs, listings, products), rules, competitors, shops)
 
 
 @query("alert_rules", "SELECT org_id, rule_id, signal_types, min_severity FROM {alert_rules} WHERE enabled")
@@ -111,25 +111,27 @@ def sig11_org_rules(rules):
     return rules.filter("enabled").select("org_id", "rule_id", "signal_types", "min_severity")
 
 
-@query("price_obs stock_obs listings alert_rules org_competitors", f"SELECT signal_id, rule_id, CASE WHEN org_id % 2 = 0 THEN {AS_OF} ELSE ts END AS read_at FROM ({_ALERTS}) a")
-def sig12_mark_events(price_obs, stock_obs, listings, rules, competitors):
-    events = signals.alert_fanout(_signals(price_obs, stock_obs, listings), rules, competitors).withColumn("read_at", F.when(F.col("org_id") % 2 == 1, F.col("ts")))
+@query("price_obs stock_obs listings products alert_rules org_competitors", f"SELECT signal_id, rule_id, CASE WHEN org_id % 2 = 0 THEN {AS_OF} ELSE ts END AS read_at FROM ({_ALERTS}) a")
+def sig12_mark_events(price_obs, stock_obs, listings, products, rules, competitors):
+    events = signals.alert_fanout(_signals(price_obs, stock_obs, listings, products), rules, competitors).withColumn("read_at", F.when(F.col("org_id") % 2 == 1, F.col("ts")))
     return events.select("signal_id", "rule_id", F.coalesce("read_at", F.expr(AS_OF).cast("timestamp_ntz")).alias("read_at"))
 
 
 _COUNT = "least(count(CASE WHEN signal_type IN ({}) THEN 1 END), 1000)"
 
 
-@query("price_obs stock_obs listings org_competitors orgs", f"""SELECT *, drops = 0 AND added = 0 AND inventory = 0 AS empty FROM (SELECT org_id, {_COUNT.format("'price_drop'")} AS drops, {_COUNT.format("'new_product'")} AS added,
-  {_COUNT.format("'out_of_stock','back_in_stock','low_stock'")} AS inventory FROM {{orgs}} JOIN {{org_competitors}} USING (org_id) LEFT JOIN ({_SIGNALS}) s USING (shop_id) WHERE plan <> 'trial' GROUP BY 1) d""")
-def sig13_digest(price_obs, stock_obs, listings, competitors, orgs):
-    return signals.digest(_signals(price_obs, stock_obs, listings), competitors, orgs)
+@query("price_obs stock_obs listings products org_competitors orgs", f"""WITH s AS ({_SIGNALS}), t AS (SELECT org_id, s.* FROM {{orgs}} JOIN {{org_competitors}} USING (org_id) LEFT JOIN s USING (shop_id) WHERE plan <> 'trial'),
+  h AS (SELECT org_id, string_agg(signal_id, ',' ORDER BY rn) AS highlights FROM (SELECT org_id, signal_id, row_number() OVER (PARTITION BY org_id ORDER BY ts DESC, signal_id) AS rn FROM t WHERE signal_id IS NOT NULL) x WHERE rn <= 12 GROUP BY 1)
+  SELECT d.*, drops = 0 AND added = 0 AND inventory = 0 AS empty, coalesce(highlights, '') AS highlights FROM (SELECT org_id, {_COUNT.format("'price_drop'")} AS drops, {_COUNT.format("'new_product'")} AS added,
+  {_COUNT.format("'out_of_stock','back_in_stock','low_stock'")} AS inventory FROM t GROUP BY 1) d LEFT JOIN h USING (org_id)""")
+def sig13_digest(price_obs, stock_obs, listings, products, competitors, orgs):
+    return signals.digest(_signals(price_obs, stock_obs, listings, products), competitors, orgs)
 
 
-@query("price_obs stock_obs listings org_competitors", f"""SELECT org_id, count(CASE WHEN signal_type = 'price_drop' THEN 1 END) AS drops, count(CASE WHEN signal_type = 'new_product' THEN 1 END) AS added,
+@query("price_obs stock_obs listings products org_competitors", f"""SELECT org_id, count(CASE WHEN signal_type = 'price_drop' THEN 1 END) AS drops, count(CASE WHEN signal_type = 'new_product' THEN 1 END) AS added,
   count(CASE WHEN signal_type IN ('low_stock','out_of_stock') THEN 1 END) AS low_or_out, max(ts) AS newest FROM {{org_competitors}} JOIN ({_SIGNALS}) s USING (shop_id) GROUP BY 1""")
-def sig14_overview_stats(price_obs, stock_obs, listings, competitors):
-    return signals.overview_stats(_signals(price_obs, stock_obs, listings), competitors)
+def sig14_overview_stats(price_obs, stock_obs, listings, products, competitors):
+    return signals.overview_stats(_signals(price_obs, stock_obs, listings, products), competitors)
 
 
 @query("price_obs", _PRICES)
@@ -142,9 +144,9 @@ def cat02_product_summaries(products, listings, price_obs):
     return catalog.product_summaries(products, listings, price_obs)
 
 
-@query("products listings price_obs", f"{_SUMMARY} WHERE contains(lower(canonical_title) , 'steel') OR contains(lower(brand), 'steel') ORDER BY offers DESC, min_price ASC NULLS LAST, product_id LIMIT 24")
+@query("products listings price_obs", f"{_SUMMARY} WHERE (contains(lower(canonical_title), 'gear') OR contains(lower(brand), 'gear')) AND (contains(lower(canonical_title), 'small') OR contains(lower(brand), 'small')) ORDER BY offers DESC, min_price ASC NULLS LAST, product_id LIMIT 24")
 def cat03_search_products(products, listings, price_obs):
-    return catalog.search_products(products, listings, price_obs, "STEEL")
+    return catalog.search_products(products, listings, price_obs, "GEAR small")
 
 
 @query("products listings price_obs", f"{_SUMMARY} ORDER BY offers DESC, min_price ASC NULLS LAST, product_id LIMIT 24")
@@ -271,9 +273,10 @@ def ing14_finalize_runs(runs, counts):
     return ingest.finalize_runs(runs, counts)
 
 
-@query("products", "SELECT product_id, regexp_replace(regexp_replace(lower(canonical_title), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM {products}")
+@query("products", "SELECT product_id, regexp_replace(regexp_replace(lower(strip_accents(CASE WHEN product_id % 3 = 0 THEN concat(canonical_title, ' Café Ñandú ÅÉ!') ELSE canonical_title END)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM {products}")
 def tax01_slug(products):
-    return products.select("product_id", ingest.slug(F.col("canonical_title")).alias("slug"))
+    title = F.when(F.col("product_id") % 3 == 0, F.concat("canonical_title", F.lit(" Café Ñandú ÅÉ!"))).otherwise(F.col("canonical_title"))
+    return products.select("product_id", ingest.slug(title).alias("slug"))
 
 
 @query("products", "SELECT slug, max(brand) AS name, count(*) AS aliases, substr(md5(slug), 1, 12) AS brand_id FROM (SELECT DISTINCT brand, regexp_replace(regexp_replace(lower(brand), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM {products}) b GROUP BY 1")
@@ -308,9 +311,12 @@ def mat02_nearest_candidates(embeddings):
     return matching.nearest_candidates(embeddings)
 
 
-@query("listings", "SELECT shop_id, product_id, count(DISTINCT sku) AS skus, count(*) AS listings, count(DISTINCT sku) > 1 AS conflict FROM {listings} WHERE active GROUP BY 1, 2")
+@query("listings", """WITH l AS (SELECT listing_id, shop_id, active, product_id % 40 AS product_id, CASE WHEN listing_id % 7 <> 0 THEN sku END AS sku FROM {listings}), r AS (SELECT listing_id, shop_id, sku, CASE WHEN listing_id % 2 = 0 THEN product_id ELSE (product_id + 1) % 40 END AS candidate FROM l)
+  SELECT listing_id, EXISTS (SELECT 1 FROM l o WHERE o.shop_id = r.shop_id AND o.product_id = r.candidate AND o.active AND o.listing_id <> r.listing_id AND (r.sku IS NULL OR o.sku <> r.sku)) AS conflict FROM r""")
 def mat03_sku_conflict(listings):
-    return matching.sku_conflicts(listings)
+    rows = listings.withColumn("product_id", F.col("product_id") % 40).withColumn("sku", F.when(F.col("listing_id") % 7 != 0, F.col("sku")))
+    candidate = F.when(F.col("listing_id") % 2 == 0, F.col("product_id")).otherwise((F.col("product_id") + 1) % 40)
+    return matching.sku_conflicts(rows.select("listing_id", "shop_id", "sku", candidate.alias("candidate")), rows)
 
 
 _DECIDE = f"SELECT query, vec_id AS candidate, distance, CASE WHEN distance <= 0.6 THEN 'auto_matched' WHEN distance <= 0.7 THEN 'review' ELSE 'new' END AS status FROM ({_PLACED}) p WHERE place = 1"
@@ -343,12 +349,22 @@ def mat08_review_backlog(embeddings):
     return matching.review_backlog(matching.decide_match(matching.nearest_candidates(embeddings), 0.7, 0.6))
 
 
-_PCT = "least(100, coalesce(CASE WHEN {1} <> 0 THEN (100 * {0}) // {1} END, 0))::BIGINT"
-_INPUTS = f"""SELECT run_id, shop_id, started_at, status, CASE WHEN baseline IS NULL THEN 100 ELSE {_PCT.format('discovered', 'baseline')} END::BIGINT AS coverage, {_PCT.format('fetched', 'discovered')} AS endpoint, {_PCT.format('extracted', 'fetched')} AS extraction, {_PCT.format('priced', 'discovered')} AS price
-  FROM (SELECT *, lag(discovered) OVER (PARTITION BY shop_id ORDER BY started_at, run_id) AS baseline FROM {{crawl_runs}} JOIN {{run_counts}} USING (run_id)) x"""
-_SCORE = f"SELECT *, CASE WHEN status = 'failed' OR extraction = 0 THEN 0 ELSE 3 * coverage + 3 * endpoint + 2 * extraction + 2 * price END::BIGINT AS score FROM ({_INPUTS}) i"
-_ANOM = f"""SELECT run_id, score, CASE WHEN a = '' AND score < 400 THEN 'unhealthy:critical' ELSE a END AS anomalies FROM (SELECT run_id, score, concat_ws(',', CASE WHEN coverage < 50 THEN 'catalog_drop:critical' WHEN coverage < 70 THEN 'catalog_drop:warning' END,
-  CASE WHEN endpoint < 30 THEN 'endpoint_failure:critical' WHEN endpoint < 50 THEN 'endpoint_failure:warning' END, CASE WHEN extraction < 50 THEN 'extraction_drop:warning' END, CASE WHEN price < 70 THEN 'price_missing:warning' END) AS a FROM ({_SCORE}) s) x"""
+_INPUTS = """SELECT *, CASE WHEN baseline > 0 THEN least(1.0::DOUBLE, catalog::DOUBLE / baseline) WHEN catalog > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS coverage,
+  CASE WHEN mode IN ('api', 'jina_categories') THEN greatest(0.0::DOUBLE, 1.0::DOUBLE - errors::DOUBLE / greatest(discovered, catalog, 1)) WHEN discovered > 0 THEN least(1.0::DOUBLE, fetched::DOUBLE / discovered) ELSE 1.0 END::DOUBLE AS endpoint,
+  CASE WHEN mode IN ('api', 'jina_categories') THEN CASE WHEN catalog > 0 THEN 1.0 ELSE 0.0 END WHEN fetched > 0 THEN least(1.0::DOUBLE, extracted::DOUBLE / fetched) ELSE 1.0 END::DOUBLE AS extraction,
+  CASE WHEN extracted > 0 THEN least(1.0::DOUBLE, priced::DOUBLE / extracted) ELSE 0.0 END::DOUBLE AS price
+  FROM (SELECT *, CASE WHEN coalesce(lag(catalog) OVER (PARTITION BY shop_id ORDER BY started_at, run_id), 0) > 0 THEN lag(catalog) OVER (PARTITION BY shop_id ORDER BY started_at, run_id) ELSE greatest(coalesce(estimated_size, 0), 0) END AS baseline
+  FROM (SELECT run_id, shop_id, started_at, status, mode, estimated_size, discovered, fetched::BIGINT AS fetched, extracted::BIGINT AS extracted, errors::BIGINT AS errors, priced, CASE WHEN extracted <> 0 THEN extracted ELSE discovered END::BIGINT AS catalog FROM {crawl_runs} JOIN {run_counts} USING (run_id)) a) b"""
+_INPUTS = f"SELECT run_id, shop_id, started_at, status, mode, discovered, fetched, extracted, errors, catalog, baseline, coverage, endpoint, extraction, price FROM ({_INPUTS}) c"
+_BROKEN = "(status = 'failed' OR status = 'completed' AND catalog = 0)"
+_SCORE = f"SELECT *, CASE WHEN {_BROKEN} THEN 0.0 ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, coverage * 0.3::DOUBLE + endpoint * 0.3::DOUBLE + extraction * 0.2::DOUBLE + price * 0.2::DOUBLE)) END::DOUBLE AS score FROM ({_INPUTS}) i"
+_ANOM = f"""SELECT run_id, mode, score, CASE WHEN {_BROKEN} THEN CASE WHEN catalog = 0 THEN 'catalog_drop:critical' ELSE 'endpoint_5xx:critical' END WHEN a = '' AND score < 0.4::DOUBLE THEN 'catalog_drop:critical' ELSE a END AS anomalies FROM (SELECT *, concat_ws(',',
+  CASE WHEN baseline > 0 AND catalog < baseline * 0.7::DOUBLE THEN CASE WHEN catalog < baseline * 0.5::DOUBLE THEN 'catalog_drop:critical' ELSE 'catalog_drop:warning' END END,
+  CASE WHEN endpoint < 0.5::DOUBLE THEN concat(CASE WHEN errors > 0 THEN 'endpoint_4xx' ELSE 'endpoint_5xx' END, CASE WHEN endpoint < 0.3::DOUBLE THEN ':critical' ELSE ':warning' END) END,
+  CASE WHEN extraction < 0.5::DOUBLE AND fetched > 0 THEN 'extraction_rate_drop:warning' END, CASE WHEN price < 0.7::DOUBLE AND extracted > 0 THEN 'field_missing:warning' END,
+  CASE WHEN coverage < 0.7::DOUBLE AND mode = 'api' THEN 'pagination_break:warning' END) AS a FROM ({_SCORE}) s) x"""
+_DUE = f"""SELECT shop_id, substr(regexp_replace(regexp_replace(regexp_replace(lower(domain), '^www\\.', ''), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 64) AS key, shop_id % 5 <> 0 AS enabled,
+  CASE shop_id % 3 WHEN 0 THEN NULL WHEN 1 THEN {AS_OF} - INTERVAL 10 DAYS ELSE {AS_OF} - INTERVAL 2 DAYS END AS last_rediscovery FROM {{shops}}"""
 
 
 def _scored(runs, counts) -> DataFrame:
@@ -370,27 +386,30 @@ def hlt03_health_anomalies(runs, counts):
     return health.health_anomalies(_scored(runs, counts))
 
 
-@query("crawl_runs run_counts", f"""SELECT shop_id, max(CASE WHEN rn = 1 THEN score END) AS newest, CASE WHEN count(*) = 3 AND max(score) < 400 THEN 'rediscover' WHEN max(CASE WHEN rn = 1 THEN score END) BETWEEN 400 AND 699 THEN 'repair' ELSE 'none' END AS action
+@query("crawl_runs run_counts", f"""SELECT shop_id, max(CASE WHEN rn = 1 THEN score END) AS newest, CASE WHEN count(*) = 3 AND max(score) < 0.4::DOUBLE THEN 'rediscover' WHEN bool_or(rn = 1 AND mode = 'api' AND score >= 0.4::DOUBLE AND score < 0.7::DOUBLE) THEN 'repair' ELSE 'none' END AS action
   FROM (SELECT *, row_number() OVER (PARTITION BY shop_id ORDER BY started_at DESC, run_id DESC) AS rn FROM ({_SCORE}) s) x WHERE rn <= 3 GROUP BY 1""")
 def hlt04_escalate(runs, counts):
     return health.escalate(_scored(runs, counts))
 
 
-@query("crawl_runs run_counts shops", f"""SELECT shop_id, score, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(domain, ''), lambda c: ascii(c)::BIGINT)), lambda a, x: (a * 31 + x) % 4294967296) % 3600 AS delay_s
-  FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY shop_id ORDER BY started_at DESC, run_id DESC) AS rn FROM ({_SCORE}) s) x WHERE rn = 1 AND score < 500) y JOIN {{shops}} USING (shop_id)""")
+@query("crawl_runs run_counts shops", f"""SELECT shop_id, score, abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 3600 AS delay_s FROM (SELECT shop_id, score, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT)), lambda a, x: (a * 31 + x) % 4294967296) AS h
+  FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY shop_id ORDER BY started_at DESC, run_id DESC) AS rn FROM ({_SCORE}) s) x WHERE rn = 1 AND score < 0.5::DOUBLE) y JOIN ({_DUE}) d USING (shop_id) WHERE enabled AND (last_rediscovery IS NULL OR last_rediscovery < {AS_OF} - INTERVAL 7 DAYS)) z""")
 def hlt05_rediscovery_candidates(runs, counts, shops):
-    return health.rediscovery_candidates(_scored(runs, counts), shops)
+    last = F.expr(f"CASE shop_id % 3 WHEN 0 THEN NULL WHEN 1 THEN {AS_OF} - INTERVAL 10 DAYS ELSE {AS_OF} - INTERVAL 2 DAYS END")
+    due = shops.select("shop_id", pages.shop_key(F.col("domain")).alias("key"), (F.col("shop_id") % 5 != 0).alias("enabled"), last.alias("last_rediscovery"))
+    return health.rediscovery_candidates(_scored(runs, counts), due, AS_OF)
 
 
-@query("crawl_runs run_counts", f"""SELECT run_id, concat_ws(',', CASE WHEN contains(anomalies, 'endpoint_failure') THEN 'header_refresh,endpoint_swap' END, CASE WHEN contains(anomalies, 'catalog_drop') THEN 'pagination_fix' END,
-  CASE WHEN contains(anomalies, 'extraction_drop') OR contains(anomalies, 'price_missing') THEN 'field_remap' END) AS plan FROM ({_ANOM}) a""")
+@query("crawl_runs run_counts", f"""SELECT run_id, CASE WHEN mode <> 'api' THEN '' WHEN e OR g OR f THEN concat_ws(',', CASE WHEN e OR f AND NOT g THEN 'header_refresh' END, CASE WHEN e THEN 'endpoint_swap' END, CASE WHEN g THEN 'pagination_fix' END, CASE WHEN f AND g AND NOT e THEN 'header_refresh' END)
+  WHEN anomalies <> '' THEN 'header_refresh,pagination_fix,endpoint_swap' ELSE '' END AS plan FROM (SELECT *, contains(anomalies, 'endpoint_4xx') OR contains(anomalies, 'endpoint_5xx') AS e, contains(anomalies, 'pagination_break') OR contains(anomalies, 'catalog_drop') AS g, contains(anomalies, 'field_missing') AS f FROM ({_ANOM}) a) b""")
 def hlt06_repair_plan(runs, counts):
     return health.repair_plan(health.health_anomalies(_scored(runs, counts)))
 
 
-@query("crawl_runs", "SELECT shop_id, count(*) = 2 AND count(CASE WHEN status = 'failed' THEN 1 END) = 2 AS exhausted FROM (SELECT *, row_number() OVER (PARTITION BY shop_id ORDER BY started_at DESC, run_id DESC) AS rn FROM {crawl_runs}) x WHERE rn <= 2 GROUP BY 1")
+@query("crawl_runs", "SELECT shop_id, count(*) = 2 AND count(CASE WHEN tokens % 3 <> 0 THEN 1 END) = 2 AS exhausted FROM (SELECT *, row_number() OVER (PARTITION BY shop_id ORDER BY started_at DESC, run_id DESC) AS rn FROM {crawl_runs} WHERE status <> 'completed') x WHERE rn <= 2 GROUP BY 1")
 def hlt07_repair_exhausted(runs):
-    return health.repair_exhausted(runs)
+    attempts = runs.filter("status <> 'completed'").select("shop_id", F.col("run_id").alias("attempt_id"), F.col("started_at").alias("at"), (F.col("tokens") % 3 == 0).alias("succeeded"))
+    return health.repair_exhausted(attempts)
 
 
 _HISTORY = "SELECT shop_id, row_number() OVER (PARTITION BY shop_id ORDER BY run_id)::INT AS version, run_id FROM {crawl_runs} WHERE status = 'completed'"
@@ -413,9 +432,12 @@ def rec02_rollback_version(runs):
     return health.rollback_version(_history(runs))
 
 
-@query("shops crawl_runs", f"WITH h AS ({_HISTORY}) SELECT shop_id, 1 AS version FROM {{shops}} WHERE shop_id NOT IN (SELECT shop_id FROM h)")
+@query("shops crawl_runs", f"""WITH h AS (SELECT * FROM ({_HISTORY}) a WHERE shop_id % 4 <> 0) SELECT shop_id, 1 AS version, coalesce(CASE WHEN shop_id % 8 = 0 THEN 90 END, CASE WHEN shop_id % 3 = 0 THEN 70 END, 0) AS confidence_pct
+  FROM {{shops}} WHERE shop_id % 5 <> 0 AND shop_id NOT IN (SELECT shop_id FROM h)""")
 def rec03_backfill_versions(shops, runs):
-    return shops.join(_history(runs), "shop_id", "left_anti").select("shop_id", F.lit(1).alias("version"))
+    own, recipe = F.when(F.col("shop_id") % 8 == 0, 90), F.when(F.col("shop_id") % 3 == 0, 70)
+    having = shops.select("shop_id", own.alias("column_confidence"), recipe.alias("recipe_confidence"), (F.col("shop_id") % 5 != 0).alias("has_recipe"))
+    return health.backfill_versions(having, _history(runs).filter("shop_id % 4 <> 0"))
 
 
 @query("crawl_runs", f"SELECT shop_id, max(version) AS version, arg_max(run_id, version) AS run_id FROM ({_HISTORY}) h GROUP BY 1")
@@ -428,19 +450,28 @@ def rec04_recent_versions(runs):
     return health.recent_versions(_history(runs))
 
 
-@query("crawl_runs run_counts", f"""SELECT run_id, current, candidate, candidate > 0 AND ((current < 700 AND candidate >= 700) OR candidate - current > 50) AS promote
-  FROM (SELECT run_id, score AS candidate, lag(score) OVER (PARTITION BY shop_id ORDER BY started_at, run_id) AS current FROM ({_SCORE}) s) x WHERE current IS NOT NULL""")
+@query("crawl_runs run_counts", f"""SELECT *, (has_recipe OR candidate >= 0.7::DOUBLE) AND ((candidate >= 0.7::DOUBLE AND current < 0.7::DOUBLE) OR candidate > current + 0.05::DOUBLE OR coalesce(report >= 0.7::DOUBLE AND candidate_size >= coalesce(current_size, 0) AND candidate_size > 0, false)) AS promote
+  FROM (SELECT run_id, lag(score) OVER w AS current, score AS candidate, CASE WHEN run_id % 3 <> 0 THEN score END AS report, lag(catalog) OVER w AS current_size, catalog AS candidate_size, mode = 'api' AS has_recipe FROM ({_SCORE}) s WINDOW w AS (PARTITION BY shop_id ORDER BY started_at, run_id)) x WHERE current IS NOT NULL""")
 def rec05_promotion_guard(runs, counts):
     from pyspark.sql import Window
 
     w = Window.partitionBy("shop_id").orderBy("started_at", "run_id")
-    pairs = _scored(runs, counts).select("run_id", F.col("score").alias("candidate"), F.lag("score").over(w).alias("current")).filter("current is not null")
+    pairs = _scored(runs, counts).select(
+        "run_id", F.lag("score").over(w).alias("current"), F.col("score").alias("candidate"), F.when(F.col("run_id") % 3 != 0, F.col("score")).alias("report"),
+        F.lag("catalog").over(w).alias("current_size"), F.col("catalog").alias("candidate_size"), (F.col("mode") == "api").alias("has_recipe"),
+    ).filter("current is not null")
     return health.promotion_guard(pairs)
 
 
-_SHAPE = """'*' || array_to_string(list_transform(string_split(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/'), lambda s: CASE WHEN regexp_matches(s, '^[0-9]+$') THEN '{{n}}'
-  WHEN regexp_matches(s, '^[0-9a-f]{{8}}-[0-9a-f-]{{27}}$') THEN '{{uuid}}' WHEN regexp_matches(s, '[0-9]') AND regexp_matches(s, '^[A-Za-z0-9_-]{{12,}}$') THEN '{{id}}' ELSE s END), '/')"""
-ORACLE_SQL["end01_url_shape"] = f"SELECT page_id, {_SHAPE.replace('{{', '{').replace('}}', '}')} AS shape FROM pages"
+_ESCAPED = "regexp_replace({}, '([.*+?^${{}}()|\\[\\]\\\\])', '\\\\\\1', 'g')"
+_SHAPE = rf"""concat('https?://[^/]+/', array_to_string(list_transform(list_filter(string_split(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '^[0-9]+$') THEN '\d+'
+  WHEN regexp_matches(s, '(?i)^[0-9a-f-]{{36}}$') THEN '[0-9a-f-]+' WHEN regexp_matches(s, '[0-9]') AND regexp_matches(s, '(?i)^[A-Z0-9_-]{{8,}}$') THEN '[^/]+' ELSE {_ESCAPED.format('s')} END), '/'))"""
+_PATTERNS = """SELECT platform, method, endpoint_type, shape, count(DISTINCT host) AS hosts, sum(greatest(0, coalesce(reliability_pct, 85) - least(5 * failures, 40)))::BIGINT AS total, count(*) AS n
+  FROM (SELECT *, @SHAPE AS shape FROM {endpoints} WHERE failures <= 5 AND url <> '') x GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT host) >= 3 AND sum(greatest(0, coalesce(reliability_pct, 85) - least(5 * failures, 40))) >= 80 * count(*)"""
+ORACLE_SQL["end01_url_shape"] = f"SELECT page_id, {_SHAPE} AS shape FROM pages"
+ORACLE_SQL["end02_endpoint_patterns"] = with_views(_PATTERNS).replace("@SHAPE", _SHAPE)
+ORACLE_SQL["end03_match_patterns"] = with_views(f"""SELECT page_id, shape, endpoint_type FROM (SELECT e.page_id, p.shape, p.endpoint_type, row_number() OVER (PARTITION BY e.page_id ORDER BY -p.total / p.n, -p.hosts, p.shape, p.method, p.endpoint_type) AS rn
+  FROM {{endpoints}} e JOIN ({_PATTERNS}) p ON (p.platform = 'unknown' OR p.platform = e.platform) AND regexp_matches(e.url, '(?i)^' || p.shape)) x WHERE rn = 1""").replace("@SHAPE", _SHAPE)
 
 
 @query("pages")
@@ -453,31 +484,55 @@ def end02_endpoint_patterns(endpoints):
     return health.endpoint_patterns(endpoints)
 
 
-ORACLE_SQL["end02_endpoint_patterns"] = with_views("SELECT platform, method, endpoint_type, shape, count(DISTINCT host) AS hosts, sum(reliability_pct - least(5 * failures, 40))::BIGINT AS total, count(*) AS n FROM (SELECT *, @SHAPE AS shape FROM {endpoints} WHERE failures <= 5 AND url <> '') x GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT host) >= 3").replace("@SHAPE", _SHAPE.replace("{{", "{").replace("}}", "}"))
+@query("endpoints")
+def end03_match_patterns(endpoints):
+    return health.match_patterns(endpoints, health.endpoint_patterns(endpoints))
 
 
-@query("endpoints", "SELECT host, place, page_id, reliability_pct FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY reliability_pct DESC, failures, page_id)::INT AS place FROM {endpoints}) x WHERE place <= 3")
+@query("endpoints", """WITH m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY reliability_pct DESC NULLS FIRST, page_id)::INT AS place FROM {endpoints}) x WHERE place <= 4),
+  o AS (SELECT * FROM (SELECT h.host, e.page_id, e.reliability_pct, e.url, e.method, row_number() OVER (PARTITION BY h.host, h.platform ORDER BY e.reliability_pct DESC NULLS FIRST, e.page_id) AS r FROM (SELECT DISTINCT host, platform FROM {endpoints}) h JOIN {endpoints} e ON e.platform = h.platform AND e.host <> h.host) x WHERE r <= 6)
+  SELECT host, place, page_id, 'own' AS source FROM m UNION ALL SELECT host, (4 + row_number() OVER (PARTITION BY host ORDER BY reliability_pct DESC NULLS FIRST, page_id))::INT, page_id, 'platform' FROM o WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.host = o.host AND m.url = o.url AND m.method = o.method)""")
 def end04_candidate_endpoints(endpoints):
     return health.candidate_endpoints(endpoints)
 
 
-_OUTCOME = "CASE WHEN extracted = 0 THEN 'Failed' WHEN 2 * extracted >= discovered THEN 'Success' ELSE 'Partial Success' END"
+_BENCH = """SELECT run_id, mode, status, CASE WHEN run_id % 6 = 0 THEN 'Incapsula challenge' WHEN run_id % 6 = 1 THEN 'Could not confirm samples' WHEN run_id % 6 = 2 THEN '' END AS error, extracted > 0 AS "generated", CASE WHEN run_id % 5 <> 0 THEN fetched > errors END AS validated,
+  CASE WHEN run_id % 7 = 0 THEN 0.8 WHEN run_id % 7 = 1 THEN 0.5 END::DOUBLE AS report, CASE WHEN run_id % 4 <> 0 THEN (100 * fetched // discovered)::BIGINT END AS coverage_pct, CASE WHEN run_id % 3 = 0 THEN 0.6 END::DOUBLE AS fingerprint,
+  CASE run_id % 3 WHEN 0 THEN 'static,network' WHEN 1 THEN 'static,validate' ELSE 'static' END AS stages FROM {crawl_runs} JOIN {run_counts} USING (run_id)"""
+_OUTCOME = f"""SELECT *, CASE WHEN coalesce(error <> '', false) AND NOT "generated" THEN 'Failed' WHEN "generated" AND (coalesce(validated, false) OR coalesce(report >= 0.7::DOUBLE, false)) AND coalesce(coverage_pct >= 50, true) THEN 'Success' WHEN "generated" OR coalesce(fingerprint >= 0.5::DOUBLE, false) THEN 'Partial Success' ELSE 'Failed' END AS outcome FROM ({_BENCH}) b"""
+
+
+def _bench_runs(runs, counts) -> DataFrame:
+    c, r = F.col, F.col("run_id")
+    joined = runs.join(counts, "run_id")
+    return joined.select(
+        "run_id", "mode", "status", F.when(r % 6 == 0, "Incapsula challenge").when(r % 6 == 1, "Could not confirm samples").when(r % 6 == 2, "").alias("error"), (c("extracted") > 0).alias("generated"),
+        F.when(r % 5 != 0, c("fetched") > c("errors")).alias("validated"), F.when(r % 7 == 0, 0.8).when(r % 7 == 1, 0.5).alias("report"), F.when(r % 4 != 0, F.floor(100 * c("fetched") / c("discovered"))).alias("coverage_pct"),
+        F.when(r % 3 == 0, 0.6).alias("fingerprint"), F.when(r % 3 == 0, "static,network").when(r % 3 == 1, "static,validate").otherwise("static").alias("stages"),
+    ).withColumn("last_stage", F.element_at(F.split("stages", ","), -1))
 
 
-@query("run_counts", f"SELECT run_id, {_OUTCOME} AS outcome FROM {{run_counts}}")
-def ben01_classify_runs(counts):
-    return health.classify_runs(counts)
+@query("crawl_runs run_counts", f"SELECT run_id, outcome FROM ({_OUTCOME}) o")
+def ben01_classify_runs(runs, counts):
+    return health.classify_runs(_bench_runs(runs, counts)).select("run_id", "outcome")
 
 
-@query("crawl_runs run_counts", """SELECT CASE WHEN status = 'failed' THEN 'run failed' WHEN fetched = 0 THEN 'nothing fetched' WHEN extracted = 0 THEN 'nothing extracted' WHEN 2 * errors >= discovered THEN 'many errors' ELSE 'none' END AS cause, count(*) AS runs, sum(errors)::BIGINT AS errors
-  FROM {crawl_runs} JOIN {run_counts} USING (run_id) GROUP BY 1""")
+@query("crawl_runs run_counts", f"""SELECT cause, point, count(*) AS runs FROM (SELECT CASE WHEN e LIKE '%Incapsula%' THEN 'bot protection' WHEN e LIKE '%Could not confirm%' THEN 'no product pattern' WHEN NOT "generated" AND contains(stages, 'network') THEN 'no catalog API' WHEN "generated" AND NOT coalesce(validated, false) THEN 'failed validation'
+  WHEN e <> '' THEN e ELSE 'no promotable recipe' END AS cause, CASE WHEN e LIKE '%Incapsula%' THEN 'fingerprint/static' WHEN e LIKE '%Could not confirm%' THEN CASE WHEN contains(stages, 'validate') THEN 'validate' ELSE 'static' END WHEN NOT "generated" AND contains(stages, 'network') THEN 'network' WHEN "generated" AND NOT coalesce(validated, false) THEN 'validate'
+  ELSE string_split(stages, ',')[-1] END AS point FROM (SELECT *, coalesce(error, '') AS e FROM ({_OUTCOME}) o WHERE outcome <> 'Success') x) y GROUP BY 1, 2""")
 def ben02_failure_causes(runs, counts):
-    return health.failure_causes(runs, counts)
+    return health.failure_causes(_bench_runs(runs, counts))
 
 
-@query("crawl_runs run_counts", f"SELECT shop_id, count(*) AS runs, count(CASE WHEN outcome = 'Success' THEN 1 END) AS success, count(CASE WHEN outcome = 'Failed' THEN 1 END) AS failed FROM (SELECT shop_id, {_OUTCOME} AS outcome FROM {{crawl_runs}} JOIN {{run_counts}} USING (run_id)) x GROUP BY ROLLUP (shop_id)")
+@query("crawl_runs run_counts", f"SELECT mode, count(*) AS runs, count(CASE WHEN outcome = 'Success' THEN 1 END) AS success, count(CASE WHEN outcome = 'Partial Success' THEN 1 END) AS partial, count(CASE WHEN outcome = 'Failed' THEN 1 END) AS failed, sum(coverage_pct)::BIGINT AS coverage_sum, count(coverage_pct) AS coverage_n FROM ({_OUTCOME}) o GROUP BY ROLLUP (mode)")
 def ben03_success_rates(runs, counts):
-    return health.success_rates(runs, counts)
+    return health.success_rates(_bench_runs(runs, counts), "mode")
+
+
+@query("lineitem", """SELECT l_orderkey AS run_id, string_agg(concat('s', l_suppkey % 6), ',' ORDER BY l_linenumber, concat('s', l_suppkey % 6)) AS stages, sum((l_extendedprice)::BIGINT)::BIGINT AS tokens, arg_max(concat('s', l_suppkey % 6), (l_linenumber, concat('s', l_suppkey % 6))) AS current,
+  CASE WHEN sum((l_extendedprice)::BIGINT) > 0 THEN (sum((l_extendedprice)::BIGINT) * 15 + 50) // 100 ELSE 0 END::BIGINT AS micro FROM (SELECT l_orderkey, l_suppkey, l_linenumber, floor(l_extendedprice) AS l_extendedprice FROM lineitem) GROUP BY 1""")
+def ops07_run_stages(lineitem):
+    return health.run_stages(lineitem.select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("seq"), F.concat(F.lit("s"), (F.col("l_suppkey") % 6).cast("string")).alias("stage"), F.floor("l_extendedprice").alias("tokens")))
 
 
 @query("org_competitors", "SELECT DISTINCT org_id, shop_id FROM {org_competitors}")
@@ -485,7 +540,7 @@ def ten01_track_competitors(competitors):
     return tenancy.track_competitors(competitors.filter("org_id % 2 = 0"), competitors)
 
 
-_USAGE = "SELECT org_id, plan, coalesce(tracked, 0) AS tracked, allowed, coalesce(tracked, 0) > allowed AS over FROM (SELECT *, CASE plan WHEN 'trial' THEN 3 WHEN 'starter' THEN 5 WHEN 'growth' THEN 20 ELSE 100 END::BIGINT AS allowed FROM {orgs}) o LEFT JOIN (SELECT org_id, count(*) AS tracked FROM {org_competitors} GROUP BY 1) c USING (org_id)"
+_USAGE = "SELECT org_id, plan, coalesce(tracked, 0) AS tracked, allowed, coalesce(tracked, 0) > allowed AS over FROM (SELECT *, CASE plan WHEN 'trial' THEN 1 WHEN 'starter' THEN 3 WHEN 'growth' THEN 10 ELSE 50 END::BIGINT AS allowed FROM {orgs}) o LEFT JOIN (SELECT org_id, count(*) AS tracked FROM {org_competitors} GROUP BY 1) c USING (org_id)"
 
 
 @query("orgs org_competitors", _USAGE.replace(" AS over ", ' AS "over" '))
@@ -517,9 +572,13 @@ def snk02_record_snapshots(p):
     return pages.record_snapshots(p)
 
 
-@query("pages", "SELECT page_id, regexp_matches(lower(substr(html, 1, 4000)), 'captcha|access denied|verify you are human|just a moment') AS bot_wall, regexp_matches(lower(substr(html, 1, 8000)), 'store is closed|closed permanently|out of business') AS shutdown FROM {pages}")
+@query("pages", "SELECT page_id, page_id % 13 < 9 OR page_id % 13 = 11 AS bot_wall, page_id % 13 IN (9, 10) AS shutdown FROM {pages}")
 def ext15_flag_bot_walls(p):
-    return pages.flag_bot_walls(p)
+    marks = F.array(*map(F.lit, ["Just a Moment", "cf-browser-verification", "Verify your identity", "CAPTCHA", "px-captcha", "Access Denied", "Robot or human", "_Incapsula_Resource", "Incapsula incident ID", "Consolidation Notice", "no longer operating", "", ""]))
+    at = (F.col("page_id") % 13).cast("int")
+    final = F.when(at == 11, F.concat("url", F.lit("/Blocked?x=1"))).otherwise(F.col("url"))
+    head = F.when(at == 12, F.concat(F.repeat(F.lit("x"), 9000), F.lit("captcha no longer operating"))).otherwise(F.get(marks, at))
+    return pages.flag_bot_walls(p.select("page_id", final.alias("final_url"), F.concat(head, "html").alias("html")))
 
 
 @query("pages", r"""SELECT * FROM (SELECT page_id, substr(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style|nav)[^>]*>.*?</(script|style|nav)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')), 1, 6000) AS text FROM {pages}) x WHERE length(text) >= 40""")
@@ -542,12 +601,14 @@ def ext21_same_host_links(p):
 
 
 _PATH = "regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)"
-_UScore = f"(least(len(list_filter(string_split({_PATH}, '/'), lambda s: s <> '')), 10) + CASE WHEN contains({_PATH}, '/cat/') THEN 50 ELSE 0 END + CASE WHEN regexp_matches({_PATH}, '\\.html$') THEN 8 ELSE 0 END)::INT"
+_UScore = f"(least(len(list_filter(string_split(lower({_PATH}), '/'), lambda s: s <> '')), 10) + CASE WHEN list_contains(string_split(lower({_PATH}), '/'), 'cat') THEN 50 ELSE 0 END + CASE WHEN regexp_matches(lower({_PATH}), '\\.html?$') THEN 8 ELSE 0 END - CASE WHEN contains(lower({_PATH}), '/pdp/') AND len(list_filter(string_split(lower({_PATH}), '/'), lambda s: s <> '')) <= 3 THEN 35 ELSE 0 END)::INT"
 
 
-@query("pages", f"SELECT page_id, {_UScore} AS score FROM {{pages}}")
+@query("pages", f"""SELECT page_id, CASE WHEN page_id % 6 = 5 THEN -100 ELSE {_UScore} + CASE WHEN page_id % 2 = 0 THEN 5 ELSE 0 END END::INT AS score FROM (SELECT page_id, CASE page_id % 6 WHEN 0 THEN concat(split_part(split_part(url, '?', 1), '#', 1), '/cat/x.htm') WHEN 1 THEN 'https://a.example/pdp/x' WHEN 2 THEN 'https://a.example/a/b/c/pdp/x.html' ELSE url END AS url FROM {{pages}}) p""")
 def url06_product_url_score(p):
-    return p.select("page_id", pages.product_url_score(F.col("url")).alias("score"))
+    shaped = F.expr("CASE page_id % 6 WHEN 0 THEN concat(split_part(split_part(url, '?', 1), '#', 1), '/cat/x.htm') WHEN 1 THEN 'https://a.example/pdp/x' WHEN 2 THEN 'https://a.example/a/b/c/pdp/x.html' WHEN 5 THEN 'no url' ELSE url END")
+    sitemap = F.when(F.col("page_id") % 2 == 0, "https://a.example/Products.xml").otherwise("https://a.example/other.xml")
+    return p.select("page_id", pages.product_url_score(shaped, sitemap).alias("score"))
 
 
 @query("pages", f"""WITH r AS (SELECT page_id, {_HOST} AS site, CASE WHEN regexp_extract({_PATH}, '([0-9]{{6,}})/?$', 1) <> '' THEN regexp_extract({_PATH}, '([0-9]{{6,}})/?$', 1) ELSE regexp_extract({_PATH}, '([^/]*)/?$', 1) END AS product, {_UScore} AS score FROM {{pages}}),
@@ -609,9 +670,12 @@ def src04_robots_sitemaps(shops):
     return pages.robots_sitemaps(shops.select(F.col("shop_id").alias("site"), body.alias("body")))
 
 
-@query("listings", "SELECT listing_id, concat(url, '?aff=t1') AS link FROM {listings}")
+@query("listings", """SELECT listing_id, CASE WHEN shop_id % 4 = 3 THEN concat(url, CASE product_id % 3 WHEN 0 THEN '' WHEN 1 THEN '?a=1#f' ELSE '?aff=old&b=2' END)
+  ELSE concat(url, CASE product_id % 3 WHEN 0 THEN concat('?aff=t', shop_id) WHEN 1 THEN concat('?a=1&aff=t', shop_id, '#f') ELSE concat('?aff=t', shop_id, '&b=2') END) END AS link FROM {listings}""")
 def snk05_outbound_links(listings):
-    return pages.outbound_links(listings, "t1")
+    kind = F.col("product_id") % 3
+    url = F.concat("url", F.when(kind == 0, "").when(kind == 1, "?a=1#f").otherwise("?aff=old&b=2"))
+    return pages.outbound_links(listings.withColumn("url", url).withColumn("tag", F.when(F.col("shop_id") % 4 != 3, F.concat(F.lit("t"), F.col("shop_id").cast("string")))))
 
 
 @query("products listings", "SELECT product_id, strftime(max(last_seen), '%Y-%m-%d') AS lastmod, 'daily' AS changefreq, concat('/p/', product_id) AS loc FROM {listings} GROUP BY product_id ORDER BY max(last_seen) DESC, product_id LIMIT 5000")
@@ -620,10 +684,16 @@ def snk03_sitemap_feed(products, listings):
     return newest.select("product_id", F.date_format("t", "yyyy-MM-dd").alias("lastmod"), F.lit("daily").alias("changefreq"), F.concat(F.lit("/p/"), F.col("product_id").cast("string")).alias("loc"))
 
 
-@query("stock_obs", "SELECT o, n, listing_id, availability AS mapped FROM {stock_obs}")
+@query("stock_obs", """SELECT o, n, listing_id, CASE o % 5 WHEN 3 THEN 'in_stock' WHEN 4 THEN 'unknown' ELSE availability END AS mapped,
+  CASE o % 5 WHEN 3 THEN 'in_stock' WHEN 4 THEN 'unknown' WHEN 2 THEN CASE availability WHEN 'in_stock' THEN 'in_stock' WHEN 'out_of_stock' THEN 'out_of_stock' ELSE 'unknown' END ELSE availability END AS by_recipe FROM {stock_obs}""")
 def ext03_map_availability(stock_obs):
-    text = F.when(F.col("availability") == "out_of_stock", "Sold Out").when(F.col("availability") == "preorder", "https://schema.org/PreOrder").otherwise("In-Stock now")
-    return stock_obs.select("o", "n", "listing_id", ingest.map_availability(text).alias("mapped"))
+    a = F.col("availability")
+    link = F.concat(F.lit("https://schema.org/"), F.when(a == "out_of_stock", "OutOfStock").when(a == "preorder", "PreOrder").otherwise("InStock"))
+    kind = F.col("o") % 5
+    sold = F.when(a == "out_of_stock", "SoldOut now").when(a == "preorder", "PREORDER").otherwise("instock")
+    text = F.when(kind == 0, link).when(kind == 1, sold).when(kind == 2, a).when(kind == 3, "InStock (was OutOfStock)").otherwise("Ask us")
+    out = stock_obs.select("o", "n", "listing_id", ingest.map_availability(text).alias("mapped"), F.when(kind == 2, F.when(a == "preorder", "pre-order").otherwise(a)).otherwise(text).alias("text"))
+    return out.select("o", "n", "listing_id", "mapped", ingest.recipe_availability(F.col("text")).alias("by_recipe"))
 
 
 @query("part", "SELECT p_partkey AS page_id, concat_ws(',', CASE WHEN p_partkey % 11 = 0 THEN 'title' END, CASE WHEN p_partkey % 7 = 0 THEN 'url' END, CASE WHEN p_partkey % 5 = 0 THEN 'price' END) AS wrong FROM {part}")
@@ -659,13 +729,13 @@ def url15_duplicate_listing_pages(p):
     return sites.before_first_repeat(p.select(pages.normalize_domain(F.col("url")).alias("listing"), F.col("page_id").alias("page"), F.col("html").alias("body")))
 
 
-@query("endpoints", "SELECT page_id, CASE WHEN platform <> 'p0' AND (reliability_pct - 10 * failures) / 100 >= 0.5 THEN 'platform_pack' WHEN endpoint_type = 'search' THEN 'network_sniff' ELSE 'sitemap' END AS strategy FROM {endpoints}")
+@query("endpoints", "SELECT page_id, CASE WHEN platform <> 'p0' AND (reliability_pct - 10 * failures) / 100 >= 0.5 THEN 'platform_pack' WHEN endpoint_type = 'search' OR failures = 5 THEN 'network_sniff' ELSE 'sitemap' END AS strategy FROM {endpoints}")
 def url18_route_strategy(endpoints):
     confidence = (F.col("reliability_pct") - 10 * F.col("failures")) / 100
-    return endpoints.select("page_id", sites.route_strategy(confidence, F.col("platform") != "p0", F.col("endpoint_type") == "search").alias("strategy"))
+    return endpoints.select("page_id", sites.route_strategy(confidence, F.col("platform") != "p0", F.col("endpoint_type") == "search", F.col("failures") == 5).alias("strategy"))
 
 
-@query("captures", "SELECT event_id, '***' AS cookie, concat('k', k) AS accept, CASE WHEN k % 2 = 0 THEN 2 ELSE 3 END AS replayed FROM {captures}")
+@query("captures", "SELECT event_id, '[REDACTED]' AS cookie, concat('k', k) AS accept, CASE WHEN k % 2 = 0 THEN 2 ELSE 3 END AS replayed FROM {captures}")
 def url24_redact_headers(captures):
     second = F.when(F.col("k") % 2 == 0, "Authorization").otherwise("X-Trace")
     headers = F.create_map(F.lit("Cookie"), F.col("cookie"), second, F.col("session").cast("string"), F.lit("accept"), F.concat(F.lit("k"), F.col("k").cast("string")))
@@ -679,7 +749,7 @@ def url03_store_aliases(shops):
     return sites.store_origins(shops, aliases)
 
 
-@query("run_counts", "SELECT run_id, (discovered - priced) / discovered AS unpriced, (discovered - priced) / discovered > 0.5 AS warn FROM {run_counts}")
+@query("run_counts", "SELECT run_id, (discovered - priced) / nullif(discovered, 0) AS unpriced, coalesce((discovered - priced) / nullif(discovered, 0) > 0.5, false) AS warn FROM {run_counts}")
 def ext19_extraction_quality(counts):
     return sites.extraction_quality(counts)
 

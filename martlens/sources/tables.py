@@ -10,19 +10,18 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 AS_OF = "TIMESTAMP '2001-11-05 00:00:00'"
-EVENTS_AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 VIEWS = {
     "shops": "SELECT s_suppkey AS shop_id, s_name AS name, concat('www.shop', s_suppkey, '.example.com') AS domain, s_nationkey AS nation FROM {supplier}",
     "products": """SELECT p_partkey AS product_id, p_name AS canonical_title, p_brand AS brand, concat(lower(p_type), '/', split_part(p_name, ' ', 2)) AS category,
       CASE WHEN p_partkey % 3 = 0 THEN cast(p_partkey % 500 AS STRING) END AS gtin, CASE WHEN p_partkey % 5 = 0 THEN concat(p_name, p_size) END AS mpn FROM {part}""",
-    "listings": f"""SELECT l_partkey * 1000 + l_suppkey AS listing_id, l_suppkey AS shop_id, l_partkey AS product_id, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen,
+    "listings": f"""SELECT l_partkey * 10000000 + l_suppkey AS listing_id, l_suppkey AS shop_id, l_partkey AS product_id, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen,
       max(l_shipdate) > {AS_OF} - INTERVAL 1460 DAYS AS active, concat('https://www.shop', l_suppkey, '.example.com/p/', l_partkey) AS url, concat(l_suppkey, '-', l_partkey) AS sku
       FROM {{lineitem}} GROUP BY l_partkey, l_suppkey""",
-    "price_obs": """SELECT l_partkey * 1000 + l_suppkey AS listing_id, cast(round(l_extendedprice / l_quantity * 100) AS BIGINT) AS amount, CASE WHEN l_suppkey % 10 = 9 THEN 'USD' ELSE 'CAD' END AS currency,
+    "price_obs": """SELECT l_partkey * 10000000 + l_suppkey AS listing_id, cast(round(l_extendedprice / l_quantity * 100) AS BIGINT) AS amount, CASE WHEN l_suppkey % 10 = 9 THEN 'USD' ELSE 'CAD' END AS currency,
       l_shipdate AS ts, l_orderkey AS o, l_linenumber AS n FROM {lineitem}""",
-    "stock_obs": """SELECT l_partkey * 1000 + l_suppkey AS listing_id, CASE l_returnflag WHEN 'R' THEN 'out_of_stock' WHEN 'A' THEN 'preorder' ELSE 'in_stock' END AS availability,
+    "stock_obs": """SELECT l_partkey * 10000000 + l_suppkey AS listing_id, CASE l_returnflag WHEN 'R' THEN 'out_of_stock' WHEN 'A' THEN 'preorder' ELSE 'in_stock' END AS availability,
       CASE WHEN l_linestatus <> 'F' THEN cast(l_quantity AS INT) END AS quantity, l_shipdate AS ts, l_orderkey AS o, l_linenumber AS n FROM {lineitem}""",
     "serp_obs": """SELECT concat(event_type, '-', user_id % 40) AS keyword_id, user_id % (SELECT count(*) FROM {supplier}) AS shop_id, cast(regexp_extract(props, '([0-9]+)', 1) AS INT) + 1 AS rank, ts, event_id AS o FROM {events}""",
     "orgs": """SELECT c_custkey AS org_id, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'trial' WHEN 'BUILDING' THEN 'starter' WHEN 'MACHINERY' THEN 'scale' ELSE 'growth' END AS plan, c_nationkey AS nation,
@@ -30,12 +29,12 @@ VIEWS = {
     "org_competitors": "SELECT c_custkey AS org_id, s_suppkey AS shop_id FROM {customer} JOIN {supplier} ON c_nationkey = s_nationkey",
     "alert_rules": """SELECT c_custkey AS org_id, c_custkey AS rule_id, CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 3 = 1 THEN 'price_drop,back_in_stock' ELSE 'price_increase,out_of_stock' END AS signal_types,
       CASE WHEN c_custkey % 4 = 0 THEN (SELECT min(s_suppkey) FROM {supplier}) END AS only_shop, CASE WHEN c_acctbal < 2000 THEN 'info' WHEN c_acctbal < 6000 THEN 'notable' ELSE 'critical' END AS min_severity, c_custkey % 7 <> 0 AS enabled FROM {customer}""",
-    "crawl_runs": """SELECT o_orderkey AS run_id, o_custkey % (SELECT count(*) FROM {supplier}) AS shop_id, o_orderdate AS started_at, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'failed' ELSE 'running' END AS status,
+    "crawl_runs": """SELECT o_orderkey AS run_id, CASE o_orderkey % 4 WHEN 0 THEN 'api' WHEN 1 THEN 'jina_categories' ELSE 'sitemap' END AS mode, o_orderkey % 5 AS estimated_size, o_custkey % (SELECT count(*) FROM {supplier}) AS shop_id, o_orderdate AS started_at, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'failed' ELSE 'running' END AS status,
       cast(floor(o_totalprice) AS BIGINT) AS tokens FROM {orders}""",
     "run_counts": """SELECT l_orderkey AS run_id, count(*) AS discovered, sum(CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END) AS fetched, sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS extracted,
       sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS errors, sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS priced FROM {lineitem} GROUP BY l_orderkey""",
     "endpoints": """SELECT page_id, url, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host, concat('p', page_id % 4) AS platform, 'GET' AS method, CASE WHEN page_id % 3 = 0 THEN 'search' ELSE 'catalog' END AS endpoint_type,
-      cast(80 + page_id % 20 AS INT) AS reliability_pct, cast(page_id % 7 AS INT) AS failures FROM {pages}""",
+      CASE WHEN page_id % 9 <> 0 THEN cast(80 + page_id % 20 AS INT) END AS reliability_pct, cast(page_id % 7 AS INT) AS failures FROM {pages}""",
     "captures": """SELECT event_id, user_id AS session, ts, event_type AS cookie, cast(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM {events}""",
 }
 _DEPENDS = re.compile(r"\{(\w+)\}")
