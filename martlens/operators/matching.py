@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martlens.functions.latest import ranked
@@ -21,10 +21,10 @@ def unit(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id"), F.col("label"), F.transform(v, lambda x: F.try_divide(x, norm)).alias("unit"))
 
 
-def nearest_candidates(vectors: DataFrame, k: int = 5, every: int = 10) -> DataFrame:
-    """The k nearest of the same block (label) of every row whose id is divisible by ``every``, by cosine distance."""
+def nearest_candidates(vectors: DataFrame, k: int = 5, every: int = 10, queries: Column | None = None) -> DataFrame:
+    """The k nearest of the same block (label), by cosine distance, of the rows of ``queries``, by default those whose id is divisible by ``every``."""
     all_ = unit(vectors)
-    q = all_.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query"), "label", F.col("unit").alias("u"))
+    q = all_.filter(F.col("vec_id") % every == 0 if queries is None else queries).select(F.col("vec_id").alias("query"), "label", F.col("unit").alias("u"))
     dot = F.aggregate(F.zip_with("u", "unit", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     pairs = q.join(all_, "label").filter("query <> vec_id").select("query", "vec_id", F.round(1 - dot, 6).alias("distance"))
     return pairs.withColumn("place", ranked(["query"], F.col("distance"), F.col("vec_id"))).filter(F.col("place") <= k)

@@ -787,3 +787,6 @@ def url04_score_sitemaps(endpoints):
   FROM (SELECT page_id, {_SITE_MAPS} AS u FROM {{endpoints}}) a""")
 def url26_endpoint_type(endpoints):
     return endpoints.select("page_id", sites.endpoint_type(F.expr(_SITE_MAPS)).alias("endpoint_type"))
+
+
+from martlens.plans import extraction, mining, state  # noqa: E402, F401  these register themselves
