@@ -236,8 +236,8 @@ def str05_stream_alerts(price_obs, stock_obs, listings, products, rules, competi
     return _run(jobs.stream_alerts(_stream(found, "signals"), rules, competitors), "alerts").drop("ts")
 
 
-@query("captures", """SELECT session, min(ts) AS started, max(ts) + INTERVAL 6 HOURS AS ended, count(*) AS n FROM (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY ts, event_id) AS k
-  FROM (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY session ORDER BY ts, event_id) AS gap FROM {captures}) a) b GROUP BY session, k""")
+@query("captures", """SELECT session, min(ts) AS started, max(ts) + INTERVAL 6 HOURS AS ended, count(*) AS n FROM (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY ts, event_id) AS run
+  FROM (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY session ORDER BY ts, event_id) AS gap FROM {captures}) a) b GROUP BY session, run""")
 def str06_stream_run_completion(captures):
     """A last row, 30 days after the others, closes their runs."""
     rows = captures.select("session", F.col("ts").cast("timestamp").alias("ts"))
