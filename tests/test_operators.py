@@ -2,7 +2,7 @@
 
 from datetime import datetime
 
-from martlens.operators import catalog, health, ingest, matching, pages, signals
+from martlens.operators import catalog, extract, health, ingest, matching, mining, pages, signals, sites, state, tenancy
 from martlens.streaming import jobs
 
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -105,3 +105,89 @@ def test_sitemaps_and_stages_stay_bounded(spark):
     rolled = health.stage_rollup(runs)
     assert [tuple(r) for r in rolled.collect()] == [(7, 7, 2, "running")]
     assert "collect_list" not in rolled._jdf.queryExecution().toString()
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first().x
+
+
+def test_rules_by_hand(spark):
+    """Rows worked out by hand, so that an operator and its SQL can't share an error."""
+    from pyspark.sql import functions as F
+
+    assert tenancy.PLAN_LIMITS == {"trial": 1, "starter": 3, "growth": 10, "scale": 50}
+    slugs = {"Café Noir": "cafe-noir", "  Ñandú -- 2 ": "nandu-2", "": ""}
+    assert all(one(spark, ingest.slug(F.lit(a))) == b for a, b in slugs.items())
+    states = {"instock (was outofstock)": "in_stock", "https://schema.org/SoldOut": "out_of_stock", "out_of_stock": "out_of_stock", "In Stock": "unknown", "PreOrder": "preorder"}
+    assert all(one(spark, ingest.map_availability(F.lit(a))) == b for a, b in states.items())
+    shapes = {"https://a.example/api/products/12345": "https?://[^/]+/api/products/\\d+", "https://a.example/v1.2/a1b2c3d4?x=1": "https?://[^/]+/v1\\.2/[^/]+", "https://a.example": "https?://[^/]+/"}
+    assert all(one(spark, health.url_shape(F.lit(a))) == b for a, b in shapes.items())
+    # The hash of the letter a is 97; a long key's wraps, to a negative number too, whose absolute value counts.
+    assert one(spark, health.jitter(F.lit("a"))) == 97
+    h = 0
+    for ch in "a-long-key-of-a-shop-example-com":
+        h = (h * 31 + ord(ch)) & 0xFFFFFFFF
+    assert one(spark, health.jitter(F.lit("a-long-key-of-a-shop-example-com"))) == abs(h - (1 << 32) if h >> 31 else h) % 3600
+    masked = sites.masked_headers(F.create_map(F.lit("X-Auth-Token"), F.lit("secret")))
+    assert one(spark, masked) == {"X-Auth-Token": "[REDACTED]"}
+    assert one(spark, pages.with_parameter(F.lit("https://a/b?aff=1&c=2#d"), "aff", F.lit("t"))) == "https://a/b?aff=t&c=2#d"
+    assert one(spark, mining.score_json(F.lit('{"a":[{"title":"x","price":1,"url":"u"},{"title":"y"}]}'))) == 0.8
+    assert one(spark, mining.score_json(F.lit("{bad"))) == 0.0
+
+
+def test_patterns_need_three_hosts(spark):
+    row = lambda k, host, rel, fails: (k, f"https://{host}/api/items/{k}", host, "p", "GET", "catalog", rel, fails)
+    schema = "page_id long, url string, host string, platform string, method string, endpoint_type string, reliability_pct int, failures int"
+    rows = [row(1, "a", 90, 0), row(2, "b", None, 0), row(3, "c", 95, 1)]
+    assert health.endpoint_patterns(spark.createDataFrame(rows[:2], schema)).count() == 0
+    found = health.endpoint_patterns(spark.createDataFrame(rows, schema)).collect()
+    assert [(r.hosts, r.total, r.n) for r in found] == [(3, 90 + 85 + 90, 3)]
+    assert health.endpoint_patterns(spark.createDataFrame([row(k, h, 60, 0) for k, h in enumerate("abc")], schema)).count() == 0
+
+
+def test_health_by_hand(spark):
+    runs = spark.createDataFrame([(1, 7, DAY, "completed", "sitemap", 500), (2, 8, DAY, "failed", "api", 0), (3, 9, DAY, "completed", "api", 100)], "run_id long, shop_id long, started_at timestamp_ntz, status string, mode string, estimated_size long")
+    counts = spark.createDataFrame([(1, 40, 40, 38, 0, 36), (2, 10, 5, 5, 5, 5), (3, 20, 0, 20, 1, 20)], "run_id long, discovered long, fetched long, extracted long, errors long, priced long")
+    scored = health.health_score(health.health_inputs(runs, counts))
+    got = {r.run_id: r for r in health.health_anomalies(scored).collect()}
+    assert abs(got[1].score - (0.3 * 38 / 500 + 0.3 + 0.2 * 38 / 40 + 0.2 * 36 / 38)) < 1e-12 and got[1].anomalies == "catalog_drop:critical"
+    assert (got[2].score, got[2].anomalies) == (0.0, "endpoint_5xx:critical")
+    assert got[3].anomalies == "catalog_drop:critical,pagination_break:warning"
+    plan = {r.run_id: r.plan for r in health.repair_plan(health.health_anomalies(scored)).collect()}
+    assert plan == {1: "", 2: "header_refresh,endpoint_swap", 3: "pagination_fix"}
+
+
+def test_promotion_by_hand(spark):
+    schema = "current double, candidate double, report double, current_size long, candidate_size long, has_recipe boolean"
+    rows = [(0.8, 0.5, None, 100, 50, True), (0.5, 0.72, None, 0, 0, False), (0.8, 0.86, None, 0, 0, True), (0.8, 0.8, 0.9, 10, 20, True), (0.8, 0.8, 0.9, 30, 20, True), (0.1, 0.3, None, 0, 0, False)]
+    assert [r.promote for r in health.promotion_guard(spark.createDataFrame(rows, schema)).collect()] == [False, True, True, True, False, False]
+
+
+def test_crashes_are_gone(spark):
+    vectors = spark.createDataFrame([(0, [0.0, 0.0], 1), (10, [1.0, 0.0], 1), (20, [1.0, 0.1], 1)], "vec_id long, embedding array<float>, label int")
+    assert matching.nearest_candidates(vectors).count() > 0
+    counts = spark.createDataFrame([(1, 0, 0)], "run_id long, discovered long, priced long")
+    assert [(r.unpriced, r.warn) for r in sites.extraction_quality(counts).collect()] == [(None, False)]
+    schema = "url string, sku string, shop_id long, first_seen timestamp_ntz, product_id long, last_seen timestamp_ntz"
+    batch = spark.createDataFrame([("u", "s", 1, DAY, 1, DAY), ("u", "s", 1, DAY, 2, datetime(2024, 2, 1))], schema)
+    got = ingest.upsert_listings(spark.createDataFrame([], schema), batch).collect()
+    assert [(r.url, r.product_id) for r in got] == [("u", 2)]
+    html = spark.createDataFrame([(1, '<script type="application/ld+json">{"@type":"Product","name":"a","offers":{"price":"N/A"}}</script>')], "page_id long, html string")
+    assert [r.price for r in pages.jsonld_products(html).collect()] == [None]
+
+
+def test_listing_cards_by_hand(spark):
+    context = ("/pdp/", "https://shop.example", "shop.example")
+    body = "[Skip](#x)\n\n[Runner Two ![a](https://c.example/a.jpg) $143.98 price was $180.00 Save 20% ($36.02)](https://shop.example/pdp/runner-two-1.html)\n\n\n\n[Jacket](/pdp/jacket-2)\n$129.99"
+    rows = spark.createDataFrame([(1, body, *context)], "page_id long, markdown string, pattern string, origin string, domain string")
+    got = {r.title: (r.price, r.list_price) for r in extract.extract_listing_markdown(rows).collect()}
+    assert got == {"Runner Two": (143.98, 180.0), "Jacket": (129.99, None)}
+    empty = spark.createDataFrame([(1, None, *context), (2, "", *context)], "page_id long, html string, pattern string, origin string, domain string")
+    assert extract.extract_listing_html(empty).count() == 0
+
+
+def test_decisions_by_hand(spark):
+    schema = "listing_id long, hard long, candidate long, distance double, conflict boolean, same boolean, verdict double"
+    rows = [(1, 5, 6, 0.1, False, None, None), (2, None, None, None, False, None, None), (3, None, 6, 0.2, True, True, 0.9), (4, None, 6, 0.28, False, True, 0.85), (5, None, 6, 0.2, False, True, 0.8), (6, None, 6, 0.2, False, None, None), (7, None, 6, 0.3, False, True, 1.0)]
+    got = {r.listing_id: (r.decision, r.product_id) for r in state.decide_matches(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: ("confirmed", 5), 2: ("new", None), 3: ("new", None), 4: ("auto_matched", 6), 5: ("review", 6), 6: ("review", 6), 7: ("new", None)}
