@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from martlens.functions.components import components
 from martlens.functions.latest import ranked
 
 
@@ -70,8 +71,6 @@ def resolve_batch_entities(products: DataFrame) -> DataFrame:
 
     Each key links its products to its smallest one, so that a key of many products makes as many edges, not pairs.
     """
-    from martlens.llm.near_dedup import components
-
     key = lambda c: F.when(F.trim(c) != "", F.struct(F.lit(c).alias("kind"), F.trim(c).alias("value")))
     keyed = products.filter("product_id is not null").select(F.col("product_id").cast("long").alias("b"), F.explode(F.array_compact(F.array(key("gtin"), key("mpn")))).alias("key"))
     links = keyed.join(keyed.groupBy("key").agg(F.min("b").alias("a")), "key").filter("a <> b").select("a", "b")
