@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,19 +18,54 @@ def hard_key_match(rows: DataFrame, products: DataFrame) -> DataFrame:
     return rows.join(by_gtin, "gtin", "left").join(by_mpn, "mpn", "left").select("row_id", F.coalesce("g", "m").alias("product_id"), F.when(F.col("g").isNotNull(), "gtin").when(F.col("m").isNotNull(), "mpn").alias("matched_by"))
 
 
-def unit(vectors: DataFrame) -> DataFrame:
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return vectors.select(F.col("vec_id"), F.col("label"), F.transform(v, lambda x: F.try_divide(x, norm)).alias("unit"))
+def _block_nearest(k: int):
+    def nearest(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        """The k nearest rows of a block to each query of a block, the smaller id first where distances agree in six places."""
 
+        def units(t: pa.Table) -> np.ndarray:
+            v = t["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(t.num_rows, -1)
+            return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
-def nearest_candidates(vectors: DataFrame, k: int = 5, every: int = 10, queries: Column | None = None) -> DataFrame:
-    """The k nearest of the same block (label), by cosine distance, of the rows of ``queries``, by default those whose id is divisible by ``every``."""
-    all_ = unit(vectors)
-    q = all_.filter(F.col("vec_id") % every == 0 if queries is None else queries).select(F.col("vec_id").alias("query"), "label", F.col("unit").alias("u"))
-    dot = F.aggregate(F.zip_with("u", "unit", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    pairs = q.join(all_, "label").filter("query <> vec_id").select("query", "vec_id", F.round(1 - dot, 6).alias("distance"))
-    return pairs.withColumn("place", ranked(["query"], F.col("distance"), F.col("vec_id"))).filter(F.col("place") <= k)
+        if not asked.num_rows or not rows.num_rows:
+            return pa.table({"query": pa.array([], "int64"), "vec_id": pa.array([], "int64"), "distance": pa.array([], "float64")})
+        rows = rows.sort_by("vec_id")
+        q, r = asked["vec_id"].to_numpy(), rows["vec_id"].to_numpy()
+        far = np.round(1 - units(asked) @ units(rows).T, 6) + 0.0
+        far[q[:, None] == r[None, :]] = np.inf
+        at = np.argsort(far, axis=1, kind="stable")[:, :k]
+        d = np.take_along_axis(far, at, axis=1)
+        ok = np.isfinite(d)
+        return pa.table({"query": np.broadcast_to(q[:, None], d.shape)[ok], "vec_id": r[at][ok], "distance": d[ok]})
+
+    return nearest
+
+
+def nearest_candidates(vectors: DataFrame, k: int = 5, every: int = 10, queries: Column | None = None, block: int = 2000) -> DataFrame:
+    """The k nearest of the same label, by cosine distance, of the rows of ``queries``, by default those whose id is divisible by ``every``.
+
+    A query without a label searches the whole table. The search is exact: queries and rows of a label are dealt by hash into blocks of
+    about ``block``, each block of queries meets each block of rows in a task of its own, and only its k best of each query leave it. Vectors
+    meet those of their own length; rows whose id or vector is null, or whose vector is empty, zero, not finite or holds a null, neither
+    search nor are found.
+    """
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding", F.size("embedding").alias("dims")).filter(F.col("vec_id").isNotNull() & (norm > 0) & (norm < float("inf")))
+    asked = usable.filter(F.col("vec_id") % every == 0 if queries is None else queries)
+    rows = usable.withColumn("label", F.explode(F.array_distinct(F.array("label", F.lit(None)))))
+    count = lambda df, q: df.select(F.col("label").alias("of"), F.col("dims").alias("long"), F.lit(q).alias("q"))
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    sizes = count(asked, 1).unionAll(count(rows, 0)).groupBy("of", "long").agg(blocks(F.sum("q")).alias("nq"), blocks(F.sum(1 - F.col("q"))).alias("nr")).filter("nq > 0 and nr > 0")
+
+    def dealt(side: DataFrame, own: str, of: str, other: str, to: str) -> DataFrame:
+        one = F.pmod(F.xxhash64("vec_id"), F.col(of)).cast("int").alias(own)
+        joined = side.join(sizes, F.col("label").eqNullSafe(F.col("of")) & (F.col("dims") == F.col("long")))
+        named = [F.col(c).alias(c) for c in ("dims", "label", "vec_id", "embedding")]
+        return joined.select(*named, one, F.explode(F.sequence(F.lit(0), F.col(to) - 1)).alias(other))
+
+    keys = ["dims", "label", "qb", "rb"]
+    both = dealt(asked, "qb", "nq", "rb", "nr").groupBy(*keys).cogroup(dealt(rows, "rb", "nr", "qb", "nq").groupBy(*keys))
+    best = both.applyInArrow(_block_nearest(k), "query long, vec_id long, distance double")
+    return best.withColumn("place", ranked(["query"], F.col("distance"), F.col("vec_id"))).filter(F.col("place") <= k)
 
 
 def sku_conflicts(rows: DataFrame, listings: DataFrame) -> DataFrame:

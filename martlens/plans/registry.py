@@ -302,7 +302,7 @@ def mat01_hard_key_match(listings, products):
     return matching.hard_key_match(rows, products)
 
 
-_NEAR = """SELECT q.vec_id AS query, v.vec_id, round(1 - list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS distance FROM {embeddings} q JOIN {embeddings} v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 10 = 0"""
+_NEAR = """SELECT q.vec_id AS query, v.vec_id, round(1 - list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS distance FROM {embeddings} q JOIN {embeddings} v ON coalesce(q.label = v.label, q.label IS NULL) AND q.vec_id <> v.vec_id WHERE q.vec_id % 10 = 0"""
 _PLACED = f"SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, vec_id)::INT AS place FROM ({_NEAR}) n QUALIFY place <= 5"
 
 
@@ -319,12 +319,16 @@ def mat03_sku_conflict(listings):
     return matching.sku_conflicts(rows.select("listing_id", "shop_id", "sku", candidate.alias("candidate")), rows)
 
 
-_DECIDE = f"SELECT query, vec_id AS candidate, distance, CASE WHEN distance <= 0.6 THEN 'auto_matched' WHEN distance <= 0.7 THEN 'review' ELSE 'new' END AS status FROM ({_PLACED}) p WHERE place = 1"
+_DECIDE = f"SELECT query, vec_id AS candidate, distance, CASE WHEN distance <= 0.6 THEN 'auto_matched' WHEN distance <= 0.7 THEN 'review' ELSE 'new' END AS status FROM ({_PLACED.replace(" WHERE q.vec_id % 10 = 0", "")}) p WHERE place = 1"
+
+
+def _decided(embeddings) -> DataFrame:
+    return matching.decide_match(matching.nearest_candidates(embeddings, queries=F.lit(True)), 0.7, 0.6)
 
 
 @query("embeddings", _DECIDE)
 def mat04_decide_match(embeddings):
-    return matching.decide_match(matching.nearest_candidates(embeddings), 0.7, 0.6)
+    return _decided(embeddings)
 
 
 @query("products listings", "SELECT product_id, coalesce(mpn, sku) AS mpn FROM {products} LEFT JOIN (SELECT product_id, arg_min(sku, listing_id) AS sku FROM {listings} GROUP BY 1) l USING (product_id)")
@@ -346,7 +350,7 @@ def mat07_resolve_batch_entities(products):
 
 @query("embeddings", f"SELECT count(*) AS open FROM ({_DECIDE}) d WHERE status = 'review'")
 def mat08_review_backlog(embeddings):
-    return matching.review_backlog(matching.decide_match(matching.nearest_candidates(embeddings), 0.7, 0.6))
+    return matching.review_backlog(_decided(embeddings))
 
 
 _INPUTS = """SELECT *, CASE WHEN baseline > 0 THEN least(1.0::DOUBLE, catalog::DOUBLE / baseline) WHEN catalog > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS coverage,

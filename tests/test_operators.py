@@ -2,6 +2,9 @@
 
 from datetime import datetime
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from martlens.operators import catalog, extract, health, ingest, matching, mining, pages, signals, sites, state, tenancy
 from martlens.streaming import jobs
 
@@ -113,8 +116,6 @@ def one(spark, column):
 
 def test_rules_by_hand(spark):
     """Rows worked out by hand, so that an operator and its SQL can't share an error."""
-    from pyspark.sql import functions as F
-
     assert tenancy.PLAN_LIMITS == {"trial": 1, "starter": 3, "growth": 10, "scale": 50}
     slugs = {"Café Noir": "cafe-noir", "  Ñandú -- 2 ": "nandu-2", "": ""}
     assert all(one(spark, ingest.slug(F.lit(a))) == b for a, b in slugs.items())
@@ -176,6 +177,24 @@ def test_crashes_are_gone(spark):
     assert [r.price for r in pages.jsonld_products(html).collect()] == [None]
 
 
+def test_nearest_candidates_in_blocks(spark):
+    """Blocks of three rows give what all pairs give, for labels, no label, repeats, ties and vectors that can't be compared."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 4)], None if i % 7 == 0 else i % 3) for i in range(40)]
+    rows += [(40, rows[1][1], 1), (41, rows[1][1], 1), (1, rows[1][1], 1), (42, [0.0] * 4, 1), (43, None, 1), (44, [1.0, 2.0], 1), (45, [1.0, None, 0.0, 0.0], 1), (None, [1.0] * 4, 1), (46, [], None), (47, [float("nan")] * 4, 1)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    usable = [(i, np.array(v), b) for i, v, b in rows if i is not None and v and None not in v and np.dot(v, v) > 0]
+    far = lambda v, w: round(1 - float(v @ w) / float(np.sqrt(v @ v) * np.sqrt(w @ w)), 6)
+    want = []
+    for q in {i for i, _, _ in usable}:
+        near = [(far(v, w), j) for i, v, a in usable if i == q for j, w, b in usable if j != q and a in (None, b) and len(v) == len(w)]
+        want += [(q, j, d, n) for n, (d, j) in enumerate(sorted(near)[:4], 1)]
+    got = matching.nearest_candidates(vectors, k=4, queries=F.lit(True), block=3).collect()
+    assert sorted((r.query, r.vec_id, r.distance + 0.0, r.place) for r in got) == sorted(want)
+    assert {r["query"] for r in matching.nearest_candidates(vectors, k=4, block=3).collect()} == {0, 10, 20, 30, 40} & {q for q, *_ in want}
+    assert not matching.nearest_candidates(vectors.limit(0)).collect()
+
+
 def test_listing_cards_by_hand(spark):
     context = ("/pdp/", "https://shop.example", "shop.example")
     body = "[Skip](#x)\n\n[Runner Two ![a](https://c.example/a.jpg) $143.98 price was $180.00 Save 20% ($36.02)](https://shop.example/pdp/runner-two-1.html)\n\n\n\n[Jacket](/pdp/jacket-2)\n$129.99"
