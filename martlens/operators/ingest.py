@@ -23,8 +23,9 @@ def is_new(state: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def price_facts(rows: DataFrame) -> DataFrame:
-    """Facts of the rows that have a price, in minor units."""
-    return rows.filter(F.col("price").isNotNull()).select("listing_id", F.round(F.col("price") * 100).cast("long").alias("amount"), "ts")
+    """Facts of the rows (listing_id, price, list_price, ts) that have a price, in minor units; the list price may be null."""
+    minor = lambda c: F.round(F.col(c) * 100).cast("long")
+    return rows.filter(F.col("price").isNotNull()).select("listing_id", minor("price").alias("amount"), minor("list_price").alias("list_amount"), "ts")
 
 
 def mark_stale(listings: DataFrame, cutoff: Column) -> DataFrame:

@@ -11,11 +11,14 @@ from martlens.functions.components import components
 from martlens.functions.latest import ranked
 
 
-def hard_key_match(rows: DataFrame, products: DataFrame) -> DataFrame:
-    """The product of each row (row_id, gtin, mpn) by gtin, else by mpn; the smallest id of several."""
+def hard_key_match(rows: DataFrame, products: DataFrame, matched: DataFrame) -> DataFrame:
+    """The product of each row (row_id, gtin, mpn) by the gtin of a product, else that of a matched listing (gtin, product_id), else by mpn; the smallest id of several."""
     by_gtin = products.filter("gtin is not null").groupBy("gtin").agg(F.min("product_id").alias("g"))
     by_mpn = products.filter("mpn is not null").groupBy("mpn").agg(F.min("product_id").alias("m"))
-    return rows.join(by_gtin, "gtin", "left").join(by_mpn, "mpn", "left").select("row_id", F.coalesce("g", "m").alias("product_id"), F.when(F.col("g").isNotNull(), "gtin").when(F.col("m").isNotNull(), "mpn").alias("matched_by"))
+    by_listing = matched.filter("gtin is not null and product_id is not null").groupBy("gtin").agg(F.min("product_id").alias("l"))
+    found = rows.join(by_gtin, "gtin", "left").join(by_listing, "gtin", "left").join(by_mpn, "mpn", "left")
+    by = F.when(F.col("g").isNotNull(), "gtin").when(F.col("l").isNotNull(), "listing_gtin").when(F.col("m").isNotNull(), "mpn")
+    return found.select("row_id", F.coalesce("g", "l", "m").alias("product_id"), by.alias("matched_by"))
 
 
 def _block_nearest(k: int):

@@ -23,9 +23,15 @@ def domains(pages: DataFrame) -> DataFrame:
 
 
 def record_snapshots(pages: DataFrame) -> DataFrame:
-    """Every fetch with its content hash and whether it is the first of its hash."""
-    hashed = pages.select("page_id", F.sha2("html", 256).alias("content_hash"))
-    return hashed.withColumn("first", ranked(["content_hash"], F.col("page_id")) == 1)
+    """Every fetch (page_id, site, html) with its content hash and whether it is the first of its site and hash.
+
+    The smallest page_id of a hash is found by an aggregation and looked up by its id, so that no task takes all fetches of one hash.
+    Without a page_id or html a fetch is no first one.
+    """
+    hashed = pages.select("page_id", "site", F.sha2("html", 256).alias("content_hash"))
+    known = hashed.filter(F.col("content_hash").isNotNull())
+    firsts = known.groupBy("site", "content_hash").agg(F.min("page_id").alias("page_id")).select("page_id", F.lit(True).alias("first"))
+    return hashed.join(firsts.filter("page_id is not null").distinct(), "page_id", "left").withColumn("first", F.coalesce("first", F.lit(False)))
 
 
 # What challenge pages and pages of closed shops have near their beginning.

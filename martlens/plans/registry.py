@@ -129,7 +129,8 @@ def sig13_digest(price_obs, stock_obs, listings, products, competitors, orgs):
 
 
 @query("price_obs stock_obs listings products org_competitors", f"""SELECT org_id, count(CASE WHEN signal_type = 'price_drop' THEN 1 END) AS drops, count(CASE WHEN signal_type = 'new_product' THEN 1 END) AS added,
-  count(CASE WHEN signal_type IN ('low_stock','out_of_stock') THEN 1 END) AS low_or_out, max(ts) AS newest FROM {{org_competitors}} JOIN ({_SIGNALS}) s USING (shop_id) GROUP BY 1""")
+  count(CASE WHEN signal_type IN ('low_stock','out_of_stock') THEN 1 END) AS low_or_out, max(ts) AS newest, string_agg(CASE WHEN rn <= 25 THEN signal_id END, ',' ORDER BY rn) AS recent
+  FROM (SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY ts DESC, signal_id) AS rn FROM {{org_competitors}} JOIN ({_SIGNALS}) s USING (shop_id)) x GROUP BY 1""")
 def sig14_overview_stats(price_obs, stock_obs, listings, products, competitors):
     return signals.overview_stats(_signals(price_obs, stock_obs, listings, products), competitors)
 
@@ -238,9 +239,10 @@ def ing02_is_new(listings):
     return ingest.is_new(listings.filter("first_seen < TIMESTAMP '1999-01-01 00:00:00'"), listings.filter("last_seen > TIMESTAMP '1998-01-01 00:00:00'")).select("url")
 
 
-@query("price_obs", "SELECT listing_id, amount, ts FROM {price_obs} WHERE n % 5 <> 0")
+@query("price_obs", "SELECT listing_id, amount, CASE WHEN n % 2 = 0 THEN amount + 500 END AS list_amount, ts FROM {price_obs} WHERE n % 5 <> 0")
 def ing03_price_facts(price_obs):
-    return ingest.price_facts(price_obs.withColumn("price", F.when(F.col("n") % 5 != 0, F.col("amount") / 100)))
+    n, amount = F.col("n"), F.col("amount")
+    return ingest.price_facts(price_obs.withColumn("price", F.when(n % 5 != 0, amount / 100)).withColumn("list_price", F.when(n % 2 == 0, (amount + 500) / 100)))
 
 
 @query("stock_obs", "SELECT listing_id, availability, quantity, ts FROM {stock_obs}")
@@ -295,11 +297,13 @@ def tax04_category_subtree(products):
     return ingest.category_subtree(products, "promo")
 
 
-@query("listings products", """SELECT listing_id AS row_id, coalesce(g, m) AS product_id, CASE WHEN g IS NOT NULL THEN 'gtin' WHEN m IS NOT NULL THEN 'mpn' END AS matched_by FROM {listings} JOIN {products} USING (product_id)
-  LEFT JOIN (SELECT gtin, min(product_id) AS g FROM {products} GROUP BY 1) a USING (gtin) LEFT JOIN (SELECT mpn, min(product_id) AS m FROM {products} GROUP BY 1) b USING (mpn)""")
+@query("listings products", """SELECT row_id, coalesce(g, l, m) AS product_id, CASE WHEN g IS NOT NULL THEN 'gtin' WHEN l IS NOT NULL THEN 'listing_gtin' WHEN m IS NOT NULL THEN 'mpn' END AS matched_by
+  FROM (SELECT listing_id AS row_id, CASE WHEN listing_id % 4 = 0 THEN concat('L', product_id % 300) ELSE gtin END AS gtin, mpn FROM {listings} JOIN {products} USING (product_id)) r
+  LEFT JOIN (SELECT gtin, min(product_id) AS g FROM {products} GROUP BY 1) a USING (gtin) LEFT JOIN (SELECT concat('L', product_id % 300) AS gtin, min(product_id) AS l FROM {listings} WHERE listing_id % 3 = 0 GROUP BY 1) c USING (gtin) LEFT JOIN (SELECT mpn, min(product_id) AS m FROM {products} GROUP BY 1) b USING (mpn)""")
 def mat01_hard_key_match(listings, products):
-    rows = listings.join(products, "product_id").select(F.col("listing_id").alias("row_id"), "gtin", "mpn")
-    return matching.hard_key_match(rows, products)
+    other = F.concat(F.lit("L"), (F.col("product_id") % 300).cast("string"))
+    rows = listings.join(products, "product_id").select(F.col("listing_id").alias("row_id"), F.when(F.col("listing_id") % 4 == 0, other).otherwise(F.col("gtin")).alias("gtin"), "mpn")
+    return matching.hard_key_match(rows, products, listings.filter("listing_id % 3 = 0").select(other.alias("gtin"), "product_id"))
 
 
 _NEAR = """SELECT q.vec_id AS query, v.vec_id, round(1 - list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS distance FROM {embeddings} q JOIN {embeddings} v ON coalesce(q.label = v.label, q.label IS NULL) AND q.vec_id <> v.vec_id WHERE q.vec_id % 10 = 0"""
@@ -571,9 +575,9 @@ def url01_domains(p):
     return pages.domains(p)
 
 
-@query("pages", "SELECT page_id, sha256(html) AS content_hash, row_number() OVER (PARTITION BY sha256(html) ORDER BY page_id) = 1 AS first FROM {pages}")
+@query("pages", f"SELECT page_id, site, content_hash, row_number() OVER (PARTITION BY site, content_hash ORDER BY page_id) = 1 AS first FROM (SELECT page_id, {_HOST} AS site, sha256(html) AS content_hash FROM {{pages}}) x")
 def snk02_record_snapshots(p):
-    return pages.record_snapshots(p)
+    return pages.record_snapshots(p.select("page_id", pages.normalize_domain(F.col("url")).alias("site"), "html"))
 
 
 @query("pages", "SELECT page_id, page_id % 13 < 9 OR page_id % 13 = 11 AS bot_wall, page_id % 13 IN (9, 10) AS shutdown FROM {pages}")

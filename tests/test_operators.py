@@ -195,6 +195,18 @@ def test_nearest_candidates_in_blocks(spark):
     assert not matching.nearest_candidates(vectors.limit(0)).collect()
 
 
+def test_hard_keys_and_snapshots_by_hand(spark):
+    rows = spark.createDataFrame([(1, "g1", "m1"), (2, "g2", "m1"), (3, "g9", "m1"), (4, None, None), (5, "g3", None)], "row_id long, gtin string, mpn string")
+    products = spark.createDataFrame([(10, "g1", None), (9, "g1", None), (11, None, "m1")], "product_id long, gtin string, mpn string")
+    matched = spark.createDataFrame([("g2", 22), ("g2", 21), ("g1", 1), (None, 1), ("g3", None)], "gtin string, product_id long")
+    got = {r.row_id: (r.product_id, r.matched_by) for r in matching.hard_key_match(rows, products, matched).collect()}
+    assert got == {1: (9, "gtin"), 2: (21, "listing_gtin"), 3: (11, "mpn"), 4: (None, None), 5: (None, None)}
+    fetched = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, "b", "x"), (4, "a", ""), (5, "a", None), (6, "a", None), (None, "a", "y")], "page_id long, site string, html string")
+    assert {(r.page_id, r["first"]) for r in pages.record_snapshots(fetched).collect()} == {(1, True), (2, False), (3, True), (4, True), (5, False), (6, False), (None, False)}
+    urls = fetched.select("site", F.col("html").alias("sitemap"), F.col("page_id").alias("url_id"))
+    assert sites.sample_corpus(urls)._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") > 1
+
+
 def test_listing_cards_by_hand(spark):
     context = ("/pdp/", "https://shop.example", "shop.example")
     body = "[Skip](#x)\n\n[Runner Two ![a](https://c.example/a.jpg) $143.98 price was $180.00 Save 20% ($36.02)](https://shop.example/pdp/runner-two-1.html)\n\n\n\n[Jacket](/pdp/jacket-2)\n$129.99"
