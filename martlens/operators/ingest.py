@@ -73,6 +73,15 @@ def canonical_brands(products: DataFrame) -> DataFrame:
     return raw.groupBy("slug").agg(F.max("brand").alias("name"), F.count("*").alias("aliases")).withColumn("brand_id", F.substring(F.md5("slug"), 1, 12))
 
 
+def brand_ids(rows: DataFrame, aliases: DataFrame) -> DataFrame:
+    """row_id, brand_id of rows (row_id, brand): the id that its slug has in ``aliases`` (alias, brand_id; the smallest of several), else
+    that of a brand of its slug; null for a null or blank brand. Each brand is turned into a slug once."""
+    raw = rows.filter(F.col("brand").rlike("\\S")).select("brand").distinct().withColumn("alias", slug(F.col("brand")))
+    known = aliases.groupBy("alias").agg(F.min("brand_id").alias("known"))
+    ids = raw.join(known, "alias", "left").select("brand", F.coalesce("known", F.substring(F.md5("alias"), 1, 12)).alias("brand_id"))
+    return rows.select("row_id", "brand").join(ids, "brand", "left").select("row_id", "brand_id")
+
+
 def canonical_categories(products: DataFrame) -> DataFrame:
     """Every prefix of every category path, with its depth and parent."""
     parts = products.select(F.split("category", "/").alias("parts")).distinct()

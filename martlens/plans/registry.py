@@ -286,6 +286,19 @@ def tax02_canonical_brands(products):
     return ingest.canonical_brands(products)
 
 
+_ALIAS = "regexp_replace(regexp_replace(lower(brand), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"
+
+
+@query("products", f"""WITH p AS (SELECT product_id, CASE WHEN product_id % 7 = 0 THEN ' ' WHEN product_id % 2 = 0 THEN concat(' ', upper(brand), ' ') ELSE brand END AS brand, brand AS whole FROM {{products}}),
+  a AS (SELECT DISTINCT {_ALIAS} AS alias, concat('known-', {_ALIAS}) AS known FROM (SELECT whole AS brand FROM p) x WHERE brand LIKE '%1')
+  SELECT product_id AS row_id, CASE WHEN trim(brand) <> '' THEN coalesce(known, substr(md5({_ALIAS}), 1, 12)) END AS brand_id FROM p LEFT JOIN a ON alias = {_ALIAS}""")
+def tax02_brand_ids(products):
+    n, brand = F.col("product_id"), F.col("brand")
+    rows = products.select(n.alias("row_id"), F.when(n % 7 == 0, " ").when(n % 2 == 0, F.concat(F.lit(" "), F.upper(brand), F.lit(" "))).otherwise(brand).alias("brand"))
+    aliases = products.filter("brand like '%1'").select("brand").distinct().select(ingest.slug(brand).alias("alias"))
+    return ingest.brand_ids(rows, aliases.withColumn("brand_id", F.concat(F.lit("known-"), "alias")))
+
+
 @query("products", """SELECT DISTINCT array_to_string(p[1:i], '/') AS path, p[i] AS name, (i - 1)::INT AS depth, CASE WHEN i > 1 THEN array_to_string(p[1:i-1], '/') END AS parent
   FROM (SELECT p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT DISTINCT string_split(category, '/') AS p FROM {products}) a) b""")
 def tax03_canonical_categories(products):

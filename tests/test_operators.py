@@ -207,6 +207,13 @@ def test_hard_keys_and_snapshots_by_hand(spark):
     assert sites.sample_corpus(urls)._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") > 1
 
 
+def test_brand_ids_by_hand(spark):
+    rows = spark.createDataFrame([(1, "Café Noir"), (2, " CAFE noir "), (3, " "), (4, None), (5, "Other"), (6, "OTHER!")], "row_id long, brand string")
+    got = {r.row_id: r.brand_id for r in ingest.brand_ids(rows, spark.createDataFrame([("cafe-noir", "b2"), ("cafe-noir", "b1")], "alias string, brand_id string")).collect()}
+    assert (got[1], got[2], got[3], got[4]) == ("b1", "b1", None, None) and got[5] == got[6] != "b1"
+    assert ingest.brand_ids(rows.limit(0), spark.createDataFrame([], "alias string, brand_id string")).count() == 0
+
+
 def test_listing_cards_by_hand(spark):
     context = ("/pdp/", "https://shop.example", "shop.example")
     body = "[Skip](#x)\n\n[Runner Two ![a](https://c.example/a.jpg) $143.98 price was $180.00 Save 20% ($36.02)](https://shop.example/pdp/runner-two-1.html)\n\n\n\n[Jacket](/pdp/jacket-2)\n$129.99"
