@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martlens.operators.ingest import AVAILABILITY, recipe_availability
+from martlens.operators.pages import jsonld_products
 
 
 def origin_of(url: Column) -> Column:
@@ -382,6 +383,11 @@ def _breadcrumbs(html: pd.Series) -> pd.Series:
     return html.map(one)
 
 
+def full_products(pages: DataFrame) -> DataFrame:
+    """The JSON-LD products of pages (page_id, html) with their breadcrumbs as category path, by page_id, which is unique."""
+    return jsonld_products(pages).join(extract_breadcrumbs(pages).withColumnRenamed("names", "category"), "page_id")
+
+
 def extract_breadcrumbs(pages: DataFrame) -> DataFrame:
     """page_id and the distinct names of the page's breadcrumbs, in order."""
     return pages.select("page_id", _breadcrumbs("html").alias("names"))

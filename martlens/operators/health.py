@@ -105,6 +105,27 @@ def append_versions(history: DataFrame, batch: DataFrame) -> DataFrame:
     return history.select("shop_id", "version", "run_id").unionByName(new.select("shop_id", "version", "run_id"))
 
 
+def write_versions(history: DataFrame, batch: DataFrame) -> DataFrame:
+    """The batch (shop_id, recipe_id, api_url, sitemap_urls, sample_urls, confidence) as new versions, in order of recipe_id.
+
+    The primary endpoint is the API's, else the first sitemap, else the first sample page, else unknown; ``first`` marks a shop's first
+    version, which resets its health.
+    """
+    last = history.groupBy("shop_id").agg(F.max("version").alias("last"))
+    known = lambda c: F.nullif(c, F.lit(""))
+    endpoint = F.coalesce(known(F.col("api_url")), known(F.get("sitemap_urls", F.lit(0))), known(F.get("sample_urls", F.lit(0))), F.lit("unknown"))
+    version = F.coalesce("last", F.lit(0)) + ranked(["shop_id"], F.col("recipe_id"))
+    rows = batch.join(last, "shop_id", "left").withColumn("version", version)
+    return rows.select("shop_id", "version", "recipe_id", endpoint.alias("primary_endpoint"), "confidence", (F.col("version") == 1).alias("first"))
+
+
+def shops_after_versions(shops: DataFrame, written: DataFrame) -> DataFrame:
+    """shops (shop_id, health, confidence): those with new versions take the newest one's confidence, and health 1 if one was their first."""
+    per = written.groupBy("shop_id").agg(F.max_by("confidence", "version").alias("newest"), F.max("version").alias("version"), F.max("first").alias("reset"))
+    health = F.when(F.col("reset"), 1.0).otherwise(F.col("health"))
+    return shops.join(per, "shop_id", "left").select("shop_id", health.alias("health"), F.when(F.col("version").isNotNull(), F.col("newest")).otherwise(F.col("confidence")).alias("confidence"))
+
+
 def active_recipe(history: DataFrame) -> DataFrame:
     return latest_by(history, ["shop_id"], ["version"], ["version", "run_id"])
 

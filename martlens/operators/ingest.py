@@ -18,6 +18,30 @@ def upsert_listings(state: DataFrame, batch: DataFrame) -> DataFrame:
     return upsert(state, batch, ["url"], ["sku", "shop_id", "first_seen"], ["product_id", "last_seen"])
 
 
+UPDATED = ["title", "brand", "category", "gtin", "mpn", "image", "attributes"]
+
+
+def upsert_all_columns(state: DataFrame, batch: DataFrame) -> DataFrame:
+    """As ``upsert_listings`` with every column: ``UPDATED`` takes the batch's value even where that is null; seen listings are active again."""
+    last = batch.groupBy("url").agg(F.max_by(F.struct("sku", "shop_id", "first_seen", "last_seen", *UPDATED), F.struct("last_seen", "sku")).alias("b"))
+    rows = state.withColumn("known", F.lit(True)).join(last, "url", "full")
+    keep = lambda c: F.when(F.col("known"), F.col(c)).otherwise(F.col(f"b.{c}")).alias(c)
+    take = lambda c: F.when(F.col("b").isNotNull(), F.col(f"b.{c}")).otherwise(F.col(c)).alias(c)
+    return rows.select("url", *map(keep, ("sku", "shop_id", "first_seen")), *map(take, ("last_seen", *UPDATED)), (F.col("b").isNotNull() | F.col("active")).alias("active"))
+
+
+def fetch_log_counters(log: DataFrame, shortest: int = 200) -> DataFrame:
+    """Per run of a log (run_id, http_status, body_chars, extracted): discovered, fetched, extracted, errors.
+
+    A status from 400 or a body below ``shortest`` is an error, but a 429 is to be tried again and counts as neither; nulls are errors.
+    """
+    again = F.coalesce(F.col("http_status") == 429, F.lit(False))
+    good = F.coalesce((F.col("http_status") < 400) & (F.col("body_chars") >= shortest), F.lit(False))
+    return log.groupBy("run_id").agg(
+        F.count("*").alias("discovered"), F.count_if(good).alias("fetched"), F.count_if(good & F.coalesce("extracted", F.lit(False))).alias("extracted"), F.count_if(~good & ~again).alias("errors")
+    )
+
+
 def is_new(state: DataFrame, batch: DataFrame) -> DataFrame:
     return batch.join(state.select("url"), "url", "left_anti")
 

@@ -163,6 +163,7 @@ def jsonld_products(pages: DataFrame) -> DataFrame:
         "page_id", text("$.name").alias("title"), F.coalesce(text("$.brand"), text("$.brand.name")).alias("brand"), F.coalesce(known("$.sku"), known("$.productID")).alias("sku"),
         F.coalesce(known("$.gtin13"), known("$.gtin"), known("$.gtin12")).alias("gtin"), finite.alias("price"), F.when(offer("priceCurrency") == "USD", "USD").otherwise("CAD").alias("currency"), state.alias("availability"),
         F.coalesce(text("$.image"), text("$.image[0]"), text("$.image.url")).alias("image"), text("$.color").alias("color"), text("$.material").alias("material"),
+        F.nullif(text("$.description"), F.lit("")).alias("description"), F.nullif(text("$.mpn"), F.lit("")).alias("mpn"),
     )
 
 
@@ -180,7 +181,7 @@ def jsonld_shapes(parts: DataFrame) -> DataFrame:
     fields = F.concat(
         F.lit('"name":'), quoted(F.col("p_name")), F.lit(',"brand":'), F.when(n % 2 == 0, quoted(F.col("p_brand"))).otherwise(F.concat(F.lit('{"name":'), quoted(F.col("p_brand")), F.lit("}"))),
         F.when(n == 3, F.lit(',"productID":')).otherwise(F.lit(',"sku":')), quoted(num), F.when(n == 1, F.lit(',"gtin12":')).otherwise(F.lit(',"gtin13":')), quoted(F.concat(F.lit("g"), num)),
-        F.lit(',"image":'), F.when(n == 0, '"i.png"').when(n == 1, '["i.png","j.png"]').otherwise('{"url":"i.png"}'), F.lit(',"color":"red","offers":'), F.when(n == 2, F.concat(F.lit("["), offer, F.lit("]"))).otherwise(offer),
+        F.lit(',"image":'), F.when(n == 0, '"i.png"').when(n == 1, '["i.png","j.png"]').otherwise('{"url":"i.png"}'), F.when(n < 2, F.concat(F.lit(',"description":"d","mpn":'), quoted(F.concat(F.lit("m"), num)))).otherwise(F.lit(',"description":"","mpn":5')), F.lit(',"color":"red","offers":'), F.when(n == 2, F.concat(F.lit("["), offer, F.lit("]"))).otherwise(offer),
     )
     node = F.concat(F.lit('{"@type":'), F.when(n == 3, '["Thing","Product"]').otherwise('"Product"'), F.lit(","), fields, F.lit("}"))
     body = F.when(n == 1, F.concat(F.lit('[{"@type":"WebSite"},'), node, F.lit("]"))).when(n == 2, F.concat(F.lit('{"@graph":[{"@type":"WebPage"},'), node, F.lit("]}"))).otherwise(node)
@@ -201,6 +202,18 @@ def crawl_api_records(bodies: DataFrame) -> DataFrame:
     return rows.select("page", "p.id", "p.title", "p.vendor", "p.price")
 
 
+def records_at(bodies: DataFrame, path: str) -> DataFrame:
+    """(page, pos, record) for each record of the array at the dotted ``path`` of each body (page, body); an empty path is the body itself."""
+    at = "$" + "".join(f"[{p}]" if p.isdigit() else f".{p}" for p in path.split(".") if p)
+    return bodies.select("page", F.posexplode(F.try_variant_get(F.try_parse_json("body"), at, "array<variant>")).alias("pos", "record"))
+
+
+def markdown_profile(pages: DataFrame) -> DataFrame:
+    """Of each page (page_id, markdown): product links, links, prices in dollars and images; null is an empty page."""
+    patterns = {"product_links": "(?i)/pdp/", "links": r"\[[^\]]+\]\([^)]+\)", "prices": r"\$[0-9,]+", "images": r"!\[[^\]]*\]\([^)]+\)"}
+    return pages.select("page_id", *[F.regexp_count(F.coalesce("markdown", F.lit("")), F.lit(p)).alias(name) for name, p in patterns.items()])
+
+
 def sitemap_bodies(pages: DataFrame, ids: int = 10_000) -> DataFrame:
     """Sitemap bodies (site, body) of the pages' URLs, one for each run of ``ids`` page ids of a site, so that none grows with its site."""
     entry = lambda u: F.concat(F.lit("<url><loc> "), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))

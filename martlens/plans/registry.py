@@ -44,7 +44,7 @@ _ALL += f" UNION ALL SELECT NULL, shop_id, signal_type, severity, {AS_OF}, conca
 _SIGNALS = f"SELECT listing_id, shop_id, signal_type, severity, ts, md5(concat_ws('|', about, signal_type, strftime(ts, '%Y-%m-%d %H:%M:%S'))) AS signal_id FROM ({_ALL}) s"
 _ORD = "CASE {} WHEN 'critical' THEN 2 WHEN 'notable' THEN 1 ELSE 0 END"
 _ALERTS = f"""SELECT signal_id, rule_id, org_id, shop_id, signal_type, severity, ts FROM ({_SIGNALS}) s JOIN {{org_competitors}} USING (shop_id) JOIN {{alert_rules}} USING (org_id)
-  WHERE enabled AND (signal_types = '' OR list_contains(string_split(signal_types, ','), signal_type)) AND (only_shop IS NULL OR only_shop = shop_id) AND {_ORD.format('severity')} >= {_ORD.format('min_severity')}"""
+  WHERE enabled AND (signal_types = '' OR list_contains(string_split(signal_types, ','), signal_type)) AND (only_shops = '' OR list_contains(string_split(only_shops, ','), shop_id::VARCHAR)) AND {_ORD.format('severity')} >= {_ORD.format('min_severity')}"""
 _PRICES = f"SELECT listing_id, amount, currency, ts FROM (SELECT *, {_LAST} AS rn FROM {{price_obs}}) x WHERE rn = 1"
 _SUMMARY = f"""SELECT product_id, canonical_title, brand, min_price, coalesce(currency, 'CAD') AS currency, coalesce(offers, 0) AS offers FROM {{products}} LEFT JOIN
   (SELECT product_id, min(amount) AS min_price, min(currency) AS currency, count(DISTINCT listing_id) AS offers FROM {{listings}} LEFT JOIN ({_PRICES}) p USING (listing_id) WHERE active GROUP BY 1) o USING (product_id)"""
@@ -91,6 +91,11 @@ def sig07_write_signals(price_obs, stock_obs, listings, products):
     return _signals(price_obs, stock_obs, listings, products)
 
 
+@query("price_obs stock_obs listings products", f"SELECT signal_type, count(*) AS n FROM ({_SIGNALS}) s GROUP BY 1")
+def sig07_signal_summary(price_obs, stock_obs, listings, products):
+    return signals.signal_summary(_signals(price_obs, stock_obs, listings, products))
+
+
 @query("price_obs stock_obs listings products alert_rules org_competitors", _ALERTS)
 def sig08_alert_fanout(price_obs, stock_obs, listings, products, rules, competitors):
     return signals.alert_fanout(_signals(price_obs, stock_obs, listings, products), rules, competitors)
@@ -122,8 +127,8 @@ _COUNT = "least(count(CASE WHEN signal_type IN ({}) THEN 1 END), 1000)"
 
 @query("price_obs stock_obs listings products org_competitors orgs", f"""WITH s AS ({_SIGNALS}), t AS (SELECT org_id, s.* FROM {{orgs}} JOIN {{org_competitors}} USING (org_id) LEFT JOIN s USING (shop_id) WHERE plan <> 'trial'),
   h AS (SELECT org_id, string_agg(signal_id, ',' ORDER BY rn) AS highlights FROM (SELECT org_id, signal_id, row_number() OVER (PARTITION BY org_id ORDER BY ts DESC, signal_id) AS rn FROM t WHERE signal_id IS NOT NULL) x WHERE rn <= 12 GROUP BY 1)
-  SELECT d.*, drops = 0 AND added = 0 AND inventory = 0 AS empty, coalesce(highlights, '') AS highlights FROM (SELECT org_id, {_COUNT.format("'price_drop'")} AS drops, {_COUNT.format("'new_product'")} AS added,
-  {_COUNT.format("'out_of_stock','back_in_stock','low_stock'")} AS inventory FROM t GROUP BY 1) d LEFT JOIN h USING (org_id)""")
+  SELECT d.*, concat('Weekly digest: ', drops, ' price drops, ', added, ' new products (7d)') AS subject, drops = 0 AND added = 0 AND inventory = 0 AS empty, coalesce(highlights, '') AS highlights FROM (SELECT org_id, {_COUNT.format("'price_drop'")} AS drops, {_COUNT.format("'new_product'")} AS added,
+  {_COUNT.format("'out_of_stock','low_stock'")} AS inventory FROM t GROUP BY 1) d LEFT JOIN h USING (org_id)""")
 def sig13_digest(price_obs, stock_obs, listings, products, competitors, orgs):
     return signals.digest(_signals(price_obs, stock_obs, listings, products), competitors, orgs)
 
@@ -670,7 +675,8 @@ def ext01_extract_jsonld_products(part):
 
 
 @query("part", """SELECT p_partkey AS page_id, p_name AS title, p_brand AS brand, p_partkey::VARCHAR AS sku, 'g' || p_partkey AS gtin, CASE WHEN p_partkey % 5 <> 0 THEN p_retailprice::DOUBLE END AS price,
-  'USD' AS currency, 'in_stock' AS availability, 'i.png' AS image, 'red' AS color, NULL AS material FROM {part}""")
+  'USD' AS currency, 'in_stock' AS availability, 'i.png' AS image, 'red' AS color, NULL AS material,
+  CASE WHEN p_partkey % 4 < 2 THEN 'd' END AS description, CASE WHEN p_partkey % 4 < 2 THEN 'm' || p_partkey END AS mpn FROM {part}""")
 def ext01_jsonld_shapes(part):
     return pages.jsonld_products(pages.jsonld_shapes(part))
 
@@ -810,4 +816,4 @@ def url26_endpoint_type(endpoints):
     return endpoints.select("page_id", sites.endpoint_type(F.expr(_SITE_MAPS)).alias("endpoint_type"))
 
 
-from martlens.plans import extraction, mining, state  # noqa: E402, F401  these register themselves
+from martlens.plans import extraction, mining, onboarding, state  # noqa: E402, F401  these register themselves

@@ -33,10 +33,10 @@ def test_price_change_edges(spark):
 
 def test_fanout_arrays_and_severity(spark):
     sig = spark.createDataFrame([("a", 7, "price_drop", "notable", DAY)], "signal_id string, shop_id long, signal_type string, severity string, ts timestamp_ntz")
-    rules = spark.createDataFrame([(1, 1, "", None, "notable", True), (2, 2, "new_product", None, "info", True), (3, 3, "price_drop", 8, "info", True), (4, 4, "", None, "info", False), (5, 5, "", None, "critical", True)],
-                                  "org_id long, rule_id long, signal_types string, only_shop long, min_severity string, enabled boolean")
-    competitors = spark.createDataFrame([(i, 7) for i in range(1, 6)], "org_id long, shop_id long")
-    assert [r.rule_id for r in signals.alert_fanout(sig, rules, competitors).collect()] == [1]
+    rules = spark.createDataFrame([(1, 1, "", "", "notable", True), (2, 2, "new_product", "", "info", True), (3, 3, "price_drop", "8,77", "info", True), (4, 4, "", "", "info", False), (5, 5, "", "", "critical", True), (6, 6, "", "8,7", "info", True)],
+                                  "org_id long, rule_id long, signal_types string, only_shops string, min_severity string, enabled boolean")
+    competitors = spark.createDataFrame([(i, 7) for i in range(1, 7)], "org_id long, shop_id long")
+    assert sorted(r.rule_id for r in signals.alert_fanout(sig, rules, competitors).collect()) == [1, 6]
 
 
 def test_recent_signals_of_no_shop(spark):
@@ -94,7 +94,7 @@ def test_jsonld_shapes(spark):
     html = spark.createDataFrame([(k, block.format("{x") + block.format(b)) for k, b in enumerate(bodies)], "page_id long, html string")
     got = {r.page_id: r for r in pages.jsonld_products(html).collect()}
     assert set(got) == {0, 1, 3}
-    assert got[0][1:] == ("a", "B", "7", "12", 9.5, "USD", "unknown", "i", None, "oak")
+    assert got[0][1:] == ("a", "B", "7", "12", 9.5, "USD", "unknown", "i", None, "oak", None, None)
     assert (got[1].title, got[1].gtin, got[1].price, got[1].currency, got[1].availability) == ("b", "13", None, "CAD", "out_of_stock")
     assert got[3].price is None
 
@@ -229,3 +229,39 @@ def test_decisions_by_hand(spark):
     rows = [(1, 5, 6, 0.1, False, None, None), (2, None, None, None, False, None, None), (3, None, 6, 0.2, True, True, 0.9), (4, None, 6, 0.28, False, True, 0.85), (5, None, 6, 0.2, False, True, 0.8), (6, None, 6, 0.2, False, None, None), (7, None, 6, 0.3, False, True, 1.0)]
     got = {r.listing_id: (r.decision, r.product_id) for r in state.decide_matches(spark.createDataFrame(rows, schema)).collect()}
     assert got == {1: ("confirmed", 5), 2: ("new", None), 3: ("new", None), 4: ("auto_matched", 6), 5: ("review", 6), 6: ("review", 6), 7: ("new", None)}
+
+
+def test_waiting_shops_fill_the_plan(spark):
+    orgs = spark.createDataFrame([(1, "starter"), (2, "trial")], "org_id long, plan string")
+    tracked = spark.createDataFrame([(1, 10), (1, 11)], "org_id long, shop_id long")
+    rows = [(1, 1, 11), (2, 1, 12), (3, 1, 12), (4, 1, 13), (5, 2, 10), (6, 2, 10), (7, 9, 10)]
+    settled = tenancy.settle_onboarding(orgs, tracked, spark.createDataFrame(rows, "waiting_id long, org_id long, shop_id long"))
+    got = {r.waiting_id: (r.status, r.error) for r in settled.collect()}
+    # A tracked shop adds nothing; the third place goes to 12, so its repeat and 13 fail; an unknown org has the trial's one place.
+    full = "Your starter plan allows 3 competitors. Upgrade to add this store."
+    assert (got[1], got[2], got[3], got[4]) == (("ready", None), ("ready", None), ("failed", full), ("failed", full))
+    assert (got[5][0], got[6][0], got[7][0]) == ("ready", "failed", "ready")
+    assert sorted(tuple(r) for r in tenancy.links_added(tracked, settled).collect()) == [(1, 10), (1, 11), (1, 12), (2, 10), (9, 10)]
+    assert tenancy.settle_onboarding(orgs, tracked, spark.createDataFrame([], "waiting_id long, org_id long, shop_id long")).count() == 0
+
+
+def test_versions_by_hand(spark):
+    history = spark.createDataFrame([(1, 3)], "shop_id long, version int")
+    rows = [(1, 7, "", ["s"], ["p"], 0.4), (2, 8, None, [], ["p"], 0.6), (2, 9, "a", None, None, 0.7), (3, 9, None, None, None, None)]
+    written = health.write_versions(history, spark.createDataFrame(rows, "shop_id long, recipe_id long, api_url string, sitemap_urls array<string>, sample_urls array<string>, confidence double"))
+    assert sorted(tuple(r) for r in written.collect())[:3] == [(1, 4, 7, "s", 0.4, False), (2, 1, 8, "p", 0.6, True), (2, 2, 9, "a", 0.7, False)]
+    shops = spark.createDataFrame([(k, 0.2, 0.1) for k in (1, 2, 3, 4)], "shop_id long, health double, confidence double")
+    assert sorted(tuple(r) for r in health.shops_after_versions(shops, written).collect()) == [(1, 0.2, 0.4), (2, 1.0, 0.7), (3, 1.0, None), (4, 0.2, 0.1)]
+
+
+def test_counters_and_digest_by_hand(spark):
+    log = spark.createDataFrame([(1, 200, 200, True), (1, 200, 199, True), (1, 404, 900, None), (1, 429, 0, None), (1, None, None, None), (1, 399, 900, None)], "run_id long, http_status int, body_chars long, extracted boolean")
+    assert [tuple(r) for r in ingest.fetch_log_counters(log).collect()] == [(1, 6, 2, 1, 3)]
+    kinds = ["price_drop", "new_product", "low_stock", "out_of_stock", "back_in_stock", "price_increase"]
+    sig = spark.createDataFrame([(f"s{k}", 7, kind, DAY) for k, kind in enumerate(kinds)], "signal_id string, shop_id long, signal_type string, ts timestamp_ntz")
+    orgs = spark.createDataFrame([(1, "growth"), (2, "trial")], "org_id long, plan string")
+    tracks = spark.createDataFrame([(1, 7), (2, 7)], "org_id long, shop_id long")
+    [row] = signals.digest(sig, tracks, orgs).collect()
+    assert (row.drops, row.added, row.inventory, row.empty, row.subject) == (1, 1, 2, False, "Weekly digest: 1 price drops, 1 new products (7d)")
+    assert [r.empty for r in signals.digest(sig, tracks, orgs, since=AS_OF).collect()] == [True]
+    assert {r.signal_type: r.n for r in signals.signal_summary(sig).collect()} == dict.fromkeys(kinds, 1)
