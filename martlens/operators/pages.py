@@ -53,6 +53,25 @@ def condense_text(pages: DataFrame, cap: int = 6000, least: int = 40) -> DataFra
     return pages.select("page_id", text.alias("text")).filter(F.length("text") >= least)
 
 
+def condensed_pages(pages: DataFrame, cap: int = 6000, least: int = 40) -> DataFrame:
+    """Headline, social title, price and brand of each page (page_id, html), a line each where there is one, and below them its body's text.
+
+    Scripts, styles, frames, headers, footers and navigation are left out first; the whole is cut to ``cap`` characters, and pages of
+    fewer than ``least``, or without html, give no row. Entities stay as they are written.
+    """
+    gone = r"(?is)<(script|style|noscript|svg|iframe|header|footer|nav)\b[^>]*>.*?</\1\s*>|<!--.*?-->"
+    plain = lambda c: F.regexp_replace(c, "<[^>]*>", "")
+    first = lambda pattern, group: F.trim(plain(F.regexp_extract("html", pattern, group)))
+    meta = lambda name: first(f'(?is)<meta\\b[^>]*property="{name}"[^>]*content="([^"]*)"', 1)
+    marked = lambda word: first(rf'(?s)<([a-zA-Z][a-zA-Z0-9]*)\b[^>]*\bclass="[^"]*{word}[^"]*"[^>]*>(.*?)</\1\s*>', 2)
+    heads = [first(r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1), meta("og:title"), meta("product:price:amount"), marked("price"), marked("brand")]
+    inside = F.regexp_replace("html", r"(?is)^.*?<body\b[^>]*>|</body\s*>.*$|<head\b[^>]*>.*?</head\s*>", "")
+    body = F.trim(F.regexp_replace(plain(inside), r"\s+", " "))
+    lines = F.array_join(F.filter(F.array(*heads), lambda h: h != ""), "\n")
+    cleaned = pages.select("page_id", F.regexp_replace("html", gone, "").alias("html"))
+    return cleaned.select("page_id", F.substring(F.concat(lines, F.lit("\n"), body), 1, cap).alias("text")).filter(F.length("text") >= least)
+
+
 def anchors(pages: DataFrame) -> DataFrame:
     """(page_id, host, link) of every anchor, fragments dropped."""
     link = F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"#]*)'), F.lit(1))).alias("link")
