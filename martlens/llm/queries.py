@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlens.llm import importance, language_mixture, license_index, media_jpeg, merkle, near_dedup, packing, source_mix, token_scan, warc_zip
+from martlens.llm import importance, language_mixture, license_index, line_index, media_jpeg, merkle, near_dedup, packing, runs, source_mix, token_scan, warc_zip, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -64,11 +64,34 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).filter("kept").select("doc_id", "log_weight", "n_features", "gumbel_key")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_index.dedup_lines(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", runs.looped(F.col("doc_id"), F.col("text")).alias("text"))
+    # The greatest length; of several the smallest start, then period: runs come in this order, and the first of equals is taken.
+    best = F.get(F.filter("runs", lambda r: r["length"] == F.array_max(F.transform("runs", lambda x: x["length"]))), 0)
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return (
+        runs.find_runs(docs).withColumn("best", best)
+        .select(
+            "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+            F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        )
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_mixture, op2_warc_zip, op3_best_fit_packing, op4_jpeg_media, op5_merkle_fingerprints, op6_poisson_mix, op7_minmax_dedup, op8_separator_scan,
-        op9_license_index, op10_importance_resampling, op5_merkle_differences,
+        op9_license_index, op10_importance_resampling, op11_line_dedup, op12_whitened_embeddings, op13_periodic_runs, op5_merkle_differences,
     )
 }
 
@@ -122,5 +145,12 @@ r AS (SELECT a AS v, a AS u FROM e UNION SELECT r.v, e.b FROM r JOIN e ON r.u =
 k AS (SELECT v, min(u) AS c FROM r GROUP BY 1)
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(k.c, w.doc_id)::BIGINT AS component_id, w.doc_id = coalesce(k.c, w.doc_id) AS kept
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k ON k.v = w.doc_id""",
+    "op11_line_dedup": r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM d),
+k AS (SELECT doc_id, i, l, translate(regexp_replace(regexp_replace(l, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM l),
+f AS (SELECT k, min(doc_id) AS first FROM k WHERE length(k) >= 10 GROUP BY k HAVING min(doc_id) < max(doc_id)),
+x AS (SELECT doc_id, i, l, coalesce(doc_id > f.first, false) AS gone FROM k LEFT JOIN f USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM x GROUP BY doc_id""",
 }
 ORACLE_SQL["op5_merkle_differences"] = f"SELECT doc_id, fingerprint, edited_fingerprint, changed, near_edited, near_next FROM ({ORACLE_SQL['op5_merkle_fingerprints']})"
