@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlens.llm.common import blocks, join_heavy, map_texts, pinned, scratch_path
+from martlens.llm.common import blocks, join_heavy, map_texts, marks, pinned, scratch_path
 
 KEPT = "doc_id long, n_lines long, n_dropped long, kept string"
 _KEY = ["h1", "h2"]
@@ -295,9 +295,9 @@ class LineIndex:
         least, refs = self.least, self.references()
         repeated = self.repeated_keys().withColumnRenamed("refs", "n")
         held = join_heavy(refs, repeated, _KEY, "n", refs.count()).filter("doc_id > first")
-        drops = held.groupBy("doc_id").agg(F.collect_set(F.struct(*_KEY)).alias("drop")).withColumn("turn", F.lit(0).cast("long"))
-        # Rows without an id find nothing; their texts' hashes spread them over the tasks of the join.
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("turn", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)))
+        drops = pinned(held.groupBy("doc_id").agg(F.collect_set(F.struct(*_KEY)).alias("drop")), "drops")
+        # Only the texts that lose lines are shuffled, and the few others that share a bit with one.
+        texts = marks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), drops).withColumn("marked", F.col("marked") & F.col("doc_id").isNotNull())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -318,8 +318,9 @@ class LineIndex:
                     out = [batch.column(0).slice(a, b - a), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
                     yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_lines", "n_dropped", "kept"])
 
-        joined = texts.join(drops, ["doc_id", "turn"], "left").select("doc_id", "text", "drop")
-        return map_texts(joined, run, KEPT)
+        whole = texts.filter(~F.col("marked")).select("doc_id", "text", F.lit(None).cast(drops.schema["drop"].dataType).alias("drop"))
+        joined = texts.filter("marked").join(drops, "doc_id", "left").select("doc_id", "text", "drop")
+        return map_texts(whole, run, KEPT).unionByName(map_texts(joined, run, KEPT))
 
 
 def _hashes(keys: pa.Table) -> np.ndarray:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martlens.llm.bytewords import mix, shingles, words
-from martlens.llm.common import blocks, free_names, join_heavy, map_texts, pinned
+from martlens.llm.common import blocks, join_heavy, map_texts, marks, pinned
 
 _U = np.uint64
 SKETCH = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, odd array<long>"
@@ -81,17 +81,6 @@ def sketch(docs: DataFrame, size: int, bands: int, width: int, seed: int) -> Dat
     return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), run, SKETCH)
 
 
-def marks(rows: DataFrame, ids: DataFrame, bits: int = 1 << 24) -> DataFrame:
-    """``rows`` with marked, in the last place: may the doc_id be in ``ids``? Each id sets a bit of a bitmap of bounded size, whatever their number."""
-    word, mask, at, marked = free_names(rows, "mark_word", "mark_mask", "mark_at", "marked")
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))
-    part, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
-    masks = ids.select(part.alias(word), bit.alias("bit")).groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias(mask))
-    # At most bits / 64 rows, so that they can be sent to every task.
-    hit = rows.withColumn(at, part).join(F.broadcast(masks), F.col(at) == F.col(word), "left")
-    return hit.withColumn(marked, F.coalesce(F.getbit(mask, bit) == 1, F.lit(False))).select(*rows.columns, marked)
-
-
 def _sliced(pairs: DataFrame, side: str, other: str, total: int, each: int = 256) -> DataFrame:
     """``pairs`` with slice_<side>: the partners of a vertex are dealt to as many slices as ``each`` of them need."""
     k = f"k_{side}"
