@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -15,3 +15,57 @@ def shared_path(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file:///tmp/martlens-checkpoints"
     return f"{root.rstrip('/')}/martlens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that its lineage ends there."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Deletes what this application wrote to the shared folder; DataFrames that read it can't be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_path(spark, "x").rpartition("/")[0])
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any store that Spark reads; none if it isn't there."""
+    fs, at = _file_system(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file under another name first, so that it is there as a whole or not at all."""
+    fs, at = _file_system(spark, f"{path}.part")
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    to = _file_system(spark, path)[1]
+    if fs.exists(to):
+        fs.delete(to, False)
+    if not fs.rename(at, to):
+        raise OSError(f"{path} can't be written")
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    fs, at = _file_system(spark, path)
+    source = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()

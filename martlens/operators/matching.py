@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from martlens.functions.components import components
 from martlens.functions.latest import ranked
+from martlens.functions.shared import written
 
 
 def hard_key_match(rows: DataFrame, products: DataFrame, matched: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def hard_key_match(rows: DataFrame, products: DataFrame, matched: DataFrame) ->
     return found.select("row_id", F.coalesce("g", "l", "m").alias("product_id"), by.alias("matched_by"))
 
 
-def _block_nearest(k: int):
+def block_nearest(k: int):
     def nearest(asked: pa.Table, rows: pa.Table) -> pa.Table:
         """The k nearest rows of a block to each query of a block, the smaller id first where distances agree in six places."""
 
@@ -43,6 +44,12 @@ def _block_nearest(k: int):
     return nearest
 
 
+def usable_vectors(vectors: DataFrame) -> DataFrame:
+    """vec_id, label, embedding, dims of rows with an id and a finite vector that isn't zero, empty or null and holds no null."""
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding", F.size("embedding").alias("dims")).filter(F.col("vec_id").isNotNull() & (norm > 0) & (norm < float("inf")))
+
+
 def nearest_candidates(vectors: DataFrame, k: int = 5, every: int = 10, queries: Column | None = None, block: int = 2000) -> DataFrame:
     """The k nearest of the same label, by cosine distance, of the rows of ``queries``, by default those whose id is divisible by ``every``.
 
@@ -51,8 +58,7 @@ def nearest_candidates(vectors: DataFrame, k: int = 5, every: int = 10, queries:
     meet those of their own length; rows whose id or vector is null, or whose vector is empty, zero, not finite or holds a null, neither
     search nor are found.
     """
-    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding", F.size("embedding").alias("dims")).filter(F.col("vec_id").isNotNull() & (norm > 0) & (norm < float("inf")))
+    usable = usable_vectors(vectors)
     asked = usable.filter(F.col("vec_id") % every == 0 if queries is None else queries)
     rows = usable.withColumn("label", F.explode(F.array_distinct(F.array("label", F.lit(None)))))
     count = lambda df, q: df.select(F.col("label").alias("of"), F.col("dims").alias("long"), F.lit(q).alias("q"))
@@ -67,7 +73,7 @@ def nearest_candidates(vectors: DataFrame, k: int = 5, every: int = 10, queries:
 
     keys = ["dims", "label", "qb", "rb"]
     both = dealt(asked, "qb", "nq", "rb", "nr").groupBy(*keys).cogroup(dealt(rows, "rb", "nr", "qb", "nq").groupBy(*keys))
-    best = both.applyInArrow(_block_nearest(k), "query long, vec_id long, distance double")
+    best = both.applyInArrow(block_nearest(k), "query long, vec_id long, distance double")
     return best.withColumn("place", ranked(["query"], F.col("distance"), F.col("vec_id"))).filter(F.col("place") <= k)
 
 
@@ -120,3 +126,39 @@ def resolve_batch_entities(products: DataFrame) -> DataFrame:
 
 def review_backlog(decisions: DataFrame) -> DataFrame:
     return decisions.filter("status = 'review'").agg(F.count("*").alias("open"))
+
+
+def resolve_near_entities(products: DataFrame, vectors: DataFrame, members: DataFrame, near: float, k: int = 5, lists_from: int | None = None) -> DataFrame:
+    """product_id, representative: products that share keys first, then representatives whose vectors are near, but for what a shop tells apart.
+
+    products (product_id, gtin, mpn); vectors (vec_id: a product, label, embedding); members (id: a product, shop, sku). Both steps end in components or
+    clusters that don't depend on the order of the rows.
+    """
+    from martlens.operators.vectors import build_index, cluster_apart, mutual_links
+
+    by_key = written(resolve_batch_entities(products).distinct(), "representatives")
+    first = vectors.join(by_key.filter("product_id = representative").select(F.col("product_id").alias("vec_id")), "vec_id", "left_semi")
+    links = mutual_links(build_index(first, k), first, near, k, lists_from=lists_from)
+    own = by_key.join(members.withColumnRenamed("id", "product_id"), "product_id", "left").select(F.col("representative").alias("id"), "shop", "sku")
+    clusters = cluster_apart(links, own)
+    return by_key.join(clusters.withColumnRenamed("id", "representative"), "representative").select("product_id", F.col("cluster").alias("representative"))
+
+
+def match_listings(new: DataFrame, index, products: DataFrame, listings: DataFrame, verdicts: DataFrame, near: float, sure: float, k: int = 5, lists_from: int | None = None) -> DataFrame:
+    """listing_id, decision, product_id, confidence of ``new`` listings (listing_id, shop_id, sku, gtin, mpn, label, embedding).
+
+    A shared key decides; without one the nearest of the matched listings whose vectors ``index`` holds, unless the shop tells the two apart; then what
+    ``verdicts`` (listing_id, same, verdict) say. products (product_id, gtin, mpn); listings: the matched ones (listing_id, shop_id, product_id, sku, gtin, active).
+    """
+    from martlens.operators.state import decide_matches
+    from martlens.operators.vectors import search
+
+    hard = hard_key_match(new.select(F.col("listing_id").alias("row_id"), "gtin", "mpn"), products, listings).select(F.col("row_id").alias("listing_id"), F.col("product_id").alias("hard"))
+    asked = new.join(hard.filter("hard IS NULL"), "listing_id", "left_semi").select(F.col("listing_id").alias("vec_id"), "label", "embedding")
+    best = search(index, asked, k, lists_from=lists_from).filter("place = 1").select(F.col("query").alias("listing_id"), F.col("vec_id").alias("nearest"), "distance")
+    best = best.join(listings.select(F.col("listing_id").alias("nearest"), F.col("product_id").alias("candidate")), "nearest")
+    rows = new.select("listing_id", "shop_id", "sku").join(hard, "listing_id", "left").join(best.drop("nearest"), "listing_id", "left")
+    rows = written(rows, "matched")
+    conflicts = sku_conflicts(rows.filter("candidate IS NOT NULL").select("listing_id", "shop_id", "sku", "candidate"), listings)
+    told = rows.join(conflicts, "listing_id", "left").join(verdicts, "listing_id", "left").withColumn("conflict", F.coalesce("conflict", F.lit(False)))
+    return decide_matches(told, near, sure)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from martlens.functions.latest import ranked
+from martlens.operators.pages import normalize_domain
 
 
 def append_observations(rows: DataFrame, path: str, by: str = "yyyy-MM-dd") -> None:
@@ -172,7 +173,7 @@ def merge_shops(shops: DataFrame, children: DataFrame, versions: DataFrame) -> t
 
     Where several children of a winner share a unique key, the winner's own stays, else that of the smallest id.
     """
-    domain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower("domain"), "^https?://", ""), r"^www\\.", ""), "[:/].*$", "")
+    domain = normalize_domain(F.lower("domain"))
     w = Window.partitionBy("d").orderBy("created", "shop_id")
     named = shops.withColumn("d", domain).withColumn("winner", F.first("shop_id").over(w)).select("shop_id", "winner")
     moved = children.join(named, "shop_id").withColumn("rn", ranked(["winner", "unique_key"], (F.col("shop_id") != F.col("winner")).cast("int"), F.col("child_id"))).filter("rn = 1")
