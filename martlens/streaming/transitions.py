@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 #: What is observed of a listing: kind ``price`` or ``availability``, its value as text; o and n order rows of one time.
 OBSERVED = "listing_id long, kind string, ts timestamp, o long, n long, value string"
-CHANGES = "listing_id long, kind string, ts timestamp, previous string, current string"
+CHANGES = "listing_id long, kind string, us long, previous string, current string"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -29,22 +29,18 @@ class Transitions(StatefulProcessor):
         self.last = handle.getValueState("last", "us long, value string")
         self.waiting = handle.getListState("waiting", "us long, o long, n long, value string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fresh = []
-        for frame in rows:
-            at = frame["ts"].to_numpy().astype("datetime64[us]").astype("int64").tolist()
-            fresh += [Row(us=us, o=int(o), n=int(n), value=v) for us, o, n, v in zip(at, frame["o"], frame["n"], frame["value"], strict=True)]
-        if fresh:
-            self.waiting.appendList(fresh)
-            # Later rows are looked at when this timer fires, or by the one that is set then.
-            self.handle.registerTimer(max(min(r.us for r in fresh) // 1000, 1))
+    def handleInputRows(self, key: Row, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        fresh = [Row(us=r.us, o=r.o, n=r.n, value=r.value) for r in rows]
+        self.waiting.appendList(fresh)
+        # Later rows are looked at when this timer fires, or by the one that is set then.
+        self.handle.registerTimer(max(min(r.us for r in fresh) // 1000, 1))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Row, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted((us, o, n, v) for us, o, n, v in self.waiting.get()) if self.waiting.exists() else []
+        rows = sorted((us, o, n, v) for us, o, n, v in self.waiting.get())
         due = [r for r in rows if r[0] <= passed]
-        last = self.last.get() if self.last.exists() else None
+        last = self.last.get()
         moved = []
         for us, _, _, value in due:
             if last is not None and us < last[0]:
@@ -67,19 +63,20 @@ class Transitions(StatefulProcessor):
                 self.last.clear()
             else:
                 self.handle.registerTimer(end)
-        if moved:
-            yield pd.DataFrame({"listing_id": key[0], "kind": key[1], "ts": pd.to_datetime([m[0] for m in moved], unit="us"), "previous": [m[1] for m in moved], "current": [m[2] for m in moved]})
+        for us, previous, current in moved:
+            yield Row(listing_id=key.listing_id, kind=key.kind, us=us, previous=previous, current=current)
 
     def close(self) -> None:
         pass
 
 
 def stream_changes(rows: DataFrame, late: str = "1 day", horizon_days: float = 3650) -> DataFrame:
-    """CHANGES of the stream ``rows`` (OBSERVED): each value that differs from the one before it in order of ts, o, n, at most ``horizon_days`` older.
+    """listing_id, kind, ts, previous, current of the stream ``rows`` (OBSERVED): each value that differs from the one before it in order of ts, o, n, at most ``horizon_days`` older.
 
     Rows may come in any order and any batch while they are less than ``late`` behind the newest; later ones are dropped. A change is emitted when the watermark has
     passed it. Of a key that is quiet for ``horizon_days`` nothing is kept. The state is in RocksDB, which the session is set to.
     """
     rows.sparkSession.conf.set(_PROVIDER, _ROCKS)
-    keyed = rows.filter("value IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late).groupBy("listing_id", "kind")
-    return keyed.transformWithStateInPandas(statefulProcessor=Transitions(horizon_days * 86400), outputStructType=CHANGES, outputMode="Append", timeMode="EventTime")
+    known = rows.filter("value IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    found = known.groupBy("listing_id", "kind").transformWithState(statefulProcessor=Transitions(horizon_days * 86400), outputStructType=CHANGES, outputMode="Append", timeMode="EventTime")
+    return found.select("listing_id", "kind", F.timestamp_micros("us").alias("ts"), "previous", "current")
