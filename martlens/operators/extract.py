@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from martlens.functions.urls import host_of, normal_url, resolve_reference
 from martlens.operators.ingest import AVAILABILITY, recipe_availability
 from martlens.operators.pages import jsonld_products
 
@@ -21,10 +22,8 @@ def origin_of(url: Column) -> Column:
 
 
 def resolve(href: Column, base: Column) -> Column:
-    """The absolute URL of a link on the page ``base``; a path without a leading slash starts at the site's root."""
-    origin = origin_of(base)
-    relative = F.when(href.startswith("//"), F.concat(F.regexp_extract(base, "^(https?:)", 1), href)).when(href.startswith("/"), F.concat(origin, href))
-    return F.when(href.rlike("(?i)^https?://"), href).otherwise(relative.otherwise(F.concat(origin, F.lit("/"), href)))
+    """The absolute URL, normalised, of a link on the site of ``base``; a path without a leading slash starts at the site's root."""
+    return normal_url(resolve_reference(href, F.concat(origin_of(base), F.lit("/"))))
 
 
 def _path(dotted: str) -> str:
@@ -410,11 +409,15 @@ def next_page_links(pages: DataFrame) -> DataFrame:
 
 
 def resolved_links(pages: DataFrame) -> DataFrame:
-    """(page_id, link): links to the page's own host, resolved, without fragments, and product paths in its scripts."""
-    host = F.lower(F.regexp_extract("url", r"^https?://([^/?#]+)", 1))
-    hrefs = F.regexp_extract_all("html", F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"'#]*)"""), F.lit(1))
-    hrefs = F.filter(hrefs, lambda h: (h != "") & ~h.rlike("(?i)^(mailto|tel|javascript):"))
+    """(page_id, link): links to the page's own host, resolved, without fragments, and product paths in its scripts.
+
+    An href may stand in quotes of either kind or in none, its name and scheme in any case.
+    """
+    tags = F.regexp_extract_all("html", F.lit(r"(?is)<a\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"), F.lit(0))
+    value = lambda t: F.concat(*[F.regexp_extract(t, r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", k) for k in (1, 2, 3)])
+    hrefs = F.filter(F.transform(tags, value), lambda h: (h != "") & ~h.startswith("#") & ~h.rlike("(?i)^(mailto|tel|javascript):"))
     # Fixed value: product paths that stand in scripts.
     paths = F.regexp_extract_all("html", F.lit(r"(?i)/(?:[a-z]{2}-[A-Z]{2}/)?p-[a-z0-9][\w-]*(?:/\d+)+"), F.lit(0))
-    every = pages.select("page_id", host.alias("host"), F.explode(F.array_distinct(F.transform(F.concat(hrefs, paths), lambda h: resolve(h, F.col("url"))))).alias("link"))
-    return every.filter(F.lower(F.regexp_extract("link", r"^https?://([^/?#]+)", 1)) == F.col("host")).select("page_id", "link").distinct()
+    links = F.transform(F.concat(hrefs, paths), lambda h: F.regexp_replace(resolve(h, F.col("url")), "#.*$", ""))
+    every = pages.select("page_id", host_of(normal_url(F.col("url"))).alias("host"), F.explode(F.array_distinct(links)).alias("link"))
+    return every.filter(host_of(F.col("link")) == F.col("host")).select("page_id", "link").distinct()
