@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martlens.functions.latest import ranked
+from martlens.functions.shared import written
 from martlens.operators.extract import resolve
 from martlens.operators.pages import normalize_domain, product_url_score
 
@@ -50,14 +51,21 @@ def sitemap_entries(bodies: DataFrame) -> DataFrame:
 
 
 def sitemap_tree(maps: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:
-    """(root, url) of all pages that the root sitemaps (root, map) lead to, over indexes at most ``depth`` deep. maps: map, body."""
-    every = sitemap_entries(maps.withColumnRenamed("map", "site")).withColumnRenamed("site", "map")
-    open_, out = roots.select("root", "map"), None
+    """(root, url) of all pages that the root sitemaps (root, map) lead to, over indexes at most ``depth`` deep. maps: map, body.
+
+    Bodies are read once. A round opens the maps that it newly found, none twice for a root, and the last round is that which finds none.
+    """
+    every = written(sitemap_entries(maps.withColumnRenamed("map", "site")).withColumnRenamed("site", "map"), "entries")
+    open_ = seen = written(roots.select("root", "map").distinct(), "maps")
+    out = None
     for _ in range(depth + 1):
         found = open_.join(every, "map")
         pages = found.filter("kind <> 'index'").select("root", "url")
         out = pages if out is None else out.unionByName(pages)
-        open_ = found.filter("kind = 'index'").select("root", F.col("url").alias("map"))
+        open_ = written(found.filter("kind = 'index'").select("root", F.col("url").alias("map")).distinct().join(seen, ["root", "map"], "left_anti"), "maps")
+        if not open_.limit(1).count():
+            break
+        seen = seen.unionByName(open_)
     return out.distinct()
 
 

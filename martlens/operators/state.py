@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from martlens.functions.hierarchy import ancestor_paths
 from martlens.functions.latest import ranked
+from martlens.functions.shared import written
 from martlens.operators.pages import normalize_domain
 
 
@@ -33,15 +37,9 @@ def upsert_listing_pages(state: DataFrame, found: DataFrame) -> DataFrame:
     return both.select("shop_id", "url", F.coalesce("new_label", "label").alias("label"), F.coalesce("new_parent", "parent").alias("parent"), (F.col("new_label").isNotNull() | F.coalesce("active", F.lit(False))).alias("active"))
 
 
-def category_breadcrumbs(pages: DataFrame, depth: int = 8) -> DataFrame:
-    """id and path of labels from the root of each page (id, parent_id, label); a chain that comes back to a page it has seen ends there."""
-    parents = pages.select(F.col("id").alias("p"), F.col("parent_id").alias("pp"), F.col("label").alias("pl"))
-    rows = pages.select("id", F.col("parent_id").alias("at"), F.array("label").alias("path"), F.array("id").alias("seen"))
-    for _ in range(depth):
-        up = rows.join(parents, F.col("at") == F.col("p"), "left")
-        fresh = F.col("p").isNotNull() & ~F.array_contains("seen", F.col("p"))
-        rows = up.select("id", F.when(fresh, F.col("pp")).alias("at"), F.when(fresh, F.concat(F.array("pl"), "path")).otherwise(F.col("path")).alias("path"), F.when(fresh, F.concat("seen", F.array("p"))).otherwise(F.col("seen")).alias("seen"))
-    return rows.select("id", "path")
+def category_breadcrumbs(pages: DataFrame) -> DataFrame:
+    """id and path of labels from the root of each page (id, parent_id, label), however deep; a chain that comes back to a page it has seen ends there."""
+    return ancestor_paths(pages)
 
 
 def upsert_endpoints(state: DataFrame, recipes: DataFrame, captures: DataFrame, most: int = 5, least: int = 40) -> DataFrame:
@@ -181,3 +179,64 @@ def merge_shops(shops: DataFrame, children: DataFrame, versions: DataFrame) -> t
     return shops.join(winners, "shop_id"), moved.select("child_id", F.col("winner").alias("shop_id"), "unique_key"), versions.join(winners, "shop_id", "left_semi")
 
 
+@dataclass(frozen=True)
+class Child:
+    """A table with rows of a shop: its key, the column that names the shop, and which further columns make a row unique within one.
+
+    purged: rows of shops that go are dropped, not given to the winner. unique: null if rows never collide.
+    """
+
+    table: str
+    key: str
+    shop: str = "shop_id"
+    unique: tuple[str, ...] | None = None
+    purged: bool = False
+
+
+# The tables that name a shop, and their unique columns beside it.
+CHILDREN = [
+    Child("org_competitors", "id", unique=("org_id",)), Child("listing_pages", "id", unique=("url",)), Child("endpoints", "id", unique=("url", "method")), Child("shop_categories", "id", unique=("raw_path",)), Child("recipe_versions", "id", purged=True),
+    Child("health_reports", "id"), Child("repairs", "id"), Child("crawl_runs", "id"), Child("listings", "id"), Child("signals", "id"), Child("onboarding", "id"), Child("orgs", "id", shop="own_shop_id"),
+]
+
+
+def shop_winners(shops: DataFrame) -> DataFrame:
+    """from_id, to_id of shops (shop_id, domain, created) whose normalised domain an older one has; without a time a shop is the youngest.
+
+    The winner of a domain is the least of an aggregation, so that a domain of very many shops makes no task of its own.
+    """
+    named = shops.withColumn("d", normalize_domain(F.lower("domain"))).filter("d IS NOT NULL AND d <> ''")
+    first = named.groupBy("d").agg(F.min_by("shop_id", F.struct(F.col("created").isNull(), "created", "shop_id")).alias("to_id"))
+    return named.join(first, "d").filter("shop_id <> to_id").select(F.col("shop_id").alias("from_id"), "to_id")
+
+
+def merge_by_catalogue(shops: DataFrame, tables: dict[str, DataFrame], catalogue: list[Child] = CHILDREN) -> dict[str, DataFrame]:
+    """``tables`` and "shops" after shops of one domain are merged: one mapping, applied to each table of ``catalogue`` by its own rule.
+
+    Of rows that would share their unique columns the winner's own stay, else that with the least key. Tables that ``catalogue`` doesn't name stay.
+    """
+    mapping = written(shop_winners(shops), "merged-shops")
+    moved = mapping.select(F.col("from_id").alias("gone"), "to_id")
+    out = {name: df for name, df in tables.items()} | {"shops": shops.join(mapping.select(F.col("from_id").alias("shop_id")), "shop_id", "left_anti")}
+    for child in catalogue:
+        if child.table not in tables:
+            continue
+        df = tables[child.table]
+        rows = df.join(moved, F.col(child.shop) == F.col("gone"), "left")
+        if child.purged:
+            out[child.table] = rows.filter("gone IS NULL").select(*df.columns)
+            continue
+        to = rows.withColumn(child.shop, F.coalesce("to_id", child.shop)).withColumn("came", F.col("gone").isNotNull())
+        if child.unique:
+            # Only rows whose winner takes others in can collide, and, as in SQL, none with a null among the unique columns.
+            taking = moved.select(F.col("to_id").alias("taking")).distinct()
+            marked = to.join(taking, F.col(child.shop) == F.col("taking"), "left").withColumn("can", F.col("taking").isNotNull())
+            for c in child.unique:
+                marked = marked.withColumn("can", F.col("can") & F.col(c).isNotNull())
+            still, met = marked.filter("NOT can").select(*df.columns), marked.filter("can")
+            best = met.groupBy(child.shop, *child.unique).agg(F.min(F.struct("came", F.col(child.key).alias("k"))).alias("best"))
+            same = [F.col(f"m.{c}") == F.col(f"b.{c}") for c in (child.shop, *child.unique)]
+            kept = met.alias("m").join(best.alias("b"), same).filter((~F.col("came")) | (F.col("best.came") & (F.col(f"m.{child.key}") == F.col("best.k"))))
+            to = still.unionByName(kept.select(*[F.col(f"m.{c}").alias(c) for c in df.columns]))
+        out[child.table] = to.select(*df.columns)
+    return out
