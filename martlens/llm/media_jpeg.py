@@ -363,5 +363,8 @@ def media_features(stored: DataFrame) -> DataFrame:
 
 
 def media_round_trip(docs: DataFrame) -> DataFrame:
-    """FEATURES of every row of ``docs``: stores its texts and reads the stored bytes in the same task, so that one worker does both."""
-    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), lambda batches: _features(_store(batches)), FEATURES)
+    """FEATURES of every row of ``docs``: its texts stored as a column of media, and what is read from that column.
+
+    The media are larger than the texts and hardly compress, so the column is streamed from the writer to the reader, not kept in a table.
+    """
+    return media_features(store_texts(docs))
