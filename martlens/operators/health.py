@@ -233,8 +233,8 @@ def success_rates(runs: DataFrame, by: str) -> DataFrame:
     )
 
 
-def failure_causes(runs: DataFrame) -> DataFrame:
-    """Cause and point of what isn't a success, ranked by number; runs have last_stage and stages besides."""
+def run_causes(runs: DataFrame) -> DataFrame:
+    """``runs`` that aren't a success with cause and point; runs have last_stage and stages besides."""
     c, err = F.col, F.coalesce(F.col("error"), F.lit(""))
     rows = classify_runs(runs).filter("outcome <> 'Success'")
     has = lambda s: F.array_contains(F.split("stages", ","), s)
@@ -247,7 +247,12 @@ def failure_causes(runs: DataFrame) -> DataFrame:
     pick = lambda values, other: F.coalesce(*[F.when(k, v) for k, v in values], other)
     cause = pick([(k, F.lit(name)) for k, name, _ in kinds], F.when(err != "", err).otherwise("no promotable recipe"))
     point = pick([(k, p) for k, _, p in kinds], F.coalesce("last_stage", F.lit("unknown")))
-    return rows.groupBy(cause.alias("cause"), point.alias("point")).agg(F.count("*").alias("runs"))
+    return rows.withColumn("cause", cause).withColumn("point", point)
+
+
+def failure_causes(runs: DataFrame) -> DataFrame:
+    """Cause and point of what isn't a success, with the number of runs."""
+    return run_causes(runs).groupBy("cause", "point").agg(F.count("*").alias("runs"))
 
 
 def stage_rollup(runs: DataFrame) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from martlens.functions.latest import ranked
 
@@ -150,23 +154,47 @@ def jsonld_pages(parts: DataFrame) -> DataFrame:
     return parts.select(F.col("p_partkey").alias("page_id"), body.alias("html"))
 
 
-def _inner(nodes: Column) -> Column:
-    """Each of the variants, after what is in it: the items of an array, those of ``@graph``."""
-    none = F.array().cast("array<variant>")
-    items = lambda v, path: F.coalesce(F.try_variant_get(v, path, "array<variant>"), none)
-    return F.flatten(F.transform(nodes, lambda v: F.concat(items(v, "$"), items(v, "$['@graph']"), F.array(v))))
+@F.pandas_udf(T.StringType())
+def _first_product(blocks: pd.Series) -> pd.Series:
+    """Of JSON-LD blocks the first node whose @type is or holds Product, as JSON: through arrays and @graph of any depth, what is in a node before it."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            open_ = [json.loads(text)]
+        except (TypeError, ValueError, RecursionError):
+            return None
+        open_ = [(open_[0], False)]
+        while open_:
+            node, searched = open_.pop()
+            if isinstance(node, list):
+                open_ += [(x, False) for x in reversed(node)]
+            elif isinstance(node, dict):
+                graph = node.get("@graph")
+                if isinstance(graph, list) and not searched:
+                    open_ += [(node, True), *((x, False) for x in reversed(graph))]
+                elif node.get("@type") == "Product" or isinstance(node.get("@type"), list) and "Product" in node["@type"]:
+                    return json.dumps(node)
+        return None
+
+    return blocks.map(one, na_action=None)
+
+
+def _nested(block: Column) -> Column:
+    """May a block hold its product below an array in an array, or in @graph? Most hold it at the top."""
+    return block.rlike(r"[\[,]\s*\[") | block.contains("@graph")
 
 
 def jsonld_products(pages: DataFrame) -> DataFrame:
     """The first JSON-LD product with a title of each page, all fields, from any of the usual shapes.
 
-    The first node of a block whose @type is or holds Product counts, in arrays and @graph down to three levels; the first offer, alone
-    or of a list; a price that is a finite number, also as text; USD only if stated, else CAD.
+    The first node of a block whose @type is or holds Product counts, in arrays and @graph of any depth; the first offer, alone or of a list;
+    a price that is a finite number, also as text; USD only if stated, else CAD. Blocks that are an object or a flat list stay column expressions.
     """
     blocks = F.regexp_extract_all("html", F.lit(r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
-    rows = pages.select("page_id", F.posexplode(blocks).alias("pos", "json")).withColumn("nodes", F.array(F.try_parse_json("json")))
-    for _ in range(3):
-        rows = rows.withColumn("nodes", _inner(F.col("nodes")))
+    rows = pages.select("page_id", F.posexplode(blocks).alias("pos", "json"))
+    deep = rows.filter(_nested(F.col("json"))).withColumn("json", _first_product("json"))
+    rows = rows.filter(~_nested(F.col("json"))).unionByName(deep).withColumn("v", F.try_parse_json("json"))
+    rows = rows.withColumn("nodes", F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))).drop("v")
     kind = lambda v: F.coalesce(F.array_contains(F.try_variant_get(v, "$['@type']", "array<string>"), "Product"), F.try_variant_get(v, "$['@type']", "string") == "Product", F.lit(False))
     rows = rows.select("page_id", "pos", F.filter("nodes", kind).alias("nodes")).filter(F.size("nodes") > 0).select("page_id", "pos", F.col("nodes")[0].alias("v"))
     get = lambda path, kind="string": F.try_variant_get("v", path, kind)

@@ -816,4 +816,4 @@ def url26_endpoint_type(endpoints):
     return endpoints.select("page_id", sites.endpoint_type(F.expr(_SITE_MAPS)).alias("endpoint_type"))
 
 
-from martlens.plans import chains, extraction, matching as matching_plans, mining, onboarding, state, streams  # noqa: E402, F401  these register themselves
+from martlens.plans import chains, details as details_plans, extraction, matching as matching_plans, mining, onboarding, state, streams  # noqa: E402, F401  these register themselves

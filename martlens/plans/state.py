@@ -181,10 +181,11 @@ def ten01_untrack_competitors(competitors):
 
 
 def _files(rows, name, parts=None):
-    """``rows`` as Parquet files of a new folder, in ``parts`` written one after the other."""
+    """``rows`` as Parquet files of a new folder, in ``parts`` written one after the other. Parts that a stream takes one by one are a file each."""
     path = shared_path(rows.sparkSession, name)
     for k, where in enumerate(parts or ["true"]):
-        rows.filter(where).coalesce(1).write.parquet(f"{path}/part={k}")
+        part = rows.filter(where)
+        (part.coalesce(1) if parts else part).write.parquet(f"{path}/part={k}")
     return path
 
 

@@ -238,7 +238,7 @@ def test_waiting_shops_fill_the_plan(spark):
     settled = tenancy.settle_onboarding(orgs, tracked, spark.createDataFrame(rows, "waiting_id long, org_id long, shop_id long"))
     got = {r.waiting_id: (r.status, r.error) for r in settled.collect()}
     # A tracked shop adds nothing; the third place goes to 12, so its repeat and 13 fail; an unknown org has the trial's one place.
-    full = "Your starter plan allows 3 competitors. Upgrade to add this store."
+    full = "plan_limit:starter:3"
     assert (got[1], got[2], got[3], got[4]) == (("ready", None), ("ready", None), ("failed", full), ("failed", full))
     assert (got[5][0], got[6][0], got[7][0]) == ("ready", "failed", "ready")
     assert sorted(tuple(r) for r in tenancy.links_added(tracked, settled).collect()) == [(1, 10), (1, 11), (1, 12), (2, 10), (9, 10)]

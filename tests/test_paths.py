@@ -83,3 +83,19 @@ def test_reports_of_recipes(spark):
     assert (got[4].size, got[4].paged, got[4].samples, got[4].failures) == (4, False, 1, "catalog_too_small,pagination_not_verified,insufficient_samples,low_confidence")
     assert got[5].failures == "page1_fetch_failed" and got[5].reliability == 0.0
     assert (got[6].size, got[6].paged, got[6].failures.split(",")[0]) == (0, True, "low_reliability")
+
+
+def test_json_ld_of_any_depth(spark):
+    from martlens.operators import pages
+
+    node = lambda name: {"@type": ["Thing", "Product"], "name": name, "offers": {"price": "5"}}
+    deep = node("deep")
+    for k in range(40):
+        deep = [{"@type": "Thing"}, deep] if k % 2 else {"@graph": [deep]}
+    blocks = [
+        [deep], [[[[[[node("five")]]]]]], [node("flat"), node("second")], [{"@type": "Product", "name": "outer", "@graph": [node("inner")]}], [{"@graph": {"@type": "Product", "name": "no list"}}], [7, None, "x", [[]]],
+    ]
+    html = lambda b: f'<script type="application/ld+json">{json.dumps(b if len(b) > 1 else b[0])}</script>'
+    rows = [(k, html(b)) for k, b in enumerate(blocks)] + [(10, '<script type="application/ld+json">[[bad</script>'), (11, None)]
+    got = {r.page_id: r.title for r in pages.jsonld_products(spark.createDataFrame(rows, "page_id long, html string")).collect()}
+    assert got == {0: "deep", 1: "five", 2: "flat", 3: "inner"}
