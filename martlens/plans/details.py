@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from martlens.operators import details, health, pages
+from martlens.operators import details, health, markdown, pages
 from martlens.plans import registry
 from martlens.plans.registry import query
 from martlens.sources.tables import AS_OF
@@ -101,3 +101,28 @@ def ext01_deep_jsonld(part):
     deep = F.concat(F.expr("repeat('[{\"@type\":\"Thing\"},', cast(p_partkey % 10 AS INT))"), F.when(n % 3 == 0, F.concat(F.lit('{"@type":"WebPage","@graph":[{"@graph":['), node, F.lit("]}]}"))).otherwise(node), F.expr("repeat(']', cast(p_partkey % 10 AS INT))"))
     html = F.concat(F.lit('<script type="application/ld+json">'), deep, F.lit("</script>"))
     return pages.jsonld_products(part.select(n.alias("page_id"), html.alias("html"))).select("page_id", "title", "sku", "price")
+
+
+_LIST = "concat('https://www.s', page_id % 50, '.example/l', CASE page_id % 6 WHEN 4 THEN concat('?x=1&page=', page_id) ELSE '' END)"
+_MARK = "CASE page_id % 6 WHEN 0 THEN concat('[1](/l?page=1) [Page suivante](l?page=', page_id, ')') WHEN 1 THEN '[a](/x/../n)  → [b](/b)' WHEN 2 THEN '[about](/about) [7](https://www.other.example/7)' WHEN 3 THEN '[about](/about) [12](/l/12)' WHEN 4 THEN '[next](https://www.other.example/)' ELSE '' END"
+
+
+@query("pages", f"""SELECT page_id, CASE page_id % 6 WHEN 0 THEN concat('https://www.s', page_id % 50, '.example/l?page=', page_id) WHEN 1 THEN concat('https://www.s', page_id % 50, '.example/n') WHEN 3 THEN concat('https://www.s', page_id % 50, '.example/l/12') WHEN 4 THEN concat('https://www.s', page_id % 50, '.example/l?x=1&page=', page_id + 1) END AS next FROM {{pages}}""")
+def ext18_next_markdown_pages(p):
+    """Planted links before the pages' own html, which holds no markdown link."""
+    rows = p.select("page_id", F.expr(_LIST).alias("url"), F.concat(F.lit("s"), (F.col("page_id") % 50).cast("string"), F.lit(".example")).alias("domain"), F.concat(F.expr(_MARK), F.lit("\n\n"), F.coalesce("html", F.lit(""))).alias("markdown"))
+    return markdown.next_pages(rows)
+
+
+_MANIFEST = "concat('Handles: /en/item/ and more', chr(10), '/shop/product/', shop_id, '/', chr(10), '[one](products/12345', shop_id, ') [photo](/products/a/x.png)', chr(10), CASE WHEN shop_id % 2 = 0 THEN concat('https://', domain, '/EN/about, https://', domain, '/en/product/shoe-', shop_id, '.') ELSE concat('https://', domain, '/collections/product/all') END)"
+_TOKEN = "/(products|product|pdp|ip|p|item|sku|dp|pd)/"
+
+
+@query("shops", rf"""SELECT site, array_to_string(list_sort(list_distinct(list_concat(list_concat(list_filter(regexp_extract_all(t, '/[a-z0-9_*-]+(?:/[a-z0-9_*-]+)+/?', 0, 'i'), lambda p: regexp_matches(lower(p), '{_TOKEN}')),
+  regexp_extract_all(t, '(?:product|pdp|detail)[^\n]*?(/[\w/{{}}\[\]-]+)', 1, 'i')), ['/products/', CASE WHEN site % 2 = 0 THEN '/en/product/' ELSE '/collections/product/' END]))), ' ') AS product_patterns, CASE WHEN site % 2 = 1 THEN '/collections/product/' ELSE '' END AS listing_patterns
+  FROM (SELECT shop_id AS site, {_MANIFEST} AS t FROM {{shops}}) x""")
+def src05_manifest_patterns(shops):
+    n, origin = F.col("shop_id"), F.concat(F.lit("https://"), "domain")
+    text = F.expr(_MANIFEST)
+    found = markdown.manifest_patterns(shops.select(n.alias("site"), origin.alias("origin"), text.alias("text")))
+    return found.select("site", F.array_join(F.array_sort("product_patterns"), " ").alias("product_patterns"), F.array_join("listing_patterns", " ").alias("listing_patterns"))
