@@ -55,7 +55,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     left = _without(docs, found.select("doc_id", "kept"))
     if docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").limit(1).count():
         # A row for each doc_id, picked by its values, so that a run gives the same rows as another.
-        first = F.struct(*[F.col(c) for c in ("text", "source", "lang") if c in left.columns], F.xxhash64(*[c for c in left.columns if c != "doc_id"]))
+        first = F.struct(*[F.col(c) for c in ("text", "source", "lang") if c in left.columns], F.xxhash64(F.to_json(F.struct(*[c for c in left.columns if c != "doc_id"]))))
         named = left.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min_by(F.struct(*[c for c in left.columns if c != "doc_id"]), first).alias("row"))
         named = named.select("doc_id", "row.*").select(*left.columns)
         left = named.unionByName(left.filter(F.col("doc_id").isNull()))
