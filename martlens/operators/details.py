@@ -13,21 +13,24 @@ DEFAULT_RATE = 0.15
 
 
 def usage_cost(usage: DataFrame, rates: DataFrame, default: float = DEFAULT_RATE) -> DataFrame:
-    """``usage`` (run_id, model, prompt, completion, total, ...) with tokens and cost in dollars, six places, by ``rates`` (model, rate).
+    """``usage`` (run_id, model, prompt, completion, total, ...) with tokens, cost in dollars, six places, and the same as micro, by ``rates`` (model, rate).
 
     Without a total the sum of prompt and completion counts, each 0 if null. No tokens cost nothing; a model without a rate has the default one.
     """
-    tokens = F.coalesce("total", F.coalesce("prompt", F.lit(0)) + F.coalesce("completion", F.lit(0)))
+    tokens = F.coalesce("total", F.coalesce("prompt", F.lit(0)) + F.coalesce("completion", F.lit(0))).cast("long")
     priced = usage.join(rates.groupBy("model").agg(F.max("rate").alias("rate")), "model", "left").withColumn("tokens", tokens)
-    cost = F.when(F.col("tokens") > 0, F.round(F.col("tokens") / 1_000_000 * F.coalesce("rate", F.lit(default)), 6)).otherwise(0.0)
-    return priced.withColumn("cost", cost).drop("rate")
+    # In millionths of a dollar, as whole numbers, so that halves round up everywhere.
+    rate = F.round(F.coalesce("rate", F.lit(default)) * 1_000_000).cast("long")
+    micro = F.when(F.col("tokens") > 0, F.floor((F.col("tokens") * rate + 500_000) / 1_000_000)).otherwise(0)
+    return priced.withColumn("micro", micro.cast("long")).withColumn("cost", F.col("micro") / 1_000_000).drop("rate")
 
 
 def cost_summary(costs: DataFrame, as_of: str, days: int = 30, budget: float = 0.1) -> DataFrame:
-    """One row of the completed runs (started_at, status, cost, tokens) of a span: runs, cost, tokens, how many above the budget, and the average, four places, 0 without runs."""
+    """One row of the completed runs (started_at, status, micro, tokens) of a span: runs, cost, tokens, how many above the budget, and the average, four places, 0 without runs."""
     rows = costs.filter((F.col("started_at") > before(as_of, days)) & (F.col("status") == "completed"))
-    out = rows.agg(F.count("*").alias("runs"), F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 6).alias("cost"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.count_if(F.col("cost") > budget).alias("over_budget"))
-    return out.withColumn("average", F.when(F.col("runs") > 0, F.round(F.col("cost") / F.col("runs"), 4)).otherwise(0.0))
+    out = rows.agg(F.count("*").alias("runs"), F.coalesce(F.sum("micro"), F.lit(0)).alias("micro"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.count_if(F.col("micro") > round(budget * 1_000_000)).alias("over_budget"))
+    average = F.when(F.col("runs") > 0, F.floor((F.col("micro") + 50 * F.col("runs")) / (100 * F.col("runs"))) / 10_000).otherwise(0.0)
+    return out.select("runs", (F.col("micro") / 1_000_000).alias("cost"), "tokens", "over_budget", average.alias("average"))
 
 
 def anomaly_details(scored: DataFrame) -> DataFrame:

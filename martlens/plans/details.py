@@ -10,7 +10,7 @@ from martlens.plans.registry import query
 from martlens.sources.tables import AS_OF
 
 _USED = "SELECT run_id, started_at, status, CASE run_id % 4 WHEN 0 THEN 'small' WHEN 1 THEN 'large' WHEN 2 THEN 'other' END AS model, CASE WHEN run_id % 5 <> 0 THEN tokens // 3 END AS prompt, CASE WHEN run_id % 7 <> 0 THEN tokens // 5 END AS completion, CASE WHEN run_id % 3 = 0 THEN tokens - 100000 END AS total FROM {crawl_runs}"
-_COST = f"""SELECT run_id, started_at, status, model, tokens, CASE WHEN tokens > 0 THEN round(tokens / 1000000::DOUBLE * CASE model WHEN 'small' THEN 0.2 WHEN 'large' THEN 2.5 ELSE 0.15 END::DOUBLE, 6) ELSE 0.0 END::DOUBLE AS cost
+_COST = f"""SELECT run_id, started_at, status, model, tokens, CASE WHEN tokens > 0 THEN (tokens * CASE model WHEN 'small' THEN 200000 WHEN 'large' THEN 2500000 ELSE 150000 END + 500000) // 1000000 ELSE 0 END AS micro
   FROM (SELECT *, coalesce(total, coalesce(prompt, 0) + coalesce(completion, 0)) AS tokens FROM ({_USED}) u) v"""
 
 
@@ -23,12 +23,12 @@ def _costs(runs):
     return details.usage_cost(usage, rates)
 
 
-@query("crawl_runs", f"SELECT run_id, model, tokens, cost FROM ({_COST}) c")
+@query("crawl_runs", f"SELECT run_id, model, tokens, micro / 1000000::DOUBLE AS cost FROM ({_COST}) c")
 def ops06_usage_cost(runs):
     return _costs(runs).select("run_id", "model", "tokens", "cost")
 
 
-@query("crawl_runs", f"SELECT runs, cost, tokens, over_budget, CASE WHEN runs > 0 THEN round(cost / runs, 4) ELSE 0.0 END::DOUBLE AS average FROM (SELECT count(*) AS runs, round(coalesce(sum(cost), 0.0), 6)::DOUBLE AS cost, coalesce(sum(tokens), 0)::BIGINT AS tokens, count(*) FILTER (cost > 0.05) AS over_budget FROM ({_COST}) c WHERE status = 'completed' AND started_at > {AS_OF} - INTERVAL 2000 DAYS) x")
+@query("crawl_runs", f"SELECT runs, micro / 1000000::DOUBLE AS cost, tokens, over_budget, CASE WHEN runs > 0 THEN ((micro + 50 * runs) // (100 * runs)) / 10000::DOUBLE ELSE 0.0 END::DOUBLE AS average FROM (SELECT count(*) AS runs, coalesce(sum(micro), 0)::BIGINT AS micro, coalesce(sum(tokens), 0)::BIGINT AS tokens, count(*) FILTER (micro > 50000) AS over_budget FROM ({_COST}) c WHERE status = 'completed' AND started_at > {AS_OF} - INTERVAL 2000 DAYS) x")
 def ops04_cost_summary(runs):
     return details.cost_summary(_costs(runs), AS_OF, 2000, 0.05)
 
