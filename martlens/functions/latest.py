@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from martlens.functions.shared import written
+
 
 def latest_by(rows: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
     """``values`` of each key's row that is last in ``order``: a partial and a final aggregation, no sort of the rows."""
@@ -16,6 +18,27 @@ def ranked(keys: list[str], *order: Column) -> Column:
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list[Column], number: str, total: str, per_block: int = 100_000) -> DataFrame:
+    """``rows`` with the ``number`` (from 0) of each within its key in ``order``, and the ``total`` of its key; no task gets a whole key.
+
+    Rows are range-sorted by key and order into blocks and numbered inside a block; what blocks before it hold of the key comes from a row for each
+    key and block. ``order`` should tell the rows of a key apart: rows equal in it all go to one block.
+    """
+    rows = written(rows, "to-number")
+    blocks = max(1, -(-rows.count() // per_block))
+    placed = written(rows.repartitionByRange(blocks, *[F.col(k) for k in keys], *order).withColumn("block_", F.spark_partition_id()), "numbered")
+    sizes = placed.groupBy(*keys, "block_").agg(F.count("*").alias("size_"))
+    w = Window.partitionBy(*keys)
+    until = F.sum("size_").over(w.orderBy("block_").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sizes = sizes.withColumn("before_", until - F.col("size_")).withColumn(total, F.sum("size_").over(w)).drop("size_")
+    mine = sizes.select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("block_").alias("block__"), "before_", total)
+    same = F.col("block_") == F.col("block__")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    inside = ranked([*keys, "block_"], *order) - 1
+    return placed.withColumn("inside_", inside).join(mine, same).select(*rows.columns, (F.col("inside_") + F.col("before_")).alias(number), total)
+
+
 def before(as_of: str, days: int) -> Column:
     return F.expr(f"{as_of} - INTERVAL {days} DAYS")
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from martlens.functions.latest import ranked
+from martlens.functions.latest import numbered, ranked
 from martlens.functions.shared import written
 from martlens.operators.extract import resolve
 from martlens.operators.pages import normalize_domain, product_url_score
@@ -237,20 +237,19 @@ HTML_CATEGORY = r"/(brands|sale|apparel|gear|men|women|kids|accessories|nutritio
 HTML_OTHER = r"/(c/|category|catalogsearch|checkout|customer|cart|account)/"
 
 
-def html_product_evidence(urls: DataFrame, least: int = 5, most: int = 10) -> DataFrame:
+def html_product_evidence(urls: DataFrame, least: int = 5, most: int = 10, per_block: int = 100_000) -> DataFrame:
     """site, url: an even spread of at most ``most`` of a site's flat .html URLs (site, url) that look like products, where there are ``least``."""
     path = F.lower(F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1))
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
     leaf = F.element_at(segments, -1)
     good = path.rlike(r"\.html?$") & ~path.rlike(HTML_CATEGORY) & ~path.rlike(HTML_OTHER) & F.size(segments).between(2, 4) & (F.length(leaf) >= 12) & ~leaf.rlike(r"^(brands|sale|index)\.html$")
     rows = urls.filter(good).select("site", "url").distinct()
-    sizes = rows.groupBy("site").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    rows = rows.join(sizes, "site").withColumn("i", ranked(["site"], F.col("url")) - 1)
+    rows = numbered(rows, ["site"], [F.col("url")], "i", "n", per_block).filter(F.col("n") >= least)
     k = F.expr(f"(i * {most} + n - 1) div n")
     return rows.withColumn("k", k).filter((F.col("n") <= most) | (F.expr(f"(k * n) div {most}") == F.col("i"))).select("site", "url")
 
 
-def best_candidates(urls: DataFrame, least: int = 3, most: int = 10) -> DataFrame:
+def best_candidates(urls: DataFrame, least: int = 3, most: int = 10, per_block: int = 100_000) -> DataFrame:
     """site, url: the best URL of each product of a site (site, url, sitemap), an even spread of at most ``most``; a product is told by an id of six digits, else by its last segment."""
     # Fixed value: paths of products.
     product = F.col("url").rlike(r"(?i)/(?:p-|p/|pdp/|products?/|ip/|item/|sku/)")
@@ -261,8 +260,7 @@ def best_candidates(urls: DataFrame, least: int = 3, most: int = 10) -> DataFram
     key = F.coalesce(F.nullif(number, F.lit("")), F.nullif(leaf, F.lit("")), F.col("url"))
     rows = urls.filter(product & known).select("site", "url", key.alias("key"), score.alias("score"))
     best = rows.groupBy("site", "key").agg(F.max_by(F.struct("url", "score"), F.struct("score", "url")).alias("b")).select("site", "b.url", "b.score")
-    sizes = best.groupBy("site").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    rows = best.join(sizes, "site").withColumn("i", ranked(["site"], F.col("score").desc(), F.col("url")) - 1)
+    rows = numbered(best, ["site"], [F.col("score").desc(), F.col("url")], "i", "n", per_block).filter(F.col("n") >= least)
     k = F.expr(f"(i * {most} + n - 1) div n")
     return rows.withColumn("k", k).filter((F.col("n") <= most) | (F.expr(f"(k * n) div {most}") == F.col("i"))).select("site", "url", "score")
 

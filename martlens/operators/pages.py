@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from martlens.functions.latest import ranked
+from martlens.functions.latest import numbered, ranked
 
 
 def normalize_domain(url: Column) -> Column:
@@ -104,16 +104,15 @@ def product_url_score(url: Column, sitemap: Column | None = None) -> Column:
     return F.when(url.rlike("^https?://[^/?#]+"), score).otherwise(F.lit(-100))
 
 
-def best_url_per_product(pages: DataFrame, least: int = 3, most: int = 10) -> DataFrame:
+def best_url_per_product(pages: DataFrame, least: int = 3, most: int = 10, per_block: int = 100_000) -> DataFrame:
     """Per site the best URL of each product key (a trailing number of six digits, else the last segment), for sites with enough."""
     host = normalize_domain(F.col("url"))
     path = F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1)
     number, leaf = F.regexp_extract(path, r"([0-9]{6,})/?$", 1), F.regexp_extract(path, r"([^/]*)/?$", 1)
     rows = pages.select("page_id", host.alias("site"), F.when(number != "", number).otherwise(leaf).alias("product"), product_url_score(F.col("url")).alias("score"))
     best = rows.withColumn("rn", ranked(["site", "product"], F.col("score").desc(), F.col("page_id"))).filter("rn = 1")
-    w = Window.partitionBy("site")
-    best = best.withColumn("n", F.count("*").over(w)).withColumn("place", ranked(["site"], F.col("score").desc(), F.col("page_id")))
-    return best.filter((F.col("n") >= least) & (F.col("place") <= most)).select("site", "place", "page_id", "product", "score")
+    best = numbered(best.drop("rn"), ["site"], [F.col("score").desc(), F.col("page_id")], "place", "n", per_block)
+    return best.filter((F.col("n") >= least) & (F.col("place") < most)).select("site", (F.col("place") + 1).cast("int").alias("place"), "page_id", "product", "score")
 
 
 def product_segments(pages: DataFrame) -> DataFrame:

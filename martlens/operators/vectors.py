@@ -6,21 +6,25 @@ An exact search goes on: a cell whose centroid is further from the query than th
 a nearer row; the other cells are looked into as well. So on data with structure little is left to do, on data without any all cells.
 
 The rows of a label within a cell meet the queries in blocks of bounded size. A label of few rows isn't worth lists: its rows form one cell.
+
+An index can be saved to a folder and grow there: each load is a segment of its own beside the earlier ones, whose rows of the same ids no longer count.
 """
 
 from __future__ import annotations
 
+import json
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlens.functions.latest import ranked
-from martlens.functions.shared import written
+from martlens.functions.shared import get_text, names_in, put_text, written
 from martlens.operators.matching import block_nearest, usable_vectors
 
 #: Cosines of equal vectors differ from 1 by rounding, and distances are compared in six places.
@@ -127,6 +131,77 @@ def build_index(vectors: DataFrame, k: int = 5, recall: float = 0.95, cells: int
     return replace(index, probes=1 + max(int(np.quantile(own, recall, method="higher")) if own else 0 for own in ranks.values()))
 
 
+_MARKER = "index.json"
+
+
+def _put_segment(path: str, placed: DataFrame, gone: DataFrame | None, centroids: np.ndarray, radius: np.ndarray, state: dict) -> None:
+    """Writes a segment and the cells below new names; the marker, which goes last, makes them count."""
+    spark, name = placed.sparkSession, uuid.uuid4().hex
+    # In order of cells, so that a scan for a cell skips what has others.
+    placed.repartitionByRange("cell", "vec_id").sortWithinPartitions("cell", "vec_id").write.parquet(f"{path}/rows-{name}")
+    if gone is not None:
+        gone.write.parquet(f"{path}/gone-{name}")
+    n = len(centroids)
+    kind = pa.schema([("cell", pa.int32()), ("centroid", pa.list_(pa.float64())), ("radius", pa.float64())])
+    cells = pa.table([pa.array(np.arange(n), pa.int32()), pa.array(centroids.tolist(), pa.list_(pa.float64())), pa.array(radius)], schema=kind)
+    spark.createDataFrame(cells).coalesce(1).write.parquet(f"{path}/cells-{name}")
+    state = {**state, "cells": name, "segments": [*state["segments"], {"name": name, "gone": gone is not None}]}
+    put_text(spark, f"{path}/{_MARKER}", json.dumps(state))
+
+
+def save_index(index: VectorIndex, path: str) -> None:
+    """Writes ``index`` as the only segment of the folder ``path``; what was there before doesn't count any more, but its files stay for those who read them."""
+    kinds = {c: index.rows.schema[c].dataType.simpleString() for c in ("label", "embedding")}
+    state = {"segments": [], "probes": index.probes, "n": index.n, **kinds}
+    _put_segment(path, index.rows, None, index.centroids, index.radius, state)
+
+
+def add_rows(spark: SparkSession, path: str, vectors: DataFrame) -> None:
+    """Adds ``vectors`` (vec_id, label, embedding) to the index saved at ``path``; the work grows with them, not with the index.
+
+    A row takes the place of earlier ones of its id; one without a usable vector removes them; rows of one load that share an id all stay. Centroids and
+    probes stay as they were measured: an exact search stays exact, as the cells' radius grows, but where loads differ much from what the index was
+    built on, building it anew makes it faster.
+    """
+    state = json.loads(get_text(spark, f"{path}/{_MARKER}"))
+    vectors = written(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast(state["label"]).alias("label"), F.col("embedding").cast(state["embedding"]).alias("embedding")), "load")
+    centroids, radius = _cells_at(spark, path, state)
+    placed = written(_nearest_cell(usable_vectors(vectors), centroids), "cells")
+    for r in placed.filter("cell >= 0").groupBy("cell").agg(F.max("angle").alias("angle")).collect():
+        radius[r.cell] = max(radius[r.cell], r.angle)
+    gone = vectors.select("vec_id").filter("vec_id IS NOT NULL").distinct()
+    _put_segment(path, placed.drop("angle"), gone, centroids, radius, {**state, "n": state["n"] + placed.filter("cell >= 0").count()})
+
+
+def _cells_at(spark: SparkSession, path: str, state: dict) -> tuple[np.ndarray, np.ndarray]:
+    cells = spark.read.parquet(f"{path}/cells-{state['cells']}").orderBy("cell").toArrow()
+    if not cells.num_rows:
+        return np.zeros((0, 0)), np.zeros(0)
+    return np.array(cells["centroid"].combine_chunks().flatten()).reshape(cells.num_rows, -1), cells["radius"].to_numpy().copy()
+
+
+def load_index(spark: SparkSession, path: str) -> VectorIndex:
+    """The index saved at ``path`` with all loads up to now. A row counts if no later load has its id; ``save_index`` of the result makes one segment of them.
+
+    n counts replaced rows as well; it only says from which size on a label is searched by lists.
+    """
+    if _MARKER not in names_in(spark, path):
+        raise FileNotFoundError(f"no index at {path}")
+    state = json.loads(get_text(spark, f"{path}/{_MARKER}"))
+    schema = f"vec_id long, label {state['label']}, embedding {state['embedding']}, dims int, cell int"
+    rows, later = None, None
+    for k, segment in enumerate(state["segments"]):
+        own = spark.read.schema(schema).parquet(f"{path}/rows-{segment['name']}").withColumn("segment", F.lit(k))
+        rows = own if rows is None else rows.unionByName(own)
+        if segment["gone"]:
+            ids = spark.read.schema("vec_id long").parquet(f"{path}/gone-{segment['name']}").withColumn("last", F.lit(k))
+            later = ids if later is None else later.unionByName(ids)
+    if later is not None:
+        last = later.groupBy("vec_id").agg(F.max("last").alias("last"))
+        rows = rows.join(last, "vec_id", "left").filter(F.col("last").isNull() | (F.col("segment") >= F.col("last"))).drop("last")
+    return VectorIndex(rows.drop("segment"), *_cells_at(spark, path, state), state["n"], state["probes"])
+
+
 def _best(asked: DataFrame, rows: DataFrame, k: int, block: int) -> DataFrame:
     """query, vec_id, distance, place: the k nearest rows of each query among those of its dims, label (null: those under null) and cell.
 

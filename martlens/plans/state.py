@@ -180,17 +180,19 @@ def ten01_untrack_competitors(competitors):
     return competitors.join(competitors.filter("shop_id % 3 = 0"), ["org_id", "shop_id"], "left_anti")
 
 
-def _files(rows, name, parts=None):
-    """``rows`` as Parquet files of a new folder, in ``parts`` written one after the other. Parts that a stream takes one by one are a file each."""
+def in_parts(rows, name, parts, run):
+    """Writes ``rows`` part by part (``parts``: filters) and calls ``run`` (the stream over all that is there) after each; the last call's result."""
     path = shared_path(rows.sparkSession, name)
-    for k, where in enumerate(parts or ["true"]):
-        part = rows.filter(where)
-        (part.coalesce(1) if parts else part).write.parquet(f"{path}/part={k}")
-    return path
+    for k, where in enumerate(parts):
+        rows.filter(where).write.parquet(f"{path}/part={k}")
+        out = run(jobs.source(rows.sparkSession, path, rows))
+    return out
 
 
-def _stream(rows, name, files=None, parts=None):
-    return jobs.source(rows.sparkSession, _files(rows, name, parts), rows, files)
+def _stream(rows, name):
+    path = shared_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return jobs.source(rows.sparkSession, path, rows)
 
 
 def _run(stream, name):
@@ -207,7 +209,8 @@ def str01_stream_ingest(price_obs, listings):
     rows = price_obs.join(listings.select("listing_id", "url", "sku", "shop_id", "product_id"), "listing_id").select("url", "sku", "shop_id", F.col("ts").alias("first_seen"), "product_id", F.col("ts").alias("last_seen"))
     parts = [p.replace("ts", "last_seen") for p in _YEARS]
     spark = rows.sparkSession
-    return jobs.ingest_stream(_stream(rows, "ingest", 1, parts), shared_path(spark, "ingested"), shared_path(spark, "ingest-checkpoint"))
+    out, checkpoint = shared_path(spark, "ingested"), shared_path(spark, "ingest-checkpoint")
+    return in_parts(rows, "ingest", parts, lambda stream: jobs.ingest_stream(stream, out, checkpoint))
 
 
 @query("captures", "SELECT DISTINCT session, cookie FROM {captures}")
@@ -219,7 +222,8 @@ def str02_stream_dedupe(captures):
 @query("stock_obs", """SELECT listing_id, ts, previous, current FROM (SELECT listing_id, ts, lag(availability) OVER (PARTITION BY listing_id ORDER BY ts, o, n) AS previous, availability AS current FROM {stock_obs}) x WHERE previous <> current""")
 def str03_stream_transitions(stock_obs):
     rows = stock_obs.select("listing_id", F.col("ts").cast("timestamp").alias("ts"), "o", "n", "availability")
-    found = _run(jobs.stream_transitions(_stream(rows, "stock", 1, _YEARS)), "transitions")
+    out, checkpoint = shared_path(rows.sparkSession, "transitions"), shared_path(rows.sparkSession, "transitions-checkpoint")
+    found = in_parts(rows, "stock", _YEARS, lambda stream: jobs.run_available(jobs.stream_transitions(stream), out, checkpoint))
     return found.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 

@@ -3,6 +3,7 @@
 from datetime import datetime
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from martlens.operators import catalog, extract, health, ingest, matching, mining, pages, signals, sites, state, tenancy
@@ -265,3 +266,18 @@ def test_counters_and_digest_by_hand(spark):
     assert (row.drops, row.added, row.inventory, row.empty, row.subject) == (1, 1, 2, False, "Weekly digest: 1 price drops, 1 new products (7d)")
     assert [r.empty for r in signals.digest(sig, tracks, orgs, since=AS_OF).collect()] == [True]
     assert {r.signal_type: r.n for r in signals.signal_summary(sig).collect()} == dict.fromkeys(kinds, 1)
+
+
+def test_numbered_equals_a_window(spark):
+    """Blocks of a few rows; most rows have one key, some a null one, and there are ties and nothing at all."""
+    from martlens.functions.latest import numbered, ranked
+
+    rows = spark.createDataFrame([("hot" if k % 5 else (None if k % 2 else f"s{k % 3}"), (k * 37) % 400, k) for k in range(500)], "site string, score int, id int")
+    order = [F.col("score").desc(), F.col("id")]
+    want = rows.withColumn("i", ranked(["site"], *order) - 1).withColumn("n", F.count("*").over(Window.partitionBy("site")))
+    for per_block in (7, 100, 100_000):
+        got = numbered(rows, ["site"], order, "i", "n", per_block)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert numbered(rows.limit(0), ["site"], order, "i", "n").count() == 0
+    tied = numbered(rows.select("site"), ["site"], [F.lit(1)], "i", "n", 50).filter("site = 'hot'")
+    assert sorted(r.i for r in tied.collect()) == list(range(400))

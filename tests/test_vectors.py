@@ -104,3 +104,35 @@ def test_recall_on_the_given_rows(spark):
     asked = df.filter("vec_id % 100 = 0").withColumn("label", F.when(F.col("vec_id") % 200 == 0, F.col("label")))
     exact = {r[:2] for r in found(vectors.search(index, asked, lists_from=1 << 62))}
     assert len(exact & {r[:2] for r in found(vectors.search(index, asked, exact=False, lists_from=0))}) >= 0.9 * len(exact)
+
+
+def test_saved_index_grows_by_loads(spark, spread, tmp_path):
+    """Rows come, change and go in three loads; searches stay exact, by lists and without, and after the segments are made one."""
+    rows, df = spread
+    path = f"file://{tmp_path}/index"
+    with pytest.raises(FileNotFoundError):
+        vectors.load_index(spark, path)
+    n = F.col("vec_id")
+    vectors.save_index(vectors.build_index(df.filter("vec_id < 600"), cells=24), path)
+    vectors.add_rows(spark, path, df.filter("vec_id >= 600 OR vec_id IS NULL"))
+    moved = df.filter("vec_id % 20 = 3").withColumn("embedding", F.when(n % 40 == 3, F.reverse("embedding")))
+    vectors.add_rows(spark, path, moved)
+    vectors.add_rows(spark, path, df.limit(0))
+    left = [(i, label, v[::-1] if i % 20 == 3 else v) for i, label, v in rows if i % 40 != 23]
+    want = brute_nearest(left, [r for r in rows if r[0] % 4 == 0], 5)
+    asked = df.filter("vec_id % 4 = 0")
+    index = vectors.load_index(spark, path)
+    for lists_from in (0, 1 << 62):
+        assert found(vectors.search(index, asked, 5, lists_from=lists_from, block=100)) == want
+    vectors.save_index(index, path)
+    again = vectors.load_index(spark, path)
+    assert again.rows.count() == len(left) and found(vectors.search(again, asked, 5, lists_from=0)) == want
+
+
+def test_saved_index_of_nothing(spark, spread, tmp_path):
+    path = f"file://{tmp_path}/none"
+    vectors.save_index(vectors.build_index(spread[1].limit(0)), path)
+    assert vectors.search(vectors.load_index(spark, path), spread[1]).count() == 0
+    vectors.add_rows(spark, path, spread[1].filter("vec_id = 3"))
+    one = vectors.load_index(spark, path)
+    assert found(vectors.search(one, spread[1].filter("vec_id = 33"), lists_from=0)) == brute_nearest([r for r in spread[0] if r[0] == 3], [spread[0][33]], 5)
