@@ -67,15 +67,30 @@ def tree_nodes(sentences: Column, paragraphs: Column, fan: int = 8) -> Column:
     return F.transform(_once(section_nodes(paragraphs, fan), every), lambda h: F.xxhash64(h))
 
 
-def tree_likeness(a: Column, b: Column) -> Column:
-    """Dice's coefficient of two arrays of nodes, repeats counted: what one has more often than the other lowers it."""
+def _shared(a: Column, b: Column) -> Column:
+    """How many elements two arrays have in common, repeats counted, by a fold over both in order."""
     sides = F.array_sort(F.concat(F.transform(a, lambda h: F.struct(h.alias("h"), F.lit(1).alias("s"))), F.transform(b, lambda h: F.struct(h.alias("h"), F.lit(-1).alias("s")))))
     start = F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("d"), F.lit(0).alias("sum"))
     step = lambda acc, x: F.struct(
         x["h"].alias("h"), F.when(acc["h"] == x["h"], acc["d"] + x["s"]).otherwise(x["s"]).alias("d"), F.when(acc["h"] == x["h"], acc["sum"]).otherwise(acc["sum"] + F.abs(acc["d"])).alias("sum")
     )
-    both = (F.size(a) + F.size(b)).cast("double")
-    return (both - F.aggregate(sides, start, step, lambda acc: acc["sum"] + F.abs(acc["d"]))) / both
+    unlike = F.aggregate(sides, start, step, lambda acc: acc["sum"] + F.abs(acc["d"]))
+    return ((F.size(a) + F.size(b) - unlike) / 2).cast("int")
+
+
+def repeats(nodes: Column) -> Column:
+    """What an array of nodes has beyond one of each: an element of k occurrences k - 1 times. Most trees repeat nothing."""
+    ordered = lambda s: F.filter(s, lambda h, i: (i > 0) & (h == F.get(s, i - 1)))
+    return F.when(F.size(F.array_distinct(nodes)) < F.size(nodes), _once(F.sort_array(nodes), ordered)).otherwise(F.array().cast("array<bigint>"))
+
+
+def tree_likeness(a: Column, b: Column, a_repeats: Column, b_repeats: Column) -> Column:
+    """Dice's coefficient of two arrays of nodes, repeats counted: what one has more often than the other lowers it.
+
+    One of each node that both have, by a set; and of what ``repeats`` says of the two, which is little, all that both have.
+    """
+    more = F.when((F.size(a_repeats) > 0) & (F.size(b_repeats) > 0), _shared(a_repeats, b_repeats)).otherwise(F.lit(0))
+    return (2 * (F.size(F.array_intersect(a, b)) + more)).cast("double") / (F.size(a) + F.size(b)).cast("double")
 
 
 def successors(rows: DataFrame, tasks: int) -> DataFrame:
@@ -109,10 +124,11 @@ def _with_next(docs: DataFrame, rows_per_task: int, carried: Callable[[Column],
     links = successors(counts, max(1, -(-rows // rows_per_task))).withColumn("times", F.lit(1).cast("long"))
     again = counts.filter("c > 1").select("key", F.col("key").alias("to_key"), F.floor(F.col("key.n") / 4).cast("int").alias("take"), (F.col("c") - 1).alias("times"))
     links = pinned(links.unionByName(again), "successors")
-    giving = base.join(links, "key").select(F.col("to_key").alias("key"), "times", F.substring("text", F.lit(1), F.col("take")).alias("begin"), carried(F.col("text")).alias("next"))
+    # Small links would be sent to the texts, and all hashing be done where few files put these.
+    giving = base.join(links.hint("merge"), "key").select(F.col("to_key").alias("key"), "times", F.substring("text", F.lit(1), F.col("take")).alias("begin"), carried(F.col("text")).alias("next"))
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
-    return base.join(giving, "key").select("key", "times", "text", "next", n.alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - quarter), "begin").alias("edited"))
+    return base.join(giving.hint("merge"), "key").select("key", "times", "text", "next", n.alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - quarter), "begin").alias("edited"))
 
 
 def edit_study(docs: DataFrame, fan: int = 8, rows_per_task: int = 100_000) -> DataFrame:
@@ -124,10 +140,12 @@ def edit_study(docs: DataFrame, fan: int = 8, rows_per_task: int = 100_000) -> D
     trees = trees.select("key", "times", "n_chars", "next", F.sha2("edited", 256).alias("edited_sha256"), sentence_nodes(F.col("text")).alias("s"), sentence_nodes(F.col("edited")).alias("es"))
     trees = trees.select("*", paragraph_nodes(F.col("s")).alias("p"), paragraph_nodes(F.col("es")).alias("ep"))
     trees = trees.select("*", tree_nodes(F.col("s"), F.col("p"), fan).alias("nodes"), tree_nodes(F.col("es"), F.col("ep"), fan).alias("edited_nodes"))
+    trees = trees.select("*", *[repeats(F.col(c)).alias(f"{c}_again") for c in ("nodes", "edited_nodes", "next")])
+    like = lambda other: tree_likeness(F.col("nodes"), F.col(other), F.col("nodes_again"), F.col(f"{other}_again"))
     found = trees.select(
         F.col("key.doc_id").alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256",
         root(section_nodes(F.col("p"), fan)).alias("fingerprint"), root(section_nodes(F.col("ep"), fan)).alias("edited_fingerprint"),
-        tree_likeness(F.col("nodes"), F.col("edited_nodes")).alias("near_edited"), tree_likeness(F.col("nodes"), F.col("next")).alias("near_next"),
+        like("edited_nodes").alias("near_edited"), like("next").alias("near_next"),
         changed_paragraphs(F.col("p"), F.col("ep"), fan).alias("changed"), "times",
     )
     return found.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times")
