@@ -2,13 +2,13 @@
 
 The templates' words are indexed by template and position. In a text, the licence words of the highest inverse document frequency
 (counted over all texts) are looked up; each occurrence at word p and posting at position q votes for the template at place
-p - q. Where enough of a template's rare words agree on a place, the share of all its words that stand at their places is its
-score there, and the template's label counts if the score is high enough and its mandatory phrase stands there in full.
+p - q. Where enough of a template's rare words agree on a place, up to words put in or left out (an eighth of the template's length,
+two at least), the share of all its words that stand there in the template's order is its score, and the template's label counts if
+the score is high enough and its mandatory phrase stands there in full.
 
 Base places, whole phrases, are found the same way: a phrase's rarest word is looked up and the others are checked around it.
 
-A notice cut short, or with a few words changed, still scores the share of its words that stand at their places; one with words put in
-scores what agrees with the place of most of its rare words.
+A notice cut short, or with a few words changed, left out or put in, scores the share of its words that are left in order.
 
 Cases: a null or empty text has no words, no labels and score 0. Very long texts are read in whole. Repeated rows are judged alike. An empty table gives an empty
 result. Other columns of the input aren't read.
@@ -16,6 +16,7 @@ result. Other columns of the input aren't read.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -63,11 +64,36 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().translate(_TABLE).split() if text else []
 
 
+def slack(notice: list[bytes]) -> int:
+    """How far the place of a template's word may lie from those that its rare words vote for."""
+    return max(2, len(notice) // 8)
+
+
+def in_order(notice: dict[bytes, list[int]], ws: list[bytes], low: int, high: int, end: int) -> int:
+    """The longest chain of words of a notice (each with its positions, the last first) that stand in ``ws`` in order, at places from ``low`` to ``high``.
+
+    Words of the text come one by one; tails[k] is the least position at which a chain of k + 1 ends.
+    """
+    tails: list[int] = []
+    for p in range(max(0, low), min(len(ws), end)):
+        for q in notice.get(ws[p], ()):
+            if low <= p - q <= high:
+                k = bisect_left(tails, q)
+                tails[k : k + 1] = [q]
+    return len(tails)
+
+
 class Index:
     """Postings of templates and base phrases; rarity: inverse document frequency of each licence word."""
 
     def __init__(self, rarity: dict[bytes, float], rare: int = 4):
         self.templates = [(label, notice.encode().split(), phrase.encode().split()) for label, notice, phrase in TEMPLATES]
+        self.positions = []
+        for _, notice, _ in self.templates:
+            at = defaultdict(list)
+            for q in reversed(range(len(notice))):
+                at[notice[q]].append(q)
+            self.positions.append(dict(at))
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         self.need = []
         for t, (_, notice, _) in enumerate(self.templates):
@@ -84,7 +110,7 @@ class Index:
 
     def find(self, ws: list[bytes], least: float) -> tuple[list[tuple[int, str]], dict[str, float]]:
         """(start, label) of every base place, and the best score of each label."""
-        base, votes = [], Counter()
+        base, votes = [], defaultdict(lambda: defaultdict(set))
         if self.looked_up.isdisjoint(ws):
             return base, {}
         wanted = self.looked_up
@@ -93,18 +119,36 @@ class Index:
                 if p >= q and ws[p - q : p - q + len(parts)] == parts:
                     base.append((p - q, label))
             for t, q in self.postings.get(w, ()):
-                votes[t, p - q] += 1
+                votes[t][p - q].add(q)
         scores: dict[str, float] = {}
-        for (t, place), n in votes.items():
+        for t, at in votes.items():
             label, notice, phrase = self.templates[t]
-            if n < self.need[t]:
-                continue
-            share = sum(0 <= place + q < len(ws) and ws[place + q] == w for q, w in enumerate(notice)) / len(notice)
-            near = ws[max(0, place) : max(0, place + len(notice))]
-            if share >= least and share > scores.get(label, 0.0) and any(near[k : k + len(phrase)] == phrase for k in range(len(near) - len(phrase) + 1)):
-                scores[label] = share
+            for low, high in self._bands(t, at):
+                end = high + len(notice)
+                near = ws[max(0, low) : max(0, end)]
+                if scores.get(label, 0.0) == 1.0 or not any(near[k : k + len(phrase)] == phrase for k in range(len(near) - len(phrase) + 1)):
+                    continue
+                share = in_order(self.positions[t], ws, low, high, end) / len(notice)
+                if share >= least and share > scores.get(label, 0.0):
+                    scores[label] = share
         return base, scores
 
+    def _bands(self, t: int, at: dict[int, set[int]]) -> Iterator[tuple[int, int]]:
+        """(lowest, highest place) of the words that may belong together: those at most ``slack`` from every place of a run for which enough rare words vote."""
+        places, wide, first = sorted(at), slack(self.templates[t][1]), 0
+        counts: Counter = Counter()
+        for k, high in enumerate(places):
+            counts.update(at[high])
+            while high - places[first] > wide:
+                for q in at[places[first]]:
+                    counts[q] -= 1
+                    if not counts[q]:
+                        del counts[q]
+                first += 1
+            # Only a run that the next place wouldn't widen.
+            if (k + 1 == len(places) or places[k + 1] - places[first] > wide) and len(counts) >= self.need[t]:
+                yield high - wide, places[first] + wide
+
 
 def rarities(docs: DataFrame) -> dict[bytes, float]:
     """Inverse document frequency, over all texts, of each word of the templates (a row for each is gathered)."""
