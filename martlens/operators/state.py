@@ -159,10 +159,10 @@ def detect_pagination(trials: DataFrame) -> DataFrame:
     """recipe, style, param: the first trial in the fixed order whose page 2 has an id that page 1 lacks (recipe, style, param, page, id)."""
     order = F.coalesce(*[F.when((F.col("style") == s) & (F.col("param") == p), k) for k, (s, p) in enumerate(TRIALS)])
     rows = trials.filter(F.coalesce(F.col("id") != "", F.lit(False))).withColumn("ordinal", order)
-    first = rows.filter("page = 1").select("recipe", "ordinal", "id").distinct()
-    known = first.select("recipe", "ordinal").distinct()
-    new = rows.filter("page = 2").join(known, ["recipe", "ordinal"], "left_semi").join(first, ["recipe", "ordinal", "id"], "left_anti")
-    best = new.groupBy("recipe").agg(F.min_by(F.struct("style", "param"), "ordinal").alias("b"))
+    # One aggregation by id, then one by trial: no join, so that nothing is sent to the tasks whole.
+    ids = rows.groupBy("recipe", "ordinal", "style", "param", "id").agg(F.max(F.col("page") == 1).alias("one"), F.max(F.col("page") == 2).alias("two"))
+    tried = ids.groupBy("recipe", "ordinal", "style", "param").agg(F.max("one").alias("answered"), F.max(F.col("two") & ~F.col("one")).alias("more")).filter("answered AND more")
+    best = tried.groupBy("recipe").agg(F.min_by(F.struct("style", "param"), "ordinal").alias("b"))
     return best.select("recipe", "b.style", "b.param")
 
 
