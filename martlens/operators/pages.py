@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martlens.functions.latest import numbered, ranked
+from martlens.functions.shared import once
 
 
 def normalize_domain(url: Column) -> Column:
@@ -72,8 +73,8 @@ def condensed_pages(pages: DataFrame, cap: int = 6000, least: int = 40) -> DataF
     inside = F.regexp_replace("html", r"(?is)^.*?<body\b[^>]*>|</body\s*>.*$|<head\b[^>]*>.*?</head\s*>", "")
     body = F.trim(F.regexp_replace(plain(inside), r"\s+", " "))
     lines = F.array_join(F.filter(F.array(*heads), lambda h: h != ""), "\n")
-    cleaned = pages.select("page_id", F.regexp_replace("html", gone, "").alias("html"))
-    return cleaned.select("page_id", F.substring(F.concat(lines, F.lit("\n"), body), 1, cap).alias("text")).filter(F.length("text") >= least)
+    cleaned = once(pages, "page_id", F.regexp_replace("html", gone, "").alias("html"))
+    return once(cleaned, "page_id", F.substring(F.concat(lines, F.lit("\n"), body), 1, cap).alias("text")).filter(F.length("text") >= least)
 
 
 def anchors(pages: DataFrame) -> DataFrame:
