@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from martlens.functions.shared import once
 from martlens.functions.urls import let, resolve_reference
 from martlens.operators.ingest import recipe_availability
 
@@ -69,8 +70,8 @@ def state_products(pages: DataFrame, sites: DataFrame) -> DataFrame:
     image is the first absolute one in the order of its paths, else the page's og:image; a relative one is resolved. No title, no row.
     """
     script = F.call_function("regexp_extract", F.col("html"), F.concat(F.lit('(?s)<script id="'), F.col("block"), F.lit('"[^>]*>(.*?)</script>')), F.lit(1))
-    rows = pages.join(sites, "site").select("page_id", "site", "url", "html", "fields", "crumbs", "crumb_names", "currency", _at(F.try_parse_json(script), F.col("root"), "variant").alias("v"))
-    rows = rows.filter("v IS NOT NULL").withColumn("p", product_at(F.col("v"), F.col("fields"))).filter("p.title IS NOT NULL")
+    rows = once(pages.join(F.broadcast(sites), "site"), "page_id", "site", "url", "html", "fields", "crumbs", "crumb_names", "currency", _at(F.try_parse_json(script), F.col("root"), "variant").alias("v"))
+    rows = once(rows.filter("v IS NOT NULL"), "*", product_at(F.col("v"), F.col("fields")).alias("p")).filter("p.title IS NOT NULL")
     names = F.filter(F.transform(F.coalesce(_at(F.col("v"), F.col("crumbs"), "array<variant>"), F.array().cast("array<variant>")), lambda b: text_at(b, F.col("crumb_names"))), lambda n: n.isNotNull())
     og = F.regexp_extract("html", '(?i)property="og:image" content="(http[^"]*)"', 1)
     image = F.when(F.col("p.image").startswith("http"), F.col("p.image")).otherwise(F.coalesce(F.nullif(og, F.lit("")), resolve_reference(F.col("p.image"), F.col("url"))))
