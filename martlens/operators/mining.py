@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martlens.functions.latest import numbered, ranked
-from martlens.functions.shared import written
+from martlens.functions.shared import once, written
+from martlens.functions.urls import let
 from martlens.operators.extract import resolve
 from martlens.operators.pages import normalize_domain, product_url_score
 
@@ -44,10 +45,10 @@ def sitemap_entries(bodies: DataFrame) -> DataFrame:
         ("text", ~F.ltrim(F.substring(b, 1, 512)).startswith("<"), lines), ("index", b.rlike(r"(?i)<sitemapindex\b"), F.transform(_inside(b, "sitemap"), loc)), ("urlset", b.rlike(r"(?i)<urlset\b"), F.transform(_inside(b, "url"), loc)),
         ("rss", b.rlike(r"(?i)<rss\b"), link), ("atom", b.rlike(r"(?i)<feed\b"), F.transform(_inside(b, "entry"), atom)), ("loc", F.lit(True), _inside(b, "loc")),
     ]
-    kind = F.coalesce(*[F.when(test & (F.size(urls) > 0), name) for name, test, urls in kinds])
-    found = F.coalesce(*[F.when(test & (F.size(urls) > 0), urls) for _, test, urls in kinds])
-    rows = bodies.select("site", kind.alias("kind"), F.explode(found).alias("url")).select("site", "kind", F.when(F.col("kind") == "text", F.col("url")).otherwise(_plain(F.col("url"))).alias("url"))
-    return rows.filter(F.length("url") > 0)
+    some = lambda name, urls: let(urls, lambda u: F.when(F.size(u) > 0, F.struct(F.lit(name).alias("kind"), u.alias("urls"))))
+    found = once(bodies, "site", F.coalesce(*[F.when(test, some(name, urls)) for name, test, urls in kinds]).alias("f"))
+    rows = found.select("site", F.col("f.kind").alias("kind"), F.explode("f.urls").alias("url"))
+    return once(rows, "site", "kind", F.when(F.col("kind") == "text", F.col("url")).otherwise(_plain(F.col("url"))).alias("url")).filter(F.length("url") > 0)
 
 
 def sitemap_tree(maps: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:
@@ -111,14 +112,14 @@ def category_links(pages: DataFrame, most: int = 120) -> DataFrame:
     pattern = F.when((count("/pdp/") >= count("/products/")) & (count("/pdp/") > 0), "/pdp/").when(count("/products/") > 0, "/products/").otherwise("/product/")
     root = F.array_join(F.slice(F.split("domain", r"\."), -2, 2), ".")
     root = F.when(F.size(F.split("domain", r"\.")) > 1, root).otherwise(F.col("domain"))
-    rows = pages.select("site", root.alias("root"), F.concat(F.lit("https://"), "domain").alias("origin"), pattern.alias("pattern"), F.posexplode(F.arrays_zip(links.alias("name"), targets.alias("href"))).alias("pos", "l"))
-    rows = rows.select("site", "root", "pattern", "pos", F.regexp_replace(F.trim("l.name"), r"\s+", " ").alias("name"), resolve(F.trim("l.href"), F.col("origin")).alias("url"))
+    rows = once(pages, "site", root.alias("root"), F.concat(F.lit("https://"), "domain").alias("origin"), pattern.alias("pattern"), F.arrays_zip(links.alias("name"), targets.alias("href")).alias("links"))
+    rows = once(rows.select("site", "root", "origin", "pattern", F.posexplode("links").alias("pos", "l")), "site", "root", "pattern", "pos", F.regexp_replace(F.trim("l.name"), r"\s+", " ").alias("name"), resolve(F.trim("l.href"), F.col("origin")).alias("url"))
     good = (F.length("name") >= 2) & ~F.col("name").rlike(NO_NAME) & F.contains(F.regexp_extract("url", r"^https?://([^/?#]+)", 1), F.col("root")) & ~F.col("url").rlike(NO_CATEGORY) & F.col("url").rlike(CATEGORY)
     rows = rows.filter(good).withColumn("url", F.regexp_replace(F.regexp_replace("url", "#.*$", ""), "/$", ""))
-    once = rows.groupBy("site", "url").agg(F.min_by(F.struct("name", "pos", "pattern"), "pos").alias("r")).select("site", "url", "r.*")
-    once = once.withColumn("place", ranked(["site"], F.size(F.split("url", "/")).desc(), F.col("pos"))).filter(F.col("place") <= most)
+    first = rows.groupBy("site", "url").agg(F.min_by(F.struct("name", "pos", "pattern"), "pos").alias("r")).select("site", "url", "r.*")
+    first = first.withColumn("place", ranked(["site"], F.size(F.split("url", "/")).desc(), F.col("pos"))).filter(F.col("place") <= most)
     n = F.count("*").over(Window.partitionBy("site"))
-    return once.select("site", "name", "url", "place", "pattern", F.when(n >= 20, 0.85).when(n >= 5, 0.7).otherwise(0.4).alias("confidence"))
+    return first.select("site", "name", "url", "place", "pattern", F.when(n >= 20, 0.85).when(n >= 5, 0.7).otherwise(0.4).alias("confidence"))
 
 
 def filter_categories(categories: DataFrame) -> DataFrame:

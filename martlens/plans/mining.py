@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from martlens.functions.shared import dealt
 from martlens.operators import mining
 from martlens.plans.registry import query
 
@@ -70,7 +71,7 @@ def url11_category_links(shops):
     many = F.when(F.col("shop_id") % 3 == 0, 150).when(F.col("shop_id") % 3 == 1, 20).otherwise(7)
     links = F.transform(F.sequence(F.lit(0), many - 1), lambda x: F.concat(F.lit("* [n  "), k(x), F.lit("]("), href(x), F.lit(")\n")))
     body = F.concat(F.array_join(links, ""), F.lit("[Search](/cat/search) [n](/cat/short)\n[twice](/en/cat/a/0/)"), F.when(F.col("shop_id") % 2 == 0, "(/pdp/x) ").otherwise(""))
-    return mining.category_links(shops.select(F.col("shop_id").alias("site"), "domain", body.alias("markdown")), 60)
+    return mining.category_links(dealt(shops, "shop_id").select(F.col("shop_id").alias("site"), "domain", body.alias("markdown")), 60)
 
 
 @query("shops", """SELECT shop_id AS site, concat('c', k) AS name, CASE k WHEN 0 THEN concat('https://', domain, '/a') WHEN 2 THEN concat('https://m.', domain, '/b') ELSE concat('https://', regexp_replace(domain, '^www\\.', ''), '/c') END AS url FROM {shops}, (SELECT unnest([0, 2, 3]) AS k) r""")
