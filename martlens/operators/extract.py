@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from martlens.functions.shared import once
 from martlens.functions.urls import host_of, normal_url, resolve_reference
 from martlens.operators.ingest import AVAILABILITY, recipe_availability
 from martlens.operators.pages import jsonld_products
@@ -138,8 +139,8 @@ def map_api_records(bodies: DataFrame, recipes: DataFrame) -> DataFrame:
     number = lambda name: F.regexp_extract(F.trim(field(name)), r"^[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?", 0).try_cast("double")
     url = F.trim(field("url"))
     full = F.when(url.startswith("http"), url).otherwise(F.concat(F.coalesce("prefix", F.lit("")), F.when(url.startswith("/"), "").otherwise("/"), url))
-    out = rows.select(
-        "page_id", "platform", "pos", F.trim(field("title")).alias("title"), F.when(url != "", full).alias("url"), field("brand").alias("brand"), field("sku").alias("sku"), number("price").alias("price"), number("listPrice").alias("listed"), field("image").alias("image"), F.coalesce("label", F.lit("")).alias("category")
+    out = once(
+        rows, "page_id", "platform", "pos", F.trim(field("title")).alias("title"), F.when(url != "", full).alias("url"), field("brand").alias("brand"), field("sku").alias("sku"), number("price").alias("price"), number("listPrice").alias("listed"), field("image").alias("image"), F.coalesce("label", F.lit("")).alias("category")
     )
     return out.filter((F.col("title") != "") & F.col("url").isNotNull()).withColumn("list_price", F.when(F.col("listed") > F.col("price"), F.col("listed"))).drop("listed")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from martlens.functions.shared import dealt
 from martlens.operators import extract
 from martlens.plans.registry import query
 
@@ -105,7 +106,7 @@ def ext11_map_api_records(part):
         _text('{"data":{"products":{"results":[{"masterData":{"current":{"name":{"en":', name, '},"slug":{"en":', _q(number), '},"masterVariant":{"sku":', sku, ',"prices":[{"value":{"centAmount":', cost_text, '}}],"images":[{"url":', image, "}]}}}}]}}}"),
     ]
     body = F.coalesce(*[F.when(key % 7 == k, b) for k, b in enumerate(bodies)])
-    rows = part.select(key.alias("page_id"), _platform().alias("platform"), body.alias("body"), F.lit("https://s.example/p").alias("prefix"), F.lit("all").alias("label"))
+    rows = dealt(part, "p_partkey").select(key.alias("page_id"), _platform().alias("platform"), body.alias("body"), F.lit("https://s.example/p").alias("prefix"), F.lit("all").alias("label"))
     return extract.map_api_records(rows, extract.platform_field_maps(part.sparkSession))
 
 
@@ -141,7 +142,7 @@ def ext02_extract_breadcrumbs(part):
 
 def _context(part, column, body):
     key = F.col("p_partkey")
-    return part.select(key.alias("page_id"), body.alias(column), F.lit("/(p|pdp)/").alias("pattern"), F.lit("https://shop.example").alias("origin"), F.lit("shop.example").alias("domain"))
+    return dealt(part, "p_partkey").select(key.alias("page_id"), body.alias(column), F.lit("/(p|pdp)/").alias("pattern"), F.lit("https://shop.example").alias("origin"), F.lit("shop.example").alias("domain"))
 
 
 @query("part", """SELECT p_partkey AS page_id, concat('https://shop.example/p/', p_partkey, '?x=1') AS url, p_name AS title, p_size + 0.5::DOUBLE AS price, p_size + 1.0::DOUBLE AS list_price, concat('https://shop.example/i/', p_partkey, '.png') AS image FROM {part}
