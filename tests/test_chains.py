@@ -121,3 +121,12 @@ def test_categories_over_two_batches_are_those_of_one(spark):
     ids = {r.path: r.category_id for r in whole[0].collect()}
     assert {(r.shop_id, r.raw_path): r.category_id for r in whole[1].collect()} == {k: ids[v] for k, v in maps.items()}
     assert all(r.parent_id == ids.get(r.path.rpartition("/")[0]) for r in whole[0].collect())
+
+
+def test_jumps_send_no_table_through_the_driver(spark):
+    from martlens.functions.hierarchy import _jump
+
+    rows = spark.createDataFrame([(1, None), (2, 1), (3, 2)], "id long, up long")
+    jumped = _jump(rows)
+    assert "BroadcastExchange" not in jumped._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in jumped.collect()} == {(1, None), (2, None), (3, 1)}
