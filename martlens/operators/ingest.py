@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martlens.functions.latest import ranked, upsert
+from martlens.functions.shared import tasks_for
 
 
 def upsert_listings(state: DataFrame, batch: DataFrame) -> DataFrame:
@@ -23,8 +24,9 @@ UPDATED = ["title", "brand", "category", "gtin", "mpn", "image", "attributes"]
 
 def upsert_all_columns(state: DataFrame, batch: DataFrame) -> DataFrame:
     """As ``upsert_listings`` with every column: ``UPDATED`` takes the batch's value even where that is null; seen listings are active again."""
-    last = batch.groupBy("url").agg(F.max_by(F.struct("sku", "shop_id", "first_seen", "last_seen", *UPDATED), F.struct("last_seen", "sku")).alias("b"))
-    rows = state.withColumn("known", F.lit(True)).join(last, "url", "full")
+    tasks = max(tasks_for(state), tasks_for(batch))
+    last = batch.repartition(tasks, "url").groupBy("url").agg(F.max_by(F.struct("sku", "shop_id", "first_seen", "last_seen", *UPDATED), F.struct("last_seen", "sku")).alias("b"))
+    rows = state.withColumn("known", F.lit(True)).repartition(tasks, "url").join(last, "url", "full")
     keep = lambda c: F.when(F.col("known"), F.col(c)).otherwise(F.col(f"b.{c}")).alias(c)
     take = lambda c: F.when(F.col("b").isNotNull(), F.col(f"b.{c}")).otherwise(F.col(c)).alias(c)
     return rows.select("url", *map(keep, ("sku", "shop_id", "first_seen")), *map(take, ("last_seen", *UPDATED)), (F.col("b").isNotNull() | F.col("active")).alias("active"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from martlens.functions.hierarchy import ancestor_paths
 from martlens.functions.latest import ranked
-from martlens.functions.shared import written
+from martlens.functions.shared import tasks_for, written
 from martlens.operators.pages import normalize_domain
 
 
@@ -30,10 +30,11 @@ def upsert_listing_pages(state: DataFrame, found: DataFrame) -> DataFrame:
     Found pages are active again and take label and parent, the page of that name found in the same shop; others stay as they are. Of
     several found rows of a URL the last name counts.
     """
-    last = found.groupBy("shop_id", "url").agg(F.max_by("parent_name", "name").alias("parent_name"), F.max("name").alias("name"))
+    tasks = max(tasks_for(state), tasks_for(found))
+    last = found.repartition(tasks, "shop_id", "url").groupBy("shop_id", "url").agg(F.max_by("parent_name", "name").alias("parent_name"), F.max("name").alias("name"))
     names = last.groupBy("shop_id", F.col("name").alias("parent_name")).agg(F.max("url").alias("new_parent"))
-    new = last.join(names, ["shop_id", "parent_name"], "left").select("shop_id", "url", F.col("name").alias("new_label"), "new_parent")
-    both = state.join(new, ["shop_id", "url"], "full")
+    new = last.repartition(tasks, "shop_id", "parent_name").join(names.repartition(tasks, "shop_id", "parent_name"), ["shop_id", "parent_name"], "left").repartition(tasks, "shop_id", "url").select("shop_id", "url", F.col("name").alias("new_label"), "new_parent")
+    both = state.repartition(tasks, "shop_id", "url").join(new, ["shop_id", "url"], "full")
     return both.select("shop_id", "url", F.coalesce("new_label", "label").alias("label"), F.coalesce("new_parent", "parent").alias("parent"), (F.col("new_label").isNotNull() | F.coalesce("active", F.lit(False))).alias("active"))
 
 

@@ -19,3 +19,13 @@ def test_rows_of_a_small_file_are_dealt_out(spark, name):
 @pytest.mark.parametrize("name, mark, times", [("ext17_condensed_pages", "(script|style|noscript|svg", 1), ("src02_sitemap_shapes", "<rss", 2)])
 def test_values_that_a_filter_reads_are_computed_once(spark, name, mark, times):
     assert plan(spark, name).count(mark) == times
+
+
+def test_tasks_grow_with_the_files_that_rows_come_from(spark, tmp_path):
+    from martlens.functions.shared import tasks_for
+    from martlens.operators import ingest
+
+    spark.range(5000).selectExpr("concat('u', id) AS url", "'s' AS sku", "1L AS shop_id", "timestamp'2020-01-01' AS first_seen", "timestamp'2020-01-01' AS last_seen", *[f"'x' AS {c}" for c in ingest.UPDATED], "true AS active").write.parquet(f"{tmp_path}/l")
+    rows = spark.read.parquet(f"{tmp_path}/l")
+    assert tasks_for(rows) == 4 == tasks_for(spark.range(3).toDF("x")) and tasks_for(rows, 1000) > 20
+    assert ingest.upsert_all_columns(rows, rows)._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
