@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martlens.functions.latest import numbered, ranked
-from martlens.functions.shared import once, written
+from martlens.functions.shared import once, spread, tasks_for, written
 from martlens.functions.urls import let
 from martlens.operators.extract import resolve
 from martlens.operators.pages import normalize_domain, product_url_score
@@ -54,20 +54,25 @@ def sitemap_entries(bodies: DataFrame) -> DataFrame:
 def sitemap_tree(maps: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:
     """(root, url) of all pages that the root sitemaps (root, map) lead to, over indexes at most ``depth`` deep. maps: map, body.
 
-    Bodies are read once. A round opens the maps that it newly found, none twice for a root, and the last round is that which finds none.
+    Bodies are read once. Rounds follow only what leads from one index to another, which is little; the last round is that which finds none, or the one
+    before ``depth``. All maps that the indexes found by then name are opened together, so each entry is shuffled a fixed number of times, whatever the depth.
     """
     every = written(sitemap_entries(maps.withColumnRenamed("map", "site")).withColumnRenamed("site", "map"), "entries")
-    open_ = seen = written(roots.select("root", "map").distinct(), "maps")
-    out = None
-    for _ in range(depth + 1):
-        found = open_.join(every, "map")
-        pages = found.filter("kind <> 'index'").select("root", "url")
-        out = pages if out is None else out.unionByName(pages)
-        open_ = written(found.filter("kind = 'index'").select("root", F.col("url").alias("map")).distinct().join(seen, ["root", "map"], "left_anti"), "maps")
-        if not open_.limit(1).count():
-            break
-        seen = seen.unionByName(open_)
-    return out.distinct()
+    tasks = tasks_for(every)
+    links, pages = every.filter("kind = 'index'").select("map", F.col("url").alias("to")), every.filter("kind <> 'index'").select("map", "url")
+    opened = open_ = seen = written(roots.select("root", "map").distinct(), "maps")
+    if depth > 0:
+        indexes = written(links.select("map").distinct(), "indexes")
+        between = written(spread(links, tasks, "to").join(indexes.select(F.col("map").alias("to")), "to", "left_semi"), "between")
+        for _ in range(depth - 1):
+            found = open_.join(between, "map").select("root", F.col("to").alias("map")).distinct()
+            open_ = written(found.join(seen, ["root", "map"], "left_anti"), "maps")
+            if not open_.limit(1).count():
+                break
+            seen = seen.unionByName(open_)
+        opened = opened.unionByName(seen.join(spread(links, tasks, "map"), "map").select("root", F.col("to").alias("map")))
+    out = spread(opened, tasks, "map").distinct().join(spread(pages, tasks, "map"), "map").select("root", "url")
+    return spread(out, tasks, "root", "url").distinct()
 
 
 # Path tokens of product pages, and files that are no pages.

@@ -30,8 +30,9 @@ def src03_sitemap_index_expand(listings):
     loc = lambda u: F.concat(F.lit("<sitemap><loc>"), u, F.lit("</loc></sitemap>"))
     # An index of each shop and depth names the leaves of its depth and the index below; its rows are those of the shop, in one body a product range.
     ranges = F.floor(F.col("product_id") / 500)
-    lists = listings.groupBy("shop_id", depth.alias("d"), ranges.alias("part")).agg(F.array_join(F.collect_list(loc(F.concat(at(F.col("product_id") % 7), F.lit("-"), F.col("listing_id").cast("string")))), "").alias("inner"))
-    index = lists.select(at(F.col("d")).alias("map"), F.concat(F.lit("<sitemapindex>"), "inner", F.lit("</sitemapindex>")).alias("body"))
+    lists = listings.groupBy("shop_id", depth.alias("d"), ranges.alias("part")).agg(F.collect_list("listing_id").alias("ids"))
+    inner = F.array_join(F.transform("ids", lambda i: loc(F.concat(at(F.col("d")), F.lit("-"), i.cast("string")))), "")
+    index = lists.select(at(F.col("d")).alias("map"), F.concat(F.lit("<sitemapindex>"), inner, F.lit("</sitemapindex>")).alias("body"))
     shops = listings.select("shop_id").distinct()
     below = shops.select("shop_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("d")).select(at(F.col("d")).alias("map"), F.concat(F.lit("<sitemapindex>"), loc(at(F.col("d") + 1)), F.lit("</sitemapindex>")).alias("body"))
     roots = shops.select(F.col("shop_id").alias("root"), at(F.lit(0)).alias("map"))

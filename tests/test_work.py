@@ -29,3 +29,43 @@ def test_tasks_grow_with_the_files_that_rows_come_from(spark, tmp_path):
     rows = spark.read.parquet(f"{tmp_path}/l")
     assert tasks_for(rows) == 4 == tasks_for(spark.range(3).toDF("x")) and tasks_for(rows, 1000) > 20
     assert ingest.upsert_all_columns(rows, rows)._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
+
+
+def brute_tree(maps, roots, depth):
+    """(root, url) by breadth first; maps: {map: [(is an index, url)]}."""
+    out = set()
+    for root, start in roots:
+        level, seen = {start}, {start}
+        for _ in range(depth + 1):
+            out |= {(root, u) for m in level for index, u in maps.get(m, []) if not index}
+            level = {u for m in level for index, u in maps.get(m, []) if index} - seen
+            seen |= level
+    return out
+
+
+@pytest.mark.parametrize("depth", [0, 1, 2, 4])
+def test_sitemap_tree_reads_entries_a_fixed_number_of_times(spark, depth):
+    """Circles, maps named twice or by themselves, maps that are index and page list at once, names without a map; the last query reads the entries twice at any depth."""
+    from martlens.operators.mining import sitemap_tree
+
+    maps = {f"m{k}": [(True, f"m{k * 7 % 23}"), (True, f"m{k + 1}"), (True, "none")] if k % 3 else [(False, f"u{k}"), (False, f"u{k // 2}")] for k in range(23)}
+    maps["m4"] += [(False, "u4"), (False, "u4")]
+    roots = [("a", "m1"), ("a", "m6"), ("b", "m4"), ("b", "none"), ("c", "m22")]
+    body = lambda index, urls: f"<{'sitemapindex' if index else 'urlset'}>" + "".join(f"<sitemap><loc>{u}</loc></sitemap>" if index else f"<url><loc>{u}</loc></url>" for u in urls) + f"</{'sitemapindex' if index else 'urlset'}>"
+    bodies = [(m, body(index, urls)) for m, all_ in maps.items() for index in (True, False) if (urls := [u for i, u in all_ if i == index])]
+    got = sitemap_tree(spark.createDataFrame(bodies, "map string, body string"), spark.createDataFrame(roots, "root string, map string"), depth)
+    assert sorted(map(tuple, got.collect())) == sorted(brute_tree(maps, roots, depth))
+    scans = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Relation" in line and "kind#" in line]
+    assert len(scans) <= 2
+
+
+def test_listings_are_dealt_by_the_size_of_their_files(spark):
+    from martlens.sources.tables import load
+
+    few = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        assert "REPARTITION_BY_NUM" in load(spark, "/root/testdata/sf0.1", "listings")[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", few)
+    assert "REPARTITION_BY_NUM" not in load(spark, SF, "listings")[0]._jdf.queryExecution().executedPlan().toString()
