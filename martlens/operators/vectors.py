@@ -17,6 +17,7 @@ import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -300,27 +301,47 @@ def cluster_apart(links: DataFrame, members: DataFrame) -> DataFrame:
     Two clusters with listings of a shop stay apart unless all of these have one and the same sku; a listing without a sku is like no other. A link between
     clusters that must stay apart is dropped. In a round every pair of clusters that are each other's nearest is merged; that gives what merging along
     one link after the other gives, whatever the order of the rows: a cluster's nearest stays its nearest until they merge, and what must stay apart always must.
+
+    Only ids with links take part in the rounds. A round finds the pairs, moves their shops and edges, and looks at those edges again whose clusters have grown; who
+    went where is followed to its end once, after the last round.
     """
-    one = F.min(F.struct("distance", "x", "y")).alias("k")
     edges = links.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("distance").alias("distance"))
-    edges = written(edges.select("a", "b", "distance", F.col("a").alias("x"), F.col("b").alias("y")), "links")
+    edges = written(edges.select("a", "b", "distance", F.col("a").alias("x"), F.col("b").alias("y"), F.lit(True).alias("grown")), "links")
+    linked = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sku = F.when(F.col("sku") != "", F.col("sku"))
-    shops = members.filter("shop IS NOT NULL").groupBy(F.col("id").alias("c"), "shop").agg(F.min(sku).alias("low"), F.max(sku).alias("high"), F.bool_or(sku.isNull()).alias("blank"))
+    shops = members.filter("shop IS NOT NULL").join(linked, "id", "left_semi").groupBy(F.col("id").alias("c"), "shop").agg(F.min(sku).alias("low"), F.max(sku).alias("high"), F.bool_or(sku.isNull()).alias("blank"))
     shops = written(shops, "shops")
-    labels = written(members.select("id").distinct().withColumn("cluster", F.col("id")), "labels")
-    while True:
+
+    def allowed(edges: DataFrame) -> DataFrame:
         side = lambda k: shops.select(F.col("c").alias(k), "shop", F.col("low").alias(f"low{k}"), F.col("high").alias(f"high{k}"), F.col("blank").alias(f"blank{k}"))
-        both = edges.select("a", "b").join(side("a"), "a").join(side("b"), ["b", "shop"])
+        both = edges.filter("grown").select("a", "b").join(side("a"), "a").join(side("b"), ["b", "shop"])
         apart = both.filter(F.col("blanka") | F.col("blankb") | (F.least("lowa", "lowb") != F.greatest("higha", "highb"))).select("a", "b").distinct()
-        edges = written(edges.join(apart, ["a", "b"], "left_anti"), "links")
-        if not edges.limit(1).count():
-            return labels
+        return written(edges.join(apart, ["a", "b"], "left_anti"), "links")
+
+    edges, rounds = allowed(edges), []
+    while True:
         ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("to")), F.struct(F.col("b").alias("c"), F.col("a").alias("to")))).alias("e"), "distance", "x", "y")
-        best = written(ends.select("e.c", "e.to", "distance", "x", "y").groupBy("c").agg(F.min_by("to", F.struct("distance", "x", "y")).alias("to")), "nearest")
-        merged = best.filter("c < to").join(best.select(F.col("c").alias("to"), F.col("to").alias("c")), ["c", "to"], "left_semi")
-        merged = written(merged.select(F.col("to").alias("gone"), F.col("c").alias("kept")), "merged")
-        now = lambda df, column: df.join(merged, F.col(column) == F.col("gone"), "left").withColumn(column, F.coalesce("kept", column)).drop("gone", "kept")
-        labels = written(now(labels, "cluster"), "labels")
-        shops = written(now(shops, "c").groupBy("c", "shop").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or("blank").alias("blank")), "shops")
-        moved = now(now(edges, "a"), "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance", "x", "y")
-        edges = written(moved.groupBy("a", "b").agg(one).select("a", "b", "k.*"), "links")
+        best = ends.select("e.c", "e.to", "distance", "x", "y").groupBy("c").agg(F.min_by("to", F.struct("distance", "x", "y")).alias("to"))
+        merged = best.groupBy(F.least("c", "to").alias("kept"), F.greatest("c", "to").alias("gone")).count().filter("count = 2")
+        merged = written(merged.select("gone", "kept"), "merged")
+        # The shortest edge of all is a pair's, so that there are pairs as long as there are edges.
+        if not merged.limit(1).count():
+            break
+        rounds.append(merged)
+        # A pair's two ids with its kept one, so that one join both moves an id and tells that its cluster has grown.
+        new = merged.select(F.explode(F.array("gone", "kept")).alias("old"), F.col("kept").alias("new"))
+        now = lambda df, column: df.join(new, F.col(column) == F.col("old"), "left").withColumn("grown", F.col("grown") | F.col("new").isNotNull()).withColumn(column, F.coalesce("new", column)).drop("old", "new")
+        shops = written(now(shops.withColumn("grown", F.lit(False)), "c").groupBy("c", "shop").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or("blank").alias("blank")), "shops")
+        moved = now(now(edges.withColumn("grown", F.lit(False)), "a"), "b").filter("a <> b")
+        moved = moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance", "x", "y", "grown")
+        moved = moved.groupBy("a", "b").agg(F.min(F.struct("distance", "x", "y")).alias("k"), F.bool_or("grown").alias("grown"))
+        edges = allowed(moved.select("a", "b", "k.*", "grown"))
+    ids = members.select("id").distinct()
+    if not rounds:
+        return ids.withColumn("cluster", F.col("id"))
+    tree = written(reduce(DataFrame.unionByName, rounds), "merged")
+    # A round's pairs can go on in later rounds only, and each join doubles how far a row sees.
+    for _ in range((len(rounds) - 1).bit_length()):
+        further = tree.select(F.col("gone").alias("kept"), F.col("kept").alias("last"))
+        tree = written(tree.join(further, "kept", "left").select("gone", F.coalesce("last", "kept").alias("kept")), "merged")
+    return ids.join(tree, F.col("id") == F.col("gone"), "left").select("id", F.coalesce("kept", "id").alias("cluster"))

@@ -86,6 +86,21 @@ def test_clusters_equal_one_merge_after_the_other(spark, seed):
     assert 1 < len(set(got.values())) < 60
 
 
+def test_a_round_writes_three_tables_of_linked_ids(spark, monkeypatch):
+    """A chain of ever longer links takes a round each; ids without links aren't carried along."""
+    links = [(i, i + 1, (10 - i) / 100) for i in range(9)]
+    members = [(i, i, "s") for i in range(200)] + [(300, None, None), (5, 100, "s")]
+    frame, own = spark.createDataFrame(links, "a long, b long, distance double"), spark.createDataFrame(members, "id long, shop long, sku string")
+    calls = []
+    monkeypatch.setattr(vectors, "written", lambda df, name, real=vectors.written: (calls.append((name, out := real(df, name))), out)[1])
+    got = {r.id: r.cluster for r in vectors.cluster_apart(frame, own).collect()}
+    assert got == brute_clusters([(a, b, d) for a, b, d in links], members)
+    assert len(calls) <= 3 * 9 + 10
+    assert max(df.count() for _, df in calls) <= 11
+    none = vectors.cluster_apart(frame.limit(0), own)
+    assert none.filter("id <> cluster").count() == 0 and none.count() == 201
+
+
 def test_near_entities_with_keys(spark):
     products = spark.createDataFrame([(1, "g", None), (2, "g", None), (3, None, "m"), (4, None, "m"), (5, None, None), (6, None, None), (7, None, None)], "product_id long, gtin string, mpn string")
     vecs = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, [0.0, 1.0]), (3, 0, [1.0, 0.1]), (5, 0, [1.0, 0.05]), (6, 0, [-1.0, 0.0]), (7, 1, [1.0, 0.0])], VECTORS)
