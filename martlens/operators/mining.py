@@ -284,23 +284,28 @@ def derive_product_pattern(urls: DataFrame) -> DataFrame:
     path = F.lower(F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1))
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
     drop = (F.size(segments) > 1) & F.get(segments, F.lit(0)).rlike("^[a-z]{2}([-_][a-z]{2})?$")
-    rows = urls.select("site", F.when(drop, F.slice(segments, 2, 1000)).otherwise(segments).alias("s"))
+    rows = written(urls.select("site", F.when(drop, F.slice(segments, 2, 1000)).otherwise(segments).alias("s")), "paths")
+    tasks = max(tasks_for(urls), tasks_for(rows))
     totals = rows.groupBy("site").agg(F.count("*").alias("n"), F.min(F.size("s")).alias("least"), F.max(F.size("s")).alias("most"), F.count_if(F.array_contains("s", "cat")).alias("cats"), F.count_if(F.exists("s", lambda x: x.startswith("p-"))).alias("slugs"))
+    totals = written(totals, "totals")
 
     def common(parts: DataFrame, number: str, name: str) -> DataFrame:
         """The beginning that all of ``number`` lists of a site share, as far as every place has one value."""
-        at = parts.select("site", number, F.posexplode("s").alias("i", "x")).groupBy("site", number, "i").agg(F.count("*").alias("k"), F.min("x").alias("x"), F.max("x").alias("y"))
-        good = at.filter((F.col("k") == F.col(number)) & (F.col("x") == F.col("y"))).groupBy("site").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("all"))
+        # Least and greatest texts are found by sorting; dealt out first, a task's rows are few whatever files they are read from.
+        at = spread(parts, tasks, "site", "s").select("site", F.posexplode("s").alias("i", "x")).groupBy("site", "i").agg(F.count("*").alias("k"), F.min("x").alias("x"), F.max("x").alias("y")).filter(F.col("x") == F.col("y"))
+        good = at.join(totals.select("site", number), "site").filter(F.col("k") == F.col(number)).groupBy("site").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("all"))
         run = F.filter("all", lambda e, j: e["i"] == j)
         return good.select("site", F.transform(run, lambda e: e["x"]).alias(name))
 
-    whole = common(rows.join(totals.select("site", "n"), "site"), "n", "prefix")
+    whole = common(rows, "n", "prefix")
     at = F.greatest(F.lit(1), F.array_position("s", "cat").cast("int"))
-    nested = rows.filter(F.array_contains("s", "cat")).join(totals.select("site", "cats"), "site")
-    nested = nested.select("site", "cats", F.slice("s", at, F.greatest(F.lit(0), F.least(F.lit(2), F.size("s") - at))).alias("s"))
+    nested = rows.filter(F.array_contains("s", "cat")).select("site", F.slice("s", at, F.greatest(F.lit(0), F.least(F.lit(2), F.size("s") - at))).alias("s"))
     nested_sizes = nested.groupBy("site").agg(F.min(F.size("s")).alias("c_least"), F.max(F.size("s")).alias("c_most"))
     under = common(nested, "cats", "cat_prefix")
-    counts = rows.select("site", F.explode(F.array_distinct("s")).alias("x")).groupBy("site", "x").agg(F.count("*").alias("k")).join(totals.select("site", "n"), "site").filter(F.col("k") >= F.ceil(F.col("n") / 2))
+    # A segment found once is of the majority only where a site has at most two URLs, so the many that are found once meet no other site's total.
+    found = spread(rows.select("site", F.explode(F.array_distinct("s")).alias("x")), tasks, "site", "x").groupBy("site", "x").agg(F.count("*").alias("k"))
+    few = rows.join(totals.filter("n <= 2").select("site"), "site", "left_semi").select("site", F.explode(F.array_distinct("s")).alias("x")).groupBy("site", "x").agg(F.count("*").alias("k")).filter("k = 1")
+    counts = found.filter("k > 1").unionByName(few).join(totals.select("site", "n"), "site").filter(F.col("k") >= F.ceil(F.col("n") / 2))
     prior = F.array_position(F.array(*map(F.lit, PRIORS)), F.col("x"))
     tokens = counts.filter(prior > 0).groupBy("site").agg(F.max_by("x", F.struct("k", -prior)).alias("token"))
     shared = counts.filter(F.length("x") >= 2).groupBy("site").agg(F.max_by("x", F.struct("k", "x")).alias("segment"))

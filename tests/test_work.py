@@ -69,3 +69,31 @@ def test_listings_are_dealt_by_the_size_of_their_files(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", few)
     assert "REPARTITION_BY_NUM" not in load(spark, SF, "listings")[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def spread_over(spark, rows, path):
+    """``rows`` in files and a session of one shuffle partition, so that even small tables are dealt out by size."""
+    rows.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.fixture
+def one_partition(spark, monkeypatch):
+    from martlens.operators import mining
+
+    few = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(mining, "tasks_for", lambda rows: 3)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", few)
+
+
+def test_patterns_of_few_urls_and_of_many(spark, tmp_path, one_partition):
+    """A segment found once counts where a site has one or two URLs, also under /cat/; segments are dealt out."""
+    from martlens.operators.mining import derive_product_pattern
+
+    urls = {"one": ["zz1/qq"], "two": ["aaa/b1", "ccc/b2"], "three": ["a/x1", "b/x2", "c/x3"], "major": ["xxx/q1", "xxx/q2", "yyy/q3"], "token": ["k/item/1", "l/item/2", "m/z/3"], "cat": ["u/cat/men/1", "v/other/2"], "tie": ["p/a1", "p/a2", "b/c"]}
+    rows = spread_over(spark, spark.createDataFrame([(s, f"https://h/{u}") for s, us in urls.items() for u in us], "site string, url string"), f"{tmp_path}/u")
+    df = derive_product_pattern(rows)
+    assert {r.site: r.pattern for r in df.collect()} == {"one": "/zz1/", "two": "/ccc/", "three": None, "major": "/xxx/", "token": "/item/", "cat": "/cat/", "tie": "/p/"}
+    assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
