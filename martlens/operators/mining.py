@@ -265,7 +265,7 @@ def best_candidates(urls: DataFrame, least: int = 3, most: int = 10, per_block:
     number = F.regexp_extract(leaf, r"([0-9]{6,}[a-z]?)(?:\.html?)?$", 1)
     key = F.coalesce(F.nullif(number, F.lit("")), F.nullif(leaf, F.lit("")), F.col("url"))
     rows = urls.filter(product & known).select("site", "url", key.alias("key"), score.alias("score"))
-    best = rows.groupBy("site", "key").agg(F.max_by(F.struct("url", "score"), F.struct("score", "url")).alias("b")).select("site", "b.url", "b.score")
+    best = spread(rows, tasks_for(urls), "site", "key").groupBy("site", "key").agg(F.max_by(F.struct("url", "score"), F.struct("score", "url")).alias("b")).select("site", "b.url", "b.score")
     rows = numbered(best, ["site"], [F.col("score").desc(), F.col("url")], "i", "n", per_block).filter(F.col("n") >= least)
     k = F.expr(f"(i * {most} + n - 1) div n")
     return rows.withColumn("k", k).filter((F.col("n") <= most) | (F.expr(f"(k * n) div {most}") == F.col("i"))).select("site", "url", "score")

@@ -88,6 +88,32 @@ def one_partition(spark, monkeypatch):
     spark.conf.set("spark.sql.shuffle.partitions", few)
 
 
+def test_urls_of_products_are_numbered_without_a_join(spark, tmp_path, one_partition):
+    """Sites across blocks, ties in the key, a site that is null: the spread is the same, no task's share is a fixed part of the table."""
+    from martlens.functions.latest import numbered
+    from martlens.operators import mining
+
+    rows = spark.range(500).selectExpr("CASE WHEN id % 7 < 5 THEN 'a' WHEN id % 7 = 5 THEN 'b' END AS site", "concat('https://x/p/', lpad(cast(id AS string), 7, '0')) AS url", "CAST(NULL AS string) AS sitemap")
+    rows = spread_over(spark, rows, f"{tmp_path}/u")
+    from pyspark.sql import functions as F
+
+    got = numbered(rows, ["site"], [F.col("url")], "i", "n", 100)
+    plan_ = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan_ and plan_.count("REPARTITION_BY_NUM") == 1
+    want = {}
+    for r in sorted(rows.collect(), key=lambda r: r.url):
+        want.setdefault(r.site, []).append(r.url)
+    assert sorted((str(r.site), r.url, r.i, r.n) for r in got.collect()) == sorted((str(s), u, i, len(us)) for s, us in want.items() for i, u in enumerate(us))
+    seen = []
+    mining_numbered = mining.numbered
+    try:
+        mining.numbered = lambda rows, *a: (seen.append(rows._jdf.queryExecution().executedPlan().toString()), mining_numbered(rows, *a))[1]
+        assert mining.best_candidates(rows.filter("site IS NOT NULL")).count() == 20
+    finally:
+        mining.numbered = mining_numbered
+    assert "REPARTITION_BY_NUM" in seen[0]
+
+
 def test_patterns_of_few_urls_and_of_many(spark, tmp_path, one_partition):
     """A segment found once counts where a site has one or two URLs, also under /cat/; segments are dealt out."""
     from martlens.operators.mining import derive_product_pattern
