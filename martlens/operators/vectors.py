@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from martlens.functions.latest import ranked
 from martlens.functions.shared import get_text, names_in, put_text, written
@@ -295,7 +296,47 @@ def mutual_links(index: VectorIndex, asked: DataFrame, near: float, k: int = 5,
     return found.select(F.least("query", "vec_id").alias("a"), F.greatest("query", "vec_id").alias("b"), "distance").distinct()
 
 
-def cluster_apart(links: DataFrame, members: DataFrame) -> DataFrame:
+def _last_pairs(edges: DataFrame, shops: DataFrame) -> DataFrame:
+    """gone, kept: what merging along ``edges`` (a, b, distance, x, y) in order, one after the other in one task, makes of their clusters; ``shops`` are these clusters' (c, shop, low, high, blank)."""
+    kinds = {f.name: f.dataType for df in (shops, edges) for f in df.schema}
+    none = lambda *names: [F.lit(None).cast(kinds[n]).alias(n) for n in names]
+    held = shops.select(F.lit(0).alias("edge"), F.col("c").alias("a"), *none("b"), "shop", "low", "high", "blank", *none("distance", "x", "y"))
+    rows = held.unionByName(edges.select(F.lit(1).alias("edge"), "a", "b", *none("shop", "low", "high", "blank"), "distance", "x", "y"))
+    ids = to_arrow_type(kinds["a"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up, own, name = {}, {}, {}
+
+        def top(c):
+            while (over := up.get(c, c)) != c:
+                up[c] = c = up.get(over, over)
+            return c
+
+        def apart(few, many):
+            pairs = ((few[s], many[s]) for s in few if s in many)
+            return any(b or d or min(lo, low) != max(hi, high) for (lo, hi, b), (low, high, d) in pairs)
+
+        for batch in batches:
+            for edge, a, b, shop, low, high, blank, *_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not edge:
+                    own.setdefault(a, {})[shop] = (low, high, blank)
+                    continue
+                few, many = sorted((top(a), top(b)), key=lambda c: len(own.get(c, ())))
+                if few == many or apart(own.get(few, {}), own.get(many, {})):
+                    continue
+                # Shops that both have are of one sku here.
+                up[few] = many
+                up.setdefault(many, many)
+                name[many] = min(name.get(few, few), name.get(many, many))
+                own.setdefault(many, {}).update(own.pop(few, {}))
+        moved = [(c, name[top(c)]) for c in up if name[top(c)] != c]
+        yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in moved], ids) for k in (0, 1)], ["gone", "kept"])
+
+    a = kinds["a"].simpleString()
+    return rows.repartition(1).sortWithinPartitions("edge", "distance", "x", "y").mapInArrow(run, f"gone {a}, kept {a}")
+
+
+def cluster_apart(links: DataFrame, members: DataFrame, few: int = 20_000, held: int = 400_000) -> DataFrame:
     """id, cluster (its smallest id) of every id of ``members`` (id, shop, sku), merged along ``links`` (a, b, distance) in order of distance, then ids.
 
     Two clusters with listings of a shop stay apart unless all of these have one and the same sku; a listing without a sku is like no other. A link between
@@ -303,7 +344,8 @@ def cluster_apart(links: DataFrame, members: DataFrame) -> DataFrame:
     one link after the other gives, whatever the order of the rows: a cluster's nearest stays its nearest until they merge, and what must stay apart always must.
 
     Only ids with links take part in the rounds. A round finds the pairs, moves their shops and edges, and looks at those edges again whose clusters have grown; who
-    went where is followed to its end once, after the last round.
+    went where is followed to its end once, after the last round. Chains of ever longer links would take a round each, so that the last ``few`` edges, whose clusters
+    have at most ``held`` shops, are gone along one after the other in one task.
     """
     edges = links.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("distance").alias("distance"))
     edges = written(edges.select("a", "b", "distance", F.col("a").alias("x"), F.col("b").alias("y"), F.lit(True).alias("grown")), "links")
@@ -319,14 +361,17 @@ def cluster_apart(links: DataFrame, members: DataFrame) -> DataFrame:
         return written(edges.join(apart, ["a", "b"], "left_anti"), "links")
 
     edges, rounds = allowed(edges), []
-    while True:
+    # The shortest edge of all is a pair's, so that there are pairs as long as there are edges.
+    while left := edges.count():
+        if left <= few:
+            known = shops.join(edges.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "c", "left_semi")
+            if known.limit(held + 1).count() <= held:
+                rounds.append(written(_last_pairs(edges, known), "merged"))
+                break
         ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("to")), F.struct(F.col("b").alias("c"), F.col("a").alias("to")))).alias("e"), "distance", "x", "y")
         best = ends.select("e.c", "e.to", "distance", "x", "y").groupBy("c").agg(F.min_by("to", F.struct("distance", "x", "y")).alias("to"))
         merged = best.groupBy(F.least("c", "to").alias("kept"), F.greatest("c", "to").alias("gone")).count().filter("count = 2")
         merged = written(merged.select("gone", "kept"), "merged")
-        # The shortest edge of all is a pair's, so that there are pairs as long as there are edges.
-        if not merged.limit(1).count():
-            break
         rounds.append(merged)
         # A pair's two ids with its kept one, so that one join both moves an id and tells that its cluster has grown.
         new = merged.select(F.explode(F.array("gone", "kept")).alias("old"), F.col("kept").alias("new"))
